@@ -3,8 +3,8 @@
 Every vector gets one long bit string a tree (signs of random projections).
 A tree is the sorted array of these strings.  A query descends each tree to
 its longest-prefix matches by binary search; then all trees ascend together,
-one bit at a time, until their matching ranges hold enough candidates.
-Candidates are ranked by the exact inner product in double precision.
+one bit at a time, until their matching ranges hold enough candidates.  Those
+that most trees hold are ranked by the exact inner product in double precision.
 
 Largest inner product is turned into smallest angle by one more component,
 sqrt(M^2 - |x|^2) for an indexed vector and 0 for a query.
@@ -70,20 +70,25 @@ class Forest:
             open_[at] = (hi[:, at] - lo[:, at]).sum(0) < wanted
         return lo, hi
 
-    def search(self, queries: np.ndarray, wanted: int, k: int):
-        """Yield for each query its best candidates (positions, exact products), about k and all ties."""
+    def search(self, queries: np.ndarray, per_tree: float, rank: int, k: int):
+        """Yield for each query its best candidates (positions, exact products): about k and all ties.
+
+        The trees ascend until their ranges hold `per_tree` of the block each,
+        on average; the `rank` candidates that most trees hold (and those
+        level with them) are compared exactly.
+        """
         queries = np.ascontiguousarray(queries, dtype=np.float64)
-        lo, hi = self.ranges(queries, wanted)
-        seen = np.zeros(len(self.vectors), bool)
+        n = len(self.vectors)
+        lo, hi = self.ranges(queries, max(k, int(len(self.orders) * n * per_tree)))
         for i, q in enumerate(queries):
-            seen[:] = False
-            for t, order in enumerate(self.orders):
-                seen[order[lo[t, i] : hi[t, i]]] = True
-            got = np.flatnonzero(seen)
+            held = np.concatenate([o[a:b] for o, a, b in zip(self.orders, lo[:, i], hi[:, i], strict=True)])
+            count = np.bincount(held, minlength=n)
+            cut = max(1, np.partition(count, n - rank)[n - rank]) if rank < n else 0
+            got = np.flatnonzero(count >= cut)
             rough = self.vectors[got] @ q
             if len(got) > k:
-                cut = np.partition(rough, len(rough) - k)[len(rough) - k]
-                got = got[rough >= cut - 1e-9 * max(1.0, abs(cut))]
+                least = np.partition(rough, len(rough) - k)[len(rough) - k]
+                got = got[rough >= least - 1e-9 * max(1.0, abs(least))]
             yield got, (self.vectors[got] * q).sum(1)  # summed alike wherever the row lies, so ties are exact
 
 
@@ -94,12 +99,12 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
-def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, trees: int = 32, share: float = 0.55, block_rows: int = 16384, query_rows: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, trees: int = 128, per_tree: float = 1 / 16, share: float = 0.1, least: int = 600, block_rows: int = 16384, query_rows: int = 4096, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (ids divisible by `every`).
 
-    Candidates: the trees ascend until their ranges hold `share` of a block's
-    size.  That many are needed where the vectors spread evenly over all
-    directions, as neighbours then are hardly nearer than the rest.
+    Of each block the tenth part that most trees hold (`share`, at least
+    `least` rows) is compared exactly.  Vectors that spread evenly over all
+    directions need that much: their neighbours are hardly nearer than the rest.
     """
     rows = materialize(usable(df, key, vector), "vectors")
     dims = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
@@ -123,7 +128,7 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ev
         forest = Forest(np.stack(x["vec"].to_numpy()), trees, seed)
         out = []
         qids = q["vec_id"].to_numpy()
-        for qid, (got, score) in zip(qids, forest.search(np.stack(q["vec"].to_numpy()), max(4 * k, int(share * len(ids))), k + 1), strict=True):
+        for qid, (got, score) in zip(qids, forest.search(np.stack(q["vec"].to_numpy()), per_tree, max(least, int(share * len(ids))), k + 1), strict=True):
             own = ids[got] != qid
             got, score = got[own], score[own]
             best = np.lexsort((ids[got], -score))[:k]

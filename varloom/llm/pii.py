@@ -80,7 +80,7 @@ def permute_string(value: Column, key: str, tweak: str) -> Column:
     """A keyed permutation of all strings with this value's length and classes of characters."""
     half = F.floor(F.length(value) / 2).cast("int")
     left, right = F.substring(value, F.lit(1), half), F.substring(value, half + 1, F.length(value))
-    is_hex = value.rlike("^[0-9a-f]{16,}$")
+    is_hex = value.rlike("^[0-9a-f]{16,}$") if tweak == "text" else F.lit(False)
     turned = _rounds(left, right, lambda a, b, i: _shift(a, _digest(key, tweak, i, b), is_hex), lambda a, b, i: _shift(b, _digest(key, tweak, i, a), is_hex))
     return F.aggregate(F.array(turned), F.lit(""), lambda _, x: F.concat(x["l"], x["r"]))
 
