@@ -8,7 +8,7 @@ import numpy as np
 from conftest import HARD
 
 from varloom.llm import bpe, media, packing, queries, sharding
-from varloom.llm._shared import shared_dir
+from varloom.llm._shared import workspace
 
 
 def check_packing(rows, docs, tok, capacity=1024):
@@ -97,7 +97,7 @@ def test_sharding(spark, sf_dir, documents):
 
 
 def test_sharding_hard_and_versions(spark, hard, nothing):
-    path = f"{shared_dir(spark)}/maps-test"
+    path = workspace(spark, "maps")
     rows = sharding.shard_documents(hard, 4, map_path=path).collect()
     assert len(rows) == len(HARD)
     check_shards(rows, 4)
@@ -135,7 +135,7 @@ def test_media(spark, sf_dir, documents):
 def test_media_hard_and_tar(spark, hard, nothing):
     from pyarrow import fs
 
-    folder = f"{shared_dir(spark)}/media-test"
+    folder = workspace(spark, "media")
     rows = media.store(hard, folder, shard_bytes=2000).collect()
     assert len(rows) == len(HARD)
     base = folder.removeprefix("file://")
