@@ -1,6 +1,448 @@
-"""The registered queries and their SQL."""
+"""The registered queries and, beside each, the SQL it must agree with.
+
+Doubles are rounded alike on both sides: engines add in different orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from varloom.functions import alleles, normal
+from varloom.operators import enrich, figures, harmonize, ld, models, ranges
+from varloom.plans.adapters import adapter, ctes
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(*tables: str, sql: str | None = None):
+    """Register a function of the named adapter tables, with its SQL over them."""
+
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(*[adapter(spark, sf_dir, t) for t in tables])
+        if sql:
+            ORACLE_SQL[f.__name__] = f"{ctes(*tables)} {sql}"
+        return f
+
+    return add
+
+
+def sig(c, decimals: int):
+    return F.round(c, decimals) + 0.0
+
+
+# -- harmonisation ---------------------------------------------------------
+
+COMPLEMENT_SQL = "translate({0},'ACGT','TGCA')"
+
+
+def key_sql(a: str, b: str) -> str:
+    ca, cb = COMPLEMENT_SQL.format(a), COMPLEMENT_SQL.format(b)
+    return f"least({a}||'/'||{b},{b}||'/'||{a},{ca}||'/'||{cb},{cb}||'/'||{ca})"
+
+
+def swapped_sql(a: str, b: str, r1: str, r2: str) -> str:
+    ca, cb = COMPLEMENT_SQL.format(a), COMPLEMENT_SQL.format(b)
+    return f"(not (({a}={r1} and {b}={r2}) or ({ca}={r1} and {cb}={r2})) and (({a}={r2} and {b}={r1}) or ({ca}={r2} and {cb}={r1})))"
+
+
+MATCHED_SQL = f""", named as (select s.*, r.snp n_snp, r.a1 n1, r.a2 n2 from sumstats s left join ref_variant r on s.snp=r.snp),
+ matched as (select m.trait, m.snp, m.chr, m.bp, m.a1, m.a2, m.n, m.z, coalesce(m.n_snp, r.snp) ref_snp,
+  case when m.n_snp is not null then 'name' when r.snp is not null then 'position' end by_,
+  {key_sql('m.a1', 'm.a2')} = {key_sql('coalesce(m.n1,r.a1)', 'coalesce(m.n2,r.a2)')} agrees,
+  m.a1||m.a2 in ('AT','TA','CG','GC') ambiguous, {swapped_sql('m.a1', 'm.a2', 'coalesce(m.n1,r.a1)', 'coalesce(m.n2,r.a2)')} swapped
+  from named m left join ref_variant r on m.n_snp is null and m.chr=r.chr and m.bp=r.bp and {key_sql('m.a1', 'm.a2')}={key_sql('r.a1', 'r.a2')}) """
+
+
+@query("sumstats", sql="select trait, snp, round(4e0/(1e0/n+1e0/(2e0*n+100e0)),6) neff from sumstats")
+def neff(s):
+    return s.select("trait", "snp", F.round(normal.effective_n(F.col("n"), 2.0 * F.col("n") + 100.0), 6).alias("neff"))
+
+
+@query("sumstats", sql="select trait, snp, chr, bp from sumstats where not (chr_label='6' and bp>26000000 and bp<34000000)")
+def mhc_filter(s):
+    return s.where(~harmonize.in_mhc(F.col("chr_label"), F.col("bp"))).select("trait", "snp", "chr", "bp")
+
+
+@query("sumstats", sql="select trait, snp, chr_label, bp from sumstats where chr_label<>'X'")
+def drop_chr_x(s):
+    return s.where(~harmonize.on_x(F.col("chr_label"))).select("trait", "snp", "chr_label", "bp")
+
+
+@query("sumstats", sql="select trait, snp, chr_label, bp, n, z from sumstats where not (chr_label='X' or (chr_label='6' and bp>26000000 and bp<34000000))")
+def exclusion_mask(s):
+    return s.where(~harmonize.excluded(F.col("chr_label"), F.col("bp"))).select("trait", "snp", "chr_label", "bp", "n", "z")
+
+
+@query("sumstats", sql='select snp as "SNP", upper(lower(a1)) as "A1", upper(lower(a2)) as "A2", n as "N", z as "Z", trait from sumstats')
+def upper_rename(s):
+    from varloom.schema import rename
+
+    lower = s.select(F.col("snp").alias("ID"), F.lower("a1").alias("REF"), F.lower("a2").alias("ALT"), F.col("n").alias("OBS_CT"), F.col("z").alias("T_STAT"), "trait")
+    from varloom.schema import DIALECTS
+
+    return harmonize.upper_alleles(rename(lower, DIALECTS["glm_linear"]))
+
+
+@query("sumstats", sql='select snp as "SNP", chr as "CHR", bp as "BP", a1 as "A1", a2 as "A2", n as "N", z as "Z" from sumstats')
+def header_aliases(s):
+    from varloom.schema import resolve_headers
+
+    return resolve_headers(s.select(F.col("snp").alias("RsId"), "chr", F.col("bp").alias("Pos"), F.col("a1").alias("EffectAllele"), F.col("a2").alias("otherallele"), F.col("n"), F.col("z").alias("z")))
+
+
+@query("sumstats", sql="select count(*) n, sum(case when m then 1 else 0 end) mhc, sum(case when x then 1 else 0 end) x, sum(case when m or x then 1 else 0 end) excluded, count(*)-sum(case when m or x then 1 else 0 end) kept, sum(case when m or x then 1 else 0 end)=sum(case when m then 1 else 0 end)+sum(case when x then 1 else 0 end) disjoint from (select chr_label='6' and bp>26000000 and bp<34000000 m, chr_label='X' x from sumstats)")
+def qc_disjoint_count(s):
+    return harmonize.exclusion_counts(s, "chr_label", "bp")
+
+
+@query("sumstats", sql="select s.trait, s.snp, s.n from sumstats s join (select trait, median(n) m from sumstats group by trait) using (trait) where s.n >= m/2")
+def half_median_n_filter(s):
+    return harmonize.half_median_n(s, "n", "trait").select("trait", "snp", "n")
+
+
+@query("sumstats", sql="select trait, snp, n, z from sumstats where n is not null and not isnan(n) and z is not null and not isnan(z)")
+def defined_z_n(s):
+    return s.where(harmonize.defined(F.col("n"), F.col("z"))).select("trait", "snp", "n", "z")
+
+
+@query("p_or", sql="select l_orderkey, l_partkey, l_linenumber, round(p,9) p, odds_ratio, round(" + normal.z_from_p_and_or_sql("p", "odds_ratio") + ",9)+0.0 z from p_or")
+def z_from_p_or(s):
+    return s.select("l_orderkey", "l_partkey", "l_linenumber", F.round("p", 9).alias("p"), "odds_ratio", sig(normal.z_from_p_and_or("p", "odds_ratio"), 9).alias("z"))
+
+
+@query("p_or", sql="select l_orderkey, l_partkey, l_linenumber, odds_ratio from p_or where odds_ratio <= 1.02")
+def max_or_filter(s):
+    return s.where(F.col("odds_ratio") <= 1.02).select("l_orderkey", "l_partkey", "l_linenumber", "odds_ratio")
+
+
+@query("ref_variant", sql="select snp, chr, round(maf,6) maf from ref_variant where maf>=0.05")
+def maf_filter(r):
+    return r.where(F.col("maf") >= 0.05).select("snp", "chr", F.round("maf", 6).alias("maf"))
+
+
+@query("sumstats", "ref_variant", sql="select s.trait, s.snp, s.chr, s.bp, s.z from sumstats s join ref_variant r on s.snp=r.snp")
+def snp_match(s, r):
+    return harmonize.match_reference(s, r).where(F.col("by") == "name").select("trait", "snp", "chr", "bp", "z")
+
+
+@query("sumstats", "ref_variant", sql=MATCHED_SQL + "select trait, snp, ref_snp, swapped from matched where by_='position'")
+def allele_fallback_match(s, r):
+    return harmonize.match_reference(s, r).where(F.col("by") == "position").select("trait", "snp", "ref_snp", "swapped")
+
+
+@query("sumstats", "ref_variant", sql=MATCHED_SQL + "select trait, ref_snp, swapped, z*case when swapped then -1 else 1 end + 0.0 z_ref from matched where by_ is not null")
+def allele_flip_z(s, r):
+    return harmonize.match_reference(s, r).where(F.col("by").isNotNull()).select("trait", "ref_snp", "swapped", "z_ref")
+
+
+@query("sumstats", sql="select trait, snp, a1, a2 from sumstats where a1||a2 not in ('AT','TA','CG','GC')")
+def ambiguous_drop(s):
+    return s.where(~alleles.ambiguous(F.col("a1"), F.col("a2"))).select("trait", "snp", "a1", "a2")
+
+
+@query("sumstats", "ref_variant", sql=MATCHED_SQL + """select trait, count(*) lines, 0 undefined, count(*) filter (by_ is null) unmatched, count(*) filter (by_ is not null and not agrees) mismatched,
+ count(*) filter (by_ is not null and agrees and ambiguous) ambiguous, count(*) filter (by_ is not null and agrees and not ambiguous) kept, count(*) filter (by_ is not null and agrees and not ambiguous and swapped) swapped from matched group by trait""")
+def qc_counters(s, r):
+    return harmonize.match_counters(harmonize.match_reference(s, r))
+
+
+@query("sumstats", sql="select snp, n, z from sumstats a where trait='A' and snp in (select snp from sumstats where trait='R') and snp in (select snp from sumstats where trait='N')")
+def trait_intersect(s):
+    of = lambda t: s.where(F.col("trait") == t)
+    return harmonize.intersect(of("A"), of("R"), of("N")).select("snp", "n", "z")
+
+
+@query("sumstats", "ref_variant", sql="select trait, snp, z from sumstats where snp in (select snp from ref_variant where maf>=0.3)")
+def extract_semi(s, r):
+    return s.join(r.where(F.col("maf") >= 0.3).select("snp"), "snp", "left_semi").select("trait", "snp", "z")
+
+
+@query("ref_variant", sql="select snp, chr, bp from ref_variant where not ((chr=6 and bp between 25000000 and 35000000) or (chr=21 and bp between 20000000 and 21000000) or (chr=22 and bp between 19100000 and 19900000))")
+def exclude_ranges_anti(r):
+    return ranges.exclude_ranges(r, ranges.parse_ranges("MHC chr21:20-21MB chr22:19100-19900KB")).select("snp", "chr", "bp")
+
+
+@query("ref_variant", "gene_loc", sql="select snp, chr, bp from ref_variant v where not exists (select 1 from gene_loc g where g.chr=v.chr and v.bp between g.gstart and g.gend)")
+def interval_anti_join(r, g):
+    return ranges.anti_interval_join(r, g).select("snp", "chr", "bp")
+
+
+@query("ref_variant", sql="select snp, chr, bp from ref_variant where chr in (21,22)")
+def chr_subset(r):
+    return ranges.chromosomes(r, "21-22").select("snp", "chr", "bp")
+
+
+# -- gene sets -------------------------------------------------------------
+
+CLASS_SQL = """case when go in ('base','coding_genes') then 'whole' when contains(go,'_excl_') then 'loo' when starts_with(go,'GOMF_') or starts_with(go,'GOBP_') or starts_with(go,'GOCC_') or starts_with(go,'SYNGO_') then 'set' else 'gene' end"""
+GSA_SQL = f""", w as (select h2 wh, h2_base wb from go_enrich where go='coding_genes'),
+ rows_ as (select go, ngenes, enrich, h2, loglike_aic mixer_aic, h2/wh h2_frac, h2_base/wb h2_base_frac, {CLASS_SQL} class, split_part(go,'_excl_',1) set_go, split_part(go,'_excl_',2) excl_gene from go_enrich cross join w),
+ worst as (select set_go, excl_gene, enrich excl_enrich from (select *, row_number() over (partition by set_go order by enrich, excl_gene) rn from rows_ where class='loo' and enrich is not null) where rn=1),
+ lists as (select set_go, string_agg(excl_gene,' ' order by excl_gene) gene_list from rows_ where class='loo' group by set_go) """
+SETS_SQL = ", sets as (select r.*, x.excl_gene xg, x.excl_enrich, m.p magma_p, l.gene_list from rows_ r left join worst x on x.set_go=r.go left join magma_gsa m on m.full_name=r.go left join lists l on l.set_go=r.go where r.class='set' and r.ngenes>=5) "
+
+
+@query("go_enrich", sql=f"select go, {CLASS_SQL} class, case when contains(go,'_excl_') then split_part(go,'_excl_',1) end set_go, case when contains(go,'_excl_') then split_part(go,'_excl_',2) end excl_gene from go_enrich")
+def gsa_classify(g):
+    return enrich.classify(g).select("go", "class", "set_go", "excl_gene")
+
+
+@query("go_enrich", sql=GSA_SQL + "select go, round(h2_frac,9) h2_frac, round(h2_base_frac,9) h2_base_frac from rows_")
+def gsa_h2_frac(g):
+    return enrich.h2_fractions(enrich.ingest(g)).select("go", F.round("h2_frac", 9).alias("h2_frac"), F.round("h2_base_frac", 9).alias("h2_base_frac"))
+
+
+@query("go_enrich", sql=GSA_SQL + "select set_go go, excl_gene, round(excl_enrich,9) excl_enrich from worst")
+def gsa_worst_loo(g):
+    return enrich.worst_loo(enrich.classify(enrich.ingest(g))).select("go", "excl_gene", F.round("excl_enrich", 9).alias("excl_enrich"))
+
+
+@query("go_enrich", sql=GSA_SQL + "select set_go go, gene_list from lists")
+def gsa_gene_list(g):
+    return enrich.gene_lists(enrich.classify(g))
+
+
+def _rounded(df, **decimals):
+    return df.select(*[sig(F.col(c), decimals[c]).alias(c) if c in decimals else F.col(c) for c in df.columns])
+
+
+NUMBERS = {"enrich": 9, "excl_enrich": 9, "h2_frac": 9, "h2_base_frac": 9, "magma_p": 12, "mixer_aic": 3, "h2": 0}
+R = lambda *names: ", ".join(f"round({n},{NUMBERS[n]})+0.0 {n}" for n in names)
+
+
+@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + SETS_SQL + ", hits as (select *, row_number() over (order by magma_p, go) magma_rank from sets where magma_p < 0.05/(select count(distinct full_name) from magma_gsa)) select go, ngenes, magma_rank, xg excl_gene, gene_list, " + R("enrich", "excl_enrich", "h2_frac", "h2_base_frac", "magma_p") + " from hits")
+def gsa_st5(g, m, mg):
+    return _rounded(enrich.report_st5(enrich.build(g, m, mg)), **NUMBERS)
+
+
+@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + SETS_SQL + "select go, ngenes, xg excl_gene, gene_list, " + R("enrich", "excl_enrich", "h2_frac", "h2_base_frac", "mixer_aic") + " from sets where mixer_aic>0")
+def gsa_st7(g, m, mg):
+    return _rounded(enrich.report_st7(enrich.build(g, m, mg)), **NUMBERS)
+
+
+@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + "select go gene, " + R("enrich", "h2", "h2_frac", "h2_base_frac", "mixer_aic") + " from rows_ where class='gene' and mixer_aic>0")
+def gsa_st9(g, m, mg):
+    return _rounded(enrich.report_st9(enrich.build(g, m, mg)), **NUMBERS)
+
+
+@query("go_enrich", "magma_genes", sql=GSA_SQL + "select r.go gene, " + R("enrich") + ", round(p,12) magma_p from rows_ r left join magma_genes on gene=go where class='gene'")
+def gsa_gene_magma(g, mg):
+    t = enrich.build(g, mg.select(F.col("gene").alias("full_name"), "p"), mg)
+    return t.genes.select("gene", sig(F.col("enrich"), 9).alias("enrich"), F.round("magma_p", 12).alias("magma_p"))
+
+
+@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + SETS_SQL + "select go, " + R("magma_p") + " from sets where magma_p < 0.05/(select count(distinct full_name) from magma_gsa)")
+def bonferroni_filter(g, m, mg):
+    t = enrich.build(g, m, mg)
+    return enrich.bonferroni(t.sets, t.n_names).select("go", sig(F.col("magma_p"), 12).alias("magma_p"))
+
+
+@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + SETS_SQL + "select go, row_number() over (order by magma_p nulls last, go) magma_rank from sets")
+def magma_rank(g, m, mg):
+    return enrich.small_rank(enrich.build(g, m, mg).sets).select("go", "magma_rank")
+
+
+@query("go_enrich", "magma_gsa", sql=GSA_SQL + "select go, ngenes from rows_ where class='set' and ngenes>=5 and go not in (select full_name from magma_gsa where p<0.01)")
+def prune_antijoin(g, m):
+    return enrich.main_sets(enrich.classify(g), m.where(F.col("p") < 0.01).select("full_name")).select("go", "ngenes")
+
+
+@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + SETS_SQL + "select go, cast(ngenes as varchar) ngenes, case when enrich is null then '' else format('{:.2f}',round(enrich,6)) end enrich, case when h2_frac is null then '' else format('{:.6f}',round(h2_frac,9)) end h2_frac from sets")
+def format_table(g, m, mg):
+    t = enrich.build(g, m, mg).sets.select("go", "ngenes", F.round("enrich", 6).alias("enrich"), F.round("h2_frac", 9).alias("h2_frac"))
+    return enrich.format_report(t)
+
+
+@query("go_enrich", sql="select go, case when contains(go,'_excl_') then split_part(go,'_excl_',1) else go end stem from go_enrich union select concat(go,'*'), go from go_enrich where ngenes<5")
+def result_union(g):
+    c = enrich.classify(g)
+    return c.select("go", F.coalesce("set_go", "go").alias("stem")).union(c.where(F.col("ngenes") < 5).select(F.concat("go", F.lit("*")), "go")).distinct()
+
+
+# -- replicates and models -------------------------------------------------
+
+
+@query("replicate_run", sql="""select trait, round(avg(pi),9) "pi (mean)", round(stddev_samp(pi),9) "pi (std)", round(avg(sig2_beta),9) "sig2_beta (mean)", round(stddev_samp(sig2_beta),9) "sig2_beta (std)", round(avg(h2),0)+0.0 "h2 (mean)", round(stddev_samp(h2),0)+0.0 "h2 (std)" from replicate_run group by trait""")
+def replicate_combine(r):
+    out = models.combine(r, ["trait"], ["pi", "sig2_beta", "h2"])
+    return out.select("trait", *[sig(F.col(f"`{c}`"), 0 if c.startswith("h2") else 9).alias(c) for c in out.columns[1:]])
+
+
+@query("replicate_run", sql="select trait, rep, round(pi-pi12,9) pi1, round(pi2u-pi12,9) pi2, round(pi12,9) pi12 from replicate_run")
+def venn_components(r):
+    v = models.venn(r.withColumn("pi1u", F.col("pi")))
+    return v.select("trait", "rep", *[F.round(c, 9).alias(c) for c in ("pi1", "pi2", "pi12")])
+
+
+OVERLAP_SQL = ", o as (select trait, rep, 2*pi12/(pi+pi2u) dice, rho_beta*pi12/sqrt(pi*pi2u) rg, 0.5+asin(rho_beta)/3.141592653589793 conc, rho_beta*pi12/sqrt(pi*pi2u)*sqrt(pi*pi2u) low from replicate_run) "
+
+
+@query("replicate_run", sql=OVERLAP_SQL + 'select trait, round(avg(dice),8) "dice (mean)", round(stddev_samp(dice),8) "dice (std)", round(avg(rg),8) "rg (mean)", round(stddev_samp(rg),8) "rg (std)", round(avg(conc),8) "fraction_concordant_within_shared (mean)", round(stddev_samp(conc),8) "fraction_concordant_within_shared (std)" from o group by trait')
+def dice_rg_concordance(r):
+    each = models.overlap(models.venn(r.withColumn("pi1u", F.col("pi"))))
+    out = models.combine(each, ["trait"], ["dice", "rg", "fraction_concordant_within_shared"])
+    return out.select("trait", *[F.round(F.col(f"`{c}`"), 8).alias(c) for c in out.columns[1:]])
+
+
+@query("replicate_run", sql=OVERLAP_SQL + "select trait, rep, round(low,9)+0.0 pi12_min from o")
+def min_overlap(r):
+    return models.overlap(models.venn(r.withColumn("pi1u", F.col("pi")))).select("trait", "rep", sig(F.col("pi12_min"), 9).alias("pi12_min"))
+
+
+@query("replicate_run", sql="select trait, rep, round(0.319*num_snp*pi,6) nc_p9, round(pi*sig2_beta*(num_snp*2.0),6) h2_model from replicate_run")
+def nc_p9(r):
+    u = models.univariate(r.drop("h2").withColumn("totalhet", F.col("num_snp") * 2.0))
+    return u.select("trait", "rep", F.round("nc_p9", 6).alias("nc_p9"), F.round("h2", 6).alias("h2_model"))
+
+
+def documents_of(r: DataFrame) -> DataFrame:
+    """Result documents made from flat rows, as the tool would write them."""
+    flat = r.select("trait", "rep", (F.col("num_snp") * 1.0).alias("sum_weights"), F.col("num_snp"), F.round("pi", 9).alias("pi"), F.round("sig2_beta", 9).alias("sig2_beta"))
+    y = [F.round(F.col("pi") * 1000 + (i - F.col("rep")) * (i - F.col("rep")) * 0.5, 6) for i in range(5)]
+    flat = flat.withColumns({"grid": F.array(*[F.lit(float(i)) for i in range(5)]), "jout": F.array(*y), "fun": F.round(F.col("pi") * 1000, 6)})
+    return models.parse(models.document(flat, ["sum_weights", "num_snp"], ["pi", "sig2_beta"]).select("trait", "rep", "json"))
+
+
+FLAT_SQL = ", y as (select trait, rep, num_snp*1.0 n, round(pi,9)*1000 b from replicate_run) "
+
+
+@query("replicate_run", sql=FLAT_SQL + "select trait, rep, round(-2.0+2*(round(b+rep*rep*0.5,6)-round(b,6)),5) best_vs_min_aic, round(-2.0+2*(round(b+(4-rep)*(4-rep)*0.5,6)-round(b,6)),5) best_vs_max_aic, round(-ln(n)+2*(round(b+rep*rep*0.5,6)-round(b,6)),5) best_vs_min_bic, round(-ln(n)+2*(round(b+(4-rep)*(4-rep)*0.5,6)-round(b,6)),5) best_vs_max_bic from y")
+def aic_bic_delta(r):
+    out = models.criteria(models.costs(documents_of(r)))
+    return out.select("trait", "rep", *[F.round(c, 5).alias(c) for c in out.columns if c.startswith("best_vs")])
+
+
+@query("replicate_run", sql=FLAT_SQL + ", c as (select trait, rep, i, round(b+(i-rep)*(i-rep)*0.5,6) v from y, range(5) t(i)) select trait, rep, i, cast(i as double) x, round(v-min(v) over (partition by trait, rep),5)+0.0 cost from c")
+def likelihood_curve(r):
+    return models.likelihood_curve(documents_of(r), "trait", "rep").select("trait", "rep", F.col("i").cast("long").alias("i"), "x", sig(F.col("cost"), 5).alias("cost"))
+
+
+@query("replicate_run", sql="select trait, rep, unnest(['inft','fit','brute1','brent1']) as name, unnest([0,1,2,3]) i from replicate_run")
+def optimize_steps(r):
+    return models.steps(documents_of(r), "trait", "rep")
+
+
+@query("replicate_run", sql="select a.trait trait1, b.trait trait2 from (select distinct trait from replicate_run) a cross join (select distinct trait from replicate_run) b where a.trait<>b.trait")
+def trait_pairs(r):
+    from varloom.plans.study import pairs_frame
+
+    names = r.select("trait").distinct()
+    return pairs_frame(names, names)
+
+
+@query("replicate_run", sql="select a.trait, a.rep, round(b.pi,9) pi0 from replicate_run a left join (select * from replicate_run where rep<=3) b on a.trait=b.trait and a.rep=b.rep")
+def warm_start(r):
+    return models.warm_start(r.select("trait", "rep"), r.where(F.col("rep") <= 3).select("trait", "rep", F.round("pi", 9).alias("pi0")))
+
+
+# -- positions, annotation, LD ---------------------------------------------
+
+
+@query("ref_variant", "gene_loc", sql="select snp, gene from ref_variant v join gene_loc g on v.chr=g.chr and v.bp between g.gstart-10000 and g.gend+10000")
+def snp_to_gene_interval(r, g):
+    return ranges.interval_join(r, g, flank=10_000).select("snp", "gene")
+
+
+@query("sumstats", "gene_loc", sql="select gene, trait, count(*) snps, round(avg(z*z),8) mean_chi2 from sumstats v join gene_loc g on v.chr=g.chr and v.bp between g.gstart-10000 and g.gend+10000 group by gene, trait")
+def gene_mean_stat(s, g):
+    hit = ranges.interval_join(s, g, flank=10_000)
+    return hit.groupBy("gene", "trait").agg(F.count(F.lit(1)).alias("snps"), F.round(F.avg(F.col("z") * F.col("z")), 8).alias("mean_chi2"))
+
+
+@query("ref_variant", sql="select snp, unnest(['common','even_chr','early']) category, unnest([maf>=0.5, chr%2=0, bp<30000000]) member from ref_variant")
+def annot_unpivot(r):
+    wide = r.select("snp", (F.col("maf") >= 0.5).alias("common"), (F.col("chr") % 2 == 0).alias("even_chr"), (F.col("bp") < 30_000_000).alias("early"))
+    return wide.unpivot(["snp"], ["common", "even_chr", "early"], "category", "member")
+
+
+SET_H2_SQL = ", v as (select snp, max(abs(z)) h2, sum(n) h2_base from sumstats group by snp), m as (select p_brand go, snp from ref_variant union all select 'coding_genes', snp from ref_variant), s as (select go, count(*) snps, sum(h2) h2, sum(h2_base) h2_base from m join v using (snp) group by go) select s.go, s.snps, round(s.h2,4) h2, round(s.h2_base,2) h2_base, round((s.h2/s.h2_base)/(t.h2/t.h2_base),8) enrich from s cross join (select * from s where go='coding_genes') t"
+
+
+@query("sumstats", "ref_variant", sql=SET_H2_SQL)
+def set_heritability(s, r):
+    v = s.groupBy("snp").agg(F.max(F.abs("z")).alias("h2"), F.sum("n").alias("h2_base"))
+    m = r.select(F.col("p_brand").alias("go"), "snp").union(r.select(F.lit("coding_genes"), "snp"))
+    return enrich.set_heritability(v, m).select("go", "snps", F.round("h2", 4).alias("h2"), F.round("h2_base", 2).alias("h2_base"), F.round("enrich", 8).alias("enrich"))
+
+
+def _embeddings(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+WINDOW, R2 = 20, 0.02
+LD_SQL = f"""with e as (select vec_id, embedding::double[] v from embeddings), p as (select a.vec_id i, b.vec_id j, list_dot_product(a.v,b.v) d, list_dot_product(a.v,a.v)*list_dot_product(b.v,b.v) q from e a join e b on b.vec_id>a.vec_id and b.vec_id<=a.vec_id+{WINDOW}), r as (select i, j, d*d/q r2 from p where d*d/q>={R2}) """
+
+
+def ld_pairs_window(spark, sf_dir):
+    return ld.ld_pairs(_embeddings(spark, sf_dir), WINDOW, R2).select("i", "j", F.round("r2", 9).alias("r2"))
+
+
+def ld_score(spark, sf_dir):
+    return ld.ld_score(ld.ld_pairs(_embeddings(spark, sf_dir), WINDOW, R2)).select("i", F.round("ld_score", 8).alias("ld_score"), "n_pairs")
+
+
+def ld_prune(spark, sf_dir):
+    e = _embeddings(spark, sf_dir)
+    return ld.random_prune(e, ld.ld_pairs(e, WINDOW, 0.05), 0.05, seed=1)
+
+
+QUERIES |= {"ld_pairs_window": ld_pairs_window, "ld_score": ld_score, "ld_prune": ld_prune}
+ORACLE_SQL |= {
+    "ld_pairs_window": LD_SQL + "select i, j, round(r2,9) r2 from r",
+    "ld_score": LD_SQL + "select i, round(sum(r2),8) ld_score, count(*) n_pairs from (select i, r2 from r union all select j, r2 from r) group by i",
+}
+
+
+@query("ref_variant")
+def random_subset(r):
+    return harmonize.random_subset(r, 150, seed=1).select("snp", "chr", "bp")
+
+
+# -- figures and sinks -----------------------------------------------------
+
+LOGP = "round(floor(round(-log10(p)/0.1,9))*0.1,6)"
+
+
+@query("p_or", sql=f", b as (select {LOGP} observed, count(*) n from p_or group by 1) select observed, n, cast(sum(n) over (order by observed desc) as bigint) n_at_least, round(-log10(sum(n) over (order by observed desc)/sum(n) over ()),6)+0.0 expected from b")
+def qq_data(s):
+    return figures.qq_data(s, "p").withColumn("expected", F.col("expected") + 0.0)
+
+
+@query("p_or", sql=f", x as (select {LOGP} observed, unnest([1.0,0.1,0.01,0.001]) stratum, odds_ratio o from p_or), b as (select stratum, observed, count(*) n from x where abs(o-1)<=stratum group by all) select cast(stratum as double) stratum, observed, n, cast(sum(n) over (partition by stratum order by observed desc) as bigint) n_at_least, round(-log10(sum(n) over (partition by stratum order by observed desc)/sum(n) over (partition by stratum)),6)+0.0 expected from b")
+def stratified_qq(s):
+    other = s.withColumn("other", F.abs(F.col("odds_ratio") - 1))
+    return figures.stratified_qq(other, "p", "other").withColumn("expected", F.col("expected") + 0.0)
+
+
+@query("sumstats", sql="""select ix, iy, count(*) n, round(count(*)/sum(count(*)) over (),9) share from (select cast(greatest(0,least(19,floor((a.z+5)/0.5))) as int) ix, cast(greatest(0,least(19,floor((b.z+5)/0.5))) as int) iy from sumstats a join sumstats b on a.snp=b.snp and a.trait='A' and b.trait='R') group by ix, iy""")
+def density_grid(s):
+    a, b = s.where("trait='A'").select("snp", F.col("z").alias("z1")), s.where("trait='R'").select("snp", F.col("z").alias("z2"))
+    return figures.density_grid(a.join(b, "snp"), "z1", "z2").withColumn("share", F.round("share", 9))
+
+
+@query("replicate_run")
+def power_curve(r):
+    return figures.power_curve(r.select("trait", "rep", "pi", (F.col("sig2_beta") / 1e5).alias("sig2_beta")))
+
+
+@query("ref_variant")
+def split_by_chr(r):
+    from varloom.sources.sinks import write_by_chromosome
+    from varloom.sources.shared import scratch
+
+    path = scratch(r.sparkSession, "by-chr")
+    write_by_chromosome(r.select("snp", "chr", "bp", "a1", "a2"), path)
+    return r.sparkSession.read.parquet(path)
+
+
+@query("sumstats")
+def fit_univariate(s):
+    from varloom.operators.mixture import fit_univariate as fit
+
+    return fit(s.groupBy("snp").agg(F.max_by("z", F.abs("z")).alias("z"), F.sum("n").alias("n")))
+
+
