@@ -238,3 +238,38 @@ def test_set_heritability(spark):
     assert got["s"] == (1, 3.0, pytest.approx((3 / 4) / (4 / 6))) and got["coding_genes"][2] == 1.0
 
 
+
+
+def test_gene_set_analysis(spark):
+    from varloom.operators import geneset, simulate
+
+    rng = random.Random(8)
+    rows = [(f"s{i}", i % 4, rng.gauss(0, 2.0 if i < 60 else 1.0), 100.0) for i in range(300)]
+    genes = [(f"G{i // 20}", f"s{i}") for i in range(300)] + [("G1", "s5")]
+    sets = [("GOBP_hot", g) for g in ("G0", "G1", "G2")] + [("GOBP_cold", g) for g in ("G10", "G11")] + [("GOBP_rest", f"G{i}") for i in range(15)]
+    f = lambda x, s: spark.createDataFrame(x, s)
+    inputs = geneset.fit_inputs(f(rows, "snp string, chr int, z double, n double"), f(genes, "gene string, snp string"), f(sets, "go string, gene string"))
+    got = {r["go"]: r for r in geneset.analyse(inputs).collect()}
+    z2 = [r[2] ** 2 for r in rows]
+    base = sum(z2) / 300
+    hot = z2[:60]
+    assert got["GOBP_hot"]["snps"] == 60 and got["GOBP_hot"]["ngenes"] == 3
+    assert got["GOBP_hot"]["h2"] == pytest.approx(sum(x - 1 for x in hot) / 100)
+    assert got["GOBP_hot"]["h2_base"] == pytest.approx((base - 1) * 0.6)
+    own = sum(hot) / 60
+    assert got["GOBP_hot"]["loglike_diff"] == pytest.approx(-30 * (math.log(own / base) + 1 - own / base)) and got["GOBP_hot"]["loglike_aic"] > 0 > got["GOBP_rest"]["loglike_aic"]
+    left = [x for i, x in enumerate(z2[:60]) if not 20 <= i < 40]  # s5 is also in G0, so only G1's own variants go
+    assert got["GOBP_hot_excl_G1"]["h2"] == pytest.approx(sum(x - 1 for x in left) / 100) and got["GOBP_hot_excl_G1"]["ngenes"] == 2
+    assert got["coding_genes"]["enrich"] == pytest.approx(1.0) and got["GOBP_hot"]["se_enrich"] > 0
+    tables = enrich.build(geneset.analyse(inputs), f([("GOBP_hot", 0.001)], "FULL_NAME string, P double"), f([("G0", 0.1)], "GENE string, P double"))
+    assert {r["go"] for r in tables.sets.collect()} == {"GOBP_rest"}  # the others have fewer than five genes
+    sim = simulate.two_traits(spark, 4000, 1e4, 0.1, 0.1, 0.5, rho=0.9, seed=3)
+    part = {r["part"]: r["n"] for r in sim.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    assert 120 < part["both"] < 280 and sim.where("part = 'both'").agg(F.corr("z1", "z2")).first()[0] > 0.6
+
+
+def test_qc_and_neff(spark):
+    df = spark.createDataFrame([("6", 30_000_000, 1.0, 0.9, 0.5), ("1", 5, 1.5, 0.9, 0.5), ("1", 5, 1.0, 0.5, 0.5), ("1", 5, 1.0, 0.9, 0.99), ("1", 5, 1.0, 0.9, 0.5), ("1", 5, None, 0.9, 0.5)], "CHR string, BP long, OR double, INFO double, MAF double")
+    assert harmonize.qc(df, ranges.parse_ranges("MHC"), max_or=1.2, least_info=0.8, least_maf=0.05).count() == 1
+    n = harmonize.with_neff(spark.createDataFrame([(40675.0, 64643.0), (0.0, 1.0)], "NCASE double, NCONTROL double"), drop=True).collect()
+    assert math.isclose(n[0]["N"], 99863.42410604075) and n[1]["N"] is None

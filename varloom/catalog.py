@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import alleles, normal
-from varloom.operators import enrich, figures, harmonize, ld, models, ranges
+from varloom.operators import enrich, figures, geneset, harmonize, ld, models, ranges
 from varloom.plans.adapters import adapter, ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,6 +119,13 @@ def max_or_filter(s):
     return s.where(F.col("odds_ratio") <= 1.02).select("l_orderkey", "l_partkey", "l_linenumber", "odds_ratio")
 
 
+@query("sumstats", sql="select trait, snp, chr_label, bp, odds from (select *, round(1+z/100,6) odds from sumstats) where not (chr_label='6' and bp between 25000000 and 35000000) and odds<=1.01")
+def qc_filters(s):
+    raw = s.select("trait", "snp", F.col("chr_label").alias("CHR"), F.col("bp").alias("BP"), F.round(1 + F.col("z") / 100, 6).alias("OR"))
+    out = harmonize.qc(raw, ranges.parse_ranges("MHC"), max_or=1.01)
+    return out.select("trait", "snp", F.col("CHR").alias("chr_label"), F.col("BP").alias("bp"), F.col("OR").alias("odds"))
+
+
 @query("ref_variant", sql="select snp, chr, round(maf,6) maf from ref_variant where maf>=0.05")
 def maf_filter(r):
     return r.where(F.col("maf") >= 0.05).select("snp", "chr", F.round("maf", 6).alias("maf"))
@@ -310,6 +317,23 @@ def documents_of(r: DataFrame) -> DataFrame:
 FLAT_SQL = ", y as (select trait, rep, num_snp*1.0 n, round(pi,9)*1000 b from replicate_run) "
 
 
+@query("replicate_run", sql="""select trait, round(avg(round(pi,9)),9) "pi (mean)", round(stddev_samp(round(pi,9)),9) "pi (std)", round(avg(0.319*num_snp*round(pi,9)),6) "nc_p9 (mean)", round(avg(round(pi,9)*round(sig2_beta,9)*num_snp*2.0),6) "h2 (mean)" from replicate_run group by trait""")
+def univariate_table(r):
+    """From result documents to the report of single traits."""
+    docs = documents_of(r.withColumn("totalhet", F.col("num_snp") * 2.0))
+    out = models.univariate_table(models.univariate_runs(docs).withColumn("totalhet", F.col("num_snp") * 2.0).transform(models.univariate), "trait")
+    return out.select("trait", *[F.round(F.col(f"`{c}`"), d).alias(c) for c, d in (("pi (mean)", 9), ("pi (std)", 9), ("nc_p9 (mean)", 6), ("h2 (mean)", 6))])
+
+
+BIVARIATE_SQL = """, b as (select trait, 2*pi12/(pi+pi2u) dice, pi-pi12 pi1, pi2u-pi12 pi2, pi12, 0.319*num_snp*pi12 nc12, rho_beta from replicate_run) select trait, round(avg(dice),8) "dice (mean)", round(avg(pi1),8) "pi1 (mean)", round(avg(pi2),8) "pi2 (mean)", round(stddev_samp(pi12),8) "pi12 (std)", round(avg(nc12),6) "nc12_p9 (mean)", round(avg(rho_beta),8) "rho_beta (mean)" from b group by trait"""
+
+
+@query("replicate_run", sql=BIVARIATE_SQL)
+def bivariate_table(r):
+    out = models.bivariate_table(r.withColumns({"pi1u": F.col("pi"), "rho_zero": F.lit(0.0)}), "trait")
+    return out.select("trait", *[F.round(F.col(f"`{c}`"), 6 if c.startswith("nc") else 8).alias(c) for c in ("dice (mean)", "pi1 (mean)", "pi2 (mean)", "pi12 (std)", "nc12_p9 (mean)", "rho_beta (mean)")])
+
+
 @query("replicate_run", sql=FLAT_SQL + "select trait, rep, round(-2.0+2*(round(b+rep*rep*0.5,6)-round(b,6)),5) best_vs_min_aic, round(-2.0+2*(round(b+(4-rep)*(4-rep)*0.5,6)-round(b,6)),5) best_vs_max_aic, round(-ln(n)+2*(round(b+rep*rep*0.5,6)-round(b,6)),5) best_vs_min_bic, round(-ln(n)+2*(round(b+(4-rep)*(4-rep)*0.5,6)-round(b,6)),5) best_vs_max_bic from y")
 def aic_bic_delta(r):
     out = models.criteria(models.costs(documents_of(r)))
@@ -369,6 +393,31 @@ def set_heritability(s, r):
     return enrich.set_heritability(v, m).select("go", "snps", F.round("h2", 4).alias("h2"), F.round("h2_base", 2).alias("h2_base"), F.round("enrich", 8).alias("enrich"))
 
 
+GENE_SET_SQL = """, gv as (select distinct gene, snp from ref_variant v join gene_loc g on v.chr=g.chr and v.bp between g.gstart-10000 and g.gend+10000),
+ sets as (select distinct gene, 'GOBP_'||cast(right(gene,1) as varchar) go from gene_loc union select distinct gene, 'GOMF_ALL' from gene_loc),
+ zs as (select snp, max(z) z, max(n) n from sumstats group by snp),
+ i as (select s.go, gv.gene, gv.snp, r.chr, zs.z, zs.n from gv join zs on zs.snp=gv.snp join ref_variant r on r.snp=gv.snp join sets s on s.gene=gv.gene where zs.n>0),
+ per as (select go, snp, count(distinct gene) holders, min(gene) gene, any_value(z) z, any_value(n) n from i group by go, snp),
+ t as (select count(*) snps, sum(z*z) s2, sum((z*z-1)/n) h2, sum(1/n) inv_n from (select distinct snp, z, n from i)),
+ st as (select go, count(*) snps, sum(z*z) s2, sum((z*z-1)/n) h2, sum(1/n) inv_n, (select count(distinct gene) from i where i.go=per.go) ngenes from per group by go),
+ al as (select go, gene, count(*) snps, sum(z*z) s2, sum((z*z-1)/n) h2, sum(1/n) inv_n from per where holders=1 group by go, gene),
+ e as (select go, snps, s2, h2, inv_n, ngenes from st
+  union all select st.go||'_excl_'||g.gene, st.snps-coalesce(al.snps,0), st.s2-coalesce(al.s2,0), st.h2-coalesce(al.h2,0), st.inv_n-coalesce(al.inv_n,0), ngenes-1 from (select distinct go, gene from i) g join st using (go) left join al on al.go=g.go and al.gene=g.gene where ngenes>1
+  union all select gene, count(*), sum(z*z), sum((z*z-1)/n), sum(1/n), 1 from (select distinct gene, snp, z, n from i) group by gene
+  union all select 'coding_genes', snps, s2, h2, inv_n, (select count(distinct gene) from i) from t)
+ select e.go, e.ngenes, e.snps, round(e.h2,7)+0.0 h2, round((t.s2/t.snps-1)*e.inv_n,7)+0.0 h2_base, round((e.h2/((t.s2/t.snps-1)*e.inv_n))/(t.h2/((t.s2/t.snps-1)*t.inv_n)),6)+0.0 enrich, round(2*(-0.5*e.snps*(ln(nullif(e.s2,0)/e.snps)-ln(t.s2/t.snps)+1-(e.s2/e.snps)/(t.s2/t.snps)))-2,6)+0.0 loglike_aic from e cross join t where e.snps>0"""
+
+
+@query("ref_variant", "sumstats", "gene_loc", sql=GENE_SET_SQL)
+def gene_set_model(r, s, g):
+    """Variants to genes to sets, the base and set models, and their leave-one-gene-out rows."""
+    held = ranges.interval_join(r, g, flank=10_000).select("gene", "snp")
+    sets = g.select(F.concat(F.lit("GOBP_"), F.substring("gene", -1, 1)).alias("go"), "gene").union(g.select(F.lit("GOMF_ALL"), "gene"))
+    best = s.groupBy("snp").agg(F.max("z").alias("z"), F.max("n").alias("n")).join(r.select("snp", "chr"), "snp")
+    out = geneset.analyse(geneset.fit_inputs(best, held, sets))
+    return out.select("go", "ngenes", "snps", sig(F.col("h2"), 7).alias("h2"), sig(F.col("h2_base"), 7).alias("h2_base"), sig(F.col("enrich"), 6).alias("enrich"), sig(F.col("loglike_aic"), 6).alias("loglike_aic"))
+
+
 def _embeddings(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
 

@@ -141,3 +141,24 @@ def intersect(first: DataFrame, *others: DataFrame, on: str = "snp") -> DataFram
 def random_subset(df: DataFrame, n: int, seed: int, on: str = "snp") -> DataFrame:
     """n rows chosen by a seeded hash of their key: the same rows in any layout (top-n a partition first, then of those)."""
     return df.orderBy(F.xxhash64(F.col(on), F.lit(seed)), F.col(on)).limit(n)
+
+
+def qc(df: DataFrame, ranges: list[tuple[str, int, int]] = (), max_or: float | None = None, least_info: float | None = None, least_maf: float | None = None) -> DataFrame:
+    """Quality filters in one pass: ranges to leave out, odds ratio, imputation quality, allele frequency.  A missing value fails its filter."""
+    from varloom.operators.ranges import in_ranges
+
+    keep = ~in_ranges(F.col("CHR"), F.col("BP"), list(ranges))
+    if max_or is not None:
+        keep &= F.col("OR") <= max_or
+    if least_info is not None:
+        keep &= F.col("INFO") >= least_info
+    if least_maf is not None:
+        keep &= F.least(F.col("MAF"), 1.0 - F.col("MAF")) >= least_maf
+    return df.where(keep)
+
+
+def with_neff(df: DataFrame, factor: float = 4.0, drop: bool = False) -> DataFrame:
+    """N from NCASE and NCONTROL: factor / (1 / cases + 1 / controls)."""
+    n = F.try_divide(F.lit(float(factor)), F.try_divide(F.lit(1.0), "NCASE") + F.try_divide(F.lit(1.0), "NCONTROL"))
+    out = df.withColumn("N", n)
+    return out.drop("NCASE", "NCONTROL") if drop else out

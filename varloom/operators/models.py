@@ -119,3 +119,24 @@ def document(df: DataFrame, options: list[str], params: list[str]) -> DataFrame:
     jout, grid, fun = F.col("jout"), F.col("grid"), F.col("fun")
     optimize = F.concat(F.lit("["), step("inft", fun.alias("fun")), F.lit(","), step("fit", fun.alias("fun")), F.lit(","), step("brute1", grid.alias("grid"), jout.alias("Jout"), fun.alias("fun")), F.lit(","), step("brent1", fun.alias("fun")), F.lit("]"))
     return df.withColumn("json", F.concat(F.lit('{"options":'), F.to_json(F.struct(*options)), F.lit(',"params":'), F.to_json(F.struct(*params)), F.lit(',"optimize":'), optimize, F.lit("}")))
+
+
+def univariate_runs(df: DataFrame) -> DataFrame:
+    """Per run, from parsed result documents: parameters, h2 and nc_p9, with criteria where the document has a curve."""
+    p = {c: get(f"$.params.{c}") for c in ("pi", "sig2_beta", "sig2_zero")}
+    o = {c: get(f"$.options.{c}") for c in ("totalhet", "num_snp", "sum_weights")}
+    return univariate(df.withColumns({**p, **o}))
+
+
+def univariate_table(runs: DataFrame, *keys: str) -> DataFrame:
+    """The report of single traits: mean and spread of every statistic over replicates."""
+    return combine(runs, list(keys), ["pi", "sig2_beta", "sig2_zero", "h2", "nc_p9"])
+
+
+def bivariate_table(runs: DataFrame, *keys: str) -> DataFrame:
+    """The report of pairs: overlap statistics of each run, then mean and spread.
+
+    Needs pi1u, pi2u, pi12, rho_beta, rho_zero and num_snp of each run.
+    """
+    each = overlap(venn(runs)).withColumns({f"nc{k}_p9": nc_p9(F.col(f"pi{k}"), F.col("num_snp")) for k in ("1", "2", "12")})
+    return combine(each, list(keys), ["dice", "pi1", "pi2", "pi12", "nc1_p9", "nc2_p9", "nc12_p9", "rho_zero", "rho_beta", "rg", "fraction_concordant_within_shared"])
