@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -60,6 +61,19 @@ def release() -> None:
 atexit.register(release)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+    """Hand texts to Python in batches of bounded rows and bytes.
+
+    The default of 10,000 rows a batch is for short values; with whole texts
+    a batch, held by the JVM and by each Python worker of a chain, would fill
+    an executor.  The session's limits are only ever lowered.
+    """
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = re.match(r"-?\d+", spark.conf.get(name))
+        if not now or int(now[0]) <= 0 or int(now[0]) > most:
+            spark.conf.set(name, str(most))
+
+
 def with_output(df: DataFrame, **columns) -> DataFrame:
     """Add an operator's columns; an input column of the same name (in any case) is replaced."""
     names = {c.lower() for c in columns}

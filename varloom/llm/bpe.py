@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm._shared import with_output
+from varloom.llm._shared import bounded_batches, with_output
 
 #: Fixed value: the public split pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -55,33 +55,34 @@ class Bpe:
     """One tokenizer file, loaded once a Python worker."""
 
     def __init__(self, path: str, leaf_chars: int = 4096):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.whole = Tokenizer.from_file(path)
-        self.whole.no_padding()
-        self.whole.no_truncation()
-        self.leaf_chars = leaf_chars
+        self.path, self.leaf_chars = path, leaf_chars
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.vocab: dict[str, int] = spec["model"]["vocab"]
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
-        self.letters = _byte_letters()
         self._long = re.compile(r"\S{%d,}|\s{%d,}" % (leaf_chars, leaf_chars))
         self._cut = re.compile(r"(?<=\S)(?=\s)")
         self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
 
     @functools.cached_property
-    def tokens(self) -> dict[int, str]:
-        return {i: t for t, i in self.vocab.items()}
+    def whole(self):
+        """The tokenizers library's object; loaded only where it is used, as memory is short."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        t = Tokenizer.from_file(self.path)
+        t.no_padding()
+        t.no_truncation()
+        return t
 
     @functools.cached_property
     def ranks(self):
-        """The same vocabulary for the faster library; `_same` says why ids agree."""
+        """The same vocabulary for a faster library.  Tests hold its ids against the tokenizers library's: a table, random text."""
         import tiktoken
 
-        byte = {c: b for b, c in enumerate(self.letters)}
-        ranks = {bytes(byte[c] for c in t): i for t, i in self.vocab.items() if t not in self.special}
+        with open(self.path, encoding="utf-8") as f:
+            vocab = json.load(f)["model"]["vocab"]
+        byte = {c: b for b, c in enumerate(_byte_letters())}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if t not in self.special}
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
 
     def has_long_run(self, text: str) -> bool:
@@ -101,7 +102,7 @@ class Bpe:
         return out  # type: ignore[return-value]
 
     def encode_numpy(self, text: str) -> np.ndarray:
-        """The same ids through the rank-based library, as an array."""
+        """The ids of `encode_batch` through the rank-based library, as an array."""
         if self.has_long_run(text):
             return np.asarray(self.encode_batch([text])[0], dtype=np.uint32)
         return self.ranks.encode_to_numpy(text, allowed_special="all")
@@ -163,11 +164,12 @@ class Bpe:
 
     def encode_piece(self, group: int, text: str) -> list[int]:
         if group == 0:
-            return self.whole.encode(text, add_special_tokens=False).ids
-        return self._merge("".join(self.letters[b] for b in text.encode()))
+            return self.ranks.encode(text, allowed_special="all")
+        return self._merge(text.encode())
 
-    def _merge(self, letters: str) -> list[int]:
-        return [t.id for t in self.whole.model.tokenize(letters)]
+    def _merge(self, piece: bytes) -> list[int]:
+        """Merges alone: the piece is not split by the pattern."""
+        return self.ranks._encode_single_piece(piece)
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of two neighbouring stretches of one match, from the ids of each."""
@@ -176,7 +178,7 @@ class Bpe:
         w = 8
         while True:
             a, b = left[-w:], right[:w]
-            mid = self._merge("".join(self.tokens[i] for i in a + b))
+            mid = self._merge(self.ranks.decode_bytes(a + b))
             fits_left = w >= len(left) or mid[:2] == a[:2]
             fits_right = w >= len(right) or mid[-2:] == b[-2:]
             if fits_left and fits_right:
@@ -229,6 +231,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     Texts of up to `doc_chars` characters are encoded where they lie, without
     a shuffle.  Longer ones are dealt out by segment; only they move.
     """
+    bounded_batches(df.sparkSession)
     field = T.StructField(ids, T.ArrayType(T.IntegerType()), True)
     schema = _schema(df, field)
     keep = [f.name for f in schema.fields[:-1]]
@@ -237,7 +240,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
     def short(batches):
         bpe = load(vocabulary, leaf_chars)
         for b in small_batches(batches):
-            got = bpe.encode_batch([x or "" for x in b.column(text).to_pylist()])
+            got = [bpe.encode_numpy(x or "") for x in b.column(text).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [_ids(got)], names=[*keep, ids])
 
     near = df.where(size <= doc_chars).mapInArrow(short, schema)
@@ -280,6 +283,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids",
 
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add `text`, decoded from `ids` (null: empty), special tokens shown."""
+    bounded_batches(df.sparkSession)
     schema = _schema(df, T.StructField(text, T.StringType(), True))
     keep = [f.name for f in schema.fields[:-1]]
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varloom.llm._shared import bounded_batches
 from varloom.llm.bpe import small_batches
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
@@ -206,6 +207,7 @@ def labelled_sample(pages: DataFrame, html: str = "html", most: int = 256) -> li
 
 def extract_text(pages: DataFrame, html: str = "html", *, weights: dict[str, float] | None = None, text: str = "text") -> DataFrame:
     """Replace `html` by `text`, its main text; weights by default from hand-labelled pages and at most 256 of these pages."""
+    bounded_batches(pages.sparkSession)
     if weights is None:
         weights = train([*LABELLED, *filter(None, map(own_labels, labelled_sample(pages, html)))])
     keep = [f for f in pages.schema.fields if f.name != html and f.name.lower() != text.lower()]

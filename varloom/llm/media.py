@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm._shared import materialize, workspace
+from varloom.llm._shared import bounded_batches, materialize, workspace
 from varloom.llm.bpe import small_batches
 
 WIDTH = 64
@@ -135,6 +135,7 @@ def store(df: DataFrame, folder: str, text: str = "text", *, shard_bytes: int =
 
     The result is written once in the shared folder, so the shards are written once.
     """
+    bounded_batches(df.sparkSession)
     added = {n for n, _ in ROW}
     keep = [f for f in df.schema.fields if f.name != text and f.name.lower() not in added]
     schema = T.StructType([*keep, *(T.StructField(n, t) for n, t in ROW)])

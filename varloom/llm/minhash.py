@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from varloom.llm._shared import materialize
+from varloom.llm._shared import bounded_batches, materialize
 from varloom.llm.bpe import small_batches
 
 K = 96
@@ -391,6 +391,7 @@ def _largest(n: int, found: list[tuple[int, int]]) -> list[int]:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept, and node (the class)."""
+    bounded_batches(docs.sparkSession)
     rows = materialize(sketches(docs, key, text, k), "sketches")
     named = rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
     classes = materialize(named.select("node", "sketch").dropDuplicates(["node"]), "classes")

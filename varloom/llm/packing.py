@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from varloom.llm._shared import materialize
+from varloom.llm._shared import bounded_batches, materialize
 from varloom.llm.bpe import load, small_batches
 
 PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
@@ -43,6 +43,7 @@ def cut_points(n: int, capacity: int) -> list[int]:
 
 def token_pieces(df: DataFrame, vocabulary: str, *, capacity: int = 1024, end_id: int = 2, text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, and `ids` if asked for."""
+    bounded_batches(df.sparkSession)
     schema = T.StructType([*PIECES.fields, *([T.StructField("ids", T.ArrayType(T.IntegerType()))] if with_ids else [])])
 
     def run(batches):

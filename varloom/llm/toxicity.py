@@ -35,6 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from varloom.llm._shared import bounded_batches
 from varloom.llm.bpe import small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -206,6 +207,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", m
 
 def score(docs: DataFrame, model: Model, text: str = "text", *, evidence: bool = False) -> DataFrame:
     """Add `score` and, if asked for, `evidence`: the nearest examples with cosine and label."""
+    bounded_batches(docs.sparkSession)
     added = {"score", "evidence"} if evidence else {"score"}
     keep = [f for f in docs.schema.fields if f.name.lower() not in added]
     names = [f.name for f in keep]
