@@ -473,19 +473,24 @@ def density_grid(s):
     return figures.density_grid(a.join(b, "snp"), "z1", "z2").withColumn("share", F.round("share", 9))
 
 
-@query("replicate_run")
+TAIL_SQL = "exp(-a*a/2.0)/2.5066282746310002*k*(0.319381530+k*(-0.356563782+k*(1.781477937+k*(-1.821255978+k*1.330274429))))"
+
+
+@query("replicate_run", sql=f""", x as (select trait, rep, unnest([1e4,3e4,1e5,3e5,1e6,3e6]) size, sig2_beta/1e5 b from replicate_run), y as (select *, 1+size*b s2, 5.451310/sqrt(1+size*b) a from x), w as (select *, 1/(1+0.2316419*a) k from y) select trait, rep, size::double size, round(2*{TAIL_SQL}+(s2-1)/s2*2*a*exp(-a*a/2.0)/2.5066282746310002,8) share from w""")
 def power_curve(r):
-    return figures.power_curve(r.select("trait", "rep", "pi", (F.col("sig2_beta") / 1e5).alias("sig2_beta")))
+    out = figures.power_curve(r.select("trait", "rep", (F.col("sig2_beta") / 1e5).alias("sig2_beta")))
+    return out.select("trait", "rep", "size", F.round("share", 8).alias("share"))
 
 
-@query("ref_variant")
+@query("ref_variant", sql="select snp, chr, bp, a1, a2 from ref_variant")
 def split_by_chr(r):
-    from varloom.sources.sinks import write_by_chromosome
+    """Written as a table by chromosome, read back."""
     from varloom.sources.shared import scratch
+    from varloom.sources.sinks import write_by_chromosome
 
     path = scratch(r.sparkSession, "by-chr")
     write_by_chromosome(r.select("snp", "chr", "bp", "a1", "a2"), path)
-    return r.sparkSession.read.parquet(path)
+    return r.sparkSession.read.parquet(path).withColumn("chr", F.col("chr").cast("long"))
 
 
 @query("sumstats")
