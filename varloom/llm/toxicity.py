@@ -6,7 +6,9 @@ crc32(doc_id as text) mod 5 = 0).  Terms are words and word beginnings; those
 kept are the terms that speak for the toxic label (in at least ``min_docs``
 toxic documents, ``min_lift`` times as frequent as among clean ones, with a
 significance of ``min_z``; near copies of an example count once).  A document
-is the TF-IDF vector of its kept terms.
+is the TF-IDF vector of its kept terms and of one term that stands for all
+its other words, so that a long text with a chance hit lies far from a short
+abusive one.
 
 Examples with a non-empty vector form an inverted index with the largest
 weight of each block of 64 examples.  A query sums those maxima to bound every
@@ -28,6 +30,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +43,7 @@ from varloom.llm.bpe import small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+REST = "*"  # stands for all words that are no kept term
 
 
 def terms(text: str | None) -> Counter:
@@ -56,18 +60,18 @@ def terms(text: str | None) -> Counter:
 class Model:
     """The kept terms with their idf, the index of examples, and the prior."""
 
-    def __init__(self, idf: dict[str, float], vectors: list[dict[str, float]], toxic: list[int], rates: tuple[float, float], prior: float, k: int = 15):
+    def __init__(self, idf: dict[str, float], vectors: list[dict[int, float]], toxic: list[int], rates: tuple[float, float], prior: float, k: int = 9):
         self.k, self.rates, self.prior = k, rates, prior
         self.term_id = {t: i for i, t in enumerate(idf)}
         self.idf = np.array(list(idf.values()))
-        self.whole = {t for t in idf if t[-1] != "-"}
+        self.whole = {t for t in idf if t[-1] not in "-*"}
         self.starts = {t[:-1] for t in idf if t[-1] == "-"}
         self.toxic = np.array(toxic, dtype=np.int8)
         n_blocks = -(-max(1, len(vectors)) // BLOCK)
         posts: list[list[tuple[int, float]]] = [[] for _ in idf]
         for e, v in enumerate(vectors):
             for t, w in v.items():
-                posts[self.term_id[t]].append((e, w))
+                posts[t].append((e, w))
         self.docs = [np.array([e for e, _ in p], np.int32) for p in posts]
         self.weights = [np.array([w for _, w in p]) for p in posts]
         self.block_max = []  # by term: (blocks it occurs in, where they begin in its list, largest weights)
@@ -87,6 +91,7 @@ class Model:
             return {}
         count = Counter(w for w in words if w in hit or any(w[:n] in begun for n in (4, 5, 6)))
         raw = {self.term_id[w]: count[w] for w in hit} | {self.term_id[s + "-"]: sum(count[w] for w in ws) for s, ws in begun.items()}
+        raw[self.term_id[REST]] = len(words) - sum(count[w] for w in hit)
         return weigh(raw, self.idf)
 
     def nearest(self, v: dict[int, float]) -> list[tuple[float, int]]:
@@ -128,18 +133,21 @@ class Model:
 
 
 def weigh(raw: dict[int, float], idf: np.ndarray) -> dict[int, float]:
+    """Unit vector of damped counts times idf; the last number counts words that are no kept term."""
     out = {t: (1 + math.log(n)) * idf[t] for t, n in raw.items() if n > 0}
+    if len(out) <= (len(idf) - 1 in out):
+        return {}
     norm = math.sqrt(sum(x * x for x in out.values()))
     return {t: x / norm for t, x in sorted(out.items())} if norm else {}
 
 
-def copies(counts: list[Counter]) -> list[bool]:
+def copies(texts: Iterable[str | None]) -> list[bool]:
     """Which examples are near copies of an earlier one: equal in one of four bands of three minimum hashes of their words."""
     seen: set[tuple] = set()
     out = []
     factors = np.random.default_rng(11).integers(1, 1 << 62, 12, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    for c in counts:
-        words = [zlib.crc32(t.encode()) for t in c if t[-1] != "-"]
+    for text in texts:
+        words = [zlib.crc32(w.encode()) for w in set(_WORD.findall((text or "").lower()))]
         if not words:
             out.append(False)
             continue
@@ -151,25 +159,29 @@ def copies(counts: list[Counter]) -> list[bool]:
     return out
 
 
-def fit(examples: list[tuple[str | None, int]], totals: tuple[int, int] | None = None, *, min_docs: int = 3, min_lift: float = 8.0, min_z: float = 4.0, most_terms: int = 20000, k: int = 15) -> Model:
+def fit(examples: list[tuple[str | None, int]], totals: tuple[int, int] | None = None, *, min_docs: int = 3, min_lift: float = 8.0, min_z: float = 4.0, most_terms: int = 20000, k: int = 9, rest: float = 1.0) -> Model:
     """A model from (text, label) examples; `totals`: how many clean and toxic rows the examples stand for."""
-    counts = [terms(t) for t, _ in examples]
     labels = [y for _, y in examples]
     n = (labels.count(0), labels.count(1))
     totals = totals or n
     rates = tuple(a / b if a and b else 1.0 for a, b in zip(n, totals, strict=True))
     if not n[0] or not n[1]:
-        return Model({}, [], [], rates, 1.0 if n[1] else 0.0, k)  # type: ignore[arg-type]
-    df = (Counter(), Counter())
-    single = [0, 0]
-    for c, y, copy in zip(counts, labels, copies(counts), strict=True):
-        if not copy:
-            df[y].update(c.keys())
-            single[y] += 1
+        return Model({REST: rest}, [], [], rates, 1.0 if n[1] else 0.0, k)  # type: ignore[arg-type]
+    # One text at a time: terms of toxic texts first, then how often clean texts hold those.
+    fresh = [not c for c in copies(t for t, _ in examples)]
+    single = [sum(f for f, y in zip(fresh, labels, strict=True) if y == c) for c in (0, 1)]
+    df: tuple[Counter, Counter] = (Counter(), Counter())
+    for (t, y), new in zip(examples, fresh, strict=True):
+        if y and new:
+            df[1].update(terms(t).keys())
+    likely = {t for t, a in df[1].items() if a >= min_docs and a >= min_lift * single[1] * 0.5 / single[0]}
+    for (t, y), new in zip(examples, fresh, strict=True):
+        if not y and new:
+            df[0].update(terms(t).keys() & likely)
     told: list[tuple[float, str]] = []
-    for t, a in df[1].items():
-        b = df[0][t]
-        if a < min_docs or a < min_lift * single[1] * (b + 0.5) / single[0]:
+    for t in likely:
+        a, b = df[1][t], df[0][t]
+        if a < min_lift * single[1] * (b + 0.5) / single[0]:
             continue
         share = (a + b) / (single[0] + single[1])
         z = (a / single[1] - b / single[0]) / math.sqrt(share * (1 - share) * (1 / single[0] + 1 / single[1]) + 1e-12)
@@ -177,19 +189,17 @@ def fit(examples: list[tuple[str | None, int]], totals: tuple[int, int] | None =
             told.append((z, t))
     kept = sorted(t for _, t in sorted(told, key=lambda x: (-x[0], x[1]))[:most_terms])
     total = single[0] + single[1]
-    idf = {t: math.log((1 + total) / (1 + df[0][t] + df[1][t])) + 1 for t in kept}
-    number = {t: i for i, t in enumerate(kept)}
-    weight = np.array(list(idf.values()))
+    idf = {t: math.log((1 + total) / (1 + df[0][t] + df[1][t])) + 1 for t in kept} | {REST: rest}
+    model = Model(idf, [], [], rates, 0.0, k)  # type: ignore[arg-type]
     vectors, toxic, empty = [], [], [0.0, 0.0]
-    for c, y in zip(counts, labels, strict=True):
-        v = weigh({number[t]: m for t, m in c.items() if t in number}, weight)
+    for t, y in examples:
+        v = model.vector(t)
         if v:
-            vectors.append({kept[i]: x for i, x in v.items()})
+            vectors.append(v)
             toxic.append(y)
         else:
             empty[y] += 1 / rates[y]
-    prior = empty[1] / (empty[0] + empty[1] + 1)
-    return Model(idf, vectors, toxic, rates, prior, k)  # type: ignore[arg-type]
+    return Model(idf, vectors, toxic, rates, empty[1] / (empty[0] + empty[1] + 1), k)  # type: ignore[arg-type]
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most_examples: int = 4096) -> tuple[list[tuple[str | None, int]], tuple[int, int]]:
