@@ -114,6 +114,7 @@ def test_clean_text_stays_and_equal_values_link(spark, sf_dir, documents, hard,
             assert link.setdefault(v, w) == w
             assert v not in r["text"]
     assert n > 20 and len(set(link.values())) == len(link)
+    assert pii.pseudonymize(hard, KEY, found="IDS").columns == ["doc_id", "text", "IDS"]
     rows = pii.pseudonymize(hard, KEY).collect()
     assert sorted((str(r["doc_id"]), str(r["text"])) for r in rows) == sorted((str(i), str(t)) for i, t, _ in HARD)
     assert pii.pseudonymize(nothing, KEY, found="n").count() == 0
@@ -134,7 +135,7 @@ FILES = [
 
 
 def test_licences(spark, hard, nothing):
-    df = spark.createDataFrame([(p, t, 1) for p, t in FILES], "path string, text string, licence int")
+    df = spark.createDataFrame([(p, t, 1, 2, 3) for p, t in FILES], "path string, text string, licence int, Own_Licence int, cosine int")
     got = sorted((str(r["path"]), r["own_licence"], r["licence"], r["inherited_from"]) for r in licences.scan(df).collect())
     want = [
         ("None", None, None, None),

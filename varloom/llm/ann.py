@@ -78,6 +78,10 @@ class Forest:
         level with them) are compared exactly.
         """
         queries = np.ascontiguousarray(queries, dtype=np.float64)
+        if len(queries) > 2048:  # the ranges of all trees are held for so many queries at once
+            for at in range(0, len(queries), 2048):
+                yield from self.search(queries[at : at + 2048], per_tree, rank, k)
+            return
         n = len(self.vectors)
         lo, hi = self.ranges(queries, max(k, int(len(self.orders) * n * per_tree)))
         for i, q in enumerate(queries):
@@ -99,7 +103,7 @@ def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
     return df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
 
 
-def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, trees: int = 128, per_tree: float = 1 / 16, share: float = 0.1, least: int = 600, block_rows: int = 16384, query_rows: int = 4096, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, trees: int = 128, per_tree: float = 1 / 16, share: float = 0.1, least: int = 600, block_rows: int = 16384, query_rows: int = 32768, seed: int = 7) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query (ids divisible by `every`).
 
     Of each block the tenth part that most trees hold (`share`, at least

@@ -6,7 +6,8 @@ most), and its cosine to every template comes from one equi-join on words
 with the fixed template table.  The best template at or above the threshold
 is the file's own licence.  A licence file (by name, or as the caller says)
 licenses its directory; a file without an own licence takes that of the
-nearest ancestor directory, found by joining paths.
+nearest ancestor directory, found by joining paths.  Input columns with the
+names of the results are replaced.
 
 Only DataFrame functions are used.  Files with a null path, null or empty
 text, or no such sentence have no own licence; ties go to the template first
@@ -92,19 +93,21 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", *, licence_fi
     `licence_file` says which scanned files license their directory; it may
     use path, n_sentences and n_speaking.  By default the file's name says so.
     """
+    added = ("own_licence", "cosine", "licence", "inherited_from")
+    files = files.select(*[F.col(f"`{c}`") for c in files.columns if c.lower() not in added])
     p = F.col(f"`{path}`")
-    tagged = files.withColumn("_file", F.xxhash64(p)).withColumn("_file", F.struct(F.col("_file"), p.alias("_path")))
-    own = own_licence(tagged.where(p.isNotNull()).select("_file", F.col(f"`{text}`").alias("_text")), "_file", "_text", threshold)
+    tagged = files.withColumn("_varloom_file", F.xxhash64(p)).withColumn("_varloom_file", F.struct(F.col("_varloom_file"), p.alias("_path")))
+    own = own_licence(tagged.where(p.isNotNull()).select("_varloom_file", F.col(f"`{text}`").alias("_text")), "_varloom_file", "_text", threshold)
     # Repeated paths count together: their best sentence speaks for each.
-    narrow = tagged.drop(text).join(own, "_file", "left").withColumn("_dir", parent(p))
-    name = F.regexp_extract(F.col("_file._path"), r"[^/]*$", 0)
+    narrow = tagged.drop(text).join(own, "_varloom_file", "left").withColumn("_varloom_dir", parent(p))
+    name = F.regexp_extract(F.col("_varloom_file._path"), r"[^/]*$", 0)
     gives = own.where(name.rlike(NAMES) if licence_file is None else licence_file)
-    given = gives.groupBy(parent(F.col("_file._path")).alias("_at")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("_file._path").alias("f"), F.col("own_licence").alias("l")))["l"].alias("_given"))
+    given = gives.groupBy(parent(F.col("_varloom_file._path")).alias("_at")).agg(F.min(F.struct((-F.col("cosine")).alias("c"), F.col("_varloom_file._path").alias("f"), F.col("own_licence").alias("l")))["l"].alias("_given"))
     # Nearest licensing ancestor of each distinct directory.
-    dirs = narrow.where(F.col("_dir").isNotNull()).select("_dir").distinct()
-    parts = F.split("_dir", "/")
-    ups = dirs.select("_dir", F.explode(F.concat(F.array(F.lit("")), F.when(F.col("_dir") != "", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>")))).alias("_at"))
-    near = ups.join(given, "_at").groupBy("_dir").agg(F.max_by(F.struct("_at", "_given"), F.length("_at")).alias("_near"))
-    out = narrow.join(near, "_dir", "left")
+    dirs = narrow.where(F.col("_varloom_dir").isNotNull()).select("_varloom_dir").distinct()
+    parts = F.split("_varloom_dir", "/")
+    ups = dirs.select("_varloom_dir", F.explode(F.concat(F.array(F.lit("")), F.when(F.col("_varloom_dir") != "", F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))).otherwise(F.array().cast("array<string>")))).alias("_at"))
+    near = ups.join(given, "_at").groupBy("_varloom_dir").agg(F.max_by(F.struct("_at", "_given"), F.length("_at")).alias("_near"))
+    out = narrow.join(near, "_varloom_dir", "left")
     inherits = F.col("own_licence").isNull() & F.col("_near").isNotNull()
-    return with_output(out.drop("n_sentences", "n_speaking", "_file", "_dir"), licence=F.coalesce("own_licence", "_near._given"), inherited_from=F.when(inherits, F.col("_near._at"))).drop("_near")
+    return with_output(out.drop("n_sentences", "n_speaking", "_varloom_file", "_varloom_dir"), licence=F.coalesce("own_licence", "_near._given"), inherited_from=F.when(inherits, F.col("_near._at"))).drop("_near")

@@ -17,8 +17,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from varloom.llm._shared import with_output
-
 ROUNDS = 6
 #: The formats, in the order in which they are tried.
 FORMATS = {
@@ -162,5 +160,7 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", *, found: str | No
     between = F.split(t, PATTERN, -1)
     # between[0] v[0] between[1] v[1] ... : values are one fewer, so the last partner is null.
     joined = F.array_join(F.flatten(F.zip_with(between, F.transform(values, lambda v: pseudonym(v, key)), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
-    out = df.withColumn(text, F.when(t.rlike(HINT), joined).otherwise(t)) if not found else with_output(df, **{found: F.coalesce(F.when(t.rlike(HINT), F.size(values)), F.lit(0)), "_new": F.when(t.rlike(HINT), joined).otherwise(t)}).drop(text).withColumnRenamed("_new", text)
-    return out
+    new = F.when(t.rlike(HINT), joined).otherwise(t).alias(text)
+    kept = [new if c == text else F.col(f"`{c}`") for c in df.columns if not found or c.lower() != found.lower()]
+    count = [F.coalesce(F.when(t.rlike(HINT), F.size(values)), F.lit(0)).alias(found)] if found else []
+    return df.select(*kept, *count)
