@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from varloom.llm import ann, bpe, html, licences, media, minhash, packing, pii, sharding, toxicity
 from varloom.llm._shared import read
+from varloom.llm.sql import ORACLE_SQL  # noqa: F401  SQL where it can express the query
 
 PSEUDONYM_KEY = os.environ.get("VARLOOM_PSEUDONYM_KEY", "example key, set your own")
 
@@ -76,5 +77,3 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_media, op4_minhash, op5_licences, op6_packing, op7_pii, op8_html, op9_toxicity, op10_ann, pipeline)}
 
-#: SQL where it can express the query.
-ORACLE_SQL: dict[str, str] = {}
