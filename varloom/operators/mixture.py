@@ -133,3 +133,9 @@ def fit_bivariate(df: DataFrame, one: dict[str, float], two: dict[str, float], z
     finally:
         rows.unpersist()
     return df.sparkSession.createDataFrame([(p["pi12"], p["rho_beta"], p["rho_zero"], cost, at["c0"], at["c1"], int(count))], "pi12 double, rho_beta double, rho_zero double, cost double, cost_min double, cost_max double, n long")
+
+
+def apply_bivariate(df: DataFrame, one: dict[str, float], two: dict[str, float], params: dict[str, float], z1: str = "z1", z2: str = "z2", n1: str = "n1", n2: str = "n2") -> DataFrame:
+    """Each variant's cost under fitted parameters (no refit)."""
+    cols = [F.col(c).cast("double") for c in (z1, z2, n1, n2)]
+    return df.withColumn("cost", bivariate_cost(params, one, two, *cols))

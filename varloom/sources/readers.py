@@ -161,3 +161,27 @@ def stale(spark: SparkSession, target: str, source: str) -> bool:
     if from_ is None:
         raise FileNotFoundError(source)
     return made is None or made < from_
+
+
+def snp_locations(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Variant positions without header: snp, chr, bp."""
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("c")).where(F.size("c") >= 3)
+    return lines.select(F.get("c", F.lit(0)).alias("snp"), F.get("c", F.lit(1)).alias("chr"), F.get("c", F.lit(2)).try_cast("long").alias("bp"))
+
+
+def set_annotation(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Lines of a set's name and its genes: go, gene."""
+    lines = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("c")).where(F.size("c") >= 2)
+    return lines.select(F.get("c", F.lit(0)).alias("go"), F.explode(F.slice("c", F.lit(2), F.size("c"))).alias("gene"))
+
+
+def p_values(spark: SparkSession, path: str | list[str], snp: str = "RSID", p: str = "P", n: str = "N") -> DataFrame:
+    """snp, p, n from the named columns of a table."""
+    raw = whitespace(spark, path, comment="")
+    return S.nan_to_null(raw.select(F.col(f"`{snp}`").alias("snp"), F.col(f"`{p}`").try_cast("double").alias("p"), F.col(f"`{n}`").try_cast("double").alias("n")))
+
+
+def library(spark: SparkSession, path: str, chromosomes: list[int] | None = None, chrom: str = "chr") -> DataFrame:
+    """Correlated pairs stored by chromosome; only the asked-for partitions are read."""
+    df = spark.read.parquet(path)
+    return df.where(F.col(chrom).isin(chromosomes)) if chromosomes else df
