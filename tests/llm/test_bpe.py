@@ -2,7 +2,7 @@ import hashlib
 import random
 
 import pytest
-from conftest import HARD
+from cases import HARD
 
 from varloom.llm import bpe, queries
 

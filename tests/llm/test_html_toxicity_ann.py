@@ -6,7 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
-from conftest import HARD
+from cases import HARD
 
 from varloom.llm import ann, html, queries, toxicity
 

@@ -3,7 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
-from conftest import HARD
+from cases import HARD
 
 from varloom.llm import minhash, queries
 

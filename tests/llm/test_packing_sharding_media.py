@@ -5,7 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-from conftest import HARD
+from cases import HARD
 
 from varloom.llm import bpe, media, packing, queries, sharding
 from varloom.llm._shared import workspace

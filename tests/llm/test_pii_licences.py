@@ -2,7 +2,7 @@ import datetime
 import hashlib
 import re
 
-from conftest import HARD
+from cases import HARD
 from pyspark.sql import functions as F
 
 from varloom.llm import licences, pii, queries

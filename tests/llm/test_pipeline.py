@@ -1,7 +1,7 @@
 from collections import Counter
 
 import corpus_pipeline
-from conftest import HARD
+from cases import HARD
 from test_minhash import brute
 from test_packing_sharding_media import check_packing
 

@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import math
+import os
 import re
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,6 +65,21 @@ def release() -> None:
 atexit.register(release)
 
 
+def importable(spark: SparkSession) -> None:
+    """Let Python workers import this package: send it along unless their path already has it."""
+    root = Path(__file__).resolve().parents[2]
+    sc = spark.sparkContext
+    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in on_path or Path.cwd() == root or "site-packages" in root.parts or getattr(sc, "_varloom_sent", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="varloom-")) / "varloom.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted((root / "varloom").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._varloom_sent = True
+
+
 def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
     """Hand texts to Python in batches of bounded rows and bytes.
 
@@ -68,12 +87,26 @@ def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -
     a batch, held by the JVM and by each Python worker of a chain, would fill
     an executor.  The session's limits are only ever lowered.
     """
+    importable(spark)
     for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
         now = re.match(r"-?\d+", spark.conf.get(name))
         if not now or int(now[0]) <= 0 or int(now[0]) > most:
             spark.conf.set(name, str(most))
 
 
+def hash_sample(df: DataFrame, rows: int, most: int, *columns: str) -> DataFrame:
+    """At most `most` of `rows` rows, those with the smallest hashes of the columns.
+
+    A bound on the hash lets through a little fewer than `most` rows, so what
+    reaches the driver or one task is as small for any number of partitions.
+    """
+    h = F.xxhash64(*columns)
+    if rows > most:
+        share = max(1.0, most - 4 * math.sqrt(most)) / rows
+        df = df.where(h < F.lit(-(1 << 63) + int(share * (1 << 64))))
+    return df.orderBy(h, *columns).limit(most)
+
+
 def with_output(df: DataFrame, **columns) -> DataFrame:
     """Add an operator's columns; an input column of the same name (in any case) is replaced."""
     names = {c.lower() for c in columns}

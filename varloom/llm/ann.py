@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from varloom.llm._shared import materialize
+from varloom.llm._shared import importable, materialize
 
 BITS = 24
 
@@ -110,6 +110,7 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ev
     `least` rows) is compared exactly.  Vectors that spread evenly over all
     directions need that much: their neighbours are hardly nearer than the rest.
     """
+    importable(df.sparkSession)
     rows = materialize(usable(df, key, vector), "vectors")
     dims = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     if dims is None:

@@ -12,8 +12,8 @@ abusive one.
 
 Examples with a non-empty vector form an inverted index with the largest
 weight of each block of 64 examples.  A query sums those maxima to bound every
-block, visits blocks from the highest bound down and stops when no bound can
-reach the k-th best cosine: the k nearest are exact.  Their votes, weighted by
+block, visits the blocks of the highest bounds and then only those whose bound
+reaches the k-th best cosine so far: the k nearest are exact.  Their votes, weighted by
 closeness, and the training rate of equally empty documents as a prior give
 the score, corrected for the sampling of classes.
 
@@ -38,11 +38,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm._shared import bounded_batches
+from varloom.llm._shared import bounded_batches, hash_sample
 from varloom.llm.bpe import small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+FIRST_BLOCKS = 8  # visited first, to learn how good the k-th best is at least
 REST = "*"  # stands for all words that are no kept term
 
 
@@ -66,6 +67,7 @@ class Model:
         self.idf = np.array(list(idf.values()))
         self.whole = {t for t in idf if t[-1] not in "-*"}
         self.starts = {t[:-1] for t in idf if t[-1] == "-"}
+        self.heads = {t[:4] for t in self.starts}  # a beginning has at least four letters
         self.toxic = np.array(toxic, dtype=np.int8)
         n_blocks = -(-max(1, len(vectors)) // BLOCK)
         posts: list[list[tuple[int, float]]] = [[] for _ in idf]
@@ -74,6 +76,7 @@ class Model:
                 posts[t].append((e, w))
         self.docs = [np.array([e for e, _ in p], np.int32) for p in posts]
         self.weights = [np.array([w for _, w in p]) for p in posts]
+        self.block_of = [d // BLOCK for d in self.docs]
         self.block_max = []  # by term: (blocks it occurs in, where they begin in its list, largest weights)
         for d, w in zip(self.docs, self.weights, strict=True):
             b, first = np.unique(d // BLOCK, return_index=True)
@@ -86,10 +89,16 @@ class Model:
         words = _WORD.findall((text or "").lower())
         distinct = set(words)
         hit = distinct & self.whole
-        begun = {s: [w for w in distinct if len(w) > len(s) and w.startswith(s)] for s in {w[:n] for w in distinct for n in (4, 5, 6) if len(w) > n} & self.starts}
+        near = [w for w in distinct if w[:4] in self.heads]
+        begun: dict[str, list[str]] = {}
+        for w in near:
+            for n in (4, 5, 6):
+                if len(w) > n and w[:n] in self.starts:
+                    begun.setdefault(w[:n], []).append(w)
         if not hit and not begun:
             return {}
-        count = Counter(w for w in words if w in hit or any(w[:n] in begun for n in (4, 5, 6)))
+        wanted = hit.union(near)
+        count = Counter(w for w in words if w in wanted)
         raw = {self.term_id[w]: count[w] for w in hit} | {self.term_id[s + "-"]: sum(count[w] for w in ws) for s, ws in begun.items()}
         raw[self.term_id[REST]] = len(words) - sum(count[w] for w in hit)
         return weigh(raw, self.idf)
@@ -100,20 +109,32 @@ class Model:
         for t, q in v.items():
             b, _, m = self.block_max[t]
             bound[b] += q * m
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < -best[-1][0] - 1e-12:
-                break
-            sums = np.zeros(BLOCK)
-            for t, q in v.items():
-                blocks, first, _ = self.block_max[t]
-                i = np.searchsorted(blocks, b)
-                if i < len(blocks) and blocks[i] == b:
-                    s = slice(first[i], first[i + 1])
-                    sums[self.docs[t][s] - b * BLOCK] += q * self.weights[t][s]
-            best = sorted(best + [(-round(float(sums[i]), 12), int(b) * BLOCK + int(i)) for i in np.flatnonzero(sums)])[: self.k]
+        order = np.argsort(-bound, kind="stable")
+        first, least = order[:FIRST_BLOCKS], -1.0
+        sums = np.zeros(self.n_blocks * BLOCK)
+        self._add(v, first[bound[first] > 0], sums)
+        seen = sums[sums > 0]
+        if len(seen) >= self.k:
+            least = np.partition(seen, len(seen) - self.k)[len(seen) - self.k]
+        more = order[FIRST_BLOCKS:]
+        self._add(v, more[(bound[more] > 0) & (bound[more] >= least - 1e-9)], sums)
+        top = np.flatnonzero(sums > 0)
+        if len(top) > self.k:
+            cut = np.partition(sums[top], len(top) - self.k)[len(top) - self.k]
+            top = top[sums[top] >= cut - 1e-9]
+        best = sorted((-round(float(sums[e]), 12), int(e)) for e in top)[: self.k]
         return [(-s, e) for s, e in best]
 
+    def _add(self, v: dict[int, float], blocks: np.ndarray, sums: np.ndarray) -> None:
+        """Add the products with the examples of these blocks."""
+        if not len(blocks):
+            return
+        open_ = np.zeros(self.n_blocks, bool)
+        open_[blocks] = True
+        for t, q in v.items():
+            here = open_[self.block_of[t]]
+            sums[self.docs[t][here]] += q * self.weights[t][here]
+
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
         """Probability of the toxic label and the neighbours that speak for it."""
         v = self.vector(text)
@@ -207,10 +228,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", m
     y = F.col(f"`{label}`").cast("int")
     usable = labels.select(F.col("doc_id"), y.alias("y")).where(y.isin(0, 1) & F.col("doc_id").isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
     got = dict(usable.groupBy("y").agg(F.count(F.lit(1))).collect())
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    part = [usable.where(F.col("y") == c).orderBy(*order).limit(most_examples) for c in (0, 1)]
+    part = [hash_sample(usable.where(F.col("y") == c), got.get(c, 0), most_examples, "doc_id") for c in (0, 1)]
     few = part[0].unionByName(part[1]).dropDuplicates(["doc_id"])  # at most twice `most_examples` rows
-    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "y")
+    rows = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))  # one text an id
     found = sorted(rows.collect(), key=lambda r: (r["doc_id"], r["text"] or ""))  # as many texts as examples
     return [(r["text"], r["y"]) for r in found], (got.get(0, 0), got.get(1, 0))
 
