@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm._shared import bounded_batches
+from varloom.llm._shared import bounded_batches, hash_sample
 from varloom.llm.bpe import small_batches
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</?[a-zA-Z](?:[^>"']++|"[^"]*+"|'[^']*+')*+>|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<""", re.S)
@@ -201,8 +201,8 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 
 def labelled_sample(pages: DataFrame, html: str = "html", most: int = 256) -> list[str]:
     """At most `most` pages for training, those with the smallest hashes."""
-    p = F.col(f"`{html}`")
-    return [r[0] for r in pages.where(p.isNotNull()).select(p.alias("h")).orderBy(F.xxhash64("h"), "h").limit(most).collect()]
+    p = pages.select(F.col(f"`{html}`").alias("h")).where("h is not null")
+    return [r[0] for r in hash_sample(p, pages.count(), most, "h").collect()]  # counting rows reads no html
 
 
 def extract_text(pages: DataFrame, html: str = "html", *, weights: dict[str, float] | None = None, text: str = "text") -> DataFrame:
