@@ -220,6 +220,13 @@ def _ids(lists: list) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(flat, type=pa.int32()))
 
 
+def _lists(column: pa.ListArray) -> list[list[int]]:
+    """Lists of ids without a Python object for each value on the way; null gives no ids."""
+    flat, at = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+    here = column.is_valid().to_numpy(zero_copy_only=False)
+    return [flat[a:b].tolist() if ok else [] for a, b, ok in zip(at[:-1], at[1:], here, strict=True)]
+
+
 def _schema(df: DataFrame, *more: T.StructField) -> T.StructType:
     names = {f.name.lower() for f in more}
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in names] + list(more))
@@ -290,7 +297,7 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     def run(batches):
         bpe = load(vocabulary)
         for b in small_batches(batches):
-            got = bpe.decode_batch([x or [] for x in b.column(ids).to_pylist()])
+            got = bpe.decode_batch(_lists(b.column(ids)))
             yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [pa.array(got, pa.string())], names=[*keep, text])
 
     return df.mapInArrow(run, schema)
