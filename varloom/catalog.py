@@ -94,7 +94,7 @@ def header_aliases(s):
     return resolve_headers(s.select(F.col("snp").alias("RsId"), "chr", F.col("bp").alias("Pos"), F.col("a1").alias("EffectAllele"), F.col("a2").alias("otherallele"), F.col("n"), F.col("z").alias("z")))
 
 
-@query("sumstats", sql="select count(*) n, sum(case when m then 1 else 0 end) mhc, sum(case when x then 1 else 0 end) x, sum(case when m or x then 1 else 0 end) excluded, count(*)-sum(case when m or x then 1 else 0 end) kept, sum(case when m or x then 1 else 0 end)=sum(case when m then 1 else 0 end)+sum(case when x then 1 else 0 end) disjoint from (select chr_label='6' and bp>26000000 and bp<34000000 m, chr_label='X' x from sumstats)")
+@query("sumstats", sql="select count(*) n, count(*) filter (m) mhc, count(*) filter (x) x, count(*) filter (m or x) excluded, count(*) - count(*) filter (m or x) kept, count(*) filter (m or x) = count(*) filter (m) + count(*) filter (x) disjoint from (select chr_label='6' and bp>26000000 and bp<34000000 m, chr_label='X' x from sumstats)")
 def qc_disjoint_count(s):
     return harmonize.exclusion_counts(s, "chr_label", "bp")
 
@@ -151,7 +151,7 @@ def ambiguous_drop(s):
     return s.where(~alleles.ambiguous(F.col("a1"), F.col("a2"))).select("trait", "snp", "a1", "a2")
 
 
-@query("sumstats", "ref_variant", sql=MATCHED_SQL + """select trait, count(*) lines, 0 undefined, count(*) filter (by_ is null) unmatched, count(*) filter (by_ is not null and not agrees) mismatched,
+@query("sumstats", "ref_variant", sql=MATCHED_SQL + """select trait, count(*) lines, cast(0 as bigint) undefined, count(*) filter (by_ is null) unmatched, count(*) filter (by_ is not null and not agrees) mismatched,
  count(*) filter (by_ is not null and agrees and ambiguous) ambiguous, count(*) filter (by_ is not null and agrees and not ambiguous) kept, count(*) filter (by_ is not null and agrees and not ambiguous and swapped) swapped from matched group by trait""")
 def qc_counters(s, r):
     return harmonize.match_counters(harmonize.match_reference(s, r))
@@ -187,7 +187,7 @@ def chr_subset(r):
 
 CLASS_SQL = """case when go in ('base','coding_genes') then 'whole' when contains(go,'_excl_') then 'loo' when starts_with(go,'GOMF_') or starts_with(go,'GOBP_') or starts_with(go,'GOCC_') or starts_with(go,'SYNGO_') then 'set' else 'gene' end"""
 GSA_SQL = f""", w as (select h2 wh, h2_base wb from go_enrich where go='coding_genes'),
- rows_ as (select go, ngenes, enrich, h2, loglike_aic mixer_aic, h2/wh h2_frac, h2_base/wb h2_base_frac, {CLASS_SQL} class, split_part(go,'_excl_',1) set_go, split_part(go,'_excl_',2) excl_gene from go_enrich cross join w),
+ rows_ as (select go, cast(ngenes as bigint) ngenes, enrich, h2, loglike_aic mixer_aic, h2/wh h2_frac, h2_base/wb h2_base_frac, {CLASS_SQL} class, split_part(go,'_excl_',1) set_go, split_part(go,'_excl_',2) excl_gene from go_enrich cross join w),
  worst as (select set_go, excl_gene, enrich excl_enrich from (select *, row_number() over (partition by set_go order by enrich, excl_gene) rn from rows_ where class='loo' and enrich is not null) where rn=1),
  lists as (select set_go, string_agg(excl_gene,' ' order by excl_gene) gene_list from rows_ where class='loo' group by set_go) """
 SETS_SQL = ", sets as (select r.*, x.excl_gene xg, x.excl_enrich, m.p magma_p, l.gene_list from rows_ r left join worst x on x.set_go=r.go left join magma_gsa m on m.full_name=r.go left join lists l on l.set_go=r.go where r.class='set' and r.ngenes>=5) "

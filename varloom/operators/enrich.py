@@ -120,7 +120,7 @@ def bonferroni(sets: DataFrame, n_names: DataFrame, level: float = 0.05) -> Data
 
 def small_rank(df: DataFrame, by: str = "magma_p", name: str = "go") -> DataFrame:
     """Row numbers by ascending P, missing last, ties by name: one window, for a report of a few thousand rows (after the filters)."""
-    return df.withColumn("magma_rank", F.row_number().over(W.orderBy(F.col(by).asc_nulls_last(), name)))
+    return df.withColumn("magma_rank", F.row_number().over(W.orderBy(F.col(by).asc_nulls_last(), name)).cast("long"))
 
 
 def report_st5(t: Tables) -> DataFrame:
