@@ -146,4 +146,9 @@ def test_media_hard_and_tar(spark, hard, nothing):
             m = t.getmember(f"{r['digest']}.png")
             assert (m.offset_data, m.size) == (r["offset"], r["length"])
             assert hashlib.sha256(media.from_png(t.extractfile(m).read())).hexdigest() == r["digest"]
+    target = workspace(spark, "media")
+    folder = workspace(spark, "media")
+    stored = media.store(spark.createDataFrame([(i, t, None) for i, t in enumerate(["a", "b", "a", "c"] * 5)], "doc_id long, text string, ids string").repartition(4), folder)
+    places = media.compact(stored, folder, target)
+    assert places.count() == 3 and sum(r["payload_sha256"] == r["digest"] for r in media.read_features(places, target).collect()) == 3
     assert media.media_columns(nothing).count() == 0

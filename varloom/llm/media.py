@@ -124,7 +124,11 @@ class _Shard:
     def close(self) -> None:
         self.out.write(bytes(1024))
         self.out.close()
-        self.files.fs.move(self.part, f"{self.files.base}/{self.name}")
+        final = f"{self.files.base}/{self.name}"
+        if self.files.fs.get_file_info(final).is_file:  # an earlier attempt has written the same bytes
+            self.files.fs.delete_file(self.part)
+        else:
+            self.files.fs.move(self.part, final)
 
 
 ROW = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("digest", T.StringType()), ("shard", T.StringType()), ("offset", T.LongType()), ("length", T.LongType())]
@@ -179,6 +183,40 @@ def index(rows: DataFrame) -> DataFrame:
     return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at")).select("digest", "_at.*").repartitionByRange("shard", "offset")
 
 
+def compact(rows: DataFrame, folder: str, target: str, *, shard_bytes: int = 256 << 20) -> DataFrame:
+    """Copy one member a digest into new shards below `target`: digest, shard, offset, length.
+
+    `store` writes a payload once a shard, so copies that lie in different
+    input partitions are stored in several shards; this leaves one of each.
+    """
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
+    schema = T.StructType([T.StructField("digest", T.StringType()), *(T.StructField(n, t) for n, t in ROW[3:])])
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        task = TaskContext.get()
+        old, new, shard, count = _Files(folder), _Files(target), None, 0
+        for b in batches:
+            done = []
+            for digest, name, at, n in zip(*(b.column(c).to_pylist() for c in schema.names), strict=True):
+                if shard is None or shard.at >= shard_bytes:
+                    if shard:
+                        shard.close()
+                    shard = _Shard(new, f"shard-{task.partitionId():06d}-{count:05d}.tar", task.taskAttemptId())
+                    count += 1
+                done.append((digest, shard.name, shard.add(f"{digest}.png", old.read(name, at, n)), n))
+            cols = zip(*done, strict=True) if done else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], names=schema.names)
+        if shard:
+            shard.close()
+
+    places = materialize(index(rows), "media-index").sortWithinPartitions("shard", "offset")
+    return materialize(places.mapInArrow(run, schema), "media-places")
+
+
 def fill_metadata(places: DataFrame, folder: str) -> DataFrame:
     """Add width, height, bit_depth and colour_type; only the members' headers are read."""
     more = [("width", T.LongType()), ("height", T.LongType()), ("bit_depth", T.IntegerType()), ("colour_type", T.IntegerType())]
