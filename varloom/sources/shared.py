@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 def checkpoint_folder(spark: SparkSession) -> str:
     """`spark.checkpoint.dir`; a local session without it gets a temporary folder."""
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_varloom_folder", None)
     if not d:
-        if not (spark.sparkContext.master or "").startswith("local"):
+        if not (sc.master or "").startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        d = "file://" + tempfile.mkdtemp(prefix="varloom-")
-        spark.conf.set("spark.checkpoint.dir", d)
-    spark.sparkContext.setCheckpointDir(d)
+        d = sc._varloom_folder = "file://" + tempfile.mkdtemp(prefix="varloom-")
+    sc.setCheckpointDir(d)
     return d
 
 
