@@ -23,14 +23,14 @@ def shared_dir(spark: SparkSession) -> str:
     Only a local session (one machine, as in tests) may go without that
     setting; it then gets a temporary folder.
     """
-    d = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    d = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_varloom_dir", None)
     if d:
         return d
-    if not (spark.sparkContext.master or "").startswith("local"):
+    if not (sc.master or "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    d = "file://" + tempfile.mkdtemp(prefix="varloom-")
-    spark.conf.set("spark.checkpoint.dir", d)
-    return d
+    sc._varloom_dir = "file://" + tempfile.mkdtemp(prefix="varloom-")
+    return sc._varloom_dir
 
 
 def workspace(spark: SparkSession, name: str) -> str:
