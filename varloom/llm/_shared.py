@@ -80,7 +80,7 @@ def importable(spark: SparkSession) -> None:
     sc._varloom_sent = True
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512, size: int = 8 << 20) -> None:
+def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) -> None:
     """Hand texts to Python in batches of bounded rows and bytes.
 
     The default of 10,000 rows a batch is for short values; with whole texts

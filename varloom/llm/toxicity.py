@@ -142,7 +142,7 @@ class Model:
             return self.prior, []
         key = tuple(sorted(v.items()))
         if key not in self.memo:
-            if len(self.memo) > 20000:
+            if len(self.memo) > 1000:
                 self.memo.clear()
             near = self.nearest(v)
             vote = [0.0, 0.0]
