@@ -66,7 +66,7 @@ def test_reports(spark, tables):
     t = enrich.build(results, sets, genes)
     st5 = enrich.report_st5(t)
     assert [(r["go"], r["magma_rank"]) for r in st5.collect()] == [("GOBP_A", 1), ("GOBP_N", 2)]
-    assert not {"h2", "se_h2", "mixer_aic"} & set(st5.columns) and st5.columns[:4] == ["go", "ngenes", "enrich", "se_enrich"]
+    assert not {"h2", "se_h2", "model_aic"} & set(st5.columns) and st5.columns[:4] == ["go", "ngenes", "enrich", "se_enrich"]
     st7 = [r["go"] for r in enrich.report_st7(t).collect()]
     assert st7 == ["GOBP_P", "GOBP_P", "GOBP_A", "GOBP_N", "GOCC_C"]  # NaN AIC fails, NaN enrichment is last
     st9 = enrich.report_st9(t)
@@ -76,6 +76,12 @@ def test_reports(spark, tables):
     assert shown[0]["enrich"] == "5.00" and shown[-1]["enrich"] == "" and shown[0]["ngenes"] == "9"
 
 
+def test_significance_columns(spark):
+    df = enrich.ingest(spark.createDataFrame([("GENE1", 0.5, 0.01, 0.2)], "GO string, TOOL_P double, TOOL_FDR double, MAGMA_P double"))
+    assert df.columns == ["go", "model_p", "model_fdr", "magma_p"]
+    assert enrich.format_report(df).first()["model_p"] == "5.00e-01"
+
+
 def test_fractions_need_their_row(spark, tables):
     lost = enrich.ingest(tables[0]).where("go <> 'coding_genes'")
     with pytest.raises(Exception, match="coding_genes"):

@@ -187,7 +187,7 @@ def chr_subset(r):
 
 CLASS_SQL = """case when go in ('base','coding_genes') then 'whole' when contains(go,'_excl_') then 'loo' when starts_with(go,'GOMF_') or starts_with(go,'GOBP_') or starts_with(go,'GOCC_') or starts_with(go,'SYNGO_') then 'set' else 'gene' end"""
 GSA_SQL = f""", w as (select h2 wh, h2_base wb from go_enrich where go='coding_genes'),
- rows_ as (select go, cast(ngenes as bigint) ngenes, enrich, h2, loglike_aic mixer_aic, h2/wh h2_frac, h2_base/wb h2_base_frac, {CLASS_SQL} class, split_part(go,'_excl_',1) set_go, split_part(go,'_excl_',2) excl_gene from go_enrich cross join w),
+ rows_ as (select go, cast(ngenes as bigint) ngenes, enrich, h2, loglike_aic model_aic, h2/wh h2_frac, h2_base/wb h2_base_frac, {CLASS_SQL} class, split_part(go,'_excl_',1) set_go, split_part(go,'_excl_',2) excl_gene from go_enrich cross join w),
  worst as (select set_go, excl_gene, enrich excl_enrich from (select *, row_number() over (partition by set_go order by enrich, excl_gene) rn from rows_ where class='loo' and enrich is not null) where rn=1),
  lists as (select set_go, string_agg(excl_gene,' ' order by excl_gene) gene_list from rows_ where class='loo' group by set_go) """
 SETS_SQL = ", sets as (select r.*, x.excl_gene xg, x.excl_enrich, m.p magma_p, l.gene_list from rows_ r left join worst x on x.set_go=r.go left join magma_gsa m on m.full_name=r.go left join lists l on l.set_go=r.go where r.class='set' and r.ngenes>=5) "
@@ -217,7 +217,7 @@ def _rounded(df, **decimals):
     return df.select(*[sig(F.col(c), decimals[c]).alias(c) if c in decimals else F.col(c) for c in df.columns])
 
 
-NUMBERS = {"enrich": 9, "excl_enrich": 9, "h2_frac": 9, "h2_base_frac": 9, "magma_p": 12, "mixer_aic": 3, "h2": 0}
+NUMBERS = {"enrich": 9, "excl_enrich": 9, "h2_frac": 9, "h2_base_frac": 9, "magma_p": 12, "model_aic": 3, "h2": 0}
 R = lambda *names: ", ".join(f"round({n},{NUMBERS[n]})+0.0 {n}" for n in names)
 
 
@@ -226,12 +226,12 @@ def gsa_st5(g, m, mg):
     return _rounded(enrich.report_st5(enrich.build(g, m, mg)), **NUMBERS)
 
 
-@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + SETS_SQL + "select go, ngenes, xg excl_gene, gene_list, " + R("enrich", "excl_enrich", "h2_frac", "h2_base_frac", "mixer_aic") + " from sets where mixer_aic>0")
+@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + SETS_SQL + "select go, ngenes, xg excl_gene, gene_list, " + R("enrich", "excl_enrich", "h2_frac", "h2_base_frac", "model_aic") + " from sets where model_aic>0")
 def gsa_st7(g, m, mg):
     return _rounded(enrich.report_st7(enrich.build(g, m, mg)), **NUMBERS)
 
 
-@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + "select go gene, " + R("enrich", "h2", "h2_frac", "h2_base_frac", "mixer_aic") + " from rows_ where class='gene' and mixer_aic>0")
+@query("go_enrich", "magma_gsa", "magma_genes", sql=GSA_SQL + "select go gene, " + R("enrich", "h2", "h2_frac", "h2_base_frac", "model_aic") + " from rows_ where class='gene' and model_aic>0")
 def gsa_st9(g, m, mg):
     return _rounded(enrich.report_st9(enrich.build(g, m, mg)), **NUMBERS)
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 #: Decimals of a fixed-point column, by name; the rest of the table's numbers stay as they are.
 SIX = ("h2", "se_h2", "h2_frac", "se_h2_frac", "h2_base_frac", "se_h2_base_frac")
-TWO = ("mixer_aic", "loglike_diff", "enrich", "se_enrich", "excl_enrich", "se_excl_enrich")
-SCIENTIFIC = ("magma_p", "mixer_p", "mixer_q", "mixer_fdr")
+TWO = ("model_aic", "loglike_diff", "enrich", "se_enrich", "excl_enrich", "se_excl_enrich")
+SCIENTIFIC = ("magma_p", "model_p", "model_q", "model_fdr")
 
 
 def fixed(x: Column, decimals: int) -> Column:

@@ -1,7 +1,7 @@
 """Gene-set result tables: classes of rows, shares of heritability, leave-one-gene-out, ranks and reports.
 
 Columns are lower case here: go, ngenes, enrich, se_enrich, h2, se_h2,
-h2_base, mixer_aic, ...  All inputs must have been through `nan_to_null`.
+h2_base, model_aic, ...  All inputs must have been through `nan_to_null`.
 Ties are broken by name, as a table has no row order.
 """
 
@@ -21,7 +21,7 @@ PREFIXES = ("GOMF_", "GOBP_", "GOCC_", "SYNGO_")
 WHOLE = ("base", "coding_genes")
 #: Fixed value: the report's column order.
 ORDER = (
-    "go gene ngenes enrich se_enrich mixer_aic loglike_diff loglike_df mixer_p mixer_q mixer_fdr magma_p magma_rank"
+    "go gene ngenes enrich se_enrich model_aic loglike_diff loglike_df model_p model_q model_fdr magma_p magma_rank"
     " h2 se_h2 h2_frac se_h2_frac h2_base_frac se_h2_base_frac excl_gene excl_enrich se_excl_enrich gene_list"
 ).split()
 
@@ -29,9 +29,14 @@ ORDER = (
 def ingest(df: DataFrame) -> DataFrame:
     """Lower-case names, the tool's older names replaced, NaN to null."""
     df = df.toDF(*[c.lower() for c in df.columns])
-    for old, new in (("enrich_std", "se_enrich"), ("h2_std", "se_h2"), ("loglike_aic", "mixer_aic")):
+    for old, new in (("enrich_std", "se_enrich"), ("h2_std", "se_h2"), ("loglike_aic", "model_aic")):
         if old in df.columns:
             df = df.withColumnRenamed(old, new)
+    # Significance columns carry the name of the tool that made them.
+    for c in df.columns:
+        tail = c.rpartition("_")[2]
+        if tail in ("p", "q", "fdr") and not c.startswith("magma_") and f"model_{tail}" not in df.columns:
+            df = df.withColumnRenamed(c, f"model_{tail}")
     return nan_to_null(df)
 
 
@@ -126,17 +131,17 @@ def small_rank(df: DataFrame, by: str = "magma_p", name: str = "go") -> DataFram
 def report_st5(t: Tables) -> DataFrame:
     """Sets significant by MAGMA with their rank, by enrichment."""
     df = small_rank(bonferroni(t.sets, t.n_names))
-    return reorder(df.drop("h2", "se_h2", "mixer_aic", "loglike_diff", "loglike_df"), ORDER).orderBy(F.col("enrich").desc_nulls_last(), "go")
+    return reorder(df.drop("h2", "se_h2", "model_aic", "loglike_diff", "loglike_df"), ORDER).orderBy(F.col("enrich").desc_nulls_last(), "go")
 
 
 def report_st7(t: Tables) -> DataFrame:
     """Sets that the model's AIC supports, by enrichment."""
-    return reorder(t.sets.where(F.col("mixer_aic") > 0).drop("h2", "se_h2", "magma_p"), ORDER).orderBy(F.col("enrich").desc_nulls_last(), "go")
+    return reorder(t.sets.where(F.col("model_aic") > 0).drop("h2", "se_h2", "magma_p"), ORDER).orderBy(F.col("enrich").desc_nulls_last(), "go")
 
 
 def report_st9(t: Tables) -> DataFrame:
     """Genes that the model's AIC supports, by AIC."""
-    return reorder(t.genes.where(F.col("mixer_aic") > 0).drop("magma_p"), ORDER).orderBy(F.col("mixer_aic").desc_nulls_last(), "gene")
+    return reorder(t.genes.where(F.col("model_aic") > 0).drop("magma_p"), ORDER).orderBy(F.col("model_aic").desc_nulls_last(), "gene")
 
 
 def format_report(df: DataFrame) -> DataFrame:
