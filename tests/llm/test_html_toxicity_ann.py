@@ -110,6 +110,20 @@ def test_toxicity_hard(spark, hard, nothing):
     assert m.score("so awful")[0] > 0.5 > m.score("so fine")[0] and math.isclose(m.score(None)[0], m.score("")[0])
 
 
+def test_copies_of_examples_are_found():
+    """A toxic example without any selected term, once or in thousands of copies, is found by its own words."""
+    rng = random.Random(7)
+    text = lambda: " ".join("".join(rng.choice("klmnopqr") for _ in range(4)) for _ in range(30))
+    clean, lone, group = [text() for _ in range(600)], text(), text()
+    m = toxicity.fit([(t, 0) for t in clean] + [(lone, 1)] + [(group, 1)] * 300, (6000, 301))
+    assert not m.whole and not m.starts
+    assert m.score(lone)[0] > 0.5 and m.score(group)[0] > 0.5 and m.score(group + " one more")[0] > 0.5
+    assert all(y < 0.5 for y, _ in m.scores(clean))
+    # The batch and the block-max search agree.
+    for t in [*clean[:40], lone, group, text(), " ".join(w for c in clean[:3] for w in c.split()[:9])]:
+        assert [(pytest.approx(c, abs=1e-9), e) for c, e in m.nearest(m.vector(t))] == m.score(t)[1]
+
+
 def brute(x, k, every):
     ids = sorted(i for i, _ in x)
     d = {}

@@ -2,33 +2,37 @@
 
 Training takes at most ``most_examples`` labelled documents of each class
 (those with the smallest hashes of their id; never a row with
-crc32(doc_id as text) mod 5 = 0).  Terms are words and word beginnings; those
-kept are the terms that speak for the toxic label (in at least ``min_docs``
+crc32(doc_id as text) mod 5 = 0).  Every example is indexed under the TF-IDF
+vector of all its words, so a copy of an example always finds it.  Terms that
+speak for the toxic label (words and word beginnings in at least ``min_docs``
 toxic documents, ``min_lift`` times as frequent as among clean ones, with a
-significance of ``min_z``; near copies of an example count once).  A document
-is the TF-IDF vector of its kept terms and of one term that stands for all
-its other words, so that a long text with a chance hit lies far from a short
-abusive one.
-
-Examples with a non-empty vector form an inverted index with the largest
-weight of each block of 64 examples.  A query sums those maxima to bound every
-block, visits the blocks of the highest bounds and then only those whose bound
-reaches the k-th best cosine so far: the k nearest are exact.  Their votes, weighted by
-closeness, and the training rate of equally empty documents as a prior give
-the score, corrected for the sampling of classes.
+significance of ``min_z``; near copies of an example count once) only weigh
+more: the other words of a text share the weight of one term.  Where a text
+has a telling term, half of that weight stands for how many other words there
+are, so that a long text with a chance hit lies far from a short abusive one.
+
+`nearest` searches an inverted index with the largest weight of each block of
+64 examples: the blocks of the highest bounds first, then only those whose
+bound reaches the k-th best cosine so far.  Words that most examples share
+make such bounds loose, so `scores` adds the lists of rare words and takes
+words of many examples as one dense product for a batch of texts.  Both find
+the k nearest exactly.  Their votes, weighted by closeness, and the training
+rate of documents without telling terms as a prior give the score, corrected
+for the sampling of classes.
 
 The index is bounded by the sample and is the only thing sent to executors.
 Labels, language, source and id are never inputs of a score.  Null and empty
-texts have an empty vector and get the rate of toxic documents among training
-documents with an empty vector.  Without toxic training rows all scores are 0,
+texts, and those that share no word with any example, get the prior.  Without toxic training rows all scores are 0,
 without clean ones 1, without any labels 0.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterable
 
@@ -44,7 +48,9 @@ from varloom.llm.bpe import small_batches
 _WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
 FIRST_BLOCKS = 8  # visited first, to learn how good the k-th best is at least
-REST = "*"  # stands for all words that are no kept term
+REST = "*"  # stands for the number of words that are no kept term
+COMMON = 16  # a term of more than one example in so many is taken as a dense row
+NEAR = 0.02  # a copy counts 1 / NEAR, a cosine of 0.5 about 0.3
 
 
 def terms(text: str | None) -> Counter:
@@ -59,98 +65,160 @@ def terms(text: str | None) -> Counter:
 
 
 class Model:
-    """The kept terms with their idf, the index of examples, and the prior."""
+    """The kept terms and all other words with their idf, the index of examples, and the prior."""
 
-    def __init__(self, idf: dict[str, float], vectors: list[dict[int, float]], toxic: list[int], rates: tuple[float, float], prior: float, k: int = 9):
-        self.k, self.rates, self.prior = k, rates, prior
+    def __init__(self, idf: dict[str, float], vectors: Iterable[dict[int, float]], toxic: list[int], rates: tuple[float, float], prior: float, k: int = 9, words: dict[str, float] | None = None, new_idf: float = 1.0):
+        self.k, self.rates, self.prior, self.new_idf = k, rates, prior, new_idf
         self.term_id = {t: i for i, t in enumerate(idf)}
         self.idf = np.array(list(idf.values()))
         self.whole = {t for t in idf if t[-1] not in "-*"}
         self.starts = {t[:-1] for t in idf if t[-1] == "-"}
         self.heads = {t[:4] for t in self.starts}  # a beginning has at least four letters
+        self.words = {w: (len(idf) + i, x) for i, (w, x) in enumerate((words or {}).items())}
+        ids, weights, sizes = array("i"), array("d"), []
+        for v in vectors:
+            ids.extend(v.keys())
+            weights.extend(v.values())
+            sizes.append(len(v))
         self.toxic = np.array(toxic, dtype=np.int8)
-        n_blocks = -(-max(1, len(vectors)) // BLOCK)
-        posts: list[list[tuple[int, float]]] = [[] for _ in idf]
-        for e, v in enumerate(vectors):
-            for t, w in v.items():
-                posts[t].append((e, w))
-        self.docs = [np.array([e for e, _ in p], np.int32) for p in posts]
-        self.weights = [np.array([w for _, w in p]) for p in posts]
-        self.block_of = [d // BLOCK for d in self.docs]
-        self.block_max = []  # by term: (blocks it occurs in, where they begin in its list, largest weights)
-        for d, w in zip(self.docs, self.weights, strict=True):
-            b, first = np.unique(d // BLOCK, return_index=True)
-            self.block_max.append((b, np.append(first, len(d)), np.maximum.reduceat(w, first) if len(d) else np.empty(0)))
-        self.n_blocks = n_blocks
-        self.memo: dict[tuple, tuple[float, list]] = {}
+        self.n_blocks = -(-max(1, len(sizes)) // BLOCK)
+        n_terms, by = len(idf) + len(self.words), np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)
+        order = np.argsort(by, kind="stable")
+        # The list of term t is docs[begin[t] : begin[t + 1]].
+        self.docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.weights = np.array(weights)[order]
+        self.begin = np.append(0, np.cumsum(np.bincount(by, minlength=n_terms)))
+        # By term and block: the largest weight.
+        cell = by[order].astype(np.int64) * self.n_blocks + self.docs // BLOCK
+        first = np.flatnonzero(np.diff(cell, prepend=-1))
+        self.max_block = (cell[first] % self.n_blocks).astype(np.int32)
+        self.max_weight = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
+        self.max_begin = np.searchsorted(first, self.begin)
+        often = np.flatnonzero(np.diff(self.begin) * COMMON > max(BLOCK, len(sizes)))
+        self.row = dict(zip(often.tolist(), range(len(often)), strict=True))
+        self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
+        for r, t in enumerate(often):
+            here = slice(self.begin[t], self.begin[t + 1])
+            self.dense[r, self.docs[here]] = self.weights[here]
+        self.memo: dict[bytes, tuple[float, list]] = {}
 
     def vector(self, text: str | None) -> dict[int, float]:
-        """Unit TF-IDF vector over the kept terms, by term number."""
-        words = _WORD.findall((text or "").lower())
-        distinct = set(words)
-        hit = distinct & self.whole
-        near = [w for w in distinct if w[:4] in self.heads]
-        begun: dict[str, list[str]] = {}
-        for w in near:
-            for n in (4, 5, 6):
-                if len(w) > n and w[:n] in self.starts:
-                    begun.setdefault(w[:n], []).append(w)
-        if not hit and not begun:
-            return {}
-        wanted = hit.union(near)
-        count = Counter(w for w in words if w in wanted)
-        raw = {self.term_id[w]: count[w] for w in hit} | {self.term_id[s + "-"]: sum(count[w] for w in ws) for s, ws in begun.items()}
-        raw[self.term_id[REST]] = len(words) - sum(count[w] for w in hit)
-        return weigh(raw, self.idf)
+        """Unit TF-IDF vector by term number; words of no example count in its length only."""
+        count = Counter(_WORD.findall((text or "").lower()))
+        hit = count.keys() & self.whole
+        begun: Counter = Counter()
+        for w, c in count.items():
+            if w[:4] in self.heads:
+                for n in (4, 5, 6):
+                    if len(w) > n and w[:n] in self.starts:
+                        begun[w[:n]] += c
+        rest = self.term_id[REST]
+        out: dict[int, float] = {}
+        share = 1.0
+        if hit or begun:
+            raw = {self.term_id[w]: count[w] for w in hit} | {self.term_id[b + "-"]: c for b, c in begun.items()}
+            raw[rest] = count.total() - sum(count[w] for w in hit)
+            out = weigh(raw, self.idf)
+            share = out.get(rest, 0.0) * math.sqrt(0.5)
+            if share:
+                out[rest] = share
+        square, others = 0.0, []
+        for w, c in count.items():
+            if w in hit:
+                continue
+            i, x = self.words.get(w, (-1, self.new_idf))
+            if c > 1:
+                x *= 1 + math.log(c)
+            square += x * x
+            if i >= 0:
+                others.append((i, x))
+        if others and share:
+            share /= math.sqrt(square)
+            out.update((i, x * share) for i, x in others)
+        return out
+
+    def _ranges(self, v: dict[int, float], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the lists of these terms lie, and for each entry the weight of its term in `v`."""
+        t = np.fromiter(v.keys(), np.int64, len(v))
+        start, size = begin[t], begin[t + 1] - begin[t]
+        at = np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(v) else np.empty(0, np.int64)
+        return at, np.repeat(np.fromiter(v.values(), float, len(v)), size)
 
     def nearest(self, v: dict[int, float]) -> list[tuple[float, int]]:
-        """The k examples of highest cosine, ties to the lower number; exact."""
-        bound = np.zeros(self.n_blocks)
-        for t, q in v.items():
-            b, _, m = self.block_max[t]
-            bound[b] += q * m
+        """The k examples of highest cosine, ties to the lower number; exact, by block maxima."""
+        at, q = self._ranges(v, self.max_begin)
+        bound = np.bincount(self.max_block[at], q * self.max_weight[at], self.n_blocks)
         order = np.argsort(-bound, kind="stable")
-        first, least = order[:FIRST_BLOCKS], -1.0
+        at, q = self._ranges(v, self.begin)
+        docs, products = self.docs[at], q * self.weights[at]
         sums = np.zeros(self.n_blocks * BLOCK)
-        self._add(v, first[bound[first] > 0], sums)
-        seen = sums[sums > 0]
+
+        def add(blocks: np.ndarray) -> None:
+            open_ = np.zeros(self.n_blocks, bool)
+            open_[blocks] = True
+            here = open_[docs // BLOCK]
+            np.add.at(sums, docs[here], products[here])
+
+        add(order[:FIRST_BLOCKS])
+        seen, least = sums[sums > 0], -1.0
         if len(seen) >= self.k:
             least = np.partition(seen, len(seen) - self.k)[len(seen) - self.k]
         more = order[FIRST_BLOCKS:]
-        self._add(v, more[(bound[more] > 0) & (bound[more] >= least - 1e-9)], sums)
-        top = np.flatnonzero(sums > 0)
-        if len(top) > self.k:
-            cut = np.partition(sums[top], len(top) - self.k)[len(top) - self.k]
-            top = top[sums[top] >= cut - 1e-9]
+        add(more[(bound[more] > 0) & (bound[more] >= least - 1e-9)])
+        return self._best(sums)
+
+    def _best(self, sums: np.ndarray) -> list[tuple[float, int]]:
+        peaks = sums.reshape(self.n_blocks, BLOCK).max(1)
+        # k blocks reach the k-th highest peak, so k examples do.
+        least = np.partition(peaks, len(peaks) - self.k)[len(peaks) - self.k] - 1e-9 if len(peaks) >= self.k else 0.0
+        top = np.flatnonzero((sums >= least) & (sums > 0))
         best = sorted((-round(float(sums[e]), 12), int(e)) for e in top)[: self.k]
         return [(-s, e) for s, e in best]
 
-    def _add(self, v: dict[int, float], blocks: np.ndarray, sums: np.ndarray) -> None:
-        """Add the products with the examples of these blocks."""
-        if not len(blocks):
-            return
-        open_ = np.zeros(self.n_blocks, bool)
-        open_[blocks] = True
-        for t, q in v.items():
-            here = open_[self.block_of[t]]
-            sums[self.docs[t][here]] += q * self.weights[t][here]
+    def _near_all(self, vectors: list[dict[int, float]]) -> list[list[tuple[float, int]]]:
+        """`nearest` of each vector of a batch."""
+        common = np.zeros((len(vectors), len(self.row)))
+        rare = []
+        for i, v in enumerate(vectors):
+            rare.append({})
+            for t, q in v.items():
+                r = self.row.get(t, -1)
+                if r < 0:
+                    rare[i][t] = q
+                else:
+                    common[i, r] = q
+        sums = common @ self.dense
+        out = []
+        for i, v in enumerate(rare):
+            at, q = self._ranges(v, self.begin)
+            out.append(self._best(sums[i] + np.bincount(self.docs[at], q * self.weights[at], self.n_blocks * BLOCK)))
+        return out
+
+    def _vote(self, near: list[tuple[float, int]]) -> tuple[float, list]:
+        vote, all_ = [0.0, 0.0], 0.0
+        for cos, e in near:
+            w = cos * cos / (1 + NEAR - min(1.0, cos * cos))
+            vote[self.toxic[e]] += w / self.rates[self.toxic[e]]  # one sampled example stands for 1 / rate
+            all_ += w
+        scale = all_ / max(sum(vote), 1e-300)
+        return (vote[1] * scale + 0.5 * self.prior) / (sum(vote) * scale + 0.5), near
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[float, int]]]]:
+        """For each text the probability of the toxic label and the neighbours that speak for it."""
+        keys = [hashlib.blake2b((t or "").encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts]
+        if len(self.memo) > 1000:
+            self.memo.clear()
+        new = {key: t for key, t in zip(keys, texts, strict=True) if key not in self.memo}
+        vectors = {key: self.vector(t) for key, t in new.items()}
+        some = [key for key, v in vectors.items() if v]
+        self.memo |= dict.fromkeys(new.keys() - set(some), (self.prior, []))
+        for at in range(0, len(some), 64):
+            part = some[at : at + 64]
+            self.memo |= {key: self._vote(near) for key, near in zip(part, self._near_all([vectors[key] for key in part]), strict=True)}
+        return [self.memo[key] for key in keys]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
-        """Probability of the toxic label and the neighbours that speak for it."""
-        v = self.vector(text)
-        if not v:
-            return self.prior, []
-        key = tuple(sorted(v.items()))
-        if key not in self.memo:
-            if len(self.memo) > 1000:
-                self.memo.clear()
-            near = self.nearest(v)
-            vote = [0.0, 0.0]
-            for cos, e in near:
-                vote[self.toxic[e]] += cos * cos / self.rates[self.toxic[e]]  # one sampled example stands for 1 / rate
-            scale = sum(c * c for c, _ in near) / max(sum(vote), 1e-300)
-            self.memo[key] = ((vote[1] * scale + 0.5 * self.prior) / (sum(vote) * scale + 0.5), near)
-        return self.memo[key]
+        return self.scores([text])[0]
 
 
 def weigh(raw: dict[int, float], idf: np.ndarray) -> dict[int, float]:
@@ -211,16 +279,23 @@ def fit(examples: list[tuple[str | None, int]], totals: tuple[int, int] | None =
     kept = sorted(t for _, t in sorted(told, key=lambda x: (-x[0], x[1]))[:most_terms])
     total = single[0] + single[1]
     idf = {t: math.log((1 + total) / (1 + df[0][t] + df[1][t])) + 1 for t in kept} | {REST: rest}
-    model = Model(idf, [], [], rates, 0.0, k)  # type: ignore[arg-type]
-    vectors, toxic, empty = [], [], [0.0, 0.0]
-    for t, y in examples:
-        v = model.vector(t)
-        if v:
-            vectors.append(v)
-            toxic.append(y)
-        else:
-            empty[y] += 1 / rates[y]
-    return Model(idf, vectors, toxic, rates, empty[1] / (empty[0] + empty[1] + 1), k)  # type: ignore[arg-type]
+    seen = Counter(w for t, _ in examples for w in set(_WORD.findall((t or "").lower())))
+    new_idf = math.log(1 + len(examples)) + 1
+    words = {w: new_idf - math.log(1 + n) for w, n in seen.items()}
+    del seen
+    model = Model(idf, [], [], rates, 0.0, k, words, new_idf)  # type: ignore[arg-type]
+    plain = [0.0, 0.0]
+
+    def vectors():
+        for t, y in examples:
+            v = model.vector(t)
+            if v.keys().isdisjoint(range(len(kept))):
+                plain[y] += 1 / rates[y]
+            yield v
+
+    out = Model(idf, vectors(), [y for _, y in examples], rates, 0.0, k, words, new_idf)  # type: ignore[arg-type]
+    out.prior = plain[1] / (plain[0] + plain[1] + 1)
+    return out
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most_examples: int = 4096) -> tuple[list[tuple[str | None, int]], tuple[int, int]]:
@@ -248,7 +323,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", *, evidence: bool =
     def run(batches):
         m = shared.value
         for b in small_batches(batches):
-            got = [m.score(t) for t in b.column(text).to_pylist()]
+            got = m.scores(b.column(text).to_pylist())
             cols = [pa.array([s for s, _ in got], pa.float64())]
             if evidence:
                 cols.append(pa.array([[{"cosine": c, "example": e, "toxic": int(m.toxic[e])} for c, e in v] for _, v in got], pa.list_(pa.struct([("cosine", pa.float64()), ("example", pa.int32()), ("toxic", pa.int32())]))))
