@@ -120,6 +120,33 @@ def test_clean_text_stays_and_equal_values_link(spark, sf_dir, documents, hard,
     assert pii.pseudonymize(nothing, KEY, found="n").count() == 0
 
 
+def test_whole_secrets_and_phones(spark):
+    long = "eyJhbGciOi." + "aB3_-x" * 100
+    cases = [
+        (f"token={long} end", [long]),
+        (f'"api_key": "{long}" end', [long]),
+        ("password=Pa$$w0rd123 end", ["Pa", "w0rd123"]),
+        ("password=p@ss.w0rd1$x9z end", ["ss.w0rd1", "x9z"]),
+        ("password='two words7' end", ["two words7"]),
+        ("passwd: ab1 end", ["ab1"]),
+        ("call +44 20 7946 0958 end", ["7946 0958"]),
+        ("call +49 30 901820 end", ["901820"]),
+        ("call +33 1 42 68 53 00 end", ["42 68 53 00"]),
+        ("call 0033 1 42 68 53 00 end", ["42 68 53 00"]),
+        ("call 5235551055 end", ["5235551055"]),
+        ("call +442079460958 end", ["442079460958"]),
+    ]
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.pseudonymize(df, KEY, found="n").collect()}
+    for i, (t, gone) in enumerate(cases):
+        new = got[i]["text"]
+        assert got[i]["n"] == 1 and len(new) == len(t) and new.endswith(" end"), (t, new)
+        assert re.sub(r"\w", "", new) == re.sub(r"\w", "", t)
+        assert not any(v in new for v in gone), (t, new)
+    tail = got[0]["text"][6 + 256 : -4]
+    assert sum(a == b for a, b in zip(tail, long[256:], strict=True)) < len(tail) / 2
+
+
 FILES = [
     ("a/LICENSE", "Released under the MIT License.\nThe end."),
     ("a/x.py", "no word here"),

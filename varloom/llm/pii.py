@@ -4,7 +4,7 @@ Found values (mail addresses, phone, card and social security numbers, IPv4
 addresses, dates, access keys, named secrets) are replaced in place by a keyed
 permutation of their own format, a Feistel network over the two halves of the
 value: each character moves inside its class (digit, small letter, capital),
-octets stay below 256, dates stay valid dates, a card number that passes the
+other characters stay, octets stay below 256, dates stay valid dates, a card number that passes the
 Luhn check passes it again.  Equal values get equal pseudonyms in every
 document, different values of one format different ones.
 
@@ -19,15 +19,20 @@ from pyspark.sql import functions as F
 
 ROUNDS = 6
 #: The formats, in the order in which they are tried.
+NAMED = r"\b(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?\s{0,3}[=:]\s{0,3}"
+MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 FORMATS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}",
-    "secret": r"(?<=\b(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)\s{0,3}[=:]\s{0,3}[\"']?)[A-Za-z0-9][A-Za-z0-9+/_.-]{4,254}[A-Za-z0-9]",
+    # To the closing quote or, without one, to white space or a quote.  What follows the last letter or digit would not change.
+    "secret": rf"(?<={NAMED}\")[^\"\r\n]*[A-Za-z0-9](?=[^\"\r\nA-Za-z0-9]*\")|(?<={NAMED}')[^'\r\n]*[A-Za-z0-9](?=[^'\r\nA-Za-z0-9]*')|(?<={NAMED}[\"']?)[^\s\"']*[A-Za-z0-9]",
+    "email": rf"(?<![A-Za-z0-9._%+-]){MAIL}",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "date": r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])|(?<![\w/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d(?![\w/])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
     "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "phone": r"(?<![\w.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "phone": r"(?<![\w.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
+    r"|(?<![\w.+])(?:\+[1-9]|00[1-9]\d{0,2}[ .-]\(?\d)(?:[ .()/-]{0,2}\d){6,14}(?!\w)"
+    r"|(?<![\w.+-])[2-9]\d\d[2-9]\d{6}(?![\w-]|\.\d)",
 }
 PATTERN = "|".join(FORMATS.values())
 #: What any value holds: a digit, an at sign, a sign of assignment or the beginning of a key.  Rows without it are passed by.
@@ -127,13 +132,13 @@ def permute_card(value: Column, key: str) -> Column:
 
 def kind_of(value: Column) -> Column:
     return (
-        F.when(value.contains("@"), "email")
+        F.when(value.rlike(f"^{MAIL}$"), "email")
         .when(value.rlike("^AKIA[0-9A-Z]{16}$"), "key")
         .when(value.rlike(r"^(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4})$"), "date")
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4")
         .when(value.rlike(r"^\d(?:[ -]?\d){12,18}$"), "card")
         .when(value.rlike(r"^\d{3}-\d\d-\d{4}$"), "ssn")
-        .when(value.rlike(r"^\+?[\d ().-]{10,}$") & value.rlike(r"[ ().-]"), "phone")
+        .when(value.rlike(r"^\+[\d ().\/-]{7,}$|^[\d ().\/-]{10,}$"), "phone")
         .otherwise("secret")
     )
 
@@ -141,7 +146,7 @@ def kind_of(value: Column) -> Column:
 def pseudonym(value: Column, key: str) -> Column:
     kind = kind_of(value)
     at = F.instr(value, "@")
-    plus = F.when(kind == "phone", F.regexp_extract(value, r"^\+?(?:\d{1,3}[ .-]?(?=\(|\d{3}[ .-]\d{3}[ .-]\d{4}$))?", 0)).otherwise(F.lit(""))
+    plus = F.when(kind == "phone", F.regexp_extract(value, r"^(?:\+|00)[1-9]\d{0,2}[ .-]|^\+?(?:\d{1,3}[ .-]?(?=\(|\d{3}[ .-]\d{3}[ .-]\d{4}$))?", 0)).otherwise(F.lit(""))
     return (
         F.when(kind == "email", F.concat(permute_string(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value))))
         .when(kind == "key", F.concat(F.lit("AKIA"), permute_string(F.substring(value, 5, 16), key, "key")))
@@ -153,13 +158,23 @@ def pseudonym(value: Column, key: str) -> Column:
     )
 
 
+def named(before: Column) -> Column:
+    """Whether the text before a value names it a secret."""
+    return F.substring(before, -40, 40).rlike(NAMED + r"[\"']?\z")
+
+
+def replaced(value: Column, before: Column, key: str) -> Column:
+    """A secret may hold an at sign; then no part of it is a domain."""
+    return F.when(value.contains("@") & named(before), permute_string(value, key, "text")).otherwise(pseudonym(value, key))
+
+
 def pseudonymize(df: DataFrame, key: str, text: str = "text", *, found: str | None = None) -> DataFrame:
     """Replace `text` by its pseudonymized form; `found`, if given, names a column with the number of values replaced."""
     t = F.col(f"`{text}`")
     values = F.regexp_extract_all(t, F.lit(PATTERN), F.lit(0))
     between = F.split(t, PATTERN, -1)
     # between[0] v[0] between[1] v[1] ... : values are one fewer, so the last partner is null.
-    joined = F.array_join(F.flatten(F.zip_with(between, F.transform(values, lambda v: pseudonym(v, key)), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+    joined = F.array_join(F.flatten(F.zip_with(between, values, lambda a, v: F.array(a, F.coalesce(replaced(v, a, key), F.lit(""))))), "")
     new = F.when(t.rlike(HINT), joined).otherwise(t).alias(text)
     kept = [new if c == text else F.col(f"`{c}`") for c in df.columns if not found or c.lower() != found.lower()]
     count = [F.coalesce(F.when(t.rlike(HINT), F.size(values)), F.lit(0)).alias(found)] if found else []
