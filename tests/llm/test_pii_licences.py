@@ -147,6 +147,17 @@ def test_whole_secrets_and_phones(spark):
     assert sum(a == b for a, b in zip(tail, long[256:], strict=True)) < len(tail) / 2
 
 
+def test_only_valid_numbers_are_replaced(spark):
+    stay = ["ISBN 978-0-306-40615-7", "at 1717171717171 ms", "1 2 3 4 5 6 7 8 9 0 1 2 3", "order 411111111111112", "4111 1111 1111 1112", "0000-11-2222 000-11-2222", "666-11-2222", "912-11-2222", "123-00-2222", "123-11-0000"]
+    go = ["card 4111 1111 1111 1111", "ISBN 978-0-306-40615-7 4111111111111111", "4 4111 1111 1111 1111", "52 4 4111111111111111", "3782-822463-10005", "ssn 123-45-6789", "token=1717171717171"]
+    df = spark.createDataFrame(list(enumerate(stay + go)), "doc_id long, text string")
+    got = [(r["n"], r["text"]) for r in sorted(pii.pseudonymize(df, KEY, found="n").collect())]
+    assert got[: len(stay)] == [(0, t) for t in stay]
+    for (n, new), old in zip(got[len(stay) :], go, strict=True):
+        assert n == 1 and new != old and len(new) == len(old)
+    assert got[len(stay) + 1][1].startswith("ISBN 978-0-306-40615-7 ") and luhn(got[len(stay)][1])
+
+
 FILES = [
     ("a/LICENSE", "Released under the MIT License.\nThe end."),
     ("a/x.py", "no word here"),

@@ -9,7 +9,10 @@ Luhn check passes it again.  Equal values get equal pseudonyms in every
 document, different values of one format different ones.
 
 The text around the values is untouched.  Null text stays null, "" stays "".
-A calendar-impossible date is not a date and stays.  Rows are independent.
+A calendar-impossible date is not a date and stays; so do digits that fail the
+Luhn check or have no card issuer's beginning and length, unless they are
+sixteen in one piece, and social security
+numbers outside the ranges given out.  Rows are independent.
 """
 
 from __future__ import annotations
@@ -28,12 +31,16 @@ FORMATS = {
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "date": r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])|(?<![\w/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d(?![\w/])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
-    "card": r"(?<![\w.])\d(?:[ -]?\d){12,18}(?!\w)",
-    "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
+    # In one piece, in the groups that cards are printed in, or a whole run of digits with single separators.
+    # Sixteen digits in one piece count as a card even if mistyped.
+    "card": r"(?<![\w.])\d{16}(?!\w)|(?<![\w.])(?=[2-6])(?:\d{13,19}(?!\w)|\d{4}(?<sep>[ -])(?:\d{4}\k<sep>\d{4}\k<sep>\d{4}(?:\k<sep>\d{3})?|\d{6}\k<sep>\d{4,5})(?!\w)|(?<!\d[ -])(?!(?:\d+[ -]){1,9}?(?:\d{13}|\d{4}[ -](?:\d{4}[ -]\d{4}[ -]\d{4}|\d{6}[ -]\d{4,5})(?!\d)))\d(?:[ -]?\d){12,18}(?![ -]?\w))",
+    "ssn": r"(?<![\w-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w-])",
     "phone": r"(?<![\w.])(?:\+?\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)"
     r"|(?<![\w.+])(?:\+[1-9]|00[1-9]\d{0,2}[ .-]\(?\d)(?:[ .()/-]{0,2}\d){6,14}(?!\w)"
     r"|(?<![\w.+-])[2-9]\d\d[2-9]\d{6}(?![\w-]|\.\d)",
 }
+#: First digits and lengths of cards.
+ISSUED = r"^(?:4(?:\d{12}|\d{15}|\d{18})|(?:5[1-5]\d\d|222[1-9]|22[3-9]\d|2[3-6]\d\d|27[01]\d|2720)\d{12}|220[0-4]\d{12,15}|3[47]\d{13}|3(?:0[0-5]\d|095|[689]\d\d)\d{10,15}|35(?:2[89]|[3-8]\d)\d{12,15}|(?:50|5[6-8]|6\d)\d{11,17})$"
 PATTERN = "|".join(FORMATS.values())
 #: What any value holds: a digit, an at sign, a sign of assignment or the beginning of a key.  Rows without it are passed by.
 HINT = r"[0-9@=:]|AKIA"
@@ -163,9 +170,15 @@ def named(before: Column) -> Column:
     return F.substring(before, -40, 40).rlike(NAMED + r"[\"']?\z")
 
 
+def stays(value: Column, before: Column) -> Column:
+    """Digits in the form of a card that are no card number, unless they are named a secret."""
+    digits = F.regexp_replace(value, "[ -]", "")
+    return value.rlike(r"^[2-6](?:[ -]?\d){12,18}$") & ~value.rlike(r"^\d{16}$") & ~(digits.rlike(ISSUED) & (luhn_sum(digits) % 10 == 0)) & ~named(before)
+
+
 def replaced(value: Column, before: Column, key: str) -> Column:
     """A secret may hold an at sign; then no part of it is a domain."""
-    return F.when(value.contains("@") & named(before), permute_string(value, key, "text")).otherwise(pseudonym(value, key))
+    return F.when(stays(value, before), value).when(value.contains("@") & named(before), permute_string(value, key, "text")).otherwise(pseudonym(value, key))
 
 
 def pseudonymize(df: DataFrame, key: str, text: str = "text", *, found: str | None = None) -> DataFrame:
@@ -177,5 +190,5 @@ def pseudonymize(df: DataFrame, key: str, text: str = "text", *, found: str | No
     joined = F.array_join(F.flatten(F.zip_with(between, values, lambda a, v: F.array(a, F.coalesce(replaced(v, a, key), F.lit(""))))), "")
     new = F.when(t.rlike(HINT), joined).otherwise(t).alias(text)
     kept = [new if c == text else F.col(f"`{c}`") for c in df.columns if not found or c.lower() != found.lower()]
-    count = [F.coalesce(F.when(t.rlike(HINT), F.size(values)), F.lit(0)).alias(found)] if found else []
+    count = [F.coalesce(F.when(t.rlike(HINT), F.size(F.filter(values, lambda v, i: ~stays(v, between[i])))), F.lit(0)).alias(found)] if found else []
     return df.select(*kept, *count)
