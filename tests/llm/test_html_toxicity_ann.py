@@ -27,6 +27,14 @@ def test_page():
     assert html.extract('<article><p title="' + "a" * 100000, w) == ""
 
 
+def test_zones_below_any_depth():
+    w = html.train(html.LABELLED)
+    for n in (3, 511, 600, 5000):
+        page = "<font><span><div>" * n + "menu words <article><p>the text of the page stands here</p><div class=ad>Buy now</div><p>and ends here</p></article> footer words"
+        assert html.extract(page, w) == "the text of the page stands here\n\nand ends here"
+    assert html.extract("<article>" + "<b>" * 50000 + "<p>deep</i>" * 50000, w).startswith("deep")  # not quadratic
+
+
 def test_best_stretch_is_the_maximum():
     """The scan against all stretches of short random token sequences."""
     rng = random.Random(1)

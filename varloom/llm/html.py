@@ -74,7 +74,15 @@ def boilerplate(zone: str) -> bool:
 def tokens(page: str) -> list[tuple[str, str, str]]:
     """(kind, name or text, zone): kind "open", "close" or "text".  Content of hidden elements is skipped."""
     out: list[tuple[str, str, str]] = []
-    stack: list[tuple[str, str]] = [("", "body")]
+    # Name, zone, and the place of the paragraph that the next <p> would end (0: none).
+    stack: list[tuple[str, str, int]] = [("", "body", 0)]
+    places: dict[str, list[int]] = {}  # by name: where it stands in the stack
+
+    def cut(i: int) -> None:
+        for name, _, _ in stack[i:]:
+            places[name].pop()
+        del stack[i:]
+
     at, n = 0, len(page)
     lower = None
     while at < n:
@@ -88,10 +96,8 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
             continue
         name = _NAME.match(s)[1].lower()
         if s[1] == "/":
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if places.get(name):
+                cut(places[name][-1])
             out.append(("close", name, stack[-1][1]))
             continue
         if name in HIDDEN and s[-2] != "/":
@@ -115,15 +121,11 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
                         zone = _WORD_ZONE.get(w, zone)
             if zone in BOILERPLATE and around in ("article", "main"):
                 zone = "in:" + zone
-        if name == "p":  # a paragraph ends where the next begins
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == "p":
-                    del stack[i:]
-                    break
-                if stack[i][0] not in INLINE:
-                    break
-        if name not in VOID and s[-2] != "/" and len(stack) < 512:
-            stack.append((name, zone))
+        if name == "p" and stack[-1][2]:  # a paragraph ends where the next begins
+            cut(stack[-1][2])
+        if name not in VOID and s[-2] != "/":
+            places.setdefault(name, []).append(len(stack))
+            stack.append((name, zone, len(stack) if name == "p" else stack[-1][2] if name in INLINE else 0))
         out.append(("open", name, zone))
     return out
 
