@@ -35,6 +35,20 @@ def test_zones_below_any_depth():
     assert html.extract("<article>" + "<b>" * 50000 + "<p>deep</i>" * 50000, w).startswith("deep")  # not quadratic
 
 
+def test_layout_classes_are_no_zones():
+    w = html.train(html.LABELLED)
+    text = "<{0}><p>The council met on Monday and agreed on a plan.</p></{0}>"
+    for name in ("article", "main"):
+        for wrap in ('<body class="single-post has-sidebar">', '<div id="page" class="right-sidebar">', '<body class="search">', '<div class="layout right-sidebar"><div>', '<form id="all">'):
+            assert html.extract(wrap + "<nav>Home</nav>" + text.format(name) + "<footer>Imprint</footer>", w) == "The council met on Monday and agreed on a plan.", wrap
+    two = '<div class="layout right-sidebar">' + text.format("article") * 2 + "</div>"
+    assert html.extract(two, w).count("council") == 2
+    # Comments and teasers stay out though they are article elements.
+    out = '<div class="comment-list"><article class="comment">No, not at all</article></div><div class="related"><article>Read this too</article></div>'
+    assert html.extract(text.format("article") + out, w) == "The council met on Monday and agreed on a plan."
+    assert html.extract('<div id="page" class="right-sidebar"><div class="content"><p>Words of the page.</p></div></div>', w) == "Words of the page."
+
+
 def test_best_stretch_is_the_maximum():
     """The scan against all stretches of short random token sequences."""
     rng = random.Random(1)

@@ -55,6 +55,10 @@ ZONE_WORDS = {
 _WORD_ZONE = {w: z for z, ws in ZONE_WORDS.items() for w in ws.split()}
 BOILERPLATE = frozenset({"nav", "header", "footer", "aside", "ad", "notice", "comments", "share", "form"})
 
+#: Ids of elements around the whole page, and classes that tell its layout: neither names a zone.
+WRAPPERS = frozenset("page wrap wrapper site container outer layout root app page-wrapper site-wrapper main-wrapper".split())
+_LAYOUT = re.compile(r"(?:has|no|with|without)[-_]")
+
 INSIDE = -0.05  # of a boilerplate word inside the article
 
 #: Hand-labelled pages: "+" lines are main text, "-" lines are not.
@@ -71,20 +75,37 @@ def boilerplate(zone: str) -> bool:
     return zone.removeprefix("in:") in BOILERPLATE
 
 
+def _class_zone(tag: str, zone: str) -> str:
+    """The zone that class, id and role of a tag name, or else `zone`."""
+    for marked in _MARK.finditer(tag):
+        value = (marked[1] or marked[2] or marked[3] or "").lower()
+        if marked[0][:2].lower() == "id" and value.strip() in WRAPPERS:
+            return zone
+    for marked in _MARK.finditer(tag):
+        for part in (marked[1] or marked[2] or marked[3] or "").lower().split():
+            if not _LAYOUT.match(part):
+                for w in re.split(r"[^a-z]+", part):
+                    zone = _WORD_ZONE.get(w, zone)
+    return zone
+
+
 def tokens(page: str) -> list[tuple[str, str, str]]:
     """(kind, name or text, zone): kind "open", "close" or "text".  Content of hidden elements is skipped."""
     out: list[tuple[str, str, str]] = []
-    # Name, zone, and the place of the paragraph that the next <p> would end (0: none).
-    stack: list[tuple[str, str, int]] = [("", "body", 0)]
+    # Name, zone, the place of the paragraph that the next <p> would end (0: none), and
+    # the place of the element whose class made this boilerplate (0: none did, or a tag did).
+    stack: list[tuple[str, str, int, int]] = [("", "body", 0, 0)]
     places: dict[str, list[int]] = {}  # by name: where it stands in the stack
 
     def cut(i: int) -> None:
-        for name, _, _ in stack[i:]:
+        for name, *_ in stack[i:]:
             places[name].pop()
         del stack[i:]
 
     at, n = 0, len(page)
     lower = None
+    content = False  # an article or main element stood outside such boilerplate
+    around_all = 0  # the element around the articles that did not
     while at < n:
         m = _TOKEN.match(page, at)
         s = m[0]
@@ -110,22 +131,29 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
                 close = page.find(">", at)
                 at = n if close < 0 else close + 1
             continue
-        around = zone = stack[-1][1]
+        _, zone, _, by = stack[-1]
+        around = zone
         named = ZONE_TAGS.get(name)
         if not boilerplate(zone):
+            by = 0
             if named:
                 zone = named
-            elif "=" in s:
-                for marked in _MARK.finditer(s):
-                    for w in re.split(r"[^a-z]+", (marked[1] or marked[2] or marked[3] or "").lower()):
-                        zone = _WORD_ZONE.get(w, zone)
+                if name == "form":
+                    by = len(stack)
+            elif "=" in s and name not in ("html", "body"):
+                zone = _class_zone(s, zone)
+                by = len(stack) if zone in BOILERPLATE else 0
             if zone in BOILERPLATE and around in ("article", "main"):
-                zone = "in:" + zone
+                zone, by = "in:" + zone, 0
+            content |= zone in ("article", "main") and name in ("article", "main")
+        elif by and name in ("article", "main") and (name == "main" or zone != "comments") and (name == "main" or not content or by == around_all) and _class_zone(s, "") not in BOILERPLATE:
+            # A class such as "right-sidebar" was the layout of the page, not a sidebar.
+            zone, around_all, by, content = name, by, 0, True
         if name == "p" and stack[-1][2]:  # a paragraph ends where the next begins
             cut(stack[-1][2])
         if name not in VOID and s[-2] != "/":
             places.setdefault(name, []).append(len(stack))
-            stack.append((name, zone, len(stack) if name == "p" else stack[-1][2] if name in INLINE else 0))
+            stack.append((name, zone, len(stack) if name == "p" else stack[-1][2] if name in INLINE else 0, by))
         out.append(("open", name, zone))
     return out
 
