@@ -203,3 +203,22 @@ def test_licences_of_documents(spark, sf_dir, documents):
         n += len(own)
         assert (got[d["doc_id"]]["own_licence"] in own) if own else got[d["doc_id"]]["own_licence"] is None, d["text"][:300]
     assert n > 5
+
+
+def test_whole_licence_texts(spark):
+    texts = dict(licences.TEXTS)
+    wrap = lambda t, lead: "\n".join(lead + " ".join(t.split()[i : i + 9]) for i in range(0, len(t.split()), 9))
+    gpl = [t for k, t in licences.TEXTS if k == "GPL-2.0"]
+    cases = [
+        ("MIT", "Copyright (c) 2020 Ann Lee\n\n" + wrap(texts["MIT"], "") + "\n\nThe above copyright notice shall be included."),
+        ("BSD-2-Clause", "Copyright 2020\n\n" + wrap(licences._BSD, "# ") + "\n\n1. Keep this list."),
+        ("BSD-3-Clause", wrap(licences._BSD, " * ") + "\n *\n * Neither the name of Ann nor others may be used to endorse."),
+        ("GPL-2.0", "/*\n" + wrap(gpl[0], " * ") + "\n */\nint x;"),
+        ("GPL-2.0", "          GNU GENERAL PUBLIC LICENSE\n             Version 2, June 1991\n\n Everyone is permitted to copy."),
+        ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0\ncode"),
+        ("MIT OR Apache-2.0", "# SPDX-License-Identifier: MIT OR Apache-2.0\ncode"),
+        (None, "We spoke of permission to use the general public road."),
+    ]
+    df = spark.createDataFrame([(f"d{i}/x", t) for i, (_, t) in enumerate(cases)], "path string, text string")
+    got = {r["path"]: r["own_licence"] for r in licences.scan(df).collect()}
+    assert [got[f"d{i}/x"] for i in range(len(cases))] == [k for k, _ in cases]

@@ -4,7 +4,8 @@ The sentences of a file that speak of a licence are its header.  Each is a
 sparse TF-IDF vector (idf over the templates; a word in no template weighs
 most), and its cosine to every template comes from one equi-join on words
 with the fixed template table.  The best template at or above the threshold
-is the file's own licence.  A licence file (by name, or as the caller says)
+is the file's own licence.  A paragraph near to a licence's text, title or standard
+header, or an SPDX identifier, goes before where it is nearer.  A licence file (by name, or as the caller says)
 licenses its directory; a file without an own licence takes that of the
 nearest ancestor directory, found by joining paths.  Input columns with the
 names of the results are replaced.
@@ -44,6 +45,38 @@ TEMPLATES = {
     "MPL-2.0": "Subject to the terms of the Mozilla Public License, version 2.0",
     "Unlicense": "This is free and unencumbered software released into the public domain",
 }
+_GNU = "This {2} is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by the Free Software Foundation, either version {1} of the License, or (at your option) any later version."
+_BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+#: Paragraphs of the licences' texts, their titles and standard headers.
+TEXTS = [
+    ("AGPL-3.0", _GNU.format("Affero ", 3, "program")),
+    ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-2.0", _GNU.format("", 2, "program")),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", _GNU.format("", 3, "program")),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("LGPL-2.1", _GNU.format("Lesser ", 2.1, "library")),
+    ("LGPL-2.1", "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999"),
+    ("LGPL-3.0", _GNU.format("Lesser ", 3, "library")),
+    ("LGPL-3.0", "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:'),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+]
+BODY = r"(?i)(?:permission|redistribution)[\s*#/;%-]+(?:is|to|and)[\s*#/;%-]+(?:hereby|use)|general[\s*#/;%-]+public[\s*#/;%-]+licen|apache[\s*#/;%-]+licen|mozilla[\s*#/;%-]+public|creative[\s*#/;%-]+commons|unencumbered|bsd[\s*#/;%-]+[23]-clause"
+SPDX = r"SPDX-License-Identifier:[ \t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*(?:[ \t]+(?:AND|OR|WITH)[ \t]+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)"
+LEADER = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|--+|%+|<!--)?[ \t]*|[ \t\r]*(?:\*+/|-->)?[ \t\r]*$"
+ALIKE = 0.8  # least cosine of a paragraph to one of TEXTS
 SPEAKS = r"(?i)licen[sc]e|copyright|public domain|spdx|\bCC0?[ -](?:BY|1\.0)"
 SENTENCE = r"(?<=[.!?])\s+|[\r\n]+"
 NAMES = r"(?i)^(licen[sc]e|copying|notice|unlicense)(\.[a-z]+)?$"
@@ -51,6 +84,41 @@ THRESHOLD = 0.6
 _WORDS = r"[a-z0-9][a-z0-9.-]*[a-z0-9]|[a-z0-9]"
 
 
+def text_table(spark: SparkSession) -> tuple[DataFrame, float]:
+    """(licence and number of the text, word, weight, idf), and the idf of a word in no text.  As long as TEXTS."""
+    bags = [Counter(re.findall(_WORDS, v.lower())) for _, v in [*TEXTS, ("BSD", _BSD)]]
+    df = Counter(w for b in bags for w in b)
+    idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
+    rows = []
+    for i, (k, b) in enumerate(zip([*(k for k, _ in TEXTS), "BSD"], bags, strict=True)):
+        norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in b.items()))
+        rows += [(k, i, w, n * idf[w] / norm, idf[w]) for w, n in b.items()]
+    return spark.createDataFrame(rows, "licence string, text int, word string, weight double, idf double"), math.log(1 + len(bags)) + 1
+
+
+def text_licence(files: DataFrame, key: str, text: str) -> DataFrame:
+    """key, _text (cosine, licence), _within: the licence whose text, title or standard header is a paragraph of the file.
+
+    An SPDX identifier counts exactly and first.  `_within` is the number of
+    sentences in such paragraphs.
+    """
+    table, unknown = text_table(files.sparkSession)
+    t = F.col(f"`{text}`")
+    spdx = files.where(t.contains("SPDX-License-Identifier:")).select(F.col(key).alias("_key"), F.regexp_extract(t, SPDX, 1).alias("licence"), F.size(F.filter(F.split(t, SENTENCE), lambda s: s.rlike(SPDX))).alias("_within")).where("licence <> ''")
+    spdx = spdx.select("_key", F.struct(F.lit(-2.0).alias("neg"), "licence").alias("_b"), "_within")
+    said = files.where(t.rlike(BODY)).select(F.col(key).alias("_key"), t.rlike(r"(?i)neither[\s*#/;%-]+the[\s*#/;%-]+names?|names?[\s*#/;%-]+of[\s*#/;%-]+[^.]{1,200}may[\s*#/;%-]+not[\s*#/;%-]+be[\s*#/;%-]+used[\s*#/;%-]+to[\s*#/;%-]+endorse").alias("_three"), F.posexplode(F.split(F.regexp_replace(t, LEADER, ""), r"\n\s*\n")).alias("_at", "_p")).where(F.col("_p").rlike(BODY))
+    words = said.select("_key", "_at", "_three", F.size(F.filter(F.split("_p", SENTENCE), lambda s: s != "")).alias("_n"), F.explode(F.regexp_extract_all(F.lower("_p"), F.lit(_WORDS), F.lit(0))).alias("word"))
+    bag = words.groupBy("_key", "_at", "_three", "_n", "word").agg(F.count(F.lit(1)).alias("_c"))
+    idf = F.broadcast(table.select("word", "idf").distinct())
+    weighed = bag.join(idf, "word", "left").withColumn("_w", F.col("_c") * F.coalesce("idf", F.lit(unknown)))
+    norm = weighed.groupBy("_key", "_at", "_three", "_n").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
+    dot = weighed.join(F.broadcast(table.select("word", "licence", "text", "weight")), "word").groupBy("_key", "_at", "licence", "text").agg(F.sum(F.col("_w") * F.col("weight")).alias("_d"))
+    near = dot.join(norm, ["_key", "_at"]).withColumn("neg", -F.round(F.col("_d") / F.col("_norm"), 9)).where(F.col("neg") <= -ALIKE)
+    named = F.when(F.col("licence") != "BSD", F.col("licence")).when(F.col("_three"), "BSD-3-Clause").otherwise("BSD-2-Clause")
+    best = near.groupBy("_key", "_at").agg(F.min(F.struct("neg", named.alias("licence"))).alias("_b"), F.first("_n").alias("_n")).groupBy("_key").agg(F.min("_b").alias("_b"), F.sum("_n").cast("int").alias("_within"))
+    return best.unionByName(spdx).groupBy("_key").agg(F.min("_b").alias("_b"), F.max("_within").alias("_within")).select(F.col("_key").alias(key), F.struct(F.least(-F.col("_b.neg"), F.lit(1.0)).alias("cosine"), F.col("_b.licence").alias("licence"), (F.col("_b.neg") == -2.0).alias("exact")).alias("_text"), "_within")
+
+
 def template_table(spark: SparkSession) -> tuple[DataFrame, float]:
     """(licence, word, weight, idf) with unit vectors, and the idf of a word in no template.  As long as the template list."""
     bags = {k: Counter(re.findall(_WORDS, v.lower())) for k, v in TEMPLATES.items()}
@@ -83,6 +151,15 @@ def own_licence(files: DataFrame, key: str, text: str = "text", threshold: float
     return best.groupBy("_key").agg(F.min("_b").alias("_b"), F.first("n_sentences").alias("n_sentences"), F.first("n_speaking").alias("n_speaking")).where(F.col("_b.neg") <= -threshold).select(F.col("_key").alias(key), F.col("_b.licence").alias("own_licence"), (-F.col("_b.neg")).alias("cosine"), "n_sentences", "n_speaking")
 
 
+def licence_of(files: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """`own_licence`, or the licence whose text or identifier the file holds where that is nearer."""
+    t = F.col(f"`{text}`")
+    whole = text_licence(files, key, text).join(files.select(F.col(key), F.size(F.filter(F.split(t, SENTENCE), lambda s: s != "")).alias("_all")).where(t.contains("SPDX-License-Identifier:") | t.rlike(BODY)), key)
+    both = own_licence(files, key, text, threshold).join(whole, key, "full")
+    nearer = F.col("_text").isNotNull() & (F.col("own_licence").isNull() | F.col("_text.exact") | (F.col("_text.cosine") > F.col("cosine")))
+    return both.select(key, F.when(nearer, F.col("_text.licence")).otherwise(F.col("own_licence")).alias("own_licence"), F.when(nearer, F.col("_text.cosine")).otherwise(F.col("cosine")).alias("cosine"), F.coalesce("n_sentences", "_all").alias("n_sentences"), F.greatest("n_speaking", F.when(nearer, F.col("_within"))).alias("n_speaking"))
+
+
 def parent(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
 
@@ -97,7 +174,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", *, licence_fi
     files = files.select(*[F.col(f"`{c}`") for c in files.columns if c.lower() not in added])
     p = F.col(f"`{path}`")
     tagged = files.withColumn("_varloom_file", F.xxhash64(p)).withColumn("_varloom_file", F.struct(F.col("_varloom_file"), p.alias("_path")))
-    own = own_licence(tagged.where(p.isNotNull()).select("_varloom_file", F.col(f"`{text}`").alias("_text")), "_varloom_file", "_text", threshold)
+    own = licence_of(tagged.where(p.isNotNull()).select("_varloom_file", F.col(f"`{text}`").alias("_text")), "_varloom_file", "_text", threshold)
     # Repeated paths count together: their best sentence speaks for each.
     narrow = tagged.drop(text).join(own, "_varloom_file", "left").withColumn("_varloom_dir", parent(p))
     name = F.regexp_extract(F.col("_varloom_file._path"), r"[^/]*$", 0)
