@@ -152,3 +152,11 @@ def test_media_hard_and_tar(spark, hard, nothing):
     places = media.compact(stored, folder, target)
     assert places.count() == 3 and sum(r["payload_sha256"] == r["digest"] for r in media.read_features(places, target).collect()) == 3
     assert media.media_columns(nothing).count() == 0
+
+
+def test_sharding_query_stores_its_map(spark, sf_dir, monkeypatch):
+    paths = []
+    monkeypatch.setattr(queries, "workspace", lambda s, name: paths.append(workspace(s, name)) or paths[-1])
+    rows = queries.op2_sharding(spark, sf_dir).collect()
+    stored = sharding.SlotMap.load(spark, paths[0])
+    assert stored.version == 1 and all(r["shard"] == stored.shard[r["vslot"]] for r in rows)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.llm import ann, bpe, html, licences, media, minhash, packing, pii, sharding, toxicity
-from varloom.llm._shared import read
+from varloom.llm._shared import read, workspace
 from varloom.llm.sql import ORACLE_SQL  # noqa: F401  SQL where it can express the query
 
 PSEUDONYM_KEY = os.environ.get("VARLOOM_PSEUDONYM_KEY", "example key, set your own")
@@ -28,7 +28,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard_documents(read(spark, sf_dir, "documents"), 40)
+    placed = sharding.shard_documents(read(spark, sf_dir, "documents"), 40, map_path=workspace(spark, "slot-map"))
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 

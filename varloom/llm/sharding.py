@@ -119,9 +119,10 @@ def place(recs: DataFrame, slot_map: SlotMap) -> DataFrame:
 
 
 def shard_documents(df: DataFrame, n_shards: int = 40, *, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
-    """Records with shard and slot under a first map (stored at `map_path` if given)."""
+    """Records with shard and slot under a first map (stored at `map_path` and read back if given)."""
     recs = materialize(records(df, slots=slots), "records")
     first = SlotMap.deal(slot_bytes(recs, slots), n_shards)
     if map_path:
         first.save(df.sparkSession, map_path)
+        first = SlotMap.load(df.sparkSession, map_path, first.version)
     return place(recs, first)
