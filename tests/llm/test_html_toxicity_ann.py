@@ -187,3 +187,32 @@ def test_ann_ties_and_hard(spark):
     _, want = brute(x, 5, 20)
     assert {q: [(i, s) for _, i, s in sorted(v)] for q, v in got.items()} == want
     assert ann.nearest(df.limit(0)).count() == 0
+
+
+def test_ann_repeated_ids(spark):
+    """Rows that repeat count once; an id with several vectors is several candidates and asks with its smallest."""
+
+    def got(rows, k):
+        df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], "vec_id long, embedding array<double>, rank string, query_id int").repartition(3)
+        out = {}
+        for r in sorted(ann.nearest(df, k=k).collect(), key=lambda r: (r["query_id"], r["rank"])):
+            out.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        return out
+
+    five = [(i, [1.0, float(i)]) for i in (1, 2, 3, 4, 5)]
+    assert got([(0, [1.0, 1.0])] * 2 + five, 5) == {0: [(i + 1, 5 - i, 6.0 - i) for i in range(5)]}
+    assert got([(0, [1.0, 1.0])] * 25 + [(i, [1.0, 1.0]) for i in (1, 2, 3)], 5) == {0: [(i, i, 2.0) for i in (1, 2, 3)]}
+    assert got([(0, [1.0, 1.0]), (0, [9.0, 9.0]), (7, [1.0, 0.0]), (7, [0.0, 3.0]), (7, [0.0, 3.0])], 5) == {0: [(1, 7, 3.0), (2, 7, 1.0)]}
+
+
+def test_ann_many_blocks(spark):
+    """Clusters over many blocks: distant blocks are passed by, near ones are not."""
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((40, 16))
+    x = [(i, [float(c) for c in centres[i % 40] + 0.3 * rng.standard_normal(16)]) for i in range(3000)]
+    _, want = brute(x, 10, 20)
+    got = {}
+    for r in ann.nearest(spark.createDataFrame(x, "vec_id long, embedding array<double>"), k=10, block_rows=100).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert sum(len(got[q] & {i for i, _ in want[q]}) for q in want) >= 0.9 * 10 * len(want)

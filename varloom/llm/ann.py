@@ -1,146 +1,282 @@
 """Approximate nearest neighbours with a hash-prefix forest.
 
-Every vector gets one long bit string a tree (signs of random projections).
-A tree is the sorted array of these strings.  A query descends each tree to
-its longest-prefix matches by binary search; then all trees ascend together,
-one bit at a time, until their matching ranges hold enough candidates.  Those
-that most trees hold are ranked by the exact inner product in double precision.
+Every vector gets one long bit string a tree (signs of random projections; the
+trees draw their planes from one pool).  A tree is the sorted array of these
+strings.  A query descends each tree to its longest-prefix matches by binary
+search; then all trees ascend together, one bit at a time, and what their
+matching ranges hold is compared exactly, in double precision.  The ascent
+ends when a row as near as the k-th best so far would have shared one of the
+visited prefixes with a probability of at least 1 - `miss`: two vectors at an
+angle a agree in a bit with probability p = 1 - a / pi, so all trees miss such
+a row with (1 - p^depth)^trees.  How much is visited therefore follows from
+the data: little where neighbours are much nearer than the rest, a good part
+where vectors spread evenly over all directions.  The rule is the same for
+any number of rows.
 
 Largest inner product is turned into smallest angle by one more component,
 sqrt(M^2 - |x|^2) for an indexed vector and 0 for a query.
 
-The index is dealt into blocks of bounded size, each a forest of its own that
-one task builds and probes; queries are dealt into chunks.  Equal vectors
-share every hash string, so of each group of equal vectors only the `k` + 1
-smallest ids are indexed: by the tie rule the others can never be returned.
+The index is one more such array over all rows, cut into ranges of about
+`block_rows` rows: the blocks, each a forest that one task holds.  A query is
+first answered in its home block.  Then it is sent on, with the score it must
+beat, only to blocks that can hold a nearer row: those with
+q.c + |q| r of at least that score, for the block's centre c and radius r.
 
-Vectors that are null, empty, all zero, or hold null or non-finite
-components, or whose length differs from the longest group's, take no part; a null id neither.
-Repeated ids are separate candidates.  No rows give no rows.
+Rows that repeat both id and vector count once.  An id with several vectors is
+several candidates and, as a query, stands for its smallest vector (in the
+order of arrays); rows with the query's id are its own and no candidates.
+Of equal vectors only the `k` + 1 smallest ids are indexed: by the tie rule
+the others can never be returned.  Vectors that are null, empty, all zero, or
+hold null or non-finite components, or whose length differs from the longest
+group's, take no part; a null id neither.  Other columns are not looked at.
+No rows give no rows.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from varloom.llm._shared import importable, materialize
 
 BITS = 24
+POOL = 1536  # planes that the trees draw from
+ROUTE_BITS = 48
+MOST_BLOCKS = 1 << 15  # what one task knows of all blocks is a centre each
 
 
 class Forest:
-    """Sorted hash strings of one block of vectors."""
+    """Sorted hash strings of one block of vectors; `top` is the largest squared length in the whole index."""
 
-    def __init__(self, vectors: np.ndarray, trees: int, seed: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, top: float, trees: int, seed: int):
+        self.ids, self.top, self.trees = ids, top, trees
         self.vectors = np.ascontiguousarray(vectors, dtype=np.float64)
-        sq = (self.vectors**2).sum(1)
-        self.top = sq.max()
-        lifted = np.hstack([self.vectors, np.sqrt(np.maximum(self.top - sq, 0))[:, None]])
-        self.planes = np.random.default_rng(seed).standard_normal((trees, lifted.shape[1], BITS))
-        self.orders, self.codes = [], []
-        for p in self.planes:
-            c = self._code(lifted, p)
-            order = np.argsort(c, kind="stable")
-            self.orders.append(order)
-            self.codes.append(c[order])
-
-    @staticmethod
-    def _code(x: np.ndarray, planes: np.ndarray) -> np.ndarray:
-        return (x @ planes > 0) @ (1 << np.arange(BITS - 1, -1, -1, dtype=np.int64))
-
-    def ranges(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each query and tree the matching range, at the longest common depth at which all ranges hold `wanted` places."""
-        lifted = np.hstack([queries, np.zeros((len(queries), 1))])
-        codes = np.stack([self._code(lifted, p) for p in self.planes])  # trees x queries
-        lo, hi = np.zeros(codes.shape, np.int64), np.zeros(codes.shape, np.int64)
-        open_ = np.ones(len(queries), bool)
+        rng = np.random.default_rng(seed)
+        self.planes = rng.standard_normal((vectors.shape[1] + 1, POOL))
+        self.picks = np.stack([rng.permutation(POOL)[:BITS] for _ in range(trees)])
+        self.compared = 0
+        lift = np.sqrt(np.maximum(top - (self.vectors**2).sum(1), 0))
+        codes = self._codes(np.hstack([self.vectors, lift[:, None]]))
+        order = np.argsort(codes, axis=1, kind="stable")
+        self.order = order.astype(np.int32).ravel()
+        # One ascending array: the trees' sorted arrays one after another.
+        self.sorted = (np.take_along_axis(codes, order, 1) | (np.arange(trees)[:, None] << BITS)).ravel()
+
+    def _codes(self, lifted: np.ndarray) -> np.ndarray:
+        bits = lifted @ self.planes > 0
+        place = 1 << np.arange(BITS - 1, -1, -1, dtype=np.int64)
+        return np.stack([bits[:, p] @ place for p in self.picks])
+
+    def search(self, qids: np.ndarray, queries: np.ndarray, low: np.ndarray, k: int, miss: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """For each query its k best rows with a score of at least `low`: (ids, scores), best first, ties to the smaller id."""
+        for at in range(0, len(queries), 256):
+            part = slice(at, at + 256)
+            yield from self._search(qids[part], np.ascontiguousarray(queries[part], dtype=np.float64), low[part], k, math.log(miss))
+
+    def _search(self, qids, queries, low, k, log_miss):
+        n, trees = len(self.ids), self.trees
+        first = self._codes(np.hstack([queries, np.zeros((len(queries), 1))])) | (np.arange(trees)[:, None] << BITS)
+        length = np.sqrt((queries**2).sum(1) * self.top)
+        seen = np.zeros((len(queries), n), bool)
+        held = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
+        kth, looked = low.copy(), np.zeros(len(queries), np.int64)
+        open_ = np.arange(len(queries))
         for depth in range(BITS, -1, -1):  # ascend, all trees together
-            at = np.flatnonzero(open_)
-            if not len(at):
+            prefix = (first[:, open_] >> (BITS - depth)) << (BITS - depth)
+            lo = np.searchsorted(self.sorted, prefix, "left")
+            size = np.searchsorted(self.sorted, prefix + (1 << (BITS - depth)), "left") - lo
+            total = size.sum(0)
+            left = []
+            for j, i in enumerate(open_):
+                need = self._needed(depth, kth[i], length[i], log_miss)
+                if need > trees and total[j] < 2 * looked[i]:
+                    left.append(i)  # hardly more than the last look: ascend on
+                    continue
+                use = min(need, trees)
+                looked[i] = total[j]
+                held[i], kth[i] = self._look(lo[:use, j], size[:use, j], seen[i], held[i], qids[i], queries[i], low[i], k)
+                if need > trees and self._needed(depth, kth[i], length[i], log_miss) > trees:
+                    left.append(i)
+            open_ = np.array(left, dtype=np.int64)
+            if not len(open_):
                 break
-            shift = BITS - depth
-            first = (codes[:, at] >> shift) << shift
-            for t, c in enumerate(self.codes):
-                lo[t, at] = np.searchsorted(c, first[t], "left")
-                hi[t, at] = np.searchsorted(c, first[t] + (1 << shift), "left")
-            open_[at] = (hi[:, at] - lo[:, at]).sum(0) < wanted
-        return lo, hi
-
-    def search(self, queries: np.ndarray, per_tree: float, rank: int, k: int):
-        """Yield for each query its best candidates (positions, exact products): about k and all ties.
-
-        The trees ascend until their ranges hold `per_tree` of the block each,
-        on average; the `rank` candidates that most trees hold (and those
-        level with them) are compared exactly.
-        """
-        queries = np.ascontiguousarray(queries, dtype=np.float64)
-        if len(queries) > 2048:  # the ranges of all trees are held for so many queries at once
-            for at in range(0, len(queries), 2048):
-                yield from self.search(queries[at : at + 2048], per_tree, rank, k)
-            return
-        n = len(self.vectors)
-        lo, hi = self.ranges(queries, max(k, int(len(self.orders) * n * per_tree)))
-        for i, q in enumerate(queries):
-            held = np.concatenate([o[a:b] for o, a, b in zip(self.orders, lo[:, i], hi[:, i], strict=True)])
-            count = np.bincount(held, minlength=n)
-            cut = max(1, np.partition(count, n - rank)[n - rank]) if rank < n else 0
-            got = np.flatnonzero(count >= cut)
-            rough = self.vectors[got] @ q
-            if len(got) > k:
-                least = np.partition(rough, len(rough) - k)[len(rough) - k]
-                got = got[rough >= least - 1e-9 * max(1.0, abs(least))]
-            yield got, (self.vectors[got] * q).sum(1)  # summed alike wherever the row lies, so ties are exact
+        return held
+
+    def _needed(self, depth: int, kth: float, length: float, log_miss: float) -> int:
+        """How many trees must be visited at this depth (the others at one bit more); more than all of them: ascend."""
+        if depth == 0:
+            return 1  # the whole block
+        if not math.isfinite(kth):
+            return self.trees + 1
+        p = 1 - math.acos(max(-1.0, min(1.0, kth / length))) / math.pi
+        if p >= 1:
+            return 1
+        here, deeper = math.log1p(-(p**depth)), math.log1p(-(p ** (depth + 1)))
+        if here >= deeper:  # both round to 0
+            return self.trees + 1
+        return max(1, math.ceil((log_miss - self.trees * deeper) / (here - deeper)))
+
+    def _look(self, lo, size, seen, held, qid, q, low, k):
+        """Compare what these ranges hold and was not seen yet; the k best so far and the k-th score."""
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        new = self.order[at]
+        new = np.unique(new[~seen[new]])
+        seen[new] = True
+        self.compared += len(new)
+        rows = new[self.ids[new] != qid]
+        vectors = self.vectors[rows]
+        rough = vectors @ q
+        least = low
+        if len(rows) + len(held[0]) > k:
+            both = np.concatenate([rough, held[1]])
+            least = max(low, np.partition(both, len(both) - k)[len(both) - k])
+        near = rough >= least - 1e-9 * max(1.0, abs(least)) if math.isfinite(least) else np.ones(len(rows), bool)
+        score = (vectors[near] * q).sum(1)  # summed alike wherever the row lies, so ties are exact
+        ids, score = np.concatenate([held[0], self.ids[rows[near]]]), np.concatenate([held[1], score])
+        best = np.lexsort((ids, -score))
+        best = best[score[best] >= low][:k]
+        ids, score = ids[best], score[best]
+        return (ids, score), (float(score[-1]) if len(score) == k else low)
 
 
 def usable(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """vec_id and vec (array<double>) of the rows that take part."""
+    """vec_id and vec (array<double>) of the rows that take part, each once."""
     v = F.col(f"`{vector}`").cast("array<double>")
     ok = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    return df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False)))
+    return df.select(F.col(f"`{key}`").cast("long").alias("vec_id"), v.alias("vec")).where(F.col("vec_id").isNotNull() & F.coalesce(ok, F.lit(False))).distinct()
+
+
+def _vectors(column: pa.ListArray, dims: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _lists(vectors: np.ndarray) -> pa.ListArray:
+    rows, dims = vectors.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(rows + 1, dtype=np.int32) * dims), pa.array(np.ascontiguousarray(vectors).ravel()))
+
 
+VEC = T.ArrayType(T.DoubleType())
+CODED = T.StructType([T.StructField("role", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("vec", VEC), T.StructField("code", T.LongType())])
+#: kind: 0 an indexed row, 1 a query and its k-th score, 2 a block's centre and radius, 3 a pair found (vec_id: query; other, score).
+HOME = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("vec", VEC), T.StructField("other", T.LongType()), T.StructField("score", T.DoubleType())])
+FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
 
-def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, trees: int = 128, per_tree: float = 1 / 16, share: float = 0.1, least: int = 600, block_rows: int = 16384, query_rows: int = 32768, seed: int = 7) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest found of each query (ids divisible by `every`).
 
-    Of each block the tenth part that most trees hold (`share`, at least
-    `least` rows) is compared exactly.  Vectors that spread evenly over all
-    directions need that much: their neighbours are hardly nearer than the rest.
-    """
-    importable(df.sparkSession)
+def _pairs(qids: np.ndarray, results: Iterator[tuple[np.ndarray, np.ndarray]]) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray, np.ndarray, np.ndarray]:
+    got = list(results)
+    sizes = [len(i) for i, _ in got]
+    ids = np.concatenate([i for i, _ in got]) if got else np.empty(0, np.int64)
+    score = np.concatenate([s for _, s in got]) if got else np.empty(0)
+    return got, np.repeat(qids, sizes), ids, score
+
+
+def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", every: int = 20, k: int = 20, trees: int = 256, miss: float = 0.06, block_rows: int = 8192, seed: int = 7) -> DataFrame:
+    """query_id, rank, vec_id, score: the k nearest found of each query (ids divisible by `every`), each of the k missed with a probability of about `miss`."""
+    spark = df.sparkSession
+    importable(spark)
     rows = materialize(usable(df, key, vector), "vectors")
-    dims = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    if dims is None:
-        return df.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    n = dims["n"]
-    rows = rows.where(F.size("vec") == dims["d"])
+    square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
+    shape = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("top")).orderBy(F.desc("n"), "d").first()
+    if shape is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    dims, n, top = shape["d"], shape["n"], shape["top"]
+    rows = rows.where(F.size("vec") == dims)
     # Of equal vectors the k + 1 smallest ids: the limit is also applied before the shuffle.
     same = W.partitionBy("vec").orderBy("vec_id")
-    indexed = rows.withColumn("_i", F.row_number().over(same)).where(F.col("_i") <= k + 1).drop("_i")
-    blocks, chunks = -(-n // block_rows), -(-(n // every + 1) // query_rows)
-    chunk_ids, block_ids = F.array(*[F.lit(i) for i in range(chunks)]) if chunks < 64 else F.sequence(F.lit(0), F.lit(chunks - 1)), F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = indexed.select(F.expr(f"cast(pmod(xxhash64(vec_id, vec), {blocks}) as int)").alias("block"), F.explode(chunk_ids).alias("chunk"), "vec_id", "vec")
-    right = rows.where(F.col("vec_id") % every == 0).select(F.explode(block_ids).alias("block"), F.expr(f"cast(pmod(xxhash64(vec_id), {chunks}) as int)").alias("chunk"), "vec_id", "vec")
-
-    def probe(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"query_id": np.empty(0, np.int64), "vec_id": np.empty(0, np.int64), "score": np.empty(0)})
-        if x.empty or q.empty:
-            return none
-        ids = x["vec_id"].to_numpy()
-        forest = Forest(np.stack(x["vec"].to_numpy()), trees, seed)
-        out = []
-        qids = q["vec_id"].to_numpy()
-        for qid, (got, score) in zip(qids, forest.search(np.stack(q["vec"].to_numpy()), per_tree, max(least, int(share * len(ids))), k + 1), strict=True):
-            own = ids[got] != qid
-            got, score = got[own], score[own]
-            best = np.lexsort((ids[got], -score))[:k]
-            out.append((np.full(len(best), qid), ids[got][best], score[best]))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-        return pd.DataFrame({"query_id": cols[0], "vec_id": cols[1], "score": cols[2]})
-
-    found = left.groupBy("block", "chunk").cogroup(right.groupBy("block", "chunk")).applyInPandas(probe, "query_id long, vec_id long, score double")
+    indexed = rows.withColumn("_i", F.row_number().over(same)).where(F.col("_i") <= k + 1).select(F.lit(0).alias("role"), "vec_id", "vec")
+    asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")).select(F.lit(1).alias("role"), "vec_id", "vec")
+
+    def code(batches):
+        planes = np.random.default_rng(seed + 1).standard_normal((dims, ROUTE_BITS))
+        place = 1 << np.arange(ROUTE_BITS - 1, -1, -1, dtype=np.int64)
+        for b in batches:
+            bits = _vectors(b.column("vec"), dims) @ planes > 0
+            yield pa.RecordBatch.from_arrays([b.column("role"), b.column("vec_id"), b.column("vec"), pa.array(bits @ place)], names=CODED.names)
+
+    def at_home(batches):
+        from pyspark import TaskContext
+
+        block, forest, ids, vectors = TaskContext.get().partitionId(), None, [], []
+
+        def out(kind, vec_id, vec, other, score):
+            m = len(vec_id)
+            fill = lambda x, t: pa.nulls(m, t) if x is None else pa.array(x, t)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, block, np.int32)), pa.array(vec_id, pa.int64()), pa.nulls(m, pa.list_(pa.float64())) if vec is None else _lists(vec), fill(other, pa.int64()), fill(score, pa.float64())], names=HOME.names)
+
+        for b in batches:
+            is_query = b.column("role").to_numpy() == 1
+            i, v = b.column("vec_id").to_numpy(), _vectors(b.column("vec"), dims)
+            if not is_query.all():
+                ids.append(i[~is_query])
+                vectors.append(v[~is_query])
+                yield out(0, ids[-1], vectors[-1], None, None)
+            if is_query.any():
+                qids, q = i[is_query], v[is_query]
+                if forest is None and ids:
+                    forest = Forest(np.concatenate(ids), np.concatenate(vectors), top, trees, seed)
+                low = np.full(len(q), -np.inf)
+                if forest:
+                    got, pair, near, score = _pairs(qids, forest.search(qids, q, low, k, miss))
+                    low = np.array([s[-1] if len(s) == k else -np.inf for _, s in got])
+                    yield out(3, pair, None, near, score)
+                yield out(1, qids, q, None, low)
+        if ids:
+            x = np.concatenate(vectors)
+            centre = x.mean(0)
+            yield out(2, [block], centre[None, :], None, [np.sqrt(((x - centre) ** 2).sum(1)).max()])
+
+    blocks = -(-n // max(block_rows, -(-n // MOST_BLOCKS)))
+    # Equal strings are cut by a hash of the id.
+    dealt = indexed.unionByName(asked).mapInArrow(code, CODED).repartitionByRange(blocks, F.col("code"), F.xxhash64("vec_id"), F.col("role"))
+    home = materialize(dealt.sortWithinPartitions("role").mapInArrow(at_home, HOME), "blocks")
+    # One centre a block, at most MOST_BLOCKS of them.
+    known = home.where("kind = 2").select("block", "vec", "score").collect()
+    centres = spark.sparkContext.broadcast((np.array([r["block"] for r in known], np.int32), np.array([r["vec"] for r in known]).reshape(-1, dims), np.array([r["score"] for r in known])))
+    sent = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("role", T.IntegerType()), *HOME.fields[2:4], HOME.fields[5]])
+
+    def route(batches):
+        where, centre, radius = centres.value
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                part = b.slice(at, 64)
+                q, low = _vectors(part.column("vec"), dims), part.column("score").to_numpy()
+                reach = q @ centre.T + np.sqrt((q**2).sum(1))[:, None] * radius
+                i, j = np.nonzero((reach >= low[:, None] - 1e-9 * np.maximum(1.0, np.abs(reach))) & (where[None, :] != part.column("block").to_numpy()[:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(where[j]), pa.array(np.ones(len(i), np.int32)), part.column("vec_id").take(pa.array(i)), _lists(q[i]), pa.array(low[i])], names=sent.names)
+
+    def visit(batches):
+        block, forest, ids, vectors = None, None, [], []
+        for b in batches:
+            here = b.column("block").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(here)) + 1), len(here)]
+            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == z:
+                    continue
+                part = b.slice(a, z - a)
+                if here[a] != block:
+                    block, forest, ids, vectors = here[a], None, [], []
+                is_query = part.column("role").to_numpy() == 1
+                i, v = part.column("vec_id").to_numpy(), _vectors(part.column("vec"), dims)
+                if not is_query.all():
+                    ids.append(i[~is_query])
+                    vectors.append(v[~is_query])
+                if is_query.any():
+                    if forest is None:
+                        forest = Forest(np.concatenate(ids), np.concatenate(vectors), top, trees, seed)
+                        ids, vectors = [], []
+                    _, pair, near, score = _pairs(i[is_query], forest.search(i[is_query], v[is_query], part.column("score").to_numpy(zero_copy_only=False)[is_query], k, miss))
+                    yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(near), pa.array(score)], names=FOUND.names)
+
+    asks = home.where("kind = 1").select("block", "vec_id", "vec", "score").mapInArrow(route, sent)
+    held = home.where("kind = 0").select("block", F.lit(0).alias("role"), "vec_id", "vec", F.lit(None).cast("double").alias("score"))
+    abroad = held.unionByName(asks).repartition("block").sortWithinPartitions("block", "role").mapInArrow(visit, FOUND)
+    found = abroad.unionByName(home.where("kind = 3").select(F.col("vec_id").alias("query_id"), F.col("other").alias("vec_id"), "score"))
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
