@@ -107,6 +107,20 @@ def hash_sample(df: DataFrame, rows: int, most: int, *columns: str) -> DataFrame
     return df.orderBy(h, *columns).limit(most)
 
 
+def with_totals(rows: DataFrame, totals: DataFrame, key: str, total: int, most: int = 100_000, least: int = 1024) -> DataFrame:
+    """`rows` joined to `totals` (one row a key; `n`: about how many of `rows` hold the key) without a hot key in one task.
+
+    `total` is the number of rows.  At most `most` keys can hold more than
+    total / most of them each; these are joined by broadcast where their rows
+    lie, and only rows of the other keys are shuffled by key.
+    """
+    bar = max(least, -(-total // most))
+    hot, cold = totals.where(F.col("n") > bar), totals.where(F.col("n") <= bar)
+    held = rows.join(F.broadcast(hot), key)  # at most `most` keys
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return held.unionByName(rest)
+
+
 def with_output(df: DataFrame, **columns) -> DataFrame:
     """Add an operator's columns; an input column of the same name (in any case) is replaced."""
     names = {c.lower() for c in columns}

@@ -6,24 +6,30 @@ words: the whole sequence as one; none: empty, linked with nothing).  Links:
 100 * intersection >= 75 * union.  Groups: connected components of links.
 
 1. Sketch.  One pass over the texts gives each row the size of its set, a
-   128-bit digest of it and the `k` smallest hashes.  Rows with equal digests
-   are one class from here on, so exact copies cost nothing more.
-2. Inverted lists.  A linked pair must share at least `least_shared` retained
-   values (the whole bound for sets up to k; else the mean 0.75 k less six
-   standard deviations).  So a class whose values are mostly found nowhere
-   else drops out, and the others enter only the lists of their rarest values,
-   as many as that bound requires: frequent passages come last and rarely
+   128-bit digest of it and the smallest hashes, as many as `retained` says.
+   Rows with equal digests are one class from here on, so exact copies cost
+   nothing more.
+2. Inverted lists.  Linked sets of n values have at least a = ceil(3 n / 4) in
+   common, so the first n - a + t values of each (in the order of the hash)
+   share at least t: a law, not odds.  A class whose values are mostly found
+   nowhere else drops out, and the others enter only the lists of their rarest
+   values, as many as the law requires: frequent passages come last and rarely
    enter.  Each list gives edges to one member, not all pairs.
-3. Clusters.  Components over those edges hold every possible link.
+3. Clusters.  Components over those edges hold every link.
 4. Verification.  Full sets of clustered classes (a second pass; other texts
-   stay where they are) meet by cluster in blocks.  Inside a block the
-   union-sketch estimate filters pairs and exact Jaccard on the full sets
-   verifies them, best first, leaving out pairs that verified links already
-   join.  A cluster above `block` first meets a block of pivots, the classes
-   with the fewest values of their own; only classes that stay unlinked then
-   meet the rest.
+   stay where they are) meet by cluster in blocks of bounded rows and values.
+   Inside a block the sketches' union gives an estimate and the number of
+   values that certainly are in one set only: pairs with too many of these are
+   out, the others are verified by exact Jaccard on the full sets, best first,
+   leaving out pairs that verified links already join.  A cluster above `block`
+   first meets a block of pivots, the classes with the fewest values of their
+   own; of the classes that stay unlinked, those with too many values that no
+   other class of the cluster holds drop out, and the rest meets the cluster.
 5. Components over the verified links; each takes its smallest doc_id.
 
+No step lets a link go.  A key that holds many rows (a frequent value, the
+centre of a star, a large group) is joined by broadcast, see `with_totals`.
+
 Rows with a null doc_id are given component_id null and kept true, and link
 nothing; they are not named by others.  Repeated rows share their component.
 Null text counts as empty.  No rows give no rows.
@@ -31,8 +37,6 @@ Null text counts as empty.  No rows give no rows.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,14 +44,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from varloom.llm._shared import bounded_batches, materialize
+from varloom.llm._shared import bounded_batches, materialize, with_totals
 from varloom.llm.bpe import small_batches
 
-K = 96
+K = 256  # smallest values of a set that are compared before the whole sets
 SHINGLE = 5
 BLOCK = 512
 PIVOTS = 256
-BITMAP_BITS = 24
+VALUES = 1 << 22  # of all sets that meet in a task
 _MIX1, _MIX2, _MIX3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -114,12 +118,14 @@ def digest(s: np.ndarray) -> bytes:
     return int(mix(np.array([a]))[0]).to_bytes(8, "big") + int(mix(np.array([b]))[0]).to_bytes(8, "big")
 
 
-def least_shared(size: int, k: int = K) -> int:
-    """How many retained values a class with a sketch of this size shares with any linked one."""
-    exact = -(-3 * size // 4)
-    if size <= 0.75 * k:  # the union of a linked pair has at most k values: nothing is cut off
-        return exact
-    return min(exact, math.floor(0.75 * k - 6 * math.sqrt(k * 0.75 * 0.25)))
+def least_shared(n: int) -> int:
+    """t of the law for a set of n values; it never falls as n grows."""
+    return min(-(-3 * n // 4), max(8, n // 8))
+
+
+def retained(n: int) -> int:
+    """How many of a set's smallest values its sketch keeps: two linked sets share at least the smaller t of the two there."""
+    return n - -(-3 * n // 4) + least_shared(n)
 
 
 def _longs(lists: list[np.ndarray]) -> pa.Array:
@@ -128,96 +134,95 @@ def _longs(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat))
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K) -> DataFrame:
-    """doc_id, n_shingles, node (the set's digest; null if empty), sketch."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, text_hash, n_shingles, node (the set's digest; null if empty), sketch."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in small_batches(batches):
-            sets = shingle_sets(b.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), _longs([s[:k] for s in sets])], names=schema.names)
+            sets = shingle_sets(b.column(2).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), _longs([s[: retained(len(s))] for s in sets])], names=schema.names)
 
-    return docs.select(F.col(f"`{key}`").cast("long"), F.col(f"`{text}`").cast("string")).mapInArrow(run, schema)
+    t = F.col(f"`{text}`").cast("string")
+    return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text")).mapInArrow(run, schema)
 
 
-def _lists(values: DataFrame, least: DataFrame) -> DataFrame:
+def _lists(values: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """Keep the values found in more than one class, and the classes with at least their bound of such values: node, size, least, shared (sorted rarest first)."""
-    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("df")).where(F.col("df") > 1)
-    met = values.join(shared, "value")
-    return met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("df", "value"))).alias("shared")).join(least, "node").where(F.size("shared") >= F.col("least"))
+    shared = materialize(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "shared")
+    met = with_totals(values, shared, "value", total)
+    return met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("df"), "value"))).alias("shared")).join(least, "node").where(F.size("shared") >= F.col("least"))
 
 
-def candidate_edges(classes: DataFrame, k: int = K) -> tuple[DataFrame, DataFrame]:
+def candidate_edges(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges of the clusters: a, b; own: node, own = number of values found nowhere else)."""
-    sizes = [least_shared(s, k) for s in range(k + 1)]
-    bound = F.element_at(F.array(*[F.lit(x) for x in sizes]), F.size("sketch") + 1)
-    least = classes.select("node", F.size("sketch").alias("size"), bound.alias("least"))
+    # The smallest set that a linked one can be has a = ceil(3 n / 4) values; its t holds for both.
+    bound = "least((3 * ((3 * n_shingles + 3) div 4) + 3) div 4, greatest(8, ((3 * n_shingles + 3) div 4) div 8))"
+    least = classes.select("node", F.size("sketch").alias("size"), F.expr(bound).cast("int").alias("least"))
     values = classes.select("node", F.explode("sketch").alias("value"))
-    once = _lists(values, least).select("node", F.explode("shared.value").alias("value"))
+    total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
+    once = materialize(_lists(values, least, total).select("node", F.explode("shared.value").alias("value")), "lists")
     # Once more among the classes that are left: some values are now single.
-    left = materialize(_lists(once, least), "lists")
+    left = materialize(_lists(once, least, once.count()), "lists")
     # Of a class's values, those found nowhere else come first in the order; they fill places of the prefix.
     take = F.col("size") - F.col("least") + 1 - (F.col("size") - F.size("shared"))
-    entries = left.where(take > 0).select("node", F.explode(F.expr("slice(shared.value, 1, greatest(1, size - least + 1 - (size - size(shared))))")).alias("value"))
+    entries = left.where(take > 0).select("node", F.explode(F.expr("slice(shared.value, 1, size(shared) - least + 1)")).alias("value"))
     entries = materialize(entries, "entries")
     head = entries.groupBy("value").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    edges = entries.join(head, "value").where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
+    edges = with_totals(entries, head, "value", entries.count()).where(F.col("node") != F.col("a")).select("a", F.col("node").alias("b")).distinct()
     return edges, left.select("node", (F.col("size") - F.size("shared")).alias("own"))
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) by large-star and small-star rounds.
 
     Each round is written to the shared folder.  Rounds end when a round
-    changes nothing, seen by a checksum of the edges.
+    changes nothing, seen by a checksum of the edges; their number grows with
+    the square of the logarithm of the edges at most.
     """
+    mark = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
-    mark = None
-    for _ in range(most_rounds):
+    old, seen = None, mark(now)
+    while seen != old:
         # Large star: every larger neighbour of u moves to the smallest of u's neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where(F.col("v") > F.col("u")).join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = with_totals(both.where(F.col("v") > F.col("u")), low, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         # Small star: every smaller neighbour of u, and u itself, moves to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        small = with_totals(large, least, "u", seen[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
-        new = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
-            break
-        mark = new
-    else:
-        raise RuntimeError("components did not settle")
+        old, seen = seen, mark(now)
     star = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
 
-def bitmap(nodes: DataFrame) -> bytes:
-    """A bit for each value of the first bits of a node: a fixed size whatever the number of nodes."""
-    at = F.conv(F.hex(F.substring("node", 1, BITMAP_BITS // 8)), 16, 10).cast("long")
-    rows = nodes.select(at.alias("p")).where("p > 0").groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect()  # at most 2^24 bits
-    out = bytearray((1 << BITMAP_BITS) // 8 + 4096)
+def bitmap(nodes: DataFrame) -> tuple[int, bytes]:
+    """(bits, map): a bit for each value of the first `bits` bits of a node, about 16 times as many as nodes, from 2^20 to 2^28 (32 MB)."""
+    bits = min(28, max(20, (16 * nodes.count()).bit_length()))
+    at = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - bits)
+    rows = nodes.select(at.alias("p")).where("p > 0").groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect()  # at most 2^28 bits
+    out = bytearray((1 << bits) // 8 + 4096)
     for r in rows:
         out[(r["b"] - 1) * 4096 : r["b"] * 4096] = r["m"]
-    return bytes(out)
+    return bits, bytes(out)
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """node, set for the given nodes: a second pass over the texts that sends on only sets whose bit is set."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap(nodes))  # 2 MB at any size
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap(nodes))  # 32 MB at most
     schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches):
-        bits, sent = shared.value, set()
+        (bits, held), sent = shared.value, set()
         for b in small_batches(batches):
             names, sets = [], []
             for s in shingle_sets(b.column(0).to_pylist()):
                 if len(s):
                     d = digest(s)
-                    p = int.from_bytes(d[: BITMAP_BITS // 8], "big")
-                    # bit_position(p) of bucket_number(p): Spark counts buckets from 1 for p = 1, so p - 1 for positive p
-                    if d not in sent and _bit(bits, p):
-                        sent.add(d)
+                    if d not in sent and _bit(held, int.from_bytes(d[:4], "big") >> (32 - bits)):
+                        if len(sent) < 1 << 17:  # copies beyond are brought together after the pass
+                            sent.add(d)
                         names.append(d)
                         sets.append(s)
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), _longs(sets)], names=schema.names)
@@ -226,28 +231,44 @@ def full_sets(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str
 
 
 def _bit(bits: bytes, p: int) -> bool:
-    """Whether Spark's bitmap functions have set the bit of p >= 0 (p = 0 is bit 0 of bucket 0)."""
+    """Whether Spark's bitmap functions have set the bit of p (they count from 1)."""
     if p == 0:
-        return True  # its bucket is not kept; one value in 2^24 is always sent on
+        return True  # its bucket is not kept; such nodes are always sent on
     bucket, position = 1 + (p - 1) // 32768, (p - 1) % 32768
     return bool(bits[(bucket - 1) * 4096 + position // 8] >> (position % 8) & 1)
 
 
-def estimate(a: np.ndarray, b: np.ndarray, k: int) -> np.ndarray:
-    """Jaccard estimates of pairs of sketches (rows; padded with the largest value): the share of both among the k smallest of the union."""
-    both = np.sort(np.hstack([a, b]), axis=1)
-    twice = np.zeros(both.shape, bool)
-    twice[:, 1:] = both[:, 1:] == both[:, :-1]
-    real = both != np.uint64(0xFFFFFFFFFFFFFFFF)
-    rank = np.cumsum(~twice & real, axis=1)
-    inside = (rank <= k) & real
-    union = (inside & ~twice).sum(1)
-    return (inside & twice).sum(1) / np.maximum(union, 1)
+def union_sketch(sets: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs: the Jaccard estimate, and how many values are in one of the two sets for certain.
+
+    Below the smaller of the two sketches' ends both sets are known wholly,
+    so what one of them lacks there it lacks at all.
+    """
+    n = len(sets)
+    sk = [s[:k] for s in sets]
+    ends = np.array([s[k - 1] if len(s) > k else np.uint64(0xFFFFFFFFFFFFFFFF) for s in sets])
+    within = np.stack([np.searchsorted(s, ends, "right") for s in sk]).astype(np.float32)
+    who = np.repeat(np.arange(n), [len(s) for s in sk])
+    _, place, df = np.unique(np.concatenate(sk), return_inverse=True, return_counts=True)
+    many = df > 1
+    column, many = (np.cumsum(many) - 1)[place], many[place]
+    order = np.argsort(column[many], kind="stable")
+    column, who = column[many][order], who[many][order]
+    both = np.zeros((n, n), np.float32)
+    for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [c, c + 4096])
+        held = np.zeros((n, 4096), np.float32)
+        held[who[a:b], column[a:b] - c] = 1
+        both += held @ held.T
+    union = within + within.T - both
+    return both / np.maximum(union, 1), union - both
 
 
 def verified_links(sets: list[np.ndarray], k: int = K) -> list[tuple[int, int]]:
     """A spanning forest of the linked pairs among these sets (exact)."""
     n = len(sets)
+    if n < 2:
+        return []
     root = list(range(n))
 
     def find(i: int) -> int:
@@ -257,20 +278,14 @@ def verified_links(sets: list[np.ndarray], k: int = K) -> list[tuple[int, int]]:
         return i
 
     size = np.array([len(s) for s in sets])
-    sk = np.full((n, k), np.uint64(0xFFFFFFFFFFFFFFFF))
-    for i, s in enumerate(sets):
-        sk[i, : min(k, len(s))] = s[:k]
+    guess, apart = union_sketch(sets, k)
     left, right = np.triu_indices(n, 1)
     low, high = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
-    fits = 100 * low >= 75 * high
-    left, right, union_most = left[fits], right[fits], (low + high)[fits]
-    guess = np.concatenate([estimate(sk[left[i : i + 8192]], sk[right[i : i + 8192]], k) for i in range(0, len(left), 8192)]) if len(left) else np.empty(0)
-    # Small unions are counted whole; else six standard deviations of grace.
-    grace = np.where(union_most <= k, 1e-9, 6 * math.sqrt(0.75 * 0.25 / k))
-    ok = guess >= 0.75 - grace
-    left, right, guess = left[ok], right[ok], guess[ok]
+    # A pair is linked if at most a seventh of both sizes together is in one set only.
+    ok = (100 * low >= 75 * high) & (7 * apart[left, right] <= low + high)
+    left, right = left[ok], right[ok]
     links = []
-    for i in np.argsort(-guess, kind="stable"):
+    for i in np.argsort(-guess[left, right], kind="stable"):
         a, b = int(left[i]), int(right[i])
         ra, rb = find(a), find(b)
         if ra == rb:
@@ -316,29 +331,33 @@ def _rows(rows: list[tuple], out: T.StructType) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, {"binary": pa.binary(), "int": pa.int32(), "string": pa.string()}[f.dataType.simpleString()]) for c, f in zip(cols, out.fields, strict=True)], names=out.names)
 
 
-def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, block: int = BLOCK, pivots: int = PIVOTS, values: int = VALUES) -> DataFrame:
     """Verified links (a, b) that join every group."""
-    edges, own = candidate_edges(classes, k)
-    clusters = materialize(components(edges), "clusters")
-    sized = clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+    edges, own = candidate_edges(classes)
+    clusters = materialize(components(edges).join(classes.select("node", "n_shingles"), "node"), "clusters")
+    # Blocks of a cluster: as many as its rows and its values need.
+    n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / values)).cast("int")
+    counts = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), n_blocks.alias("blocks"))
+    sized = with_totals(clusters, counts, "root", clusters.count())
     sets = materialize(sized.join(full_sets(docs, clusters, key, text).dropDuplicates(["node"]), "node").join(own, "node", "left"), "sets")
 
     def all_pairs(held):
         return [(held[i][2], held[j][2]) for i, j in verified_links([h[3] for h in held], k)]
 
-    near = sets.where(F.col("n") <= block).select(F.hex("root").alias("task"), F.lit(0).alias("role"), "node", "set")
+    near = sets.where(F.col("blocks") == 1).select(F.hex("root").alias("task"), F.lit(0).alias("role"), "node", "set")
     out = _by_task(near, LINKS, all_pairs)
-    big = sets.where(F.col("n") > block)
+    big = sets.where(F.col("blocks") > 1)
     if not big.take(1):
         return out
     # Large clusters: pivots first (the classes with the fewest values of their own).
     rank = F.row_number().over(W.partitionBy("root").orderBy("own", "node"))
-    pivot = materialize(big.withColumn("_r", rank).where(F.col("_r") <= pivots).select("root", "node", "set"), "pivots")
-    others = big.select("root", "n", "node", "set").join(pivot.select("node"), "node", "left_anti")
-    n_blocks = F.ceil(F.col("n") / block).cast("int")
+    first = materialize(big.withColumn("_r", rank).where(F.col("_r") <= pivots).select("root", "blocks", "node", "set", "n_shingles", "_r"), "pivots")
+    so_far = F.sum("n_shingles").over(W.partitionBy("root").orderBy("_r").rowsBetween(W.unboundedPreceding, 0))  # at most `pivots` rows a cluster
+    pivot = first.withColumn("_v", so_far).where((F.col("_v") <= values) | (F.col("_r") == 1)).select("root", "blocks", "node", "set")
+    others = big.select("root", "blocks", "node", "set").join(pivot.select("node"), "node", "left_anti")
     name = lambda *x: F.concat_ws("/", F.hex("root"), *[c.cast("string") for c in x])
-    dealt = others.select(name(F.expr(f"pmod(xxhash64(node), ceil(n / {block}))")).alias("task"), F.lit(1).alias("role"), "node", "set")
-    spread = pivot.join(big.select("root", n_blocks.alias("blocks")).distinct(), "root").select("root", "node", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select(name(F.col("j")).alias("task"), F.lit(0).alias("role"), "node", "set")
+    dealt = others.select(name(F.expr("pmod(xxhash64(node), blocks)")).alias("task"), F.lit(1).alias("role"), "node", "set")
+    spread = pivot.select("root", "node", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select(name(F.col("j")).alias("task"), F.lit(0).alias("role"), "node", "set")
     marked = T.StructType([*LINKS.fields, T.StructField("open", T.IntegerType())])
 
     def against_pivots(held):
@@ -353,13 +372,18 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
 
     met = materialize(_by_task(spread.unionByName(dealt), marked, against_pivots), "met")
     out = out.unionByName(met.where("open = 0").select("a", "b"))
-    # What no pivot's group took in meets the whole cluster, 256 at a time.
-    loose = big.join(met.where("open = 1").select(F.col("a").alias("node")).distinct(), "node").select("root", "n", "node", "set")
-    loose = materialize(loose, "loose")
-    groups = loose.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / 256).cast("int").alias("g"))
-    row = loose.join(groups, "root").withColumn("i", F.expr("cast(pmod(xxhash64(node, 1), g) as int)"))
-    left = row.select("root", "i", "node", "set", F.explode(F.sequence(F.lit(0), n_blocks - 1)).alias("j")).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(0).alias("role"), "node", "set")
-    right = big.join(groups, "root").select("root", F.expr(f"pmod(xxhash64(node), ceil(n / {block}))").alias("j"), "node", "set", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i")).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(1).alias("role"), "node", "set")
+    # What no pivot's group took in.  A class of which more than a third is in no other class of the cluster is linked to none:
+    # of a linked pair at most a seventh of both sizes is in one set only, and the other has at most 4/3 of its size.
+    loose = materialize(big.join(met.where("open = 1").select(F.col("a").alias("node")).distinct(), "node").select("root", "blocks", "n_shingles", "node", "set"), "loose")
+    single = big.select("root", F.explode("set").alias("value")).groupBy("root", "value").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("root", "value")
+    alone = loose.select("root", "node", F.explode("set").alias("value")).join(single, ["root", "value"]).groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+    loose = materialize(loose.join(alone, "node", "left").where(3 * F.coalesce("alone", F.lit(0)) <= F.col("n_shingles")).drop("alone"), "loose")
+    # The rest meets the whole cluster, in groups of half a block.
+    groups = loose.groupBy("root").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / block), F.ceil(2 * F.sum("n_shingles") / values)).cast("int").alias("g"), F.count(F.lit(1)).alias("n"))
+    row = with_totals(loose, groups, "root", loose.count()).withColumn("i", F.expr("cast(pmod(xxhash64(node, 1), g) as int)"))
+    left = row.select("root", "i", "node", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(0).alias("role"), "node", "set")
+    met_by = with_totals(big.drop("n"), groups.join(counts.select("root", F.col("n").alias("held")), "root").select("root", "g", F.col("held").alias("n")), "root", clusters.count())
+    right = met_by.select("root", F.expr("pmod(xxhash64(node), blocks)").alias("j"), "node", "set", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i")).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(1).alias("role"), "node", "set")
 
     def loose_against_all(held):
         return [(held[i][2], held[j][2]) for i, j in verified_links([h[3] for h in held], k) if held[i][2] != held[j][2]]
@@ -390,16 +414,17 @@ def _largest(n: int, found: list[tuple[int, int]]) -> list[int]:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept, and node (the class)."""
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept, node (the class) and text_hash (xxhash64 of the text)."""
     bounded_batches(docs.sparkSession)
-    rows = materialize(sketches(docs, key, text, k), "sketches")
-    named = rows.where(F.col("doc_id").isNotNull() & F.col("node").isNotNull())
-    classes = materialize(named.select("node", "sketch").dropDuplicates(["node"]), "classes")
+    rows = materialize(sketches(docs, key, text), "sketches")
+    named = F.col("doc_id").isNotNull() & F.col("node").isNotNull()
+    classes = materialize(rows.where(named).select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "classes")
+    rows = rows.drop("sketch")
     found = components(links(docs, classes, key, text, k, block, pivots))
-    low = named.groupBy("node").agg(F.min("doc_id").alias("low"))
-    rooted = low.join(found, "node", "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    by_class = rooted.join(smallest, "root").select("node", "component_id")
-    out = rows.drop("sketch").join(by_class, "node", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce(F.when(F.col("node").isNotNull(), F.col("component_id")), F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), "node").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    low = rows.where(named).groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
+    rooted = materialize(low.join(found, "node", "left").select("node", "low", "copies", F.coalesce("root", "node").alias("root")), "rooted")
+    smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
+    by_class = with_totals(rooted, smallest, "root", rooted.count()).select("node", "component_id", F.col("copies").alias("n"))
+    grouped = with_totals(rows.where(named), by_class, "node", rows.count()).select(*rows.columns, "component_id")
+    out = grouped.unionByName(rows.where(~named).withColumn("component_id", F.col("doc_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "node", "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
