@@ -222,3 +222,27 @@ def test_whole_licence_texts(spark):
     df = spark.createDataFrame([(f"d{i}/x", t) for i, (_, t) in enumerate(cases)], "path string, text string")
     got = {r["path"]: r["own_licence"] for r in licences.scan(df).collect()}
     assert [got[f"d{i}/x"] for i in range(len(cases))] == [k for k, _ in cases]
+
+
+def test_headers_of_source_files(spark):
+    cases = [
+        ("Apache-2.0", "# Licensed to the Apache Software Foundation (ASF) under one or more\n# contributor license agreements.  See the NOTICE file distributed with\n# this work for additional information regarding copyright ownership.\n# The ASF licenses this file to You under the Apache License, Version 2.0\n# (the \"License\"); you may not use this file except in compliance with\n# the License.  You may obtain a copy of the License at\n#\n#    http://www.apache.org/licenses/LICENSE-2.0\n\nimport os"),
+        ("GPL-3.0", "/* This program is free software: you can redistribute it and/or modify\n   it under the terms of the GNU General Public License as published by\n   the Free Software Foundation, either version 3 of the License, or\n   (at your option) any later version. */\nint x;"),
+        ("AGPL-3.0", "// This program is free software: you can redistribute it and/or modify\n// it under the terms of the GNU Affero General Public License as published by\n// the Free Software Foundation, either version 3 of the License, or\n// (at your option) any later version.\n\nint x;"),
+        ("GPL-2.0", "/*\n * This program is free software; you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation; version 2 of the License.\n */"),
+        ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nrest"),
+        ("BSD-2-Clause", "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are met:\n#\n# 1. x"),
+        ("MIT", "SPDX-License-Identifier: MIT"),
+        ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0"),
+        ("GPL-2.0-only", "# SPDX-License-Identifier: GPL-2.0-only\n\ncode"),
+        ("House-1.0", "The house licence grants every reader of this house\na general public licence to read, and to read aloud, in this house.\n\nrest"),
+    ]
+    df = spark.createDataFrame([(f"d{i}/x", t) for i, (_, t) in enumerate(cases)], "path string, text string")
+    house = ("House-1.0", "The house licence grants every reader of this house a general public licence to read, and to read aloud, in this house.")
+    got = {r["path"]: r["own_licence"] for r in licences.scan(df, texts=[*licences.TEXTS, house]).collect()}
+    assert [got[f"d{i}/x"] for i in range(len(cases))] == [k for k, _ in cases]
+
+
+def test_repeated_licensed_paths(spark):
+    df = spark.createDataFrame([("a/x", "Released under the MIT License.")] * 5 + [("a/y", "none")], "path string, text string").repartition(3)
+    assert sorted(tuple(r)[0:2] for r in licences.scan(df).select("path", "own_licence").collect()) == [("a/x", "MIT")] * 5 + [("a/y", None)]

@@ -10,6 +10,10 @@ licenses its directory; a file without an own licence takes that of the
 nearest ancestor directory, found by joining paths.  Input columns with the
 names of the results are replaced.
 
+The text is read once: its sentences and paragraphs that may tell a licence are
+written to the shared folder, and all cosines come from these.  Texts of more
+licences can be given (`texts`).
+
 Only DataFrame functions are used.  Files with a null path, null or empty
 text, or no such sentence have no own licence; ties go to the template first
 in the alphabet, and of several licence files in a directory the one with the
@@ -26,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from varloom.llm._shared import with_output
+from varloom.llm._shared import materialize, with_output
 
 #: Short notices of public licences, by SPDX identifier.
 TEMPLATES = {
@@ -52,6 +56,7 @@ TEXTS = [
     ("AGPL-3.0", _GNU.format("Affero ", 3, "program")),
     ("AGPL-3.0", "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", "Licensed to the Apache Software Foundation (ASF) under one or more contributor license agreements. See the NOTICE file distributed with this work for additional information regarding copyright ownership. The ASF licenses this file to You under the Apache License, Version 2.0"),
     ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
     ("BSD-2-Clause", "BSD 2-Clause License"),
     ("BSD-3-Clause", "BSD 3-Clause License"),
@@ -60,6 +65,7 @@ TEXTS = [
     ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
     ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
     ("GPL-2.0", _GNU.format("", 2, "program")),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; version 2 of the License."),
     ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
     ("GPL-3.0", _GNU.format("", 3, "program")),
     ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
@@ -84,39 +90,62 @@ THRESHOLD = 0.6
 _WORDS = r"[a-z0-9][a-z0-9.-]*[a-z0-9]|[a-z0-9]"
 
 
-def text_table(spark: SparkSession) -> tuple[DataFrame, float]:
-    """(licence and number of the text, word, weight, idf), and the idf of a word in no text.  As long as TEXTS."""
-    bags = [Counter(re.findall(_WORDS, v.lower())) for _, v in [*TEXTS, ("BSD", _BSD)]]
+def text_table(spark: SparkSession, texts: list[tuple[str, str]]) -> tuple[DataFrame, float]:
+    """(licence and number of the text, word, weight, idf), and the idf of a word in no text.  As long as the texts."""
+    named = [*texts, ("BSD", _BSD)]
+    bags = [Counter(re.findall(_WORDS, v.lower())) for _, v in named]
     df = Counter(w for b in bags for w in b)
     idf = {w: math.log((1 + len(bags)) / (1 + n)) + 1 for w, n in df.items()}
     rows = []
-    for i, (k, b) in enumerate(zip([*(k for k, _ in TEXTS), "BSD"], bags, strict=True)):
+    for i, ((k, _), b) in enumerate(zip(named, bags, strict=True)):
         norm = math.sqrt(sum((n * idf[w]) ** 2 for w, n in b.items()))
         rows += [(k, i, w, n * idf[w] / norm, idf[w]) for w, n in b.items()]
     return spark.createDataFrame(rows, "licence string, text int, word string, weight double, idf double"), math.log(1 + len(bags)) + 1
 
 
-def text_licence(files: DataFrame, key: str, text: str) -> DataFrame:
-    """key, _text (cosine, licence), _within: the licence whose text, title or standard header is a paragraph of the file.
+def lines(files: DataFrame, key: str, text: str) -> DataFrame:
+    """What may tell the licence of a file, from one scan of its text; written to the shared folder.
+
+    _key, n_sentences, speaking (sentences that speak of a licence),
+    paragraphs (that may be of a licence's text), three (a BSD text with its
+    third clause), spdx (identifier or ""), spdx_lines.
+    """
+    t = F.col(f"`{text}`")
+    sentences = F.split(t, SENTENCE)
+    body, marked = t.rlike(BODY), t.contains("SPDX-License-Identifier:")
+    none = F.array().cast("array<string>")
+    paragraphs = F.filter(F.split(F.regexp_replace(t, LEADER, ""), r"\n\s*\n"), lambda p: p.rlike(BODY))
+    said = files.where(t.rlike(f"{SPEAKS}|{BODY}")).select(
+        F.col(key).alias("_key"),
+        F.size(F.filter(sentences, lambda s: s != "")).alias("n_sentences"),
+        F.filter(sentences, lambda s: s.rlike(SPEAKS)).alias("speaking"),
+        F.when(body, paragraphs).otherwise(none).alias("paragraphs"),
+        (body & t.rlike(r"(?i)neither[\s*#/;%-]+the[\s*#/;%-]+names?|names?[\s*#/;%-]+of[\s*#/;%-]+[^.]{1,200}may[\s*#/;%-]+not[\s*#/;%-]+be[\s*#/;%-]+used[\s*#/;%-]+to[\s*#/;%-]+endorse")).alias("three"),
+        F.when(marked, F.regexp_extract(t, SPDX, 1)).otherwise("").alias("spdx"),
+        F.when(marked, F.size(F.filter(sentences, lambda s: s.rlike(SPDX)))).otherwise(0).alias("spdx_lines"),
+    )
+    return materialize(said, "licence-lines")
+
+
+def text_licence(said: DataFrame, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
+    """_key, _text (cosine, licence, exact), _within: the licence whose text, title or standard header is a paragraph of the file.
 
     An SPDX identifier counts exactly and first.  `_within` is the number of
     sentences in such paragraphs.
     """
-    table, unknown = text_table(files.sparkSession)
-    t = F.col(f"`{text}`")
-    spdx = files.where(t.contains("SPDX-License-Identifier:")).select(F.col(key).alias("_key"), F.regexp_extract(t, SPDX, 1).alias("licence"), F.size(F.filter(F.split(t, SENTENCE), lambda s: s.rlike(SPDX))).alias("_within")).where("licence <> ''")
-    spdx = spdx.select("_key", F.struct(F.lit(-2.0).alias("neg"), "licence").alias("_b"), "_within")
-    said = files.where(t.rlike(BODY)).select(F.col(key).alias("_key"), t.rlike(r"(?i)neither[\s*#/;%-]+the[\s*#/;%-]+names?|names?[\s*#/;%-]+of[\s*#/;%-]+[^.]{1,200}may[\s*#/;%-]+not[\s*#/;%-]+be[\s*#/;%-]+used[\s*#/;%-]+to[\s*#/;%-]+endorse").alias("_three"), F.posexplode(F.split(F.regexp_replace(t, LEADER, ""), r"\n\s*\n")).alias("_at", "_p")).where(F.col("_p").rlike(BODY))
-    words = said.select("_key", "_at", "_three", F.size(F.filter(F.split("_p", SENTENCE), lambda s: s != "")).alias("_n"), F.explode(F.regexp_extract_all(F.lower("_p"), F.lit(_WORDS), F.lit(0))).alias("word"))
-    bag = words.groupBy("_key", "_at", "_three", "_n", "word").agg(F.count(F.lit(1)).alias("_c"))
-    idf = F.broadcast(table.select("word", "idf").distinct())
-    weighed = bag.join(idf, "word", "left").withColumn("_w", F.col("_c") * F.coalesce("idf", F.lit(unknown)))
-    norm = weighed.groupBy("_key", "_at", "_three", "_n").agg(F.sqrt(F.sum(F.col("_w") * F.col("_w"))).alias("_norm"))
-    dot = weighed.join(F.broadcast(table.select("word", "licence", "text", "weight")), "word").groupBy("_key", "_at", "licence", "text").agg(F.sum(F.col("_w") * F.col("weight")).alias("_d"))
-    near = dot.join(norm, ["_key", "_at"]).withColumn("neg", -F.round(F.col("_d") / F.col("_norm"), 9)).where(F.col("neg") <= -ALIKE)
-    named = F.when(F.col("licence") != "BSD", F.col("licence")).when(F.col("_three"), "BSD-3-Clause").otherwise("BSD-2-Clause")
-    best = near.groupBy("_key", "_at").agg(F.min(F.struct("neg", named.alias("licence"))).alias("_b"), F.first("_n").alias("_n")).groupBy("_key").agg(F.min("_b").alias("_b"), F.sum("_n").cast("int").alias("_within"))
-    return best.unionByName(spdx).groupBy("_key").agg(F.min("_b").alias("_b"), F.max("_within").alias("_within")).select(F.col("_key").alias(key), F.struct(F.least(-F.col("_b.neg"), F.lit(1.0)).alias("cosine"), F.col("_b.licence").alias("licence"), (F.col("_b.neg") == -2.0).alias("exact")).alias("_text"), "_within")
+    table, unknown = text_table(said.sparkSession, texts)
+    spdx = said.where("spdx <> ''").select("_key", F.struct(F.lit(-2.0).alias("neg"), F.col("spdx").alias("licence")).alias("_b"), F.col("spdx_lines").alias("_within"))
+    each = said.select("_key", "three", F.posexplode("paragraphs").alias("_at", "_p"))
+    words = each.select("_key", "_at", "three", F.size(F.filter(F.split("_p", SENTENCE), lambda s: s != "")).alias("_n"), F.explode(F.regexp_extract_all(F.lower("_p"), F.lit(_WORDS), F.lit(0))).alias("word"))
+    bag = words.groupBy("_key", "_at", "three", "_n", "word").agg(F.count(F.lit(1)).alias("_c"))
+    terms = F.broadcast(table.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "text", "weight")).alias("_t")))  # as long as the texts
+    weighed = bag.join(terms, "word", "left").withColumn("_w", F.col("_c") * F.coalesce("idf", F.lit(unknown)))
+    products = F.transform(F.coalesce("_t", F.array().cast("array<struct<licence:string,text:int,weight:double>>")), lambda x: F.struct(x["licence"].alias("licence"), x["text"].alias("text"), (x["weight"] * F.col("_w")).alias("p")))
+    per = weighed.groupBy("_key", "_at").agg(F.sum(F.col("_w") * F.col("_w")).alias("_sq"), F.flatten(F.collect_list(products)).alias("_p"), F.first("three").alias("three"), F.first("_n").alias("_n"))
+    numbers = F.array_distinct(F.transform("_p", lambda x: F.struct(x["licence"], x["text"])))
+    scored = F.transform(numbers, lambda k: F.struct((-F.round(F.aggregate(F.array_sort(F.transform(F.filter("_p", lambda x: x["text"] == k["text"]), lambda x: x["p"])), F.lit(0.0), lambda a, x: a + x) / F.sqrt("_sq"), 9)).alias("neg"), F.when(k["licence"] != "BSD", k["licence"]).when(F.col("three"), "BSD-3-Clause").otherwise("BSD-2-Clause").alias("licence")))
+    best = per.withColumn("_b", F.array_min(scored)).where(F.col("_b.neg") <= -ALIKE).groupBy("_key").agg(F.min("_b").alias("_b"), F.sum("_n").cast("int").alias("_within"))
+    return best.unionByName(spdx).groupBy("_key").agg(F.min("_b").alias("_b"), F.max("_within").alias("_within")).select("_key", F.struct(F.least(-F.col("_b.neg"), F.lit(1.0)).alias("cosine"), F.col("_b.licence").alias("licence"), (F.col("_b.neg") == -2.0).alias("exact")).alias("_text"), "_within")
 
 
 def template_table(spark: SparkSession) -> tuple[DataFrame, float]:
@@ -131,14 +160,10 @@ def template_table(spark: SparkSession) -> tuple[DataFrame, float]:
     return spark.createDataFrame(rows, "licence string, word string, weight double, idf double"), math.log(1 + len(bags)) + 1
 
 
-def own_licence(files: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """key, own_licence, cosine, n_sentences, n_speaking of the files that have one; `key` must be unique."""
-    table, unknown = template_table(files.sparkSession)
-    t = F.col(f"`{text}`")
-    sentences = F.split(t, SENTENCE)
-    speaking = F.filter(sentences, lambda s: s.rlike(SPEAKS))
-    said = files.where(t.rlike(SPEAKS)).select(F.col(key).alias("_key"), F.size(F.filter(sentences, lambda s: s != "")).alias("n_sentences"), speaking.alias("_s")).where(F.size("_s") > 0)
-    one = said.select("_key", "n_sentences", F.size("_s").alias("n_speaking"), F.posexplode("_s").alias("_at", "_sentence"))
+def own_licence(said: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """_key, own_licence, cosine, n_speaking of the files of which a sentence is near a notice."""
+    table, unknown = template_table(said.sparkSession)
+    one = said.where(F.size("speaking") > 0).select("_key", "n_sentences", F.size("speaking").alias("n_speaking"), F.posexplode("speaking").alias("_at", "_sentence"))
     words = one.select("_key", "n_sentences", "n_speaking", "_at", F.explode(F.regexp_extract_all(F.lower("_sentence"), F.lit(_WORDS), F.lit(0))).alias("word"))
     bag = words.groupBy("_key", "_at", "word").agg(F.count(F.lit(1)).alias("_n"), F.first("n_sentences").alias("n_sentences"), F.first("n_speaking").alias("n_speaking"))
     terms = F.broadcast(table.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "weight")).alias("_t")))  # as long as the template list
@@ -148,23 +173,26 @@ def own_licence(files: DataFrame, key: str, text: str = "text", threshold: float
     names = F.array_distinct(F.transform("_p", lambda x: x["licence"]))
     scored = F.transform(names, lambda k: F.struct((-F.round(F.aggregate(F.array_sort(F.transform(F.filter("_p", lambda x: x["licence"] == k), lambda x: x["p"])), F.lit(0.0), lambda a, x: a + x) / F.sqrt("_sq"), 9)).alias("neg"), k.alias("licence")))
     best = per.withColumn("_b", F.array_min(scored)).where(F.col("_b").isNotNull())
-    return best.groupBy("_key").agg(F.min("_b").alias("_b"), F.first("n_sentences").alias("n_sentences"), F.first("n_speaking").alias("n_speaking")).where(F.col("_b.neg") <= -threshold).select(F.col("_key").alias(key), F.col("_b.licence").alias("own_licence"), (-F.col("_b.neg")).alias("cosine"), "n_sentences", "n_speaking")
+    return best.groupBy("_key").agg(F.min("_b").alias("_b"), F.first("n_sentences").alias("n_sentences"), F.first("n_speaking").alias("n_speaking")).where(F.col("_b.neg") <= -threshold).select("_key", F.col("_b.licence").alias("own_licence"), (-F.col("_b.neg")).alias("cosine"), "n_speaking")
 
 
-def licence_of(files: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """`own_licence`, or the licence whose text or identifier the file holds where that is nearer."""
-    t = F.col(f"`{text}`")
-    whole = text_licence(files, key, text).join(files.select(F.col(key), F.size(F.filter(F.split(t, SENTENCE), lambda s: s != "")).alias("_all")).where(t.contains("SPDX-License-Identifier:") | t.rlike(BODY)), key)
-    both = own_licence(files, key, text, threshold).join(whole, key, "full")
+def licence_of(files: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
+    """key, own_licence (of the nearest notice, or of the text or identifier that the file holds where that is nearer), cosine, n_sentences, n_speaking; written once.
+
+    Rows that repeat a key count together.
+    """
+    said = lines(files, key, text)
+    both = own_licence(said, threshold).join(text_licence(said, texts), "_key", "full").join(said.groupBy("_key").agg(F.max("n_sentences").alias("n_sentences")), "_key")
     nearer = F.col("_text").isNotNull() & (F.col("own_licence").isNull() | F.col("_text.exact") | (F.col("_text.cosine") > F.col("cosine")))
-    return both.select(key, F.when(nearer, F.col("_text.licence")).otherwise(F.col("own_licence")).alias("own_licence"), F.when(nearer, F.col("_text.cosine")).otherwise(F.col("cosine")).alias("cosine"), F.coalesce("n_sentences", "_all").alias("n_sentences"), F.greatest("n_speaking", F.when(nearer, F.col("_within"))).alias("n_speaking"))
+    out = both.select(F.col("_key").alias(key), F.when(nearer, F.col("_text.licence")).otherwise(F.col("own_licence")).alias("own_licence"), F.when(nearer, F.col("_text.cosine")).otherwise(F.col("cosine")).alias("cosine"), "n_sentences", F.greatest("n_speaking", F.when(nearer, F.col("_within"))).alias("n_speaking"))
+    return materialize(out, "licences")
 
 
 def parent(path: Column) -> Column:
     return F.when(path.contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise(F.when(path.isNotNull(), F.lit("")))
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", *, licence_file: Column | None = None, threshold: float = THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", *, licence_file: Column | None = None, threshold: float = THRESHOLD, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
     """Add own_licence, cosine, licence and inherited_from (the licensing directory, null if own or none).
 
     `licence_file` says which scanned files license their directory; it may
@@ -174,7 +202,7 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", *, licence_fi
     files = files.select(*[F.col(f"`{c}`") for c in files.columns if c.lower() not in added])
     p = F.col(f"`{path}`")
     tagged = files.withColumn("_varloom_file", F.xxhash64(p)).withColumn("_varloom_file", F.struct(F.col("_varloom_file"), p.alias("_path")))
-    own = licence_of(tagged.where(p.isNotNull()).select("_varloom_file", F.col(f"`{text}`").alias("_text")), "_varloom_file", "_text", threshold)
+    own = licence_of(tagged.where(p.isNotNull()).select("_varloom_file", F.col(f"`{text}`").alias("_text")), "_varloom_file", "_text", threshold, texts)
     # Repeated paths count together: their best sentence speaks for each.
     narrow = tagged.drop(text).join(own, "_varloom_file", "left").withColumn("_varloom_dir", parent(p))
     name = F.regexp_extract(F.col("_varloom_file._path"), r"[^/]*$", 0)
