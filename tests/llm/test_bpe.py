@@ -39,13 +39,43 @@ def test_hard_rows(spark, hard, nothing, tok, doc_chars):
     assert bpe.decode(bpe.encode(nothing, queries.vocabulary()), queries.vocabulary()).count() == 0
 
 
-def test_random_unsplit_text(tok):
+@pytest.mark.parametrize("leaf", [1, 7, 16, 100])
+def test_random_unsplit_text(tok, leaf):
     rng = random.Random(3)
-    b = bpe.load(queries.vocabulary(), 16)
-    for alphabet in ("ab", "aeinrst", "abcé😀ü", "0123456789", "!?.,'s ", "a1! \n", " \n\t"):
+    b = bpe.Bpe(queries.vocabulary(), leaf)
+    for alphabet in ("ab", "aeinrst", "abcé😀ü", "0123456789", "!?.,'s ", "a1! \n", " \n\t", ["'", "s", "re", " ", "x", "'ll", "7"], ["<|endoftext|>", "<|endof", "text|>", " ", "a", "!", "<"]):
         for _ in range(60):
             t = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 400)))
             want = tok.encode(t, add_special_tokens=False).ids
-            assert b.concat([(p, b.encode_piece(*p)) for p in b.pieces(t, 40)]) == want
+            leaves = b.halves(t)
+            assert "".join(leaves) == t
+            assert b.tree([(x, b.encode_numpy(x)) for x in leaves]).tolist() == want
             assert b.encode_numpy(t).tolist() == want
-            assert b.ranks.encode_to_numpy(t, allowed_special="all").tolist() == want
+
+
+def test_very_long_matches(tok):
+    """A match of many leaves: windows of tokens, not of text."""
+    rng = random.Random(8)
+    b = bpe.Bpe(queries.vocabulary(), 300)
+    for t in ("x" * 9000, " " * 5000 + "a", "!" * 4000 + "'s", "".join(rng.choice("aeinrst") for _ in range(6000)), "7" * 3000 + "word " * 500, "é" * 3000 + "😀" * 900):
+        leaves = b.halves(t)
+        assert len(leaves) > 8
+        assert b.tree([(x, b.encode_numpy(x)) for x in leaves]).tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_decodes_any_ids(tok):
+    """Also ids that give no valid text."""
+    rng = random.Random(5)
+    b = bpe.load(queries.vocabulary())
+    for _ in range(300):
+        ids = [rng.choice([rng.randrange(50257), rng.randrange(256), 50256]) for _ in range(rng.randrange(12))]
+        assert b.decode_text(ids) == tok.decode(ids, skip_special_tokens=False)
+
+
+def test_round_trip(spark, hard, tok):
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in bpe.round_trip_digests(hard, queries.vocabulary(), doc_chars=50, leaf_chars=64).collect())
+    want = []
+    for i, t, _ in HARD:
+        ids = tok.encode(t or "", add_special_tokens=False).ids
+        want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert got == sorted(want)

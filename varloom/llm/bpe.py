@@ -1,19 +1,19 @@
 """BPE encoding and decoding with tree concatenation of long unsplit text.
 
 A byte-level BPE tokenizer first cuts text with a pattern and then merges
-inside each cut.  Two things make long input slow or uneven: very long
-documents (one task has all of them) and very long stretches the pattern
-does not split.  Here
-
-* a document above ``doc_chars`` is exploded into segments that are encoded
-  by different tasks.  Segments end between a non-space and a space: no
-  match of the pattern crosses such a place, so the cut is exact;
-* a stretch without such a place is cut with the tokenizer's own pattern, and
-  a single match above ``leaf_chars`` is halved until it fits.  The halves
-  are encoded in parallel and concatenated in a tree: around each join a
-  window of tokens is encoded again and grows (doubling) until its first and
-  last tokens agree with what stands on both sides.  BPE output is valid
-  exactly if every neighbouring pair is, so agreement makes the join exact.
+inside each cut.  A document above ``doc_chars`` is not cut with the pattern
+beforehand: it is halved, and its halves halved, until they have at most
+``leaf_chars`` characters.  The leaves are encoded by different tasks, each as
+if it were a whole text, and concatenated in a tree.  Around each join a
+window of text is encoded again, and grows (doubling) until on both sides it
+ends where the encoding beside it has a cut that no neighbour can move: after
+a letter or a digit that ends its run, or before white space.  From there on
+both encodings agree, so the join is exact.
+
+A window that grows without meeting such a place lies in one match of the
+pattern (a very long word or number).  Its tokens are joined by merges alone:
+a window of tokens grows until its first and last tokens agree with what
+stands on both sides; merges are valid exactly if every neighbouring pair is.
 
 Null text counts as empty (no ids).  An empty id list decodes to "".  Rows are
 independent: repeated rows give repeated results.  Other columns pass through;
@@ -22,10 +22,11 @@ one that has the output column's name is replaced.
 
 from __future__ import annotations
 
+import bisect
 import functools
+import hashlib
 import json
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm._shared import bounded_batches, with_output
+from varloom.llm._shared import bounded_batches, materialize
 
 #: Fixed value: the public split pattern of this tokenizer family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,18 +55,31 @@ def _byte_letters() -> list[str]:
 class Bpe:
     """One tokenizer file, loaded once a Python worker."""
 
-    def __init__(self, path: str, leaf_chars: int = 4096):
+    def __init__(self, path: str, leaf_chars: int = 8192):
+        import regex
+        import tiktoken
+
         self.path, self.leaf_chars = path, leaf_chars
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
-        self._long = re.compile(r"\S{%d,}|\s{%d,}" % (leaf_chars, leaf_chars))
-        self._cut = re.compile(r"(?<=\S)(?=\s)")
-        self._specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
+        # The same vocabulary for a faster library.  Tests hold its ids and texts against the tokenizers library's.
+        byte = {c: b for b, c in enumerate(_byte_letters())}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in spec["model"]["vocab"].items() if t not in self.special}
+        self.ranks = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
+        self.bytes = np.zeros(max(max(ranks.values()), *self.special.values(), 0) + 1, np.int64)  # of each token
+        for t, i in ranks.items():
+            self.bytes[i] = len(t)
+        for t, i in self.special.items():
+            self.bytes[i] = len(t.encode())
+        self._specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self._pattern = regex.compile(PATTERN)
+        # No match of the pattern, and no special token, goes across such a place.
+        self._safe = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=\S)(?=\s)")
 
     @functools.cached_property
     def whole(self):
-        """The tokenizers library's object; loaded only where it is used, as memory is short."""
+        """The tokenizers library's object; loaded only where it is asked for, as memory is short."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -74,107 +88,92 @@ class Bpe:
         t.no_truncation()
         return t
 
-    @functools.cached_property
-    def ranks(self):
-        """The same vocabulary for a faster library.  Tests hold its ids against the tokenizers library's: a table, random text."""
-        import tiktoken
-
-        with open(self.path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
-        byte = {c: b for b, c in enumerate(_byte_letters())}
-        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in vocab.items() if t not in self.special}
-        return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=self.special)
-
-    def has_long_run(self, text: str) -> bool:
-        return len(text) > self.leaf_chars and self._long.search(text) is not None
+    def encode_numpy(self, text: str) -> np.ndarray:
+        """The ids of a whole text, as the tokenizers library gives them."""
+        return self.ranks.encode_to_numpy(text, allowed_special="all")
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
-        """Ids of whole texts, as the tokenizers library gives them."""
-        out: list[list[int] | None] = [None] * len(texts)
-        plain = []
-        for i, t in enumerate(texts):
-            if self.has_long_run(t):
-                out[i] = self.concat([(p, self.encode_piece(*p)) for p in self.pieces(t, len(t))])
-            else:
-                plain.append(i)
-        for i, e in zip(plain, self.whole.encode_batch_fast([texts[i] for i in plain], add_special_tokens=False), strict=True):
-            out[i] = e.ids
-        return out  # type: ignore[return-value]
+        return [self.encode_numpy(t).tolist() for t in texts]
 
-    def encode_numpy(self, text: str) -> np.ndarray:
-        """The ids of `encode_batch` through the rank-based library, as an array."""
-        if self.has_long_run(text):
-            return np.asarray(self.encode_batch([text])[0], dtype=np.uint32)
-        return self.ranks.encode_to_numpy(text, allowed_special="all")
+    def decode_text(self, ids: list[int]) -> str:
+        return self.ranks.decode_bytes(ids).decode("utf-8", "replace")
 
     def decode_batch(self, ids: list[list[int]]) -> list[str]:
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        return [self.decode_text(i) for i in ids]
 
     # -- long text ---------------------------------------------------------
 
-    def pieces(self, text: str, segment_chars: int) -> list[tuple[int, str]]:
-        """Cut a text into (group, string) whose ids, joined, are the text's ids.
-
-        Group 0: a string that the tokenizer encodes as it stands.  Equal
-        groups from 1 on, side by side: leaves of one unsplit stretch.
-        """
-        import regex
-
-        out: list[tuple[int, str]] = []
-        group = 0
-        for part in self._specials.split(text) if self._specials else [text]:
-            if not part:
-                continue
-            if part in self.special:
-                out.append((0, part))
-                continue
-            begin, bounds = 0, [*(m.start() for m in self._cut.finditer(part)), len(part)]
-            run: list[str] = []
-            size = 0
-            for end in bounds:
-                unit = part[begin:end]
-                begin = end
-                if self.has_long_run(unit):
-                    if run:
-                        out.append((0, "".join(run)))
-                        run, size = [], 0
-                    for m in regex.finditer(PATTERN, unit):
-                        if len(m[0]) > self.leaf_chars:
-                            group += 1
-                            out += [(group, x) for x in self.leaves(m[0])]
-                        elif out and out[-1][0] == 0 and out[-1][1] not in self.special and len(out[-1][1]) < self.leaf_chars and m.start():
-                            out[-1] = (0, out[-1][1] + m[0])
-                        else:
-                            out.append((0, m[0]))
-                    continue
-                run.append(unit)
-                size += len(unit)
-                if size >= segment_chars:
-                    out.append((0, "".join(run)))
-                    run, size = [], 0
-            if run:
-                out.append((0, "".join(run)))
+    def halves(self, text: str) -> list[str]:
+        """The leaves of a text: halved until short enough, never inside a special token."""
+        inside = [m.span() for m in self._specials.finditer(text)] if self._specials else []
+        starts = [a for a, _ in inside]
+        out: list[str] = []
+
+        def cut(a: int, z: int) -> None:
+            mid = (a + z) // 2
+            at = bisect.bisect_right(starts, mid) - 1
+            if at >= 0 and mid < inside[at][1]:
+                mid = inside[at][0] if inside[at][0] > a else inside[at][1]
+            if z - a <= self.leaf_chars or not a < mid < z:
+                out.append(text[a:z])
+                return
+            cut(a, mid)
+            cut(mid, z)
+
+        cut(0, len(text))
         return out
 
-    def leaves(self, text: str) -> list[str]:
-        if len(text) <= self.leaf_chars:
-            return [text]
-        half = len(text) // 2
-        return self.leaves(text[:half]) + self.leaves(text[half:])
-
-    def encode_piece(self, group: int, text: str) -> list[int]:
-        if group == 0:
-            return self.ranks.encode(text, allowed_special="all")
-        return self._merge(text.encode())
+    def _fits(self, text: str, at: int) -> bool:
+        """Whether a place that no match crosses is no part of a special token either."""
+        if not self._specials:
+            return True
+        longest = max(map(len, self.special))
+        return not any(m.start() < at - max(0, at - longest) < m.end() for m in self._specials.finditer(text[max(0, at - longest) : at + longest]))
+
+    def join(self, left: tuple[str, np.ndarray], right: tuple[str, np.ndarray]) -> tuple[str, np.ndarray]:
+        """(text, ids) of two neighbouring stretches, from those of each."""
+        (lt, li), (rt, ri) = left, right
+        text = lt + rt
+        if not lt or not rt:
+            return text, np.concatenate([li, ri])
+        w = 64
+        while True:
+            begin, end = self._last_cut(text, max(0, len(lt) - w), len(lt)), self._first_cut(text, len(lt), len(lt) + w)
+            begin = 0 if begin is None and w >= len(lt) else begin
+            end = len(text) if end is None and w >= len(rt) else end
+            if begin is not None and end is not None:
+                break
+            w *= 2
+        a, b = self._split(li, len(lt[begin:].encode()), True), self._split(ri, len(rt[: end - len(lt)].encode()), False)
+        middle = text[begin:end]
+        if len(middle) > 512 and self._pattern.fullmatch(middle) and self._pattern.fullmatch(lt[begin:]) and self._pattern.fullmatch(rt[: end - len(lt)]):
+            mid = np.asarray(self._join_match(li[a:].tolist(), ri[:b].tolist()), dtype=li.dtype)  # one match: merges alone
+        else:
+            mid = self.encode_numpy(middle)
+        return text, np.concatenate([li[:a], mid, ri[b:]])
+
+    def _last_cut(self, text: str, lo: int, hi: int) -> int | None:
+        found = [m.start() for m in self._safe.finditer(text, lo, hi) if lo < m.start() < hi]
+        return next((x for x in reversed(found) if self._fits(text, x)), None)
+
+    def _first_cut(self, text: str, lo: int, hi: int) -> int | None:
+        return next((m.start() for m in self._safe.finditer(text, lo, min(hi, len(text))) if lo < m.start() < min(hi, len(text)) and self._fits(text, m.start())), None)
+
+    def _split(self, ids: np.ndarray, size: int, tail: bool) -> int:
+        """Where the tokens of the last (or first) `size` bytes begin (end)."""
+        so_far = np.cumsum(self.bytes[ids])
+        want = (int(so_far[-1]) if len(so_far) else 0) - size if tail else size
+        at = int(np.searchsorted(so_far, want, "left")) + 1 if want else 0
+        if want and so_far[at - 1] != want:
+            raise AssertionError("a token goes across a cut")
+        return at
 
     def _merge(self, piece: bytes) -> list[int]:
         """Merges alone: the piece is not split by the pattern."""
         return self.ranks._encode_single_piece(piece)
 
-    def join(self, left: list[int], right: list[int]) -> list[int]:
+    def _join_match(self, left: list[int], right: list[int]) -> list[int]:
         """Ids of two neighbouring stretches of one match, from the ids of each."""
-        if not left or not right:
-            return left + right
         w = 8
         while True:
             a, b = left[-w:], right[:w]
@@ -185,25 +184,15 @@ class Bpe:
                 return left[: len(left) - len(a)] + mid + right[len(b) :]
             w *= 2
 
-    def tree(self, parts: list[list[int]]) -> list[int]:
+    def tree(self, parts: list[tuple[str, np.ndarray]]) -> np.ndarray:
+        """The ids of the text whose neighbouring stretches these are."""
         while len(parts) > 1:
             parts = [self.join(*parts[i : i + 2]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        return parts[0] if parts else []
-
-    def concat(self, encoded: list[tuple[tuple[int, str] | tuple[int], list[int]]]) -> list[int]:
-        out: list[int] = []
-        at = 0
-        while at < len(encoded):
-            group, end = encoded[at][0][0], at + 1
-            while group and end < len(encoded) and encoded[end][0][0] == group:
-                end += 1
-            out += self.tree([x[1] for x in encoded[at:end]])
-            at = end
-        return out
+        return parts[0][1] if parts else np.empty(0, np.uint32)
 
 
 @functools.lru_cache(maxsize=2)
-def load(path: str, leaf_chars: int = 4096) -> Bpe:
+def load(path: str, leaf_chars: int = 8192) -> Bpe:
     return Bpe(path, leaf_chars)
 
 
@@ -232,62 +221,69 @@ def _schema(df: DataFrame, *more: T.StructField) -> T.StructType:
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in names] + list(more))
 
 
-def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", *, doc_chars: int = 65536, leaf_chars: int = 4096) -> DataFrame:
-    """Add `ids` (array<int>) of the whole `text` (null: empty).
+def _each_text(df: DataFrame, vocabulary: str, text: str, keep: list[str], added: list[tuple[T.StructField, pa.DataType]], work, *, doc_chars: int, leaf_chars: int) -> DataFrame:
+    """`work(bpe, ids)` of every text's ids as the added columns, beside the kept ones.
 
     Texts of up to `doc_chars` characters are encoded where they lie, without
-    a shuffle.  Longer ones are dealt out by segment; only they move.
+    a shuffle.  Longer ones are dealt out by leaf; only they move.
     """
     bounded_batches(df.sparkSession)
-    field = T.StructField(ids, T.ArrayType(T.IntegerType()), True)
-    schema = _schema(df, field)
-    keep = [f.name for f in schema.fields[:-1]]
+    schema = T.StructType([*(df.schema[c] for c in keep), *(f for f, _ in added)])
     size = F.coalesce(F.length(F.col(f"`{text}`")), F.lit(0))
 
+    def columns(bpe, all_ids):
+        got = list(zip(*(work(bpe, ids) for ids in all_ids), strict=True)) or [()] * len(added)
+        return [_ids(list(g)) if pa.types.is_list(t) else pa.array(g, t) for g, (_, t) in zip(got, added, strict=True)]
+
     def short(batches):
         bpe = load(vocabulary, leaf_chars)
         for b in small_batches(batches):
-            got = [bpe.encode_numpy(x or "") for x in b.column(text).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [_ids(got)], names=[*keep, ids])
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + columns(bpe, [bpe.encode_numpy(x or "") for x in b.column(text).to_pylist()]), names=schema.names)
 
     near = df.where(size <= doc_chars).mapInArrow(short, schema)
 
-    # Long documents: one row a piece, dealt by piece, then brought together again.
-    tagged = df.where(size > doc_chars).select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("_row"), F.col(f"`{text}`").alias("_text"), F.monotonically_increasing_id().alias("_key"))
-    cut_schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_row", tagged.schema["_row"].dataType), T.StructField("_at", T.IntegerType()), T.StructField("_group", T.IntegerType()), T.StructField("_piece", T.StringType())])
+    # Long documents, written once so that their keys stay: one row a leaf, dealt by leaf, then brought together again.
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("_"))
+    tagged = materialize(df.where(size > doc_chars).select(row.alias("_row"), F.col(f"`{text}`").alias("_text"), F.monotonically_increasing_id().alias("_key")), "long-texts")
+    cut_schema = T.StructType([T.StructField("_key", T.LongType()), T.StructField("_row", tagged.schema["_row"].dataType), T.StructField("_at", T.IntegerType()), T.StructField("_leaf", T.StringType())])
 
     def cut(batches):
         bpe = load(vocabulary, leaf_chars)
         for b in small_batches(batches, 8):
             rows = b.column("_row")
             for i, (key, t) in enumerate(zip(b.column("_key").to_pylist(), b.column("_text").to_pylist(), strict=True)):
-                p = bpe.pieces(t, doc_chars // 2)
-                first = pa.array([0] + [None] * (len(p) - 1), pa.int32())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([key] * len(p), pa.int64()), rows.slice(i, 1).take(first), pa.array(range(len(p)), pa.int32()), pa.array([x[0] for x in p], pa.int32()), pa.array([x[1] for x in p], pa.string())],
-                    names=["_key", "_row", "_at", "_group", "_piece"],
-                )
+                leaves = bpe.halves(t)
+                first = pa.array([i] + [None] * (len(leaves) - 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(leaves), pa.int64()), rows.take(first), pa.array(range(len(leaves)), pa.int32()), pa.array(leaves, pa.string())], names=cut_schema.names)
 
-    part_schema = T.StructType([*cut_schema.fields[:4], T.StructField("_ids", field.dataType)])
+    part_schema = T.StructType([*cut_schema.fields, T.StructField("_ids", T.ArrayType(T.IntegerType()))])
 
     def each(batches):
         bpe = load(vocabulary, leaf_chars)
-        for b in small_batches(batches, 16):
-            got = [bpe.encode_piece(g, s) for g, s in zip(b.column("_group").to_pylist(), b.column("_piece").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in ("_key", "_row", "_at", "_group")] + [_ids(got)], names=part_schema.names)
+        for b in small_batches(batches, 64):
+            yield pa.RecordBatch.from_arrays([*b.columns, _ids([bpe.encode_numpy(x) for x in b.column("_leaf").to_pylist()])], names=part_schema.names)
 
     parts = tagged.mapInArrow(cut, cut_schema).repartition("_key", "_at").mapInArrow(each, part_schema)
-    whole = parts.groupBy("_key").agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list(F.struct("_at", "_group", "_ids"))).alias("_parts")).select(*[F.col(f"_row.`{c}`") for c in keep], "_parts")
+    grouped = parts.groupBy("_key").agg(F.first("_row", ignorenulls=True).alias("_row"), F.array_sort(F.collect_list(F.struct("_at", "_leaf", "_ids"))).alias("_parts"))
+    whole = grouped.select(*[F.col(f"_row.`{c}`") for c in keep], F.col("_parts._leaf").alias("_leaves"), F.col("_parts._ids").alias("_ids"))
 
     def together(batches):
         bpe = load(vocabulary, leaf_chars)
         for b in small_batches(batches, 4):
-            got = [bpe.concat([((p["_group"],), p["_ids"]) for p in parts]) for parts in b.column("_parts").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + [_ids(got)], names=[*keep, ids])
+            leaves, ids = b.column("_leaves").to_pylist(), b.column("_ids").to_pylist()
+            got = [bpe.tree([(t, np.asarray(i, np.uint32)) for t, i in zip(x, y, strict=True)]) for x, y in zip(leaves, ids, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(c) for c in keep] + columns(bpe, got), names=schema.names)
 
     return near.unionByName(whole.mapInArrow(together, schema))
 
 
+def encode(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", *, doc_chars: int = 32768, leaf_chars: int = 8192) -> DataFrame:
+    """Add `ids` (array<int>) of the whole `text` (null: empty)."""
+    keep = [c for c in df.columns if c.lower() != ids.lower()]
+    field = T.StructField(ids, T.ArrayType(T.IntegerType()), True)
+    return _each_text(df, vocabulary, text, keep, [(field, pa.list_(pa.int32()))], lambda bpe, got: (got,), doc_chars=doc_chars, leaf_chars=leaf_chars)
+
+
 def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add `text`, decoded from `ids` (null: empty), special tokens shown."""
     bounded_batches(df.sparkSession)
@@ -303,12 +299,19 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", text: str = "decode
     return df.mapInArrow(run, schema)
 
 
-def digests(df: DataFrame, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """`n_tokens`, `ids_sha256` and `decoded_sha256` in place of ids and text."""
-    out = with_output(
-        df,
-        n_tokens=F.size(ids).cast("long"),
-        ids_sha256=F.sha2(F.translate(F.col(ids).cast("string"), "[] ", "").cast("binary"), 256),
-        decoded_sha256=F.sha2(F.col(text).cast("binary"), 256),
-    )
-    return out.drop(ids, text)
+DIGESTS = [("n_tokens", T.LongType(), pa.int64()), ("ids_sha256", T.StringType(), pa.string()), ("decoded_sha256", T.StringType(), pa.string())]
+
+
+def round_trip_digests(df: DataFrame, vocabulary: str, text: str = "text", *, doc_chars: int = 32768, leaf_chars: int = 8192) -> DataFrame:
+    """Encode each whole `text`, decode its ids, and keep in place of the text n_tokens, ids_sha256 and decoded_sha256.
+
+    One pass: ids and decoded texts stay in the task that makes them.
+    """
+    names = {n for n, *_ in DIGESTS}
+    keep = [c for c in df.columns if c != text and c.lower() not in names]
+
+    def work(bpe, got):
+        ids = got.tolist()
+        return len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(bpe.decode_text(ids).encode()).hexdigest()
+
+    return _each_text(df, vocabulary, text, keep, [(T.StructField(n, t), a) for n, t, a in DIGESTS], work, doc_chars=doc_chars, leaf_chars=leaf_chars)

@@ -23,8 +23,7 @@ def vocabulary() -> str:
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = bpe.encode(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary()).drop("text")
-    return bpe.digests(bpe.decode(ids, vocabulary()))
+    return bpe.round_trip_digests(read(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary())
 
 
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
