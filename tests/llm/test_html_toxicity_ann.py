@@ -49,22 +49,46 @@ def test_layout_classes_are_no_zones():
     assert html.extract('<div id="page" class="right-sidebar"><div class="content"><p>Words of the page.</p></div></div>', w) == "Words of the page."
 
 
+def test_boilerplate_words_decide():
+    w = html.train(html.LABELLED)
+    text = "<article><p>The council met on Monday and agreed on a plan.</p>{0}<p>Work begins in spring.</p></article>{1}"
+    whole = "The council met on Monday and agreed on a plan.\n\nWork begins in spring."
+    for name in ("comment-body", "comment-content", "footer-content", "sidebar-content", "ad-text", "cookie-text", "sidebar main", "text advert", "main-navigation"):
+        part = f'<div class="{name}"><p>Other words that do not belong to the article at all, however many of them there are.</p></div>'
+        assert html.extract(text.format("", part), w) == whole, name
+        assert html.extract(text.format(part, ""), w) == whole, name
+    for name in ("content-with-sidebar", "post has-sidebar", "main no-ads", "main sidebar-right", "entry category-search tag-menu", "text"):
+        assert html.extract(f'<nav>Home</nav><div class="{name}"><p>The council met on Monday.</p></div><div class="footer">Imprint</div>', w) == "The council met on Monday.", name
+    assert html.extract("<header>Site</header><article><header><h1>The plan</h1><span>by Ann</span></header><p>The council met on Monday.</p></article>", w) == "The plan\n\nThe council met on Monday."
+    assert html.extract('<article><p>The council met on Monday.</p></article><article class="comment"><p>No, they never meet at all on any day</p></article>', w) == "The council met on Monday."
+
+
+def test_weights_are_learned():
+    """No zone or tag is decided beforehand: labels the other way round turn the weights round."""
+    w = html.train(html.LABELLED)
+    turned = html.train([[("-" if x == "+" else "+", h) for x, h in page] for page in html.LABELLED])
+    assert w["zone:article"] > 0 > w["zone:nav"] and turned["zone:article"] < 0 < turned["zone:nav"]
+    assert all(x < 0 for k, x in w.items() if k.startswith("tag:")) and w["tag:p"] > w["tag:nav"] and turned["tag:p"] < turned["tag:nav"]
+    assert {f"zone:{z}" for z in html.BOILERPLATE} <= w.keys() and all(w[f"zone:{z}"] < 0 for z in html.BOILERPLATE)
+
+
 def test_best_stretch_is_the_maximum():
-    """The scan against all stretches of short random token sequences."""
+    """The scan against all stretches of random scores and of short random pages."""
     rng = random.Random(1)
     w = html.train(html.LABELLED)
-    for _ in range(200):
-        page = "".join(rng.choice(["<article>", "</article>", "<nav>", "</nav>", "<p>", "<div>", "</div>", "word ", "two words ", "<footer>", "</footer>"]) for _ in range(rng.randrange(1, 14)))
-        toks = html.tokens(page)
-        marked = any(z in ("article", "main") for _, _, z in toks)
-        plain = w.get("zone:body", 0.0)
-        plain = -1.0 if marked else 1.0 if plain <= 0 else plain
-        worth = [(plain if z == "body" else html.INSIDE if z[:3] == "in:" else w.get(f"zone:{z}", 0.0)) * len(s.split()) if k == "text" else w.get(f"tag:{s}", -0.3) for k, s, z in toks]
-        best = max([sum(worth[i:j]) for i in range(len(worth)) for j in range(i + 1, len(worth) + 1)], default=0)
-        text = html.extract(page, w)
-        assert bool(text) == (best > 1e-12 and bool(text))
+    for n in range(400):
+        if n % 2:
+            scores = [rng.choice([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 3.0]) for _ in range(rng.randrange(14))]
+        else:
+            page = "".join(rng.choice(["<article>", "</article>", "<nav>", "</nav>", "<p>", "<div>", "</div>", "word ", "two words ", "<footer>", "</footer>"]) for _ in range(rng.randrange(1, 14)))
+            scores = html.worth(html.tokens(page), w)
+        sums = {(i, j): sum(scores[i:j]) for i in range(len(scores)) for j in range(i + 1, len(scores) + 1)}
+        best = max(sums.values(), default=0)
+        begin, end = html.best_stretch(scores)
         if best <= 0:
-            assert text == ""
+            assert (begin, end) == (0, 0)
+        else:
+            assert math.isclose(sums[begin, end], best, abs_tol=1e-9)
 
 
 def truth(h):

@@ -2,10 +2,16 @@
 
 A page is a sequence of words and tags.  A word scores by the zone it stands
 in (the nearest telling ancestor: article, nav, footer, a class such as
-"sidebar", ...), a tag scores negative by its name; both weights come from
-labelled pages.  One linear scan finds the contiguous stretch with the
-highest sum: the content region.  What stands in a boilerplate zone inside
-the region (an advert between paragraphs) is left out.
+"sidebar", ...): the log odds of that zone in the main text of labelled pages.
+A tag costs the logarithm of how likely it is part of main text.  One linear
+scan finds the contiguous stretch with the highest sum: the content region.
+Boilerplate inside an article (an advert between paragraphs) has no vote, and
+what stands in a boilerplate zone inside the region is left out.
+
+Of the words in a class, id or role one that names boilerplate decides
+("comment-body", "footer-content"), but for words that only tell the layout of
+a page ("content-with-sidebar").  A heading in the header of an article is
+part of the article.
 
 Null or empty html, or a page without positive words, gives "".  Broken
 markup never fails: unclosed elements run to their parent's end, an
@@ -57,9 +63,11 @@ BOILERPLATE = frozenset({"nav", "header", "footer", "aside", "ad", "notice", "co
 
 #: Ids of elements around the whole page, and classes that tell its layout: neither names a zone.
 WRAPPERS = frozenset("page wrap wrapper site container outer layout root app page-wrapper site-wrapper main-wrapper".split())
-_LAYOUT = re.compile(r"(?:has|no|with|without)[-_]")
-
-INSIDE = -0.05  # of a boilerplate word inside the article
+#: Words of a class after which the rest tells what else the page has, beginnings of names that the site gives, and columns.
+_REST = re.compile(r"(?:^|[-_])(?:has|no|with|without|and)[-_].*")
+_GIVEN = re.compile(r"(?:category|tag|type|status|format|term|author)[-_]")
+_COLUMNS = re.compile(r"(?:left|right|both|one|two)[-_]?sidebars?|sidebars?[-_]?(?:left|right|both|none)")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 #: Hand-labelled pages: "+" lines are main text, "-" lines are not.
 LABELLED = [
@@ -67,6 +75,9 @@ LABELLED = [
     [("-", '<div class="header">Daily Post</div><div class="menu"><ul><li><a>News</a></li><li><a>Sport</a></li></ul></div>'), ("+", '<div class="content"><h2>Bridge reopens</h2><p>The old bridge carried its first cars on Monday after two years of repairs.</p></div>'), ("-", '<div class="sidebar"><a>Most read today</a></div><div class="footer">Contact us</div>')],
     [("-", '<div id="cookie-notice">We use cookies</div>'), ("+", "<main><p>The committee met twice and agreed on a plan for the new school building.</p><ul><li>First the roof</li><li>Then the yard</li></ul></main>"), ("-", '<section id="comments"><p>Great read, thanks for it!</p><p>I do not agree at all.</p></section><form>Your name</form>')],
     [("-", '<header><a>Login</a></header><div class="ad">Buy two and get one free</div>'), ("+", '<div class="post"><p>Snow fell on the pass overnight and the road stays shut until noon.</p></div>'), ("-", '<aside>Related stories for you</aside><div class="share">Share this</div>')],
+    [("-", "<div><span>Skip to the text</span></div>"), ("+", "<article><h1>Ferry timetable</h1><p>The ferry leaves <em>twice</em> an hour from the <a>old pier</a> in summer.</p><table><tr><td>Morning</td><td>seven</td></tr></table></article>"), ("-", '<div><a>Back to the top</a><span>Printed on paper</span></div><div class="newsletter"><p>Letters every week</p></div>')],
+    [("+", "<h1>Notes on bread</h1><p>Flour, water and salt rest for a night before the loaf is shaped and baked.</p><div>Let it cool for an hour.</div><ul><li>Rye keeps longest</li></ul>")],
+    [("-", "<nav><a>Index</a></nav>"), ("+", "<h2>The mill</h2><p>The mill by the river ground grain for three villages until the dam was built.</p><blockquote>It never stood still.</blockquote>"), ("-", '<div class="footer"><a>Imprint</a></div><form><label>Search words</label></form><div class="comments"><p>My aunt lived there</p></div>')],
 ]
 
 
@@ -76,17 +87,20 @@ def boilerplate(zone: str) -> bool:
 
 
 def _class_zone(tag: str, zone: str) -> str:
-    """The zone that class, id and role of a tag name, or else `zone`."""
+    """The zone that class, id and role of a tag name, or else `zone`: boilerplate before article before main text."""
+    words: list[str] = []
+    columns: list[str] = []
     for marked in _MARK.finditer(tag):
         value = (marked[1] or marked[2] or marked[3] or "").lower()
         if marked[0][:2].lower() == "id" and value.strip() in WRAPPERS:
             return zone
-    for marked in _MARK.finditer(tag):
-        for part in (marked[1] or marked[2] or marked[3] or "").lower().split():
-            if not _LAYOUT.match(part):
-                for w in re.split(r"[^a-z]+", part):
-                    zone = _WORD_ZONE.get(w, zone)
-    return zone
+        for part in value.split():
+            if not _GIVEN.match(part):
+                (columns if _COLUMNS.fullmatch(part) else words).extend(re.split(r"[^a-z]+", _REST.sub("", part)))
+    zones = [_WORD_ZONE[w] for w in words if w in _WORD_ZONE]
+    if not zones and columns:
+        return "aside"
+    return next((z for z in zones if z in BOILERPLATE), "article" if "article" in zones else zones[0] if zones else zone)
 
 
 def tokens(page: str) -> list[tuple[str, str, str]]:
@@ -140,6 +154,10 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
                 zone = named
                 if name == "form":
                     by = len(stack)
+                elif name == "article" and "=" in s:  # a reader's comment, a sponsored or a related article
+                    told = _class_zone(s, "")
+                    if told in ("comments", "ad") or (told == "aside" and "sidebar" not in s.lower()):
+                        zone = told
             elif "=" in s and name not in ("html", "body"):
                 zone = _class_zone(s, zone)
                 by = len(stack) if zone in BOILERPLATE else 0
@@ -149,6 +167,8 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
         elif by and name in ("article", "main") and (name == "main" or zone != "comments") and (name == "main" or not content or by == around_all) and _class_zone(s, "") not in BOILERPLATE:
             # A class such as "right-sidebar" was the layout of the page, not a sidebar.
             zone, around_all, by, content = name, by, 0, True
+        elif zone == "in:header" and name in HEADINGS:
+            zone = "article"
         if name == "p" and stack[-1][2]:  # a paragraph ends where the next begins
             cut(stack[-1][2])
         if name not in VOID and s[-2] != "/":
@@ -158,27 +178,36 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
     return out
 
 
+def _feature(kind: str, s: str, zone: str, marked: bool) -> str | None:
+    """What a token is weighed by; None: it has no vote.  Text outside all zones differs where a page marks its content."""
+    if kind == "text":
+        if zone[:3] == "in:":
+            return None
+        return f"zone:{zone}" if zone != "body" else "zone:body beside content" if marked else "zone:body"
+    return f"tag:{s}"
+
+
+def _marked(toks: list[tuple[str, str, str]]) -> bool:
+    return any(zone in ("article", "main") for _, _, zone in toks)
+
+
 def train(labelled: Iterable[list[tuple[str, str]]]) -> dict[str, float]:
-    """Weights from pages given as (label, html) stretches: log odds of words by zone, costs of tags by name."""
+    """Weights from pages given as (label, html) stretches: log odds of a zone's words, log shares of tags ("tag:" for unknown ones)."""
     seen: dict[str, Counter] = {"+": Counter(), "-": Counter()}
     for page in labelled:
-        for label, part in page:
-            for kind, s, zone in tokens(part):
-                if kind == "text":
-                    seen[label]["zone:" + zone] += len(s.split())
-                elif kind == "open":
-                    seen[label]["tag:" + s] += 1
-    words = {x: sum(v for k, v in seen[x].items() if k[:5] == "zone:") + 1 for x in "+-"}
-    tags = {x: sum(v for k, v in seen[x].items() if k[:4] == "tag:") + 1 for x in "+-"}
+        parts = [(label, tokens(part)) for label, part in page]
+        marked = any(_marked(toks) for _, toks in parts)
+        for label, toks in parts:
+            for kind, s, zone in toks:
+                feature = _feature(kind, s, zone, marked)
+                if feature and kind != "close":
+                    seen[label][feature] += len(s.split()) if kind == "text" else 1
     weights: dict[str, float] = {}
-    for key in seen["+"].keys() | seen["-"].keys():
-        total = words if key[:5] == "zone:" else tags
-        odds = math.log((seen["+"][key] + 0.5) / total["+"]) - math.log((seen["-"][key] + 0.5) / total["-"])
-        weights[key] = max(-4.0, min(4.0, odds)) if key[:5] == "zone:" else -0.1 if odds > 0 else -1.0
-    for z in BOILERPLATE:  # zones without examples
-        weights[f"zone:{z}"] = min(weights.get(f"zone:{z}", -1.0), -0.5)
-    for z in ("article", "main"):
-        weights[f"zone:{z}"] = max(weights.get(f"zone:{z}", 1.0), 1.0)
+    for group in ("zone:", "tag:"):
+        total = {x: sum(v for k, v in seen[x].items() if k.startswith(group)) + 1 for x in "+-"}
+        for key in sorted({k for x in "+-" for k in seen[x] if k.startswith(group)} | {group}):
+            share = {x: (seen[x][key] + 0.5) / total[x] for x in "+-"}
+            weights[key] = math.log(share["+"] / share["-"]) if group == "zone:" else math.log(share["+"] / (share["+"] + share["-"]))
     return weights
 
 
@@ -188,26 +217,39 @@ def own_labels(page: str) -> list[tuple[str, str]]:
     return [("-", page[: m.start()]), ("+", m[0]), ("-", page[m.end() :])] if m else []
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    if not page:
-        return ""
-    toks = tokens(page)
-    marked = any(zone in ("article", "main") for _, _, zone in toks)
-    plain = weights.get("zone:body", 0.0)
-    plain = -1.0 if marked else 1.0 if plain <= 0 else plain  # text outside all zones counts only where no zone is content
-    # The best contiguous stretch, in one pass.
-    best, begin, end = 0.0, 0, -1
-    run, start = 0.0, 0
-    for i, (kind, s, zone) in enumerate(toks):
-        if kind == "text":
-            w = plain if zone == "body" else INSIDE if zone[:3] == "in:" else weights.get(f"zone:{zone}", 0.0)
-            run += w * len(s.split())
+def worth(toks: list[tuple[str, str, str]], weights: dict[str, float]) -> list[float]:
+    """The score of each token of a page."""
+    marked = _marked(toks)
+    out = []
+    for kind, s, zone in toks:
+        feature = _feature(kind, s, zone, marked)
+        if feature is None:
+            out.append(0.0)
+        elif kind == "text":
+            out.append(weights.get(feature, 0.0) * len(s.split()))
         else:
-            run += weights.get(f"tag:{s}", -0.3)
+            out.append(weights.get(feature, weights.get("tag:", -0.7)))
+    return out
+
+
+def best_stretch(scores: list[float]) -> tuple[int, int]:
+    """(begin, end) of the contiguous stretch with the highest sum, in one pass; (0, 0) if no sum is above 0."""
+    best, begin, end = 0.0, 0, 0
+    run, start = 0.0, 0
+    for i, x in enumerate(scores):
+        run += x
         if run <= 0:
             run, start = 0.0, i + 1
         elif run > best:
-            best, begin, end = run, start, i
+            best, begin, end = run, start, i + 1
+    return begin, end
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    if not page:
+        return ""
+    toks = tokens(page)
+    begin, end = best_stretch(worth(toks, weights))
     blocks: list[str] = []
     block: list[str] = []
 
@@ -217,7 +259,7 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
             blocks.append(s)
         block.clear()
 
-    for kind, s, zone in toks[begin : end + 1]:
+    for kind, s, zone in toks[begin:end]:
         if kind == "text":
             if not boilerplate(zone):
                 block.append(s)
