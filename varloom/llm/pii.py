@@ -1,18 +1,20 @@
 """Format-preserving pseudonyms for personal data, with built-in functions only.
 
-Found values (mail addresses, phone, card and social security numbers, IPv4
-addresses, dates, access keys, named secrets) are replaced in place by a keyed
+Found values (mail addresses, phone, card, bank account and social security numbers,
+IPv4 addresses, dates, access keys, named secrets) are replaced in place by a keyed
 permutation of their own format, a Feistel network over the two halves of the
 value: each character moves inside its class (digit, small letter, capital),
 other characters stay, octets stay below 256, dates stay valid dates, a card number that passes the
-Luhn check passes it again.  Equal values get equal pseudonyms in every
+Luhn check passes it again, and so do an account number (IBAN) and its check
+digits.  Of a mail address the top-level domain stays, of an account number the
+country.  Equal values get equal pseudonyms in every
 document, different values of one format different ones.
 
 The text around the values is untouched.  Null text stays null, "" stays "".
 A calendar-impossible date is not a date and stays; so do digits that fail the
 Luhn check or have no card issuer's beginning and length, unless they are
-sixteen in one piece, and social security
-numbers outside the ranges given out.  Rows are independent.
+sixteen in one piece, account numbers with wrong check digits, and social
+security numbers outside the ranges given out.  Rows are independent.
 """
 
 from __future__ import annotations
@@ -24,10 +26,19 @@ ROUNDS = 6
 #: The formats, in the order in which they are tried.
 NAMED = r"\b(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?\s{0,3}[=:]\s{0,3}"
 MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
+#: Lengths of bank account numbers by country, as registered.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN = "|".join(rf"(?:{'|'.join(c.split())})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 FORMATS = {
     # To the closing quote or, without one, to white space or a quote.  What follows the last letter or digit would not change.
     "secret": rf"(?<={NAMED}\")[^\"\r\n]*[A-Za-z0-9](?=[^\"\r\nA-Za-z0-9]*\")|(?<={NAMED}')[^'\r\n]*[A-Za-z0-9](?=[^'\r\nA-Za-z0-9]*')|(?<={NAMED}[\"']?)[^\s\"']*[A-Za-z0-9]",
     "email": rf"(?<![A-Za-z0-9._%+-]){MAIL}",
+    "iban": rf"(?<![\w.])(?:{IBAN})(?!\w)",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "date": r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])|(?<![\w/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d(?![\w/])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
@@ -137,9 +148,40 @@ def permute_card(value: Column, key: str) -> Column:
     return F.when(valid, F.concat(body, check.cast("string"))).otherwise(permute_string(value, key, "number"))
 
 
+def iban_rest(characters: Column) -> Column:
+    """Remainder by 97 of letters and digits read as numbers (A is 10)."""
+
+    def step(acc: Column, c: Column) -> Column:
+        letter = c.between("A", "Z")
+        return F.when(letter, acc * 100 + F.ascii(c) - 55).otherwise(acc * 10 + c.cast("int")) % 97
+
+    return F.aggregate(F.split(characters, ""), F.lit(0), step)
+
+
+def valid_iban(value: Column) -> Column:
+    v = F.regexp_replace(value, " ", "")
+    return iban_rest(F.concat(F.substring(v, F.lit(5), F.length(v)), F.substring(v, 1, 4))) == 1
+
+
+def permute_iban(value: Column, key: str) -> Column:
+    """The country stays, the account moves within its classes of characters, the check digits follow."""
+    body = permute_string(F.substring(value, F.lit(5), F.length(value)), key, "iban")
+    country = F.substring(value, 1, 2)
+    check = F.lit(98) - iban_rest(F.concat(F.regexp_replace(body, " ", ""), country, F.lit("00")))
+    return F.concat(country, F.lpad(check.cast("string"), 2, "0"), body)
+
+
+def permute_mail(value: Column, key: str) -> Column:
+    at = F.instr(value, "@")
+    last = F.length(value) - F.instr(F.reverse(value), ".") + 1  # the last dot
+    domain = F.substring(value, at + 1, last - at - 1)
+    return F.concat(permute_string(F.substring(value, F.lit(1), at - 1), key, "email"), F.lit("@"), permute_string(domain, key, "domain"), F.substring(value, last, F.length(value)))
+
+
 def kind_of(value: Column) -> Column:
     return (
         F.when(value.rlike(f"^{MAIL}$"), "email")
+        .when(value.rlike(rf"^(?:{IBAN})$"), "iban")
         .when(value.rlike("^AKIA[0-9A-Z]{16}$"), "key")
         .when(value.rlike(r"^(?:\d{4}-\d\d-\d\d|\d\d/\d\d/\d{4})$"), "date")
         .when(value.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$"), "ipv4")
@@ -152,10 +194,10 @@ def kind_of(value: Column) -> Column:
 
 def pseudonym(value: Column, key: str) -> Column:
     kind = kind_of(value)
-    at = F.instr(value, "@")
     plus = F.when(kind == "phone", F.regexp_extract(value, r"^(?:\+|00)[1-9]\d{0,2}[ .-]|^\+?(?:\d{1,3}[ .-]?(?=\(|\d{3}[ .-]\d{3}[ .-]\d{4}$))?", 0)).otherwise(F.lit(""))
     return (
-        F.when(kind == "email", F.concat(permute_string(F.substring(value, F.lit(1), at - 1), key, "email"), F.substring(value, at, F.length(value))))
+        F.when(kind == "email", permute_mail(value, key))
+        .when(kind == "iban", permute_iban(value, key))
         .when(kind == "key", F.concat(F.lit("AKIA"), permute_string(F.substring(value, 5, 16), key, "key")))
         .when(kind == "date", permute_date(value, key))
         .when(kind == "ipv4", permute_ipv4(value, key))
@@ -171,9 +213,10 @@ def named(before: Column) -> Column:
 
 
 def stays(value: Column, before: Column) -> Column:
-    """Digits in the form of a card that are no card number, unless they are named a secret."""
+    """What has the form of a card or account number and is none, unless it is named a secret."""
     digits = F.regexp_replace(value, "[ -]", "")
-    return value.rlike(r"^[2-6](?:[ -]?\d){12,18}$") & ~value.rlike(r"^\d{16}$") & ~(digits.rlike(ISSUED) & (luhn_sum(digits) % 10 == 0)) & ~named(before)
+    account = value.rlike(rf"^(?:{IBAN})$") & ~valid_iban(value) & ~named(before)
+    return account | value.rlike(r"^[2-6](?:[ -]?\d){12,18}$") & ~value.rlike(r"^\d{16}$") & ~(digits.rlike(ISSUED) & (luhn_sum(digits) % 10 == 0)) & ~named(before)
 
 
 def replaced(value: Column, before: Column, key: str) -> Column:

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import os
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +14,15 @@ from varloom.llm import ann, bpe, html, licences, media, minhash, packing, pii,
 from varloom.llm._shared import read, workspace
 from varloom.llm.sql import ORACLE_SQL  # noqa: F401  SQL where it can express the query
 
-PSEUDONYM_KEY = os.environ.get("VARLOOM_PSEUDONYM_KEY", "example key, set your own")
+
+
+@functools.lru_cache(maxsize=1)
+def pseudonym_key() -> str:
+    """The secret of the pseudonyms: VARLOOM_PSEUDONYM_KEY, or else one made for this process, so that nobody can invert them.
+
+    Set it where pseudonyms of several runs must be equal.
+    """
+    return os.environ.get("VARLOOM_PSEUDONYM_KEY") or secrets.token_hex(32)
 
 
 def vocabulary() -> str:
@@ -52,7 +62,7 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY, found="n_found")
+    return pii.pseudonymize(read(spark, sf_dir, "documents").select("doc_id", "text"), pseudonym_key(), found="n_found")
 
 
 def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
