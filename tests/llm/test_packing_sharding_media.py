@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 from cases import HARD
+from pyspark.sql import functions as F
 
 from varloom.llm import bpe, media, packing, queries, sharding
 from varloom.llm._shared import workspace
@@ -160,3 +161,46 @@ def test_sharding_query_stores_its_map(spark, sf_dir, monkeypatch):
     rows = queries.op2_sharding(spark, sf_dir).collect()
     stored = sharding.SlotMap.load(spark, paths[0])
     assert stored.version == 1 and all(r["shard"] == stored.shard[r["vslot"]] for r in rows)
+
+
+def test_slot_map_is_stored_once_and_edited(spark, tmp_path, sf_dir):
+    path = str(tmp_path / "map")
+    recs = sharding.records(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    weight = sharding.slot_bytes(recs)
+    first = sharding.SlotMap.deal(weight, 40)
+    for _ in range(2):
+        first.save(spark, path)
+    assert sharding.SlotMap.load(spark, path) == first
+    second = sharding.rebalance(spark, path, weight, 41)
+    assert (second.version, second.n_shards, len(second.shard)) == (2, 41, sharding.SLOTS) and sharding.SlotMap.load(spark, path, 1) == first
+    moved = [a for a, b in zip(first.shard, second.shard, strict=True) if a != b]
+    assert 0 < len(moved) < sharding.SLOTS / 10
+    load = [0] * 41
+    for v, s in enumerate(second.shard):
+        load[s] += weight[v]
+    assert max(load) - min(load) <= 0.011 * sum(load) / 41
+
+
+def test_many_rows_of_one_record(spark):
+    """Repeated rows of one record do not fill one slot."""
+    df = spark.range(30000).select(F.when(F.col("id") < 20000, 7).otherwise(F.col("id")).alias("doc_id"), F.lit("the same text").alias("text"))
+    rows = sharding.shard_documents(df, 8)
+    n = rows.groupBy("shard").count().collect()
+    assert len(n) == 8 and max(r["count"] for r in n) < 1.2 * 30000 / 8
+    slots = rows.groupBy("shard").agg(F.count_distinct("slot").alias("d"), F.min("slot").alias("a"), F.max("slot").alias("z"), F.count("*").alias("n")).collect()
+    assert all(r["a"] == 0 and r["z"] == r["n"] - 1 and r["d"] == r["n"] for r in slots)
+
+
+def test_clashing_columns(spark, hard):
+    """Columns of the input with the names of the results are replaced."""
+    names = "width height bit_depth colour_type feature payload_sha256 media_sha256 tail_crc32 Digest shard offset length n_bytes n _row size vslot slot text_crc32 sequence_id piece".split()
+    df = hard
+    for c in names:
+        df = df.withColumn(c, F.lit("mine"))
+    got = media.media_columns(df).collect()
+    assert len(got) == len(HARD) and all(r["n"] == r["_row"] == "mine" and r["width"] == 64 and len(r["feature"]) > 9 for r in got)
+    assert {(r["doc_id"], r["media_sha256"]) for r in got} == {(r["doc_id"], r["media_sha256"]) for r in media.media_columns(hard).collect()}
+    placed = sharding.shard_documents(df, 4).collect()
+    assert len(placed) == len(HARD) and all(isinstance(r["slot"], int) and isinstance(r["size"], int) for r in placed)
+    packed = packing.pack_documents(df, queries.vocabulary()).collect()
+    assert Counter(r["doc_id"] for r in packed if r["piece"] == 0) == Counter(i for i, _, _ in HARD)

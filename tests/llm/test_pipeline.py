@@ -46,3 +46,12 @@ def test_hard_rows(spark, hard, nothing, sf_dir):
     kept = corpus_pipeline.drop_near_duplicates(spark, hard, sf_dir).collect()
     want = Counter(d for d, _, _, k in brute([(i, t) for i, t, _ in HARD]) if k)
     assert Counter(r["doc_id"] for r in kept) == want
+
+
+def test_one_id_on_several_texts(spark, sf_dir):
+    """A row goes by its own text, not by what its id stands for elsewhere; repeated rows are copies."""
+    a, b = "first words of a text that two rows share here", "other words that stand in one row alone"
+    rows = [(1, a, "x"), (2, a, "x"), (2, b, "x"), (2, b, "y"), (3, None, "x"), (None, a, "x"), (4, b, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _h string").repartition(3)
+    got = sorted((str(r["doc_id"]), str(r["text"])) for r in corpus_pipeline.drop_near_duplicates(spark, df, sf_dir).collect())
+    assert got == sorted([("1", a), ("2", b), ("3", "None"), ("None", a)])

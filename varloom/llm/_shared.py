@@ -40,6 +40,23 @@ def workspace(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written() -> int:
+    """A mark for `tidy`."""
+    return len(_written)
+
+
+def tidy(mark: int, *keep: DataFrame) -> None:
+    """Delete the tables written since `mark` but those of `keep`: steps on the way to them that nothing reads again."""
+    kept = {getattr(df, "_varloom_path", None) for df in keep}
+    later = _written[mark:]
+    del _written[mark:]
+    for spark, path in later:
+        if path in kept:
+            _written.append((spark, path))
+        else:
+            _delete(spark, path)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as Parquet in the shared folder and read it back.
 
@@ -47,7 +64,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = workspace(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._varloom_path = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def release() -> None:
@@ -55,9 +79,7 @@ def release() -> None:
     while _written:
         spark, path = _written.pop()
         try:
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already; its folder goes with it
             return
 
@@ -66,11 +88,16 @@ atexit.register(release)
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package: send it along unless their path already has it."""
+    """Let Python workers import this package.
+
+    It is sent along unless it is installed, or the workers run on this
+    machine with this path: folders of the driver say nothing about a cluster.
+    """
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
     on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root in on_path or Path.cwd() == root or "site-packages" in root.parts or getattr(sc, "_varloom_sent", False):
+    here = (sc.master or "").startswith("local[") or sc.master == "local"
+    if (here and (root in on_path or Path.cwd() == root)) or "site-packages" in root.parts or getattr(sc, "_varloom_sent", False):
         return
     target = Path(tempfile.mkdtemp(prefix="varloom-")) / "varloom.zip"
     with zipfile.ZipFile(target, "w") as z:

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from varloom.llm._shared import importable, materialize
+from varloom.llm._shared import importable, materialize, tidy, written
 
 BITS = 24
 POOL = 1536  # planes that the trees draw from
@@ -181,6 +181,7 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ev
     """query_id, rank, vec_id, score: the k nearest found of each query (ids divisible by `every`), each of the k missed with a probability of about `miss`."""
     spark = df.sparkSession
     importable(spark)
+    start = written()
     rows = materialize(usable(df, key, vector), "vectors")
     square = F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)
     shape = rows.groupBy(F.size("vec").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max(square).alias("top")).orderBy(F.desc("n"), "d").first()
@@ -236,6 +237,7 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ev
     # Equal strings are cut by a hash of the id.
     dealt = indexed.unionByName(asked).mapInArrow(code, CODED).repartitionByRange(blocks, F.col("code"), F.xxhash64("vec_id"), F.col("role"))
     home = materialize(dealt.sortWithinPartitions("role").mapInArrow(at_home, HOME), "blocks")
+    tidy(start, home)
     # One centre a block, at most MOST_BLOCKS of them.
     known = home.where("kind = 2").select("block", "vec", "score").collect()
     centres = spark.sparkContext.broadcast((np.array([r["block"] for r in known], np.int32), np.array([r["vec"] for r in known]).reshape(-1, dims), np.array([r["score"] for r in known])))

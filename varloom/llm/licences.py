@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from varloom.llm._shared import materialize, with_output
+from varloom.llm._shared import materialize, tidy, with_output, written
 
 #: Short notices of public licences, by SPDX identifier.
 TEMPLATES = {
@@ -181,11 +181,14 @@ def licence_of(files: DataFrame, key: str, text: str = "text", threshold: float
 
     Rows that repeat a key count together.
     """
+    start = written()
     said = lines(files, key, text)
     both = own_licence(said, threshold).join(text_licence(said, texts), "_key", "full").join(said.groupBy("_key").agg(F.max("n_sentences").alias("n_sentences")), "_key")
     nearer = F.col("_text").isNotNull() & (F.col("own_licence").isNull() | F.col("_text.exact") | (F.col("_text.cosine") > F.col("cosine")))
     out = both.select(F.col("_key").alias(key), F.when(nearer, F.col("_text.licence")).otherwise(F.col("own_licence")).alias("own_licence"), F.when(nearer, F.col("_text.cosine")).otherwise(F.col("cosine")).alias("cosine"), "n_sentences", F.greatest("n_speaking", F.when(nearer, F.col("_within"))).alias("n_speaking"))
-    return materialize(out, "licences")
+    found = materialize(out, "licences")
+    tidy(start, found)
+    return found
 
 
 def parent(path: Column) -> Column:

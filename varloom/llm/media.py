@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from varloom.llm._shared import bounded_batches, materialize, workspace
+from varloom.llm._shared import bounded_batches, materialize, with_totals, workspace
 from varloom.llm.bpe import small_batches
 
 WIDTH = 64
@@ -81,7 +81,7 @@ def from_png(image: bytes) -> bytes:
 
 
 def feature(samples: bytes) -> str:
-    """Exact statistics of the samples: count, sum, sum of squares, distinct values, largest share."""
+    """Exact statistics of the samples: count, sum, sum of squares, distinct values, commonest value."""
     n = np.bincount(np.frombuffer(samples, np.uint8), minlength=256)
     v = np.arange(256)
     return f"n={int(n.sum())};sum={int((n * v).sum())};sq={int((n * v * v).sum())};distinct={int((n > 0).sum())};mode={int(n.argmax())}"
@@ -179,8 +179,8 @@ def store(df: DataFrame, folder: str, text: str = "text", *, shard_bytes: int =
 
 
 def index(rows: DataFrame) -> DataFrame:
-    """One row a digest: the first place where it is stored, in the order of the shards."""
-    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at")).select("digest", "_at.*").repartitionByRange("shard", "offset")
+    """One row a digest: the first place where it is stored, in the order of the shards, and how many rows hold it (n)."""
+    return rows.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("_at"), F.count(F.lit(1)).alias("n")).select("digest", "_at.*", "n").repartitionByRange("shard", "offset")
 
 
 def compact(rows: DataFrame, folder: str, target: str, *, shard_bytes: int = 256 << 20) -> DataFrame:
@@ -255,8 +255,17 @@ def read_features(places: DataFrame, folder: str) -> DataFrame:
 
 
 def media_columns(df: DataFrame, text: str = "text", folder: str | None = None) -> DataFrame:
-    """Store the payloads of `text`, read them back once a digest, join the values to the rows."""
+    """Store the payloads of `text`, read them back once a digest, join the values to the rows.
+
+    Columns of `df` with the names of the results are replaced.
+    """
     folder = folder or workspace(df.sparkSession, "media")
     rows = store(df, folder, text)
     seen = read_features(fill_metadata(index(rows), folder), folder)
-    return rows.drop("shard", "offset", "length").join(seen, "digest")
+    added = {c.lower() for c in seen.columns} - {"digest", "n"}
+    rows = rows.select(*[F.col(f"`{c}`") for c in rows.columns if c.lower() not in added])
+    if "n" in {c.lower() for c in rows.columns}:  # a column of the caller's
+        held = rows.select("digest", F.struct(*[F.col(f"`{c}`") for c in rows.columns if c != "digest"]).alias("_row"))
+        out = with_totals(held, seen, "digest", rows.count())
+        return out.select("digest", *[F.col(f"_row.`{c}`") for c in rows.columns if c != "digest"], *[F.col(c) for c in seen.columns if c not in ("digest", "n")])
+    return with_totals(rows, seen, "digest", rows.count()).drop("n")

@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from varloom.llm._shared import bounded_batches, materialize, with_totals
+from varloom.llm._shared import bounded_batches, materialize, tidy, with_totals, written
 from varloom.llm.bpe import small_batches
 
 K = 256  # smallest values of a set that are compared before the whole sets
@@ -191,8 +191,10 @@ def components(edges: DataFrame) -> DataFrame:
         # Small star: every smaller neighbour of u, and u itself, moves to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
         small = with_totals(large, least, "u", seen[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        before = written()
         now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
         old, seen = seen, mark(now)
+        tidy(before - 1, now)  # the round before
     star = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
     return star.unionByName(star.select(F.col("root").alias("node"), "root").distinct())
 
@@ -416,13 +418,15 @@ def _largest(n: int, found: list[tuple[int, int]]) -> list[int]:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """One row per row of `docs`: doc_id, n_shingles, component_id, kept, node (the class) and text_hash (xxhash64 of the text)."""
     bounded_batches(docs.sparkSession)
-    rows = materialize(sketches(docs, key, text), "sketches")
+    start = written()
+    sketched = rows = materialize(sketches(docs, key, text), "sketches")
     named = F.col("doc_id").isNotNull() & F.col("node").isNotNull()
     classes = materialize(rows.where(named).select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "classes")
     rows = rows.drop("sketch")
     found = components(links(docs, classes, key, text, k, block, pivots))
     low = rows.where(named).groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
     rooted = materialize(low.join(found, "node", "left").select("node", "low", "copies", F.coalesce("root", "node").alias("root")), "rooted")
+    tidy(start, sketched, rooted)
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
     by_class = with_totals(rooted, smallest, "root", rooted.count()).select("node", "component_id", F.col("copies").alias("n"))
     grouped = with_totals(rows.where(named), by_class, "node", rows.count()).select(*rows.columns, "component_id")

@@ -9,7 +9,7 @@ and each edit is stored as a new version beside the old ones.
 
 Only DataFrame functions run on the executors; the driver sees one number a
 slot.  Null text counts as no bytes, a null doc_id hashes like any value, and
-repeated rows are separate records.  No rows give no rows.
+repeated rows are separate records (in one slot, unless they are very many).  No rows give no rows.
 """
 
 from __future__ import annotations
@@ -39,8 +39,8 @@ class SlotMap:
         return spark.createDataFrame([(self.version, self.n_shards, v, s) for v, s in enumerate(self.shard)], "version int, n_shards int, vslot int, shard int")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        """Append this version to the stored map; stored versions are never changed."""
-        self.frame(spark).coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+        """Store this version beside the others, in a folder of its own: saving it again replaces it, others stay."""
+        self.frame(spark).drop("version").coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={self.version}")
 
     @staticmethod
     def load(spark: SparkSession, path: str, version: int | None = None) -> SlotMap:
@@ -90,12 +90,28 @@ class SlotMap:
             load[low] += weight[v]
 
 
+def rebalance(spark: SparkSession, path: str, weight: list[int], n_shards: int, tolerance: float = 0.01) -> SlotMap:
+    """Edit the latest stored map for these weights and this number of shards, and store the next version."""
+    SlotMap.load(spark, path).rebalance(weight, n_shards, tolerance).save(spark, path)
+    return SlotMap.load(spark, path)
+
+
 def records(df: DataFrame, *, key: str = "doc_id", text: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, vslot of each row: the narrow table that all later steps read."""
+    """doc_id, size, text_crc32, vslot of each row: the narrow table that all later steps read, written once.
+
+    A record whose repeated rows would fill a good part of a slot by
+    themselves is dealt to all slots, row by row.
+    """
     t = F.col(f"`{text}`")
     size = F.coalesce(F.octet_length(t), F.lit(0)).cast("long") + OVERHEAD
     crc = F.crc32(F.coalesce(t, F.lit("")).cast("binary"))
-    return df.select(F.col(f"`{key}`").alias("doc_id"), size.alias("size"), crc.alias("text_crc32")).withColumn("vslot", F.expr(f"cast(pmod(xxhash64(doc_id, text_crc32), {slots}) as int)"))
+    rows = materialize(df.select(F.col(f"`{key}`").alias("doc_id"), size.alias("size"), crc.alias("text_crc32"), F.monotonically_increasing_id().alias("_at")), "records")
+    bar = max(1024, rows.count() // (8 * slots))
+    often = rows.groupBy("doc_id", "text_crc32").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > bar)
+    often = often.select(F.struct("doc_id", "text_crc32").alias("_k"), F.lit(True).alias("_often"))
+    held = rows.withColumn("_k", F.struct("doc_id", "text_crc32")).join(F.broadcast(often), "_k", "left")  # at most 8 keys a slot
+    slot = F.expr(f"cast(pmod(if(_often, xxhash64(doc_id, text_crc32, _at), xxhash64(doc_id, text_crc32)), {slots}) as int)")
+    return held.withColumn("_often", F.coalesce("_often", F.lit(False))).select("doc_id", "size", "text_crc32", slot.alias("vslot"))
 
 
 def slot_bytes(recs: DataFrame, slots: int = SLOTS) -> list[int]:
@@ -120,7 +136,7 @@ def place(recs: DataFrame, slot_map: SlotMap) -> DataFrame:
 
 def shard_documents(df: DataFrame, n_shards: int = 40, *, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Records with shard and slot under a first map (stored at `map_path` and read back if given)."""
-    recs = materialize(records(df, slots=slots), "records")
+    recs = records(df, slots=slots)
     first = SlotMap.deal(slot_bytes(recs, slots), n_shards)
     if map_path:
         first.save(df.sparkSession, map_path)
