@@ -48,7 +48,7 @@ from varloom.llm._shared import importable, materialize, tidy, written
 
 BITS = 24
 POOL = 1536  # planes that the trees draw from
-ROUTE_BITS = 48
+ROUTE_BITS = 36
 MOST_BLOCKS = 1 << 15  # what one task knows of all blocks is a centre each
 
 
@@ -87,11 +87,18 @@ class Forest:
         seen = np.zeros((len(queries), n), bool)
         held = [(np.empty(0, np.int64), np.empty(0)) for _ in queries]
         kth, looked = low.copy(), np.zeros(len(queries), np.int64)
-        open_ = np.arange(len(queries))
+        # Descend only where a prefix as long as the block's size asks for still holds more than a few rows.
+        begin = min(BITS, n.bit_length() + 2)
+        crowded = self._ranges(first, begin)[1].sum(0) >= 4 * k
+        open_, waiting = np.flatnonzero(crowded), np.flatnonzero(~crowded)
         for depth in range(BITS, -1, -1):  # ascend, all trees together
-            prefix = (first[:, open_] >> (BITS - depth)) << (BITS - depth)
-            lo = np.searchsorted(self.sorted, prefix, "left")
-            size = np.searchsorted(self.sorted, prefix + (1 << (BITS - depth)), "left") - lo
+            if depth == begin:
+                open_ = np.concatenate([open_, waiting])
+            if not len(open_):
+                if depth < begin:
+                    break
+                continue
+            lo, size = self._ranges(first[:, open_], depth)
             total = size.sum(0)
             left = []
             for j, i in enumerate(open_):
@@ -105,10 +112,14 @@ class Forest:
                 if need > trees and self._needed(depth, kth[i], length[i], log_miss) > trees:
                     left.append(i)
             open_ = np.array(left, dtype=np.int64)
-            if not len(open_):
-                break
         return held
 
+    def _ranges(self, codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Begin and size of what shares `depth` bits with these strings, in the trees' array."""
+        prefix = (codes >> (BITS - depth)) << (BITS - depth)
+        lo = np.searchsorted(self.sorted, prefix, "left")
+        return lo, np.searchsorted(self.sorted, prefix + (1 << (BITS - depth)), "left") - lo
+
     def _needed(self, depth: int, kth: float, length: float, log_miss: float) -> int:
         """How many trees must be visited at this depth (the others at one bit more); more than all of them: ascend."""
         if depth == 0:
@@ -126,19 +137,19 @@ class Forest:
     def _look(self, lo, size, seen, held, qid, q, low, k):
         """Compare what these ranges hold and was not seen yet; the k best so far and the k-th score."""
         at = np.repeat(lo - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        new = self.order[at]
-        new = np.unique(new[~seen[new]])
+        hit = np.zeros(len(seen), bool)
+        hit[self.order[at]] = True
+        new = np.flatnonzero(hit & ~seen)
         seen[new] = True
         self.compared += len(new)
         rows = new[self.ids[new] != qid]
-        vectors = self.vectors[rows]
-        rough = vectors @ q
+        rough = (self.vectors @ q)[rows] if 8 * len(rows) > len(seen) else self.vectors[rows] @ q  # reading all is cheaper than gathering many
         least = low
         if len(rows) + len(held[0]) > k:
             both = np.concatenate([rough, held[1]])
             least = max(low, np.partition(both, len(both) - k)[len(both) - k])
         near = rough >= least - 1e-9 * max(1.0, abs(least)) if math.isfinite(least) else np.ones(len(rows), bool)
-        score = (vectors[near] * q).sum(1)  # summed alike wherever the row lies, so ties are exact
+        score = (self.vectors[rows[near]] * q).sum(1)  # summed alike wherever the row lies, so ties are exact
         ids, score = np.concatenate([held[0], self.ids[rows[near]]]), np.concatenate([held[1], score])
         best = np.lexsort((ids, -score))
         best = best[score[best] >= low][:k]
@@ -163,7 +174,7 @@ def _lists(vectors: np.ndarray) -> pa.ListArray:
 
 
 VEC = T.ArrayType(T.DoubleType())
-CODED = T.StructType([T.StructField("role", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("vec", VEC), T.StructField("code", T.LongType())])
+DEALT = T.StructType([T.StructField("block", T.IntegerType()), T.StructField("role", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("vec", VEC)])
 #: kind: 0 an indexed row, 1 a query and its k-th score, 2 a block's centre and radius, 3 a pair found (vec_id: query; other, score).
 HOME = T.StructType([T.StructField("kind", T.IntegerType()), T.StructField("block", T.IntegerType()), T.StructField("vec_id", T.LongType()), T.StructField("vec", VEC), T.StructField("other", T.LongType()), T.StructField("score", T.DoubleType())])
 FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.DoubleType())])
@@ -194,49 +205,72 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ev
     indexed = rows.withColumn("_i", F.row_number().over(same)).where(F.col("_i") <= k + 1).select(F.lit(0).alias("role"), "vec_id", "vec")
     asked = rows.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("vec").alias("vec")).select(F.lit(1).alias("role"), "vec_id", "vec")
 
-    def code(batches):
+    blocks = -(-n // max(block_rows, -(-n // MOST_BLOCKS)))
+
+    def places(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
+        """Where rows stand in the array over all rows: the string's first bits, then a hash of the id, as an exact double."""
         planes = np.random.default_rng(seed + 1).standard_normal((dims, ROUTE_BITS))
-        place = 1 << np.arange(ROUTE_BITS - 1, -1, -1, dtype=np.int64)
+        bits = (vectors @ planes > 0) @ (1 << np.arange(ROUTE_BITS - 1, -1, -1, dtype=np.int64))
+        spread = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(48)
+        return (bits * 65536 + spread.astype(np.int64)).astype(np.float64)
+
+    def place(batches):
         for b in batches:
-            bits = _vectors(b.column("vec"), dims) @ planes > 0
-            yield pa.RecordBatch.from_arrays([b.column("role"), b.column("vec_id"), b.column("vec"), pa.array(bits @ place)], names=CODED.names)
+            yield pa.RecordBatch.from_arrays([pa.array(places(b.column("vec_id").to_numpy(), _vectors(b.column("vec"), dims)))], names=["place"])
 
-    def at_home(batches):
-        from pyspark import TaskContext
+    cuts = indexed.select("vec_id", "vec").mapInArrow(place, "place double").approxQuantile("place", [i / blocks for i in range(1, blocks)], 0.25 / blocks) if blocks > 1 else []
+    ends = spark.sparkContext.broadcast(np.array(sorted(set(cuts))))  # a number a block
+
+    def deal(batches):
+        for b in batches:
+            block = np.searchsorted(ends.value, places(b.column("vec_id").to_numpy(), _vectors(b.column("vec"), dims)), "right").astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(block), b.column("role"), b.column("vec_id"), b.column("vec")], names=DEALT.names)
 
-        block, forest, ids, vectors = TaskContext.get().partitionId(), None, [], []
+    def by_block(batches):
+        """(block, role, batch of rows) of a stream that is sorted by block and role."""
+        for b in batches:
+            here, role = b.column("block").to_numpy(), b.column("role").to_numpy()
+            turns = np.flatnonzero((np.diff(here) != 0) | (np.diff(role) != 0)) + 1
+            for x, z in zip([0, *turns], [*turns, len(here)], strict=True):
+                if x < z:
+                    yield int(here[x]), int(role[x]), b.slice(x, z - x)
+
+    def at_home(batches):
+        block, forest, ids, vectors = None, None, [], []
 
         def out(kind, vec_id, vec, other, score):
             m = len(vec_id)
             fill = lambda x, t: pa.nulls(m, t) if x is None else pa.array(x, t)
             return pa.RecordBatch.from_arrays([pa.array(np.full(m, kind, np.int32)), pa.array(np.full(m, block, np.int32)), pa.array(vec_id, pa.int64()), pa.nulls(m, pa.list_(pa.float64())) if vec is None else _lists(vec), fill(other, pa.int64()), fill(score, pa.float64())], names=HOME.names)
 
-        for b in batches:
-            is_query = b.column("role").to_numpy() == 1
-            i, v = b.column("vec_id").to_numpy(), _vectors(b.column("vec"), dims)
-            if not is_query.all():
-                ids.append(i[~is_query])
-                vectors.append(v[~is_query])
-                yield out(0, ids[-1], vectors[-1], None, None)
-            if is_query.any():
-                qids, q = i[is_query], v[is_query]
-                if forest is None and ids:
-                    forest = Forest(np.concatenate(ids), np.concatenate(vectors), top, trees, seed)
-                low = np.full(len(q), -np.inf)
-                if forest:
-                    got, pair, near, score = _pairs(qids, forest.search(qids, q, low, k, miss))
-                    low = np.array([s[-1] if len(s) == k else -np.inf for _, s in got])
-                    yield out(3, pair, None, near, score)
-                yield out(1, qids, q, None, low)
-        if ids:
-            x = np.concatenate(vectors)
-            centre = x.mean(0)
-            yield out(2, [block], centre[None, :], None, [np.sqrt(((x - centre) ** 2).sum(1)).max()])
-
-    blocks = -(-n // max(block_rows, -(-n // MOST_BLOCKS)))
-    # Equal strings are cut by a hash of the id.
-    dealt = indexed.unionByName(asked).mapInArrow(code, CODED).repartitionByRange(blocks, F.col("code"), F.xxhash64("vec_id"), F.col("role"))
-    home = materialize(dealt.sortWithinPartitions("role").mapInArrow(at_home, HOME), "blocks")
+        def summary():
+            if ids:
+                x = np.concatenate(vectors)
+                centre = x.mean(0)
+                yield out(2, [block], centre[None, :], None, [np.sqrt(((x - centre) ** 2).sum(1)).max()])
+
+        for here, role, part in by_block(batches):
+            if here != block:
+                yield from summary()
+                block, forest, ids, vectors = here, None, [], []
+            i, v = part.column("vec_id").to_numpy(), _vectors(part.column("vec"), dims)
+            if role == 0:
+                ids.append(i)
+                vectors.append(v)
+                yield out(0, i, v, None, None)
+                continue
+            if forest is None and ids:
+                forest = Forest(np.concatenate(ids), np.concatenate(vectors), top, trees, seed)
+            low = np.full(len(v), -np.inf)
+            if forest:
+                got, pair, near, score = _pairs(i, forest.search(i, v, low, k, miss))
+                low = np.array([x[-1] if len(x) == k else -np.inf for _, x in got])
+                yield out(3, pair, None, near, score)
+            yield out(1, i, v, None, low)
+        yield from summary()
+
+    dealt = indexed.unionByName(asked).select("role", "vec_id", "vec").mapInArrow(deal, DEALT).repartition("block").sortWithinPartitions("block", "role")
+    home = materialize(dealt.mapInArrow(at_home, HOME), "blocks")
     tidy(start, home)
     # One centre a block, at most MOST_BLOCKS of them.
     known = home.where("kind = 2").select("block", "vec", "score").collect()
@@ -255,26 +289,19 @@ def nearest(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", ev
 
     def visit(batches):
         block, forest, ids, vectors = None, None, [], []
-        for b in batches:
-            here = b.column("block").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(here)) + 1), len(here)]
-            for a, z in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == z:
-                    continue
-                part = b.slice(a, z - a)
-                if here[a] != block:
-                    block, forest, ids, vectors = here[a], None, [], []
-                is_query = part.column("role").to_numpy() == 1
-                i, v = part.column("vec_id").to_numpy(), _vectors(part.column("vec"), dims)
-                if not is_query.all():
-                    ids.append(i[~is_query])
-                    vectors.append(v[~is_query])
-                if is_query.any():
-                    if forest is None:
-                        forest = Forest(np.concatenate(ids), np.concatenate(vectors), top, trees, seed)
-                        ids, vectors = [], []
-                    _, pair, near, score = _pairs(i[is_query], forest.search(i[is_query], v[is_query], part.column("score").to_numpy(zero_copy_only=False)[is_query], k, miss))
-                    yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(near), pa.array(score)], names=FOUND.names)
+        for here, role, part in by_block(batches):
+            if here != block:
+                block, forest, ids, vectors = here, None, [], []
+            i, v = part.column("vec_id").to_numpy(), _vectors(part.column("vec"), dims)
+            if role == 0:
+                ids.append(i)
+                vectors.append(v)
+                continue
+            if forest is None:
+                forest = Forest(np.concatenate(ids), np.concatenate(vectors), top, trees, seed)
+                ids, vectors = [], []
+            _, pair, near, score = _pairs(i, forest.search(i, v, part.column("score").to_numpy(), k, miss))
+            yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(near), pa.array(score)], names=FOUND.names)
 
     asks = home.where("kind = 1").select("block", "vec_id", "vec", "score").mapInArrow(route, sent)
     held = home.where("kind = 0").select("block", F.lit(0).alias("role"), "vec_id", "vec", F.lit(None).cast("double").alias("score"))
