@@ -103,6 +103,23 @@ def text_table(spark: SparkSession, texts: list[tuple[str, str]]) -> tuple[DataF
     return spark.createDataFrame(rows, "licence string, text int, word string, weight double, idf double"), math.log(1 + len(bags)) + 1
 
 
+def cosines(words: DataFrame, table: DataFrame, unknown: float) -> DataFrame:
+    """_key, _at, _near: negative cosine and licence of every template that shares a word with the unit, nearest first.
+
+    `words` has a row for each word of a unit (_key, _at).  The unit's own
+    squared length is summed beside its products, as one more template.
+    """
+    terms = F.broadcast(table.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "text", "weight")).alias("_t")))  # as long as the templates
+    bag = words.groupBy("_key", "_at", "word").agg(F.count(F.lit(1)).alias("_c"))
+    weighed = bag.join(terms, "word", "left").withColumn("_w", F.col("_c") * F.coalesce("idf", F.lit(unknown)))
+    own = F.struct(F.lit(None).cast("string").alias("licence"), F.lit(-1).alias("text"), F.col("_w").alias("weight"))
+    each = weighed.select("_key", "_at", "_w", F.explode(F.concat(F.array(own), F.coalesce("_t", F.array().cast("array<struct<licence:string,text:int,weight:double>>")))).alias("_x"))
+    sums = each.groupBy("_key", "_at", F.col("_x.licence").alias("licence"), F.col("_x.text").alias("text")).agg(F.sum(F.col("_x.weight") * F.col("_w")).alias("p"))
+    per = sums.groupBy("_key", "_at").agg(F.max(F.when(F.col("text") < 0, F.col("p"))).alias("_sq"), F.collect_list(F.when(F.col("text") >= 0, F.struct("licence", "p"))).alias("_p"))
+    scored = F.array_sort(F.transform("_p", lambda x: F.struct((-F.round(x["p"] / F.sqrt("_sq"), 9)).alias("neg"), x["licence"].alias("licence"))))
+    return per.where(F.size("_p") > 0).select("_key", "_at", scored.alias("_near"))
+
+
 def lines(files: DataFrame, key: str, text: str) -> DataFrame:
     """What may tell the licence of a file, from one scan of its text; written to the shared folder.
 
@@ -136,15 +153,11 @@ def text_licence(said: DataFrame, texts: list[tuple[str, str]] = TEXTS) -> DataF
     table, unknown = text_table(said.sparkSession, texts)
     spdx = said.where("spdx <> ''").select("_key", F.struct(F.lit(-2.0).alias("neg"), F.col("spdx").alias("licence")).alias("_b"), F.col("spdx_lines").alias("_within"))
     each = said.select("_key", "three", F.posexplode("paragraphs").alias("_at", "_p"))
-    words = each.select("_key", "_at", "three", F.size(F.filter(F.split("_p", SENTENCE), lambda s: s != "")).alias("_n"), F.explode(F.regexp_extract_all(F.lower("_p"), F.lit(_WORDS), F.lit(0))).alias("word"))
-    bag = words.groupBy("_key", "_at", "three", "_n", "word").agg(F.count(F.lit(1)).alias("_c"))
-    terms = F.broadcast(table.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "text", "weight")).alias("_t")))  # as long as the texts
-    weighed = bag.join(terms, "word", "left").withColumn("_w", F.col("_c") * F.coalesce("idf", F.lit(unknown)))
-    products = F.transform(F.coalesce("_t", F.array().cast("array<struct<licence:string,text:int,weight:double>>")), lambda x: F.struct(x["licence"].alias("licence"), x["text"].alias("text"), (x["weight"] * F.col("_w")).alias("p")))
-    per = weighed.groupBy("_key", "_at").agg(F.sum(F.col("_w") * F.col("_w")).alias("_sq"), F.flatten(F.collect_list(products)).alias("_p"), F.first("three").alias("three"), F.first("_n").alias("_n"))
-    numbers = F.array_distinct(F.transform("_p", lambda x: F.struct(x["licence"], x["text"])))
-    scored = F.transform(numbers, lambda k: F.struct((-F.round(F.aggregate(F.array_sort(F.transform(F.filter("_p", lambda x: x["text"] == k["text"]), lambda x: x["p"])), F.lit(0.0), lambda a, x: a + x) / F.sqrt("_sq"), 9)).alias("neg"), F.when(k["licence"] != "BSD", k["licence"]).when(F.col("three"), "BSD-3-Clause").otherwise("BSD-2-Clause").alias("licence")))
-    best = per.withColumn("_b", F.array_min(scored)).where(F.col("_b.neg") <= -ALIKE).groupBy("_key").agg(F.min("_b").alias("_b"), F.sum("_n").cast("int").alias("_within"))
+    words = each.select("_key", "_at", F.explode(F.regexp_extract_all(F.lower("_p"), F.lit(_WORDS), F.lit(0))).alias("word"))
+    near = cosines(words, table, unknown).where(F.col("_near")[0]["neg"] <= -ALIKE)
+    told = near.join(each.select("_key", "_at", "three", F.size(F.filter(F.split("_p", SENTENCE), lambda s: s != "")).alias("_n")).dropDuplicates(["_key", "_at"]), ["_key", "_at"])
+    named = F.transform("_near", lambda x: F.struct(x["neg"].alias("neg"), F.when(x["licence"] != "BSD", x["licence"]).when(F.col("three"), "BSD-3-Clause").otherwise("BSD-2-Clause").alias("licence")))
+    best = told.select("_key", F.array_min(named).alias("_b"), "_n").groupBy("_key").agg(F.min("_b").alias("_b"), F.sum("_n").cast("int").alias("_within"))
     return best.unionByName(spdx).groupBy("_key").agg(F.min("_b").alias("_b"), F.max("_within").alias("_within")).select("_key", F.struct(F.least(-F.col("_b.neg"), F.lit(1.0)).alias("cosine"), F.col("_b.licence").alias("licence"), (F.col("_b.neg") == -2.0).alias("exact")).alias("_text"), "_within")
 
 
@@ -163,17 +176,11 @@ def template_table(spark: SparkSession) -> tuple[DataFrame, float]:
 def own_licence(said: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """_key, own_licence, cosine, n_speaking of the files of which a sentence is near a notice."""
     table, unknown = template_table(said.sparkSession)
-    one = said.where(F.size("speaking") > 0).select("_key", "n_sentences", F.size("speaking").alias("n_speaking"), F.posexplode("speaking").alias("_at", "_sentence"))
-    words = one.select("_key", "n_sentences", "n_speaking", "_at", F.explode(F.regexp_extract_all(F.lower("_sentence"), F.lit(_WORDS), F.lit(0))).alias("word"))
-    bag = words.groupBy("_key", "_at", "word").agg(F.count(F.lit(1)).alias("_n"), F.first("n_sentences").alias("n_sentences"), F.first("n_speaking").alias("n_speaking"))
-    terms = F.broadcast(table.groupBy("word").agg(F.first("idf").alias("idf"), F.collect_list(F.struct("licence", "weight")).alias("_t")))  # as long as the template list
-    weighed = bag.join(terms, "word", "left").withColumn("_w", F.col("_n") * F.coalesce("idf", F.lit(unknown)))
-    # One row a sentence: its squared norm and its products with the templates.
-    per = weighed.groupBy("_key", "_at").agg(F.sum(F.col("_w") * F.col("_w")).alias("_sq"), F.flatten(F.collect_list(F.transform(F.coalesce("_t", F.array().cast("array<struct<licence:string,weight:double>>")), lambda x: F.struct(x["licence"].alias("licence"), (x["weight"] * F.col("_w")).alias("p"))))).alias("_p"), F.first("n_sentences").alias("n_sentences"), F.first("n_speaking").alias("n_speaking"))
-    names = F.array_distinct(F.transform("_p", lambda x: x["licence"]))
-    scored = F.transform(names, lambda k: F.struct((-F.round(F.aggregate(F.array_sort(F.transform(F.filter("_p", lambda x: x["licence"] == k), lambda x: x["p"])), F.lit(0.0), lambda a, x: a + x) / F.sqrt("_sq"), 9)).alias("neg"), k.alias("licence")))
-    best = per.withColumn("_b", F.array_min(scored)).where(F.col("_b").isNotNull())
-    return best.groupBy("_key").agg(F.min("_b").alias("_b"), F.first("n_sentences").alias("n_sentences"), F.first("n_speaking").alias("n_speaking")).where(F.col("_b.neg") <= -threshold).select("_key", F.col("_b.licence").alias("own_licence"), (-F.col("_b.neg")).alias("cosine"), "n_speaking")
+    one = said.where(F.size("speaking") > 0).select("_key", F.posexplode("speaking").alias("_at", "_sentence"))
+    words = one.select("_key", "_at", F.explode(F.regexp_extract_all(F.lower("_sentence"), F.lit(_WORDS), F.lit(0))).alias("word"))
+    best = cosines(words, table.withColumn("text", F.lit(0)), unknown).groupBy("_key").agg(F.min(F.col("_near")[0]).alias("_b")).where(F.col("_b.neg") <= -threshold)
+    speaks = said.groupBy("_key").agg(F.max(F.size("speaking")).alias("n_speaking"))
+    return best.join(speaks, "_key").select("_key", F.col("_b.licence").alias("own_licence"), (-F.col("_b.neg")).alias("cosine"), "n_speaking")
 
 
 def licence_of(files: DataFrame, key: str, text: str = "text", threshold: float = THRESHOLD, texts: list[tuple[str, str]] = TEXTS) -> DataFrame:
