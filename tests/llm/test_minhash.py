@@ -101,3 +101,24 @@ def test_components(spark):
     nodes = {x for a, b in edges if a != b for x in (a, b)}
     assert got == {i: find(i) for i in nodes}
     assert minhash.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
+
+
+def test_law_of_retained_values():
+    """Two linked sets share at least the smaller t among their retained values, whatever the values are."""
+    rng = random.Random(4)
+    for _ in range(400):
+        n = rng.choice([1, 2, 3, 5, 9, 20, 60, 200, 500])
+        x = sorted(rng.sample(range(10**6), n))
+        # The worst case: all that differs comes first.
+        out = rng.randrange(n // 4 + 1)
+        y = sorted(x[out:] + [-i - 1 for i in range(rng.randrange(n // 4 + 1))])
+        both = len(set(x) & set(y))
+        if 100 * both < 75 * (len(x) + len(y) - both):
+            continue
+        head = [set(s[: minhash.retained(len(s))]) for s in (x, y)]
+        assert len(head[0] & head[1]) >= min(minhash.least_shared(len(x)), minhash.least_shared(len(y)))
+
+
+def test_without_a_bound_on_sketches(spark, sf_dir, documents):
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert counted(minhash.near_duplicates(rows, k=None)) == brute([(d["doc_id"], d["text"]) for d in documents])

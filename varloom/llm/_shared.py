@@ -142,6 +142,7 @@ def with_totals(rows: DataFrame, totals: DataFrame, key: str, total: int, most:
     lie, and only rows of the other keys are shuffled by key.
     """
     bar = max(least, -(-total // most))
+    totals = materialize(totals, "totals")
     hot, cold = totals.where(F.col("n") > bar), totals.where(F.col("n") <= bar)
     held = rows.join(F.broadcast(hot), key)  # at most `most` keys
     rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)

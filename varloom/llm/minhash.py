@@ -11,7 +11,11 @@ words: the whole sequence as one; none: empty, linked with nothing).  Links:
    nothing more.
 2. Inverted lists.  Linked sets of n values have at least a = ceil(3 n / 4) in
    common, so the first n - a + t values of each (in the order of the hash)
-   share at least t: a law, not odds.  A class whose values are mostly found
+   share at least t.  That is a law for sets of up to 512 shingles, and with
+   k=None for all.  Larger sets keep k = 176 values; there a linked pair shares
+   fewer than t = 48 with odds below 1e-23 (144 draws or more, each shared with
+   a probability of at least 3/4), far below those of a collision of 64-bit
+   hashes.  A class whose values are mostly found
    nowhere else drops out, and the others enter only the lists of their rarest
    values, as many as the law requires: frequent passages come last and rarely
    enter.  Each list gives edges to one member, not all pairs.
@@ -23,12 +27,12 @@ words: the whole sequence as one; none: empty, linked with nothing).  Links:
    out, the others are verified by exact Jaccard on the full sets, best first,
    leaving out pairs that verified links already join.  A cluster above `block`
    first meets a block of pivots, the classes with the fewest values of their
-   own; of the classes that stay unlinked, those with too many values that no
-   other class of the cluster holds drop out, and the rest meets the cluster.
+   own; only classes that stay unlinked then meet the rest.
 5. Components over the verified links; each takes its smallest doc_id.
 
-No step lets a link go.  A key that holds many rows (a frequent value, the
-centre of a star, a large group) is joined by broadcast, see `with_totals`.
+A key that holds many rows (a frequent value, the
+centre of a star, a large group) is joined by broadcast (see `with_totals`) or
+dealt out by a hash (see `_stars`).
 
 Rows with a null doc_id are given component_id null and kept true, and link
 nothing; they are not named by others.  Repeated rows share their component.
@@ -47,7 +51,9 @@ from pyspark.sql import Window as W
 from varloom.llm._shared import bounded_batches, materialize, tidy, with_totals, written
 from varloom.llm.bpe import small_batches
 
-K = 256  # smallest values of a set that are compared before the whole sets
+SHARED = 48  # the largest t
+K = 176  # values of a sketch at most: the law's number for 512 shingles; None: the law's number for all
+VERIFY = 256  # smallest values of a set that are compared before the whole sets
 SHINGLE = 5
 BLOCK = 512
 PIVOTS = 256
@@ -120,12 +126,13 @@ def digest(s: np.ndarray) -> bytes:
 
 def least_shared(n: int) -> int:
     """t of the law for a set of n values; it never falls as n grows."""
-    return min(-(-3 * n // 4), max(8, n // 8))
+    return min(-(-3 * n // 4), max(8, n // 4), SHARED)
 
 
-def retained(n: int) -> int:
+def retained(n: int, k: int | None = K) -> int:
     """How many of a set's smallest values its sketch keeps: two linked sets share at least the smaller t of the two there."""
-    return n - -(-3 * n // 4) + least_shared(n)
+    exact = n - -(-3 * n // 4) + least_shared(n)
+    return min(exact, k) if k else exact
 
 
 def _longs(lists: list[np.ndarray]) -> pa.Array:
@@ -134,14 +141,14 @@ def _longs(lists: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum(sizes).astype(np.int32)), pa.array(flat))
 
 
-def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_hash, n_shingles, node (the set's digest; null if empty), sketch."""
-    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("node", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
+def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = K) -> DataFrame:
+    """doc_id, text_hash, n_shingles, digest (of the set; null if empty), sketch."""
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text_hash", T.LongType()), T.StructField("n_shingles", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("sketch", T.ArrayType(T.LongType()))])
 
     def run(batches):
         for b in small_batches(batches):
             sets = shingle_sets(b.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), _longs([s[: retained(len(s))] for s in sets])], names=schema.names)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary()), _longs([s[: retained(len(s), k)] for s in sets])], names=schema.names)
 
     t = F.col(f"`{text}`").cast("string")
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_hash"), t.alias("text")).mapInArrow(run, schema)
@@ -149,7 +156,7 @@ def sketches(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 
 def _lists(values: DataFrame, least: DataFrame, total: int) -> DataFrame:
     """Keep the values found in more than one class, and the classes with at least their bound of such values: node, size, least, shared (sorted rarest first)."""
-    shared = materialize(values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1), "shared")
+    shared = values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     met = with_totals(values, shared, "value", total)
     return met.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("n").alias("df"), "value"))).alias("shared")).join(least, "node").where(F.size("shared") >= F.col("least"))
 
@@ -157,7 +164,7 @@ def _lists(values: DataFrame, least: DataFrame, total: int) -> DataFrame:
 def candidate_edges(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges of the clusters: a, b; own: node, own = number of values found nowhere else)."""
     # The smallest set that a linked one can be has a = ceil(3 n / 4) values; its t holds for both.
-    bound = "least((3 * ((3 * n_shingles + 3) div 4) + 3) div 4, greatest(8, ((3 * n_shingles + 3) div 4) div 8))"
+    bound = f"least((3 * ((3 * n_shingles + 3) div 4) + 3) div 4, greatest(8, ((3 * n_shingles + 3) div 4) div 4), {SHARED})"
     least = classes.select("node", F.size("sketch").alias("size"), F.expr(bound).cast("int").alias("least"))
     values = classes.select("node", F.explode("sketch").alias("value"))
     total = classes.agg(F.sum(F.size("sketch"))).first()[0] or 0
@@ -173,6 +180,18 @@ def candidate_edges(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges, left.select("node", (F.col("size") - F.size("shared")).alias("own"))
 
 
+def _stars(rows: DataFrame, salts: int = 256) -> DataFrame:
+    """`rows` (u, v) with m, the smallest v of each u.
+
+    A u of many rows stays dealt out by a hash of v: its minima are made per
+    deal, then over the deals, and go back to each deal.
+    """
+    dealt = rows.withColumn("s", F.expr(f"cast(pmod(xxhash64(v), {salts}) as int)"))
+    part = dealt.groupBy("u", "s").agg(F.min("v").alias("m"))
+    low = part.groupBy("u").agg(F.min("m").alias("m"), F.collect_list("s").alias("_s")).select("u", "m", F.explode("_s").alias("s"))  # at most `salts` a u
+    return dealt.join(low, ["u", "s"]).select("u", "v", "m")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) by large-star and small-star rounds.
 
@@ -184,15 +203,13 @@ def components(edges: DataFrame) -> DataFrame:
     now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     old, seen = None, mark(now)
     while seen != old:
+        before = written()
         # Large star: every larger neighbour of u moves to the smallest of u's neighbourhood.
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = with_totals(both.where(F.col("v") > F.col("u")), low, "u", 2 * seen[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = materialize(_stars(both).where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct(), "stars")
         # Small star: every smaller neighbour of u, and u itself, moves to the smallest of them.
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
-        small = with_totals(large, least, "u", seen[0]).where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        before = written()
-        now = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v").distinct(), "edges")
+        small = _stars(large).select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        now = materialize(small.where("u != v").distinct(), "edges")
         old, seen = seen, mark(now)
         tidy(before - 1, now)  # the round before
     star = now.groupBy("u").agg(F.min("v").alias("root")).withColumnRenamed("u", "node")
@@ -200,9 +217,9 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def bitmap(nodes: DataFrame) -> tuple[int, bytes]:
-    """(bits, map): a bit for each value of the first `bits` bits of a node, about 16 times as many as nodes, from 2^20 to 2^28 (32 MB)."""
+    """(bits, map): a bit for each value of the first `bits` bits of a digest, about 16 times as many as nodes, from 2^20 to 2^28 (32 MB)."""
     bits = min(28, max(20, (16 * nodes.count()).bit_length()))
-    at = F.shiftright(F.conv(F.hex(F.substring("node", 1, 4)), 16, 10).cast("long"), 32 - bits)
+    at = F.shiftright(F.conv(F.hex(F.substring("digest", 1, 4)), 16, 10).cast("long"), 32 - bits)
     rows = nodes.select(at.alias("p")).where("p > 0").groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("m")).collect()  # at most 2^28 bits
     out = bytearray((1 << bits) // 8 + 4096)
     for r in rows:
@@ -211,9 +228,9 @@ def bitmap(nodes: DataFrame) -> tuple[int, bytes]:
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """node, set for the given nodes: a second pass over the texts that sends on only sets whose bit is set."""
+    """digest, set for the given digests: a second pass over the texts that sends on only sets whose bit is set."""
     shared = docs.sparkSession.sparkContext.broadcast(bitmap(nodes))  # 32 MB at most
-    schema = T.StructType([T.StructField("node", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("digest", T.BinaryType()), T.StructField("set", T.ArrayType(T.LongType()))])
 
     def run(batches):
         (bits, held), sent = shared.value, set()
@@ -266,7 +283,7 @@ def union_sketch(sets: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray
     return both / np.maximum(union, 1), union - both
 
 
-def verified_links(sets: list[np.ndarray], k: int = K) -> list[tuple[int, int]]:
+def verified_links(sets: list[np.ndarray], k: int = VERIFY) -> list[tuple[int, int]]:
     """A spanning forest of the linked pairs among these sets (exact)."""
     n = len(sets)
     if n < 2:
@@ -301,7 +318,7 @@ def verified_links(sets: list[np.ndarray], k: int = K) -> list[tuple[int, int]]:
     return links
 
 
-LINKS = T.StructType([T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType())])
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def _by_task(rows: DataFrame, out: T.StructType, work) -> DataFrame:
@@ -330,21 +347,21 @@ def _by_task(rows: DataFrame, out: T.StructType, work) -> DataFrame:
 
 def _rows(rows: list[tuple], out: T.StructType) -> pa.RecordBatch:
     cols = list(zip(*rows, strict=True)) if rows else [[]] * len(out)
-    return pa.RecordBatch.from_arrays([pa.array(c, {"binary": pa.binary(), "int": pa.int32(), "string": pa.string()}[f.dataType.simpleString()]) for c, f in zip(cols, out.fields, strict=True)], names=out.names)
+    return pa.RecordBatch.from_arrays([pa.array(c, {"bigint": pa.int64(), "int": pa.int32()}[f.dataType.simpleString()]) for c, f in zip(cols, out.fields, strict=True)], names=out.names)
 
 
-def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, block: int = BLOCK, pivots: int = PIVOTS, values: int = VALUES) -> DataFrame:
+def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str = "text", block: int = BLOCK, pivots: int = PIVOTS, values: int = VALUES) -> DataFrame:
     """Verified links (a, b) that join every group."""
     edges, own = candidate_edges(classes)
-    clusters = materialize(components(edges).join(classes.select("node", "n_shingles"), "node"), "clusters")
+    clusters = materialize(components(edges).join(classes.select("node", "digest", "n_shingles"), "node"), "clusters")
     # Blocks of a cluster: as many as its rows and its values need.
     n_blocks = F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / values)).cast("int")
     counts = clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n"), n_blocks.alias("blocks"))
     sized = with_totals(clusters, counts, "root", clusters.count())
-    sets = materialize(sized.join(full_sets(docs, clusters, key, text).dropDuplicates(["node"]), "node").join(own, "node", "left"), "sets")
+    sets = materialize(sized.join(full_sets(docs, clusters, key, text).dropDuplicates(["digest"]), "digest").drop("digest").join(own, "node", "left"), "sets")
 
     def all_pairs(held):
-        return [(held[i][2], held[j][2]) for i, j in verified_links([h[3] for h in held], k)]
+        return [(held[i][2], held[j][2]) for i, j in verified_links([h[3] for h in held])]
 
     near = sets.where(F.col("blocks") == 1).select(F.hex("root").alias("task"), F.lit(0).alias("role"), "node", "set")
     out = _by_task(near, LINKS, all_pairs)
@@ -363,9 +380,9 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     marked = T.StructType([*LINKS.fields, T.StructField("open", T.IntegerType())])
 
     def against_pivots(held):
-        found = verified_links([h[3] for h in held], k)
+        found = verified_links([h[3] for h in held])
         n_pivots = sum(h[1] == 0 for h in held)
-        first = verified_links([h[3] for h in held[:n_pivots]], k)
+        first = verified_links([h[3] for h in held[:n_pivots]])
         main = _largest(n_pivots, first)
         joined = _label(len(held), found)
         home = {joined[i] for i in main}
@@ -374,13 +391,8 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
 
     met = materialize(_by_task(spread.unionByName(dealt), marked, against_pivots), "met")
     out = out.unionByName(met.where("open = 0").select("a", "b"))
-    # What no pivot's group took in.  A class of which more than a third is in no other class of the cluster is linked to none:
-    # of a linked pair at most a seventh of both sizes is in one set only, and the other has at most 4/3 of its size.
+    # What no pivot's group took in meets the whole cluster, in groups of half a block.
     loose = materialize(big.join(met.where("open = 1").select(F.col("a").alias("node")).distinct(), "node").select("root", "blocks", "n_shingles", "node", "set"), "loose")
-    single = big.select("root", F.explode("set").alias("value")).groupBy("root", "value").agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("root", "value")
-    alone = loose.select("root", "node", F.explode("set").alias("value")).join(single, ["root", "value"]).groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    loose = materialize(loose.join(alone, "node", "left").where(3 * F.coalesce("alone", F.lit(0)) <= F.col("n_shingles")).drop("alone"), "loose")
-    # The rest meets the whole cluster, in groups of half a block.
     groups = loose.groupBy("root").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / block), F.ceil(2 * F.sum("n_shingles") / values)).cast("int").alias("g"), F.count(F.lit(1)).alias("n"))
     row = with_totals(loose, groups, "root", loose.count()).withColumn("i", F.expr("cast(pmod(xxhash64(node, 1), g) as int)"))
     left = row.select("root", "i", "node", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(0).alias("role"), "node", "set")
@@ -388,7 +400,7 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
     right = met_by.select("root", F.expr("pmod(xxhash64(node), blocks)").alias("j"), "node", "set", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i")).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(1).alias("role"), "node", "set")
 
     def loose_against_all(held):
-        return [(held[i][2], held[j][2]) for i, j in verified_links([h[3] for h in held], k) if held[i][2] != held[j][2]]
+        return [(held[i][2], held[j][2]) for i, j in verified_links([h[3] for h in held]) if held[i][2] != held[j][2]]
 
     return out.unionByName(_by_task(left.unionByName(right), LINKS, loose_against_all))
 
@@ -415,20 +427,21 @@ def _largest(n: int, found: list[tuple[int, int]]) -> list[int]:
     return max(count.values(), key=lambda m: (len(m), -m[0])) if count else []
 
 
-def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_shingles, component_id, kept, node (the class) and text_hash (xxhash64 of the text)."""
+def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = K, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_shingles, component_id, kept, digest (of the class) and text_hash (xxhash64 of the text)."""
     bounded_batches(docs.sparkSession)
     start = written()
-    sketched = rows = materialize(sketches(docs, key, text), "sketches")
-    named = F.col("doc_id").isNotNull() & F.col("node").isNotNull()
-    classes = materialize(rows.where(named).select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "classes")
+    sketched = rows = materialize(sketches(docs, key, text, k), "sketches")
+    named = F.col("doc_id").isNotNull() & F.col("digest").isNotNull()
+    # A class is known by a number from here on; the table is written, so it stays.
+    classes = materialize(rows.where(named).select("digest", "n_shingles", "sketch").dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = rows.drop("sketch")
-    found = components(links(docs, classes, key, text, k, block, pivots))
-    low = rows.where(named).groupBy("node").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies"))
-    rooted = materialize(low.join(found, "node", "left").select("node", "low", "copies", F.coalesce("root", "node").alias("root")), "rooted")
+    found = components(links(docs, classes, key, text, block, pivots))
+    low = rows.where(named).groupBy("digest").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("copies")).join(classes.select("digest", "node"), "digest")
+    rooted = materialize(low.join(found, "node", "left").select("digest", "low", "copies", F.coalesce("root", "node").alias("root")), "rooted")
     tidy(start, sketched, rooted)
     smallest = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count(F.lit(1)).alias("n"))
-    by_class = with_totals(rooted, smallest, "root", rooted.count()).select("node", "component_id", F.col("copies").alias("n"))
-    grouped = with_totals(rows.where(named), by_class, "node", rows.count()).select(*rows.columns, "component_id")
+    by_class = with_totals(rooted, smallest, "root", rooted.count()).select("digest", "component_id", F.col("copies").alias("n"))
+    grouped = with_totals(rows.where(named), by_class, "digest", rows.count()).select(*rows.columns, "component_id")
     out = grouped.unionByName(rows.where(~named).withColumn("component_id", F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", "node", "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return out.select("doc_id", "n_shingles", "component_id", "digest", "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
