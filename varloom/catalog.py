@@ -116,7 +116,7 @@ def z_from_p_or(s):
 
 @query("p_or", sql="select l_orderkey, l_partkey, l_linenumber, odds_ratio from p_or where odds_ratio <= 1.02")
 def max_or_filter(s):
-    return s.where(F.col("odds_ratio") <= 1.02).select("l_orderkey", "l_partkey", "l_linenumber", "odds_ratio")
+    return harmonize.max_odds(s, 1.02, "odds_ratio").select("l_orderkey", "l_partkey", "l_linenumber", "odds_ratio")
 
 
 @query("sumstats", sql="select trait, snp, chr_label, bp, odds from (select *, round(1+z/100,6) odds from sumstats) where not (chr_label='6' and bp between 25000000 and 35000000) and odds<=1.01")
@@ -128,7 +128,7 @@ def qc_filters(s):
 
 @query("ref_variant", sql="select snp, chr, round(maf,6) maf from ref_variant where maf>=0.05")
 def maf_filter(r):
-    return r.where(F.col("maf") >= 0.05).select("snp", "chr", F.round("maf", 6).alias("maf"))
+    return harmonize.maf_at_least(r, 0.05).select("snp", "chr", F.round("maf", 6).alias("maf"))
 
 
 @query("sumstats", "ref_variant", sql="select s.trait, s.snp, s.chr, s.bp, s.z from sumstats s join ref_variant r on s.snp=r.snp")
@@ -165,7 +165,7 @@ def trait_intersect(s):
 
 @query("sumstats", "ref_variant", sql="select trait, snp, z from sumstats where snp in (select snp from ref_variant where maf>=0.3)")
 def extract_semi(s, r):
-    return s.join(r.where(F.col("maf") >= 0.3).select("snp"), "snp", "left_semi").select("trait", "snp", "z")
+    return harmonize.extract(s, harmonize.maf_at_least(r, 0.3)).select("trait", "snp", "z")
 
 
 @query("ref_variant", sql="select snp, chr, bp from ref_variant where not ((chr=6 and bp between 25000000 and 35000000) or (chr=21 and bp between 20000000 and 21000000) or (chr=22 and bp between 19100000 and 19900000))")
@@ -380,7 +380,9 @@ def gene_mean_stat(s, g):
 @query("ref_variant", sql="select snp, unnest(['common','even_chr','early']) category, unnest([maf>=0.5, chr%2=0, bp<30000000]) member from ref_variant")
 def annot_unpivot(r):
     wide = r.select("snp", (F.col("maf") >= 0.5).alias("common"), (F.col("chr") % 2 == 0).alias("even_chr"), (F.col("bp") < 30_000_000).alias("early"))
-    return wide.unpivot(["snp"], ["common", "even_chr", "early"], "category", "member")
+    from varloom.sources.readers import unpivot_annotation
+
+    return unpivot_annotation(wide, "snp", ("snp",), "member")
 
 
 SET_H2_SQL = ", v as (select snp, max(abs(z)) h2, sum(n) h2_base from sumstats group by snp), m as (select p_brand go, snp from ref_variant union all select 'coding_genes', snp from ref_variant), s as (select go, count(*) snps, sum(h2) h2, sum(h2_base) h2_base from m join v using (snp) group by go) select s.go, s.snps, round(s.h2,4) h2, round(s.h2_base,2) h2_base, round((s.h2/s.h2_base)/(t.h2/t.h2_base),8) enrich from s cross join (select * from s where go='coding_genes') t"
@@ -500,3 +502,198 @@ def fit_univariate(s):
     return fit(s.groupBy("snp").agg(F.max_by("z", F.abs("z")).alias("z"), F.sum("n").alias("n")))
 
 
+@query("replicate_run")
+def fit_bivariate(r):
+    """A pair's fit on runs taken as variants: both traits' z from the runs' own numbers."""
+    from varloom.operators.mixture import fit_bivariate as fit
+
+    rows = r.select(((F.col("pi") - 0.05) * 400).alias("z1"), ((F.col("sig2_beta") - 0.04) * 400).alias("z2"), F.lit(1000.0).alias("n1"), F.lit(1000.0).alias("n2"))
+    one = {"pi": 0.2, "sig2_beta": 0.002, "sig2_zero": 1.0}
+    return fit(rows, one, one)
+
+
+# -- gene and set statistics -----------------------------------------------
+
+UPPER_SQL = "exp(-a*a/2.0)/2.5066282746310002*k*(0.319381530+k*(-0.356563782+k*(1.781477937+k*(-1.821255978+k*1.330274429))))"
+TAILED_SQL = f"case when z>=0 then {UPPER_SQL} else 1-({UPPER_SQL}) end"
+GENE_Z_SQL = """, zs as (select snp, max(z) z from sumstats group by snp),
+ gv as (select distinct g.gene, v.snp from ref_variant v join gene_loc g on v.chr=g.chr and v.bp between g.gstart-10000 and g.gend+10000),
+ per as (select gene, count(*) nsnps, avg(z*z) mean_chi2 from gv join zs using (snp) group by gene),
+ gz as (select gene, nsnps, mean_chi2, (cbrt(mean_chi2)-(1-2/(9.0*nsnps)))/sqrt(2/(9.0*nsnps)) z from per) """
+
+
+def _gene_z(r, s, g):
+    held = ranges.interval_join(r, g, flank=10_000)
+    return geneset.gene_z(s.groupBy("snp").agg(F.max("z").alias("z")), held)
+
+
+@query("ref_variant", "sumstats", "gene_loc", sql=GENE_Z_SQL + f"select gene, nsnps, round(mean_chi2,7) mean_chi2, round(z,6)+0.0 z, round({TAILED_SQL},6)+0.0 p from (select *, abs(z) a, 1/(1+0.2316419*abs(z)) k from gz)")
+def gene_p_values(r, s, g):
+    out = _gene_z(r, s, g)
+    return out.select("gene", "nsnps", F.round("mean_chi2", 7).alias("mean_chi2"), sig(F.col("z"), 6).alias("z"), sig(F.col("p"), 6).alias("p"))
+
+
+@query("ref_variant", "sumstats", "gene_loc", sql=GENE_Z_SQL + f""", st as (select gene, 'GOBP_'||cast(right(gene,1) as varchar) go from gene_loc),
+ t as (select count(*) n, sum(z) s, sum(z*z) q from gz), i as (select go, count(*) m, sum(z) s from st join gz using (gene) group by go),
+ d as (select go, m, n, i.s/m i, (t.s-i.s)/(n-m) o, t.q q from i cross join t where m>=2 and n>m and n>2),
+ e as (select go, m, i-o beta, sqrt(greatest(q-m*i*i-(n-m)*o*o,0)/(n-2)*(1.0/m+1.0/(n-m))) se from d),
+ f as (select *, beta/se z, abs(beta/se) a, 1/(1+0.2316419*abs(beta/se)) k from e)
+ select go, m ngenes, round(beta,6)+0.0 beta, round(se,6) se, round({TAILED_SQL},6)+0.0 p from f""")
+def gene_set_p_values(r, s, g):
+    sets = g.select(F.concat(F.lit("GOBP_"), F.substring("gene", -1, 1)).alias("go"), "gene")
+    out = geneset.set_regression(_gene_z(r, s, g), sets)
+    return out.select("go", "ngenes", sig(F.col("beta"), 6).alias("beta"), F.round("se", 6).alias("se"), sig(F.col("p"), 6).alias("p"))
+
+
+@query("replicate_run", sql="select trait, rep, round(avg(fun_inft-fun_best)*2-2,5)+0.0 aic, round(avg(fun_inft-fun_best)*2-ln(avg(n)),5)+0.0 bic from (select trait, rep, num_snp*1.0 n, round(round(pi,9)*1000,6) fun_best, round(round(pi,9)*1000,6)+rep fun_inft from replicate_run) group by trait, rep")
+def univariate_criteria(r):
+    """AIC and BIC of a single trait's model against the model with one parameter less."""
+    flat = r.select("trait", "rep", (F.col("num_snp") * 1.0).alias("n"), F.round(F.round("pi", 9) * 1000, 6).alias("best"))
+    return flat.select("trait", "rep", sig(models.aic_delta(F.col("best") + F.col("rep"), F.col("best")), 5).alias("aic"), sig(models.bic_delta(F.col("best") + F.col("rep"), F.col("best"), F.col("n")), 5).alias("bic"))
+
+
+# -- files: written by a sink, read back by a reader -----------------------
+
+
+def _folder(df: DataFrame, name: str) -> str:
+    from varloom.sources.shared import scratch
+
+    return scratch(df.sparkSession, name)
+
+
+def _text(df: DataFrame, name: str, line, header: str | None = None, gz: bool = False) -> str:
+    """Lines of text below a new folder, several files, each with its header."""
+    path = _folder(df, name)
+    body = df.select(line.alias("value")).repartition(3)
+    if header is None:
+        body.write.text(path, compression="gzip" if gz else "none")
+    else:
+        cells = F.split("value", " ")
+        names = header.split(" ")
+        body.select(*[cells[i].alias(n) for i, n in enumerate(names)]).write.csv(path, sep=" ", header=True, compression="gzip" if gz else "none")
+    return path
+
+
+SUMSTATS_SQL = "select snp, chr, bp, a1, a2, n, round(z,6)+0.0 z from sumstats"
+
+
+def _raw(s):
+    return s.select(F.concat_ws(" ", "snp", F.col("chr").cast("string"), F.col("bp").cast("string"), "a1", "a2", F.col("n").cast("string"), F.round("z", 6).cast("string")).alias("value"))
+
+
+def _sumstats_back(df):
+    return df.select(F.col("SNP").alias("snp"), F.col("CHR").cast("long").alias("chr"), F.col("BP").alias("bp"), F.col("A1").alias("a1"), F.col("A2").alias("a2"), F.col("N").alias("n"), sig(F.col("Z"), 6).alias("z"))
+
+
+@query("sumstats", sql=SUMSTATS_SQL)
+def read_whitespace(s):
+    """Files whose columns stand in different orders."""
+    from varloom import schema
+    from varloom.sources import readers
+
+    one = _text(s.where("chr % 2 = 0"), "table", F.concat_ws(" ", "snp", "chr", "bp", "a1", "a2", "n", F.round("z", 6)), "SNP CHR BP A1 A2 N Z")
+    two = _text(s.where("chr % 2 = 1"), "table", F.concat_ws(" ", F.round("z", 6), "n", "a2", "a1", "bp", "chr", "snp"), "Z N A2 A1 BP CHR SNP")
+    return _sumstats_back(readers.whitespace(s.sparkSession, [one, two], schema.SUMSTATS))
+
+
+@query("sumstats", sql=SUMSTATS_SQL)
+def read_gz_sumstats(s):
+    """Compressed files with other header names."""
+    from varloom.sources import readers
+
+    path = _text(s, "gz", F.concat_ws(" ", "snp", "chr", "bp", "a1", "a2", "n", F.round("z", 6)), "RSID chr POS EffectAllele OtherAllele N Z", gz=True)
+    return _sumstats_back(readers.sumstats(s.sparkSession, path, partitions=8))
+
+
+@query("sumstats", sql=SUMSTATS_SQL)
+def write_read_tsv(s):
+    from varloom import schema
+    from varloom.sources import readers, sinks
+
+    path = _folder(s, "tsv")
+    out = s.select(F.col("snp").alias("SNP"), F.col("chr").alias("CHR"), F.col("bp").alias("BP"), F.col("a1").alias("A1"), F.col("a2").alias("A2"), F.col("n").alias("N"), F.round("z", 6).alias("Z"))
+    sinks.write_tsv(out, path, [f.name for f in schema.SUMSTATS])
+    return _sumstats_back(readers.tsv(s.sparkSession, path, schema.SUMSTATS))
+
+
+@query("go_enrich", sql="select go, ngenes, round(enrich,9) enrich, round(loglike_aic,3)+0.0 loglike_aic from go_enrich")
+def write_read_enrichment(g):
+    from varloom.sources import readers, sinks
+
+    path = _folder(g, "enrich")
+    sinks.write_tsv(g.select(F.col("go").alias("GO"), F.col("ngenes").alias("NGENES"), F.round("enrich", 9).alias("enrich"), "loglike_aic"), path)
+    back = readers.enrichment(g.sparkSession, path)
+    return back.select(F.col("GO").alias("go"), F.col("NGENES").alias("ngenes"), "enrich", sig(F.col("loglike_aic"), 3).alias("loglike_aic"))
+
+
+@query("replicate_run", sql="select trait, rep, round(pi,9) pi, cast(num_snp as double) n from replicate_run")
+def write_read_documents(r):
+    """Result documents as files, one a line, read back by path in the document."""
+    from varloom.sources import sinks
+
+    path = _folder(r, "documents")
+    flat = r.select("trait", "rep", (F.col("num_snp") * 1.0).alias("n"), F.round("pi", 9).alias("pi"))
+    sinks.write_documents(flat.select(F.to_json(F.struct(F.struct("trait", "rep", "n").alias("options"), F.struct("pi").alias("params"))).alias("json")), path)
+    docs = models.parse(r.sparkSession.read.text(path).withColumnRenamed("value", "json"))
+    return docs.select(models.get("$.options.trait", "string").alias("trait"), models.get("$.options.rep", "long").cast("int").alias("rep"), models.get("$.params.pi").alias("pi"), models.get("$.options.n").alias("n"))
+
+
+@query("ref_variant", sql="select snp, chr, bp, a1, a2 from ref_variant")
+def read_bim(r):
+    """Panel files by chromosome under one template."""
+    from varloom.sources import readers
+
+    path = _folder(r, "bim")
+    r.select("chr", F.concat_ws("\t", "chr", "snp", F.lit("0"), "bp", "a1", "a2").alias("value")).repartition("chr").write.partitionBy("chr").text(path)
+    back = readers.bim(r.sparkSession, f"{path}/chr=@")
+    return back.select(F.col("SNP").alias("snp"), F.col("CHR").cast("long").alias("chr"), F.col("BP").alias("bp"), F.col("A1").alias("a1"), F.col("A2").alias("a2"))
+
+
+@query("ref_variant", "sumstats", sql="select trait, snp from sumstats where snp in (select snp from ref_variant where maf>=0.3)")
+def read_snp_list(r, s):
+    from varloom.sources import readers
+
+    path = _text(harmonize.maf_at_least(r, 0.3), "snps", F.col("snp"))
+    return harmonize.extract(s, readers.snp_list(r.sparkSession, path).withColumnRenamed("SNP", "snp")).select("trait", "snp")
+
+
+@query("ref_variant", sql="select snp, category, cast(1 as double) as value from (select snp, unnest(['common','early']) category, unnest([maf>=0.5, bp<30000000]) m from ref_variant) where m")
+def read_annotation(r):
+    from varloom.sources import readers, sinks
+
+    path = _folder(r, "annot")
+    sinks.write_tsv(r.select(F.col("chr").alias("CHR"), F.col("bp").alias("BP"), F.col("snp").alias("SNP"), F.lit(0).alias("CM"), (F.col("maf") >= 0.5).cast("int").alias("common"), (F.col("bp") < 30_000_000).cast("int").alias("early")), path)
+    return readers.annotation(r.sparkSession, path).withColumnRenamed("SNP", "snp")
+
+
+@query("gene_loc", sql="select gene, chr, gstart, gend, 'GOBP_'||right(gene,1) go from gene_loc")
+def read_genes_and_sets(g):
+    """Gene positions without header, and lines of a set and its genes."""
+    from varloom.sources import readers
+
+    spark = g.sparkSession
+    loc = _text(g, "loc", F.concat_ws(" ", "gene", "chr", "gstart", "gend"))
+    sets = _text(g.groupBy(F.concat(F.lit("GOBP_"), F.substring("gene", -1, 1)).alias("go")).agg(F.concat_ws(" ", F.array_sort(F.collect_list("gene"))).alias("genes")), "sets", F.concat_ws(" ", "go", "genes"))
+    return readers.gene_locations(spark, loc).join(readers.set_annotation(spark, sets), "gene").withColumn("chr", F.col("chr").cast("long"))
+
+
+@query("p_or", sql="select 'v'||l_partkey snp, round(p,9) p, cast(1000 as double) n from p_or")
+def read_p_values(s):
+    from varloom.sources import readers
+
+    path = _text(s, "pval", F.concat_ws(" ", F.concat(F.lit("v"), F.col("l_partkey")), F.round("p", 9).cast("decimal(20,9)"), F.lit("1000")), "RSID P N")
+    return readers.p_values(s.sparkSession, path).withColumn("p", F.round("p", 9))
+
+
+def library_round_trip(spark, sf_dir):
+    """Correlated pairs stored by chromosome and read back."""
+    from varloom.sources import readers, sinks
+
+    pairs = ld.ld_pairs(_embeddings(spark, sf_dir), WINDOW, R2).withColumn("chr", (F.col("i") % 22 + 1).cast("int"))
+    path = _folder(pairs, "library")
+    sinks.write_library(pairs, path)
+    return readers.library(spark, path, [1, 2, 3]).select("i", "j", F.round("r2", 9).alias("r2"), "chr")
+
+
+QUERIES |= {"library_round_trip": library_round_trip}
+ORACLE_SQL |= {"library_round_trip": LD_SQL + "select i, j, round(r2,9) r2, cast(i%22+1 as int) chr from r where i%22+1 in (1,2,3)"}

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import json
 import math
+import time
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,9 +45,9 @@ def ld(spark: SparkSession, bfile: str, out: str, *, chr2use: str | None = None,
         samples = readers.fam(spark, f"{prefix}.fam").count()
         genotypes = readers.bed(spark, f"{prefix}.bed", samples)
         # A .bim file's lines are in the order of the .bed file; one small file a chromosome.
-        lines = spark.read.text(f"{prefix}.bim", wholetext=True).select(F.posexplode(F.split(F.trim("value"), r"\r?\n")).alias("i", "line"))
+        lines = spark.read.text(f"{prefix}.bim", wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where(F.trim("line") != "")
         c = F.split(F.trim("line"), r"\s+")
-        names = lines.select(F.col("i").cast("long").alias("i"), c[0].cast("int").alias("chr"), c[1].alias("snp"), c[3].cast("long").alias("bp"))
+        names = lines.select(F.col("i").cast("long").alias("i"), c[0].try_cast("int").alias("chr"), c[1].alias("snp"), c[3].try_cast("long").alias("bp"))
         parts.append(names.join(genotypes.drop("file"), "i"))
     rows = parts[0]
     for p in parts[1:]:
@@ -125,22 +127,52 @@ def test2(spark: SparkSession, trait1_file: str, trait2_file: str, trait1_params
     mixture.apply_bivariate(df, _params(spark, trait1_params), _params(spark, trait2_params), _params(spark, load_params)).write.mode("overwrite").parquet(out)
 
 
-def plsa(spark: SparkSession, trait1_file: str, gene_loc: str, go_file: str, out: str, *, window_kb: int = 10, exclude_ranges: str = "MHC", chr2use: str | None = None) -> None:
-    """Gene-set analysis of one trait: the enrichment table as TSV."""
+def plsa(spark: SparkSession, trait1_file: str, gene_loc: str, go_file: str, out: str, *, window_kb: int = 10, exclude_ranges: str = "MHC", chr2use: str | None = None, gsa_base: bool = False, load_params: str | None = None, pairs: str | None = None, hardprune_r2: float | None = None, seed: int = 1) -> None:
+    """Gene-set analysis of one trait.
+
+    `gsa_base`: fit the base model on all coding genes, write its parameters
+    as a document.  Else the full analysis, with the base model of
+    `load_params` if given: the enrichment table as TSV.  `hardprune_r2` with
+    `pairs` (a library of correlated pairs by variant name) first leaves a
+    random set of variants without a pair of that r2.
+    """
     df = _study(readers.sumstats(spark, trait1_file), None, exclude_ranges, chr2use).select(F.col("SNP").alias("snp"), F.col("CHR").cast("string").alias("chr"), F.col("BP").alias("bp"), F.col("Z").alias("z"), F.col("N").alias("n"))
+    if hardprune_r2 is not None and pairs:
+        df = harmonize.extract(df, ldops.random_prune(df.select("snp"), readers.library(spark, pairs), hardprune_r2, seed=seed, key="snp"))
     held = ranges.interval_join(df, readers.gene_locations(spark, gene_loc), flank=window_kb * 1000)
     sets = readers.gene_sets(spark, go_file).select(F.col("GO").alias("go"), F.col("GENE").alias("gene"))
-    table = geneset.analyse(geneset.fit_inputs(df, held.select("gene", "snp"), sets))
+    inputs = geneset.fit_inputs(df, held.select("gene", "snp"), sets)
+    if gsa_base:
+        _put(spark, {"params": geneset.base_model(inputs)}, out)
+        return
+    table = geneset.analyse(inputs, _params(spark, load_params) if load_params else None)
     sinks.write_tsv(table.withColumnsRenamed({"go": "GO", "ngenes": "NGENES"}), out, compression=None)
 
 
-def gsa_tables(spark: SparkSession, go_test_enrich: str, magma_gsa: str, magma_genes: str, out: str, *, prune: str | None = None, legacy_prune: bool = False) -> None:
-    """The three report sheets ST5, ST7 and ST9 as formatted text."""
+def perf(steps: dict[str, Callable[[], object]], repeat: int = 3) -> dict[str, float]:
+    """Least seconds of each named step over some runs."""
+    out = {}
+    for name, step in steps.items():
+        seconds = []
+        for _ in range(repeat):
+            began = time.perf_counter()
+            step()
+            seconds.append(time.perf_counter() - began)
+        out[name] = min(seconds)
+    return out
+
+
+def gsa_tables(spark: SparkSession, go_test_enrich: str, magma_gsa: str, magma_genes: str, out: str, *, prune: str | None = None, legacy_prune: bool = False, model: str | None = None, workbook: bool = False) -> None:
+    """The three report sheets ST5, ST7 and ST9 as formatted text: a folder each, or one workbook file.
+
+    With `model` the headings are those of published tables, and `model` is the first part of the model's own.
+    """
     t = enrich.build(readers.enrichment(spark, go_test_enrich), readers.whitespace(spark, magma_gsa, S.MAGMA_SETS), readers.whitespace(spark, magma_genes, S.MAGMA_GENES), readers.tsv(spark, prune) if prune else None, legacy_prune)
     # Both branches of the sheets read the joined sets; they are kept while the sheets are written.
     t.sets.persist()
     try:
-        sinks.write_workbook({"ST5": enrich.format_report(enrich.report_st5(t)), "ST7": enrich.format_report(enrich.report_st7(t)), "ST9": enrich.format_report(enrich.report_st9(t))}, out)
+        sheets = {name: enrich.headed(enrich.format_report(report(t)), model) if model else enrich.format_report(report(t)) for name, report in (("ST5", enrich.report_st5), ("ST7", enrich.report_st7), ("ST9", enrich.report_st9))}
+        (sinks.write_xlsx if workbook else sinks.write_workbook)(sheets, out)
     finally:
         t.sets.unpersist()
 
@@ -174,13 +206,20 @@ def magma_annotate(spark: SparkSession, snp_loc: str, gene_loc: str, out: str, w
 
 
 def magma_gene(spark: SparkSession, pval: str, annotation: str, out: str) -> None:
-    """Mean statistic of each gene: GENE, NSNPS, MEAN_CHI2 (the tool's own p-values need its reference code)."""
+    """Statistic of each gene: GENE, NSNPS, MEAN_CHI2, ZSTAT, P (independent variants)."""
     p = readers.p_values(spark, pval).where((F.col("p") > 0) & (F.col("p") <= 1))
     from varloom.functions.normal import quantile_sql
 
-    z = F.expr(quantile_sql("(p / 2e0)"))
-    per = spark.read.parquet(annotation).join(p, "snp").groupBy(F.col("gene").alias("GENE")).agg(F.count(F.lit(1)).alias("NSNPS"), F.avg(z * z).alias("MEAN_CHI2"))
-    sinks.write_tsv(per, out, compression=None)
+    z = p.select("snp", F.expr(quantile_sql("(p / 2e0)")).alias("z"))
+    per = geneset.gene_z(z, spark.read.parquet(annotation))
+    sinks.write_tsv(per.toDF("GENE", "NSNPS", "MEAN_CHI2", "ZSTAT", "P"), out, compression=None)
+
+
+def magma_sets(spark: SparkSession, gene_results: str, set_annot: str, out: str) -> None:
+    """Competitive test of each set: FULL_NAME, NGENES, BETA, SE, P."""
+    genes = readers.tsv(spark, gene_results).select(F.col("GENE").alias("gene"), F.col("ZSTAT").try_cast("double").alias("z"))
+    got = geneset.set_regression(genes, readers.set_annotation(spark, set_annot))
+    sinks.write_tsv(got.toDF("FULL_NAME", "NGENES", "BETA", "SE", "P"), out, compression=None)
 
 
 def qq(spark: SparkSession, trait1_file: str, out: str) -> None:

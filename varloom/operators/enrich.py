@@ -149,6 +149,16 @@ def format_report(df: DataFrame) -> DataFrame:
     return df.select(*[formatted(c).alias(c) for c in df.columns])
 
 
+def headed(df: DataFrame, model: str = "MODEL") -> DataFrame:
+    """Column headings as published tables have them: GO, GENE, NGENES and significance columns in capitals, the rest as it is.
+
+    `model` is the heading's first part for the model's own columns, such as the name of the tool.
+    """
+    capital = {c: c.upper() for c in ("go", "gene", "ngenes", "gene_list", "magma_p", "magma_rank")}
+    capital |= {"excl_gene": "excl_GENE"} | {f"model_{x}": f"{model}_{x.upper()}" for x in ("aic", "p", "q", "fdr")}
+    return df.withColumnsRenamed({a: b for a, b in capital.items() if a in df.columns})
+
+
 def set_heritability(variants: DataFrame, membership: DataFrame, total: str = "coding_genes") -> DataFrame:
     """Heritability per gene set from per-variant values: go, snps, h2, h2_base, enrich.
 

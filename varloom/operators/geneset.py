@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from varloom.sources.shared import written
+
 TOTAL = "coding_genes"
 
 
@@ -37,29 +39,42 @@ def fit_inputs(variants: DataFrame, gene_variants: DataFrame, sets: DataFrame, a
     return out.join(annotation.select("snp", "category"), "snp", "left") if annotation is not None else out
 
 
-def analyse(inputs: DataFrame) -> DataFrame:
+def base_model(inputs: DataFrame) -> dict[str, float]:
+    """Parameters of the base model: sums over all variants in coding genes.  They are what `analyse` loads."""
+    z, n = F.col("z"), F.col("n")
+    snps = usable_rows(inputs).select("snp", "z", "n").dropDuplicates(["snp"])
+    row = snps.agg(*[v.alias(k) for k, v in _sums(z, n).items()]).first()
+    return {k: float(row[k] or 0) for k in ("snps", "s2", "h2", "inv_n")}
+
+
+def usable_rows(inputs: DataFrame) -> DataFrame:
+    z, n = F.col("z"), F.col("n")
+    return inputs.where(z.isNotNull() & n.isNotNull() & ~F.isnan(z) & (n > 0))
+
+
+def analyse(inputs: DataFrame, base: dict[str, float] | None = None) -> DataFrame:
     """The enrichment table of `inputs` (go, gene, snp, chr, z, n): sets, their leave-one-out rows, genes, and coding_genes.
 
-    One shuffle by (go, snp) finds variants that several genes of a set hold;
+    `base` are parameters of a base model fitted before (else these inputs' own).
+    What several branches read is written once in the shared folder.  One shuffle by (go, snp) finds variants that several genes of a set hold;
     everything after it is a sum per (go, gene, chromosome) or smaller.
     """
     z, n = F.col("z"), F.col("n")
-    usable = inputs.where(z.isNotNull() & n.isNotNull() & ~F.isnan(z) & (n > 0))
+    usable = written(usable_rows(inputs), "gene-set-inputs")
     # Variants of a set once each, with the gene if one gene alone holds it.
     per = usable.groupBy("go", "snp").agg(F.count_distinct("gene").alias("holders"), F.min("gene").alias("gene"), F.first("chr").alias("chr"), F.first("z").alias("z"), F.first("n").alias("n"))
-    cells = per.groupBy("go", F.when(F.col("holders") == 1, F.col("gene")).alias("gene"), "chr").agg(*[v.alias(k) for k, v in _sums(z, n).items()])
+    cells = written(per.groupBy("go", F.when(F.col("holders") == 1, F.col("gene")).alias("gene"), "chr").agg(*[v.alias(k) for k, v in _sums(z, n).items()]), "gene-set-cells")
     names = ["snps", "s2", "h2", "inv_n"]
     by_chr = cells.groupBy("go", "chr").agg(*[F.sum(c).alias(c) for c in names])
     genes_of = usable.groupBy("go").agg(F.count_distinct("gene").alias("ngenes"))
-    whole_snps = usable.select("snp", "chr", "z", "n").dropDuplicates(["snp"])
-    whole_chr = whole_snps.groupBy("chr").agg(*[v.alias(k) for k, v in _sums(z, n).items()])  # one row a chromosome
-    whole = whole_chr.agg(*[F.sum(c).alias(f"t_{c}") for c in names])  # one row
+    fitted = base or base_model(usable)
+    t = {f"t_{c}": F.lit(fitted[c]) for c in names}  # four numbers
 
     def row(df: DataFrame) -> DataFrame:
         """Model columns from sums and the totals."""
         base = F.col("t_s2") / F.col("t_snps")
         own = F.col("s2") / F.col("snps")
-        out = df.crossJoin(F.broadcast(whole)).withColumns(
+        out = df.withColumns(t).withColumns(
             {
                 "h2_base": (base - 1.0) * F.col("inv_n"),
                 "loglike_diff": -0.5 * F.col("snps") * (F.ln(own) - F.ln(base) + 1.0 - own / base),
@@ -80,7 +95,44 @@ def analyse(inputs: DataFrame) -> DataFrame:
     loo = loo.select(F.concat("go", F.lit("_excl_"), "gene").alias("go"), *[(F.col(c) - F.coalesce(f"g_{c}", F.lit(0))).alias(c) for c in names], (F.col("ngenes") - 1).alias("ngenes"))
     per_gene = usable.select("gene", "snp", "z", "n").dropDuplicates(["gene", "snp"]).groupBy(F.col("gene").alias("go")).agg(*[v.alias(k) for k, v in _sums(z, n).items()]).withColumn("ngenes", F.lit(1).cast("long"))
     n_all = usable.agg(F.count_distinct("gene").alias("ngenes"))
-    total = whole.select(F.lit(TOTAL).alias("go"), *[F.col(f"t_{c}").alias(c) for c in names]).crossJoin(F.broadcast(n_all))
+    total = n_all.select(F.lit(TOTAL).alias("go"), *[F.lit(fitted[c]).cast("long" if c == "snps" else "double").alias(c) for c in names], "ngenes")
     every = sets.select("go", *names, "ngenes").unionByName(loo).unionByName(per_gene).unionByName(total)
     modelled = row(every.where(F.col("snps") > 0)).join(spread, "go", "left")
     return modelled.select("go", "ngenes", "snps", "enrich", "se_enrich", "h2", "se_h2", "h2_base", "loglike_aic", "loglike_diff", "loglike_df")
+
+
+def gene_z(variants: DataFrame, gene_variants: DataFrame) -> DataFrame:
+    """gene, nsnps, mean_chi2, z, p of each gene, from the sum of its variants' squared z.
+
+    For independent variants that sum is chi-square with nsnps degrees of
+    freedom; the cube root of its mean is normal to a good approximation
+    (Wilson and Hilferty).  The public tool also weighs by LD; its code is not
+    in the reference, so its P values are not claimed.
+    """
+    per = gene_variants.select("gene", "snp").distinct().join(variants.select("snp", "z").where(F.col("z").isNotNull() & ~F.isnan("z")), "snp")
+    sums = per.groupBy("gene").agg(F.count(F.lit(1)).alias("nsnps"), F.avg(F.col("z") * F.col("z")).alias("mean_chi2"))
+    spread = 2.0 / (9.0 * F.col("nsnps"))
+    out = sums.withColumn("z", (F.cbrt("mean_chi2") - (1.0 - spread)) / F.sqrt(spread))
+    return out.withColumn("p", upper_tail(F.col("z")))
+
+
+def upper_tail(z: Column) -> Column:
+    from varloom.operators.figures import _upper
+
+    return F.when(z >= 0, _upper(z)).otherwise(1.0 - _upper(-z))
+
+
+def set_regression(genes: DataFrame, sets: DataFrame, least_genes: int = 2) -> DataFrame:
+    """go, ngenes, beta, se, p: the competitive test, a regression of gene z on membership in the set (one-sided).
+
+    `genes`: gene, z; `sets`: go, gene.  Only sums are needed: of all genes
+    (one row) and of each set's genes.
+    """
+    known = genes.where(F.col("z").isNotNull()).select("gene", "z")
+    total = known.agg(F.count(F.lit(1)).alias("t_n"), F.sum("z").alias("t_s"), F.sum(F.col("z") * F.col("z")).alias("t_q"))
+    per = sets.select("go", "gene").distinct().join(known, "gene").groupBy("go").agg(F.count(F.lit(1)).alias("ngenes"), F.sum("z").alias("s"))
+    n, m = F.col("t_n"), F.col("ngenes")
+    inside, outside = F.col("s") / m, F.try_divide(F.col("t_s") - F.col("s"), n - m)
+    left = F.col("t_q") - m * inside * inside - (n - m) * outside * outside  # residual sum of squares
+    out = per.crossJoin(F.broadcast(total)).where((m >= least_genes) & (n > m) & (n > 2)).withColumns({"beta": inside - outside, "se": F.sqrt(F.greatest(left, F.lit(0.0)) / (n - 2) * (1.0 / m + 1.0 / (n - m)))})
+    return out.select("go", "ngenes", "beta", "se", upper_tail(F.try_divide("beta", "se")).alias("p"))

@@ -93,7 +93,7 @@ def match_reference(sumstats: DataFrame, reference: DataFrame, keep: tuple[str,
     """
     ref = reference.select(F.col("snp").alias("ref_snp"), F.col("chr").alias("_c"), F.col("bp").alias("_b"), F.col("a1").alias("_r1"), F.col("a2").alias("_r2"), alleles.pair_key(F.col("a1"), F.col("a2")).alias("_k"))
     named = sumstats.join(ref.select(F.col("ref_snp").alias("_n_snp"), F.col("_r1").alias("_n1"), F.col("_r2").alias("_n2")), F.col("snp") == F.col("_n_snp"), "left")
-    # Lines found by name get a null key, so the second join neither matches nor moves them by position.
+    # Lines found by name get a null key, so the second join cannot match them.
     key = F.when(F.col("_n_snp").isNull(), alleles.pair_key(F.col("a1"), F.col("a2")))
     both = named.withColumn("_key", key).join(ref, (F.col("chr") == F.col("_c")) & (F.col("bp") == F.col("_b")) & (F.col("_key") == F.col("_k")), "left")
     r1, r2 = F.coalesce("_n1", "_r1"), F.coalesce("_n2", "_r2")
@@ -143,13 +143,27 @@ def random_subset(df: DataFrame, n: int, seed: int, on: str = "snp") -> DataFram
     return df.orderBy(F.xxhash64(F.col(on), F.lit(seed)), F.col(on)).limit(n)
 
 
+def maf_at_least(df: DataFrame, least: float, maf: str = "maf") -> DataFrame:
+    """Variants of at least this allele frequency, the bound itself included; a missing one fails."""
+    return df.where(F.col(maf) >= least)
+
+
+def extract(df: DataFrame, listed: DataFrame, on: str = "snp") -> DataFrame:
+    """Rows whose marker is in a list."""
+    return df.join(listed.select(on), on, "left_semi")
+
+
+def max_odds(df: DataFrame, most: float, odds: str = "OR") -> DataFrame:
+    return df.where(F.col(odds) <= most)
+
+
 def qc(df: DataFrame, ranges: list[tuple[str, int, int]] = (), max_or: float | None = None, least_info: float | None = None, least_maf: float | None = None) -> DataFrame:
     """Quality filters in one pass: ranges to leave out, odds ratio, imputation quality, allele frequency.  A missing value fails its filter."""
     from varloom.operators.ranges import in_ranges
 
     keep = ~in_ranges(F.col("CHR"), F.col("BP"), list(ranges))
     if max_or is not None:
-        keep &= F.col("OR") <= max_or
+        df = max_odds(df, max_or)
     if least_info is not None:
         keep &= F.col("INFO") >= least_info
     if least_maf is not None:

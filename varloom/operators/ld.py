@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,7 +55,7 @@ def _written(df: DataFrame, work: str | None) -> DataFrame:
     return df.checkpoint()
 
 
-def random_prune(variants: DataFrame, pairs: DataFrame, r2: float, seed: int = 0, maf: float | None = None, n: int | None = None, key: str = "vec_id", work: str | None = None, most_rounds: int = 100) -> DataFrame:
+def random_prune(variants: DataFrame, pairs: DataFrame, r2: float, seed: int = 0, maf: float | None = None, n: int | None = None, key: str = "vec_id", work: str | None = None) -> DataFrame:
     """A maximal set of variants without a pair of r2 or more, in a seeded random order.
 
     Optional first steps: minor allele frequency of at least `maf`, a random
@@ -76,9 +77,7 @@ def random_prune(variants: DataFrame, pairs: DataFrame, r2: float, seed: int = 0
     ranked = nodes.select(F.col("v").alias("w"), F.col("o").alias("ow"))
     edges = _written(strong.join(nodes, "v").join(ranked, "w"), work)
     taken = _written(nodes.join(edges.select("v").distinct(), "v", "left_anti").select("v"), work)  # without neighbours
-    for _ in range(most_rounds):
-        if not edges.take(1):
-            return taken.select(F.col("v").alias(key))
+    while edges.take(1):  # a round takes at least the open variant of the lowest hash
         won = edges.groupBy("v").agg(F.min("ow").alias("least"), F.first("o").alias("o")).where(F.col("o") < F.col("least")).select("v")
         won = _written(won, work)
         gone = won.unionByName(edges.join(won, "v", "left_semi").select(F.col("w").alias("v"))).distinct()
@@ -88,7 +87,7 @@ def random_prune(variants: DataFrame, pairs: DataFrame, r2: float, seed: int = 0
         freed = edges.select("v").distinct().join(gone, "v", "left_anti").join(left.select("v").distinct(), "v", "left_anti")
         taken = _written(taken.unionByName(won).unionByName(freed), work)
         edges = left
-    raise RuntimeError("pruning did not settle")
+    return taken.select(F.col("v").alias(key))
 
 
 def prune_replicates(variants: DataFrame, pairs: DataFrame, r2: float, replicates: int = 20, seed: int = 0, **options) -> DataFrame:
@@ -100,24 +99,28 @@ def prune_replicates(variants: DataFrame, pairs: DataFrame, r2: float, replicate
     return out
 
 
-def decode_bed(bits: bytes, samples: int) -> list[list[int | None]]:
-    """Genotypes (copies of the first allele; null where missing) of a variant-major .bed file's body."""
-    import numpy as np
-
+def bed_copies(bits: bytes, samples: int) -> np.ndarray:
+    """Genotypes (variants x samples; copies of the first allele, -1 where missing) of a variant-major .bed file's records."""
     width = -(-samples // 4)
     raw = np.frombuffer(bits, np.uint8).reshape(-1, width)
     two = np.stack([(raw >> s) & 3 for s in (0, 2, 4, 6)], axis=2).reshape(len(raw), -1)[:, :samples]
-    copies = np.array([2, -1, 1, 0])[two]
-    return [[None if g < 0 else int(g) for g in row] for row in copies]
+    return np.array([2.0, -1.0, 1.0, 0.0])[two]
 
 
-def genotype_vectors(genotypes: DataFrame) -> DataFrame:
-    """Missing genotypes as the variant's mean: variant, g (array<double>)."""
+def decode_bed(bits: bytes, samples: int) -> list[list[int | None]]:
+    """The same as lists, null where missing."""
+    return [[None if g < 0 else int(g) for g in row] for row in bed_copies(bits, samples)]
 
-    def fill(batches):
-        for b in batches:
-            b["g"] = [[float(x) if x is not None and x == x else None for x in g] for g in b["g"]]
-            b["g"] = [[m if x is None else x for x in g] for g, m in ((g, sum(x for x in g if x is not None) / max(1, sum(x is not None for x in g))) for g in b["g"])]
-            yield pd.DataFrame(b)
 
-    return genotypes.mapInPandas(fill, genotypes.schema)
+def genotype_batch(name: str, first: int, copies: np.ndarray) -> pa.RecordBatch:
+    n, samples = copies.shape
+    flat = np.ascontiguousarray(copies).ravel()
+    g = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * samples), pa.array(flat, mask=flat < 0))
+    return pa.RecordBatch.from_arrays([pa.array([name] * n, pa.string()), pa.array(np.arange(first, first + n, dtype=np.int64)), g], names=["file", "i", "g"])
+
+
+def genotype_vectors(genotypes: DataFrame) -> DataFrame:
+    """Missing genotypes as the variant's mean (0 if all are missing); other columns stay."""
+    known = F.filter("g", lambda x: x.isNotNull() & ~F.isnan(x))
+    mean = F.coalesce(F.try_divide(F.aggregate(known, F.lit(0.0), lambda a, x: a + x), F.size(known)), F.lit(0.0))
+    return genotypes.withColumn("_m", mean).withColumn("g", F.transform("g", lambda x: F.when(x.isNotNull() & ~F.isnan(x), x).otherwise(F.col("_m")))).drop("_m")

@@ -38,7 +38,7 @@ select distinct concat('GOBP_',p_brand) full_name, pow(10.0e0, -((cast(substr(p_
     "magma_genes": """
 select distinct concat('GENE',cast(p_size%10 as varchar(20))) gene, pow(10.0e0, -((p_size%10)*3)%10) p from {part}""",
     "gene_loc": """
-select concat('G',cast(p_partkey as varchar(20))) gene, p_partkey%22+1 chr, ((p_partkey*104729)%60000)*1000 gstart, ((p_partkey*104729)%60000)*1000+500000 gend from {part} where p_partkey<200""",
+select concat('G',cast(p_partkey as varchar(20))) gene, p_partkey%22+1 chr, ((p_partkey*104729)%60000)*1000 gstart, ((p_partkey*104729)%60000)*1000+500000 gend from {part}""",
     "p_or": """
 select l_orderkey,l_partkey,l_linenumber,(round(l_discount*100,0)+1)/12.0e0 p, round(1+l_tax-0.04e0,4) odds_ratio from {lineitem}""",
 }

@@ -5,13 +5,12 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from varloom import schema as S
-from varloom.operators.ld import decode_bed
+from varloom.operators.ld import bed_copies, genotype_batch
 
 #: What counts as missing in text tables.
 MISSING = ("", "NA", "NaN", "nan", "N/A", "null", "NULL", "-nan", "#N/A", "n/a", "None")
@@ -27,24 +26,43 @@ def _typed(cell, kind: T.DataType):
 def whitespace(spark: SparkSession, path: str | list[str], columns: T.StructType | None = None, comment: str = "#", partitions: int | None = None) -> DataFrame:
     """A table with cells between runs of white space; text after `comment` is cut anywhere in a line.
 
-    The first line left is the header (of each file).  Without `columns`,
-    cells stay text; with them, columns are typed and picked by header name.
+    The first line left of each file is its header, and its cells are read by
+    it: files may have their columns in different orders.  Without `columns`,
+    cells stay text under the names of the first file; with them, columns are
+    typed and picked by name.  A file without one of the columns is an error.
     Compressed files cannot be split: give `partitions` to deal their rows out.
     """
-    lines = spark.read.text(path if isinstance(path, list) else [path]).select(F.trim(F.regexp_replace("value", re.escape(comment) + ".*$", "")).alias("line"), F.col("_metadata.file_path").alias("_f")).where("line <> ''") if comment else spark.read.text(path).select(F.trim("value").alias("line"), F.col("_metadata.file_path").alias("_f")).where("line <> ''")
-    head = lines.select("line").first()
-    if head is None:
+    raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"), F.monotonically_increasing_id().alias("_i"))
+    cut = F.regexp_replace("value", re.escape(comment) + ".*$", "") if comment else F.col("value")
+    lines = raw.withColumn("line", F.trim(cut)).where("line <> ''")
+    # The first line of a file: in its first block that has one, the first row.  One row a file.
+    place = F.concat_ws("|", "_f", "_b", "_i")
+    found = lines.groupBy("_f").agg(F.min(F.struct("_b", "_i", "line")).alias("_h")).select("_f", F.concat_ws("|", "_f", "_h._b", "_h._i").alias("_at"), F.split("_h.line", r"\s+").alias("_names")).orderBy("_f").collect()
+    if not found:
         raise ValueError(f"no header in {path}")
-    names = re.split(r"\s+", head["line"])
+    names = [f.name for f in columns] if columns else found[0]["_names"]
+    for r in found:
+        missing = [n for n in names if n not in r["_names"]]
+        if missing:
+            raise ValueError(f"columns {missing} are missing in {r['_f']}; there are {r['_names']}")
+    layouts = sorted({tuple(r["_names"]) for r in found})
+    first = {r["_f"]: tuple(r["_names"]) for r in found}
+    # Rows of one layout are read alike; a header is known by its place, so that an equal data line stays.
+    which = F.broadcast(spark.createDataFrame([(f, layouts.index(n)) for f, n in first.items()], "_f string, _layout int"))  # one row a file
+    lines = lines.where(~place.isin([r["_at"] for r in found]))
     if partitions:
         lines = lines.repartition(partitions)
-    cells = lines.where(F.col("line") != F.lit(head["line"])).select(F.split("line", r"\s+").alias("c"))
+    rows = lines.join(which, "_f").select(F.split("line", r"\s+").alias("c"), "_layout")
+
+    def cell(name: str):
+        places = [n.index(name) for n in layouts]
+        if len(set(places)) == 1:
+            return F.get("c", F.lit(places[0]))
+        return F.get("c", F.get(F.array(*[F.lit(i) for i in places]), F.col("_layout")))
+
     if columns is None:
-        return cells.select(*[F.when(F.get("c", F.lit(i)).isin(*MISSING), None).otherwise(F.get("c", F.lit(i))).alias(n) for i, n in enumerate(names)])
-    missing = [f.name for f in columns if f.name not in names]
-    if missing:
-        raise ValueError(f"columns {missing} are missing; there are {names}")
-    return S.nan_to_null(cells.select(*[_typed(F.get("c", F.lit(names.index(f.name))), f.dataType).alias(f.name) for f in columns]))
+        return rows.select(*[F.when(cell(n).isin(*MISSING), None).otherwise(cell(n)).alias(n) for n in names])
+    return S.nan_to_null(rows.select(*[_typed(cell(f.name), f.dataType).alias(f.name) for f in columns]))
 
 
 def tsv(spark: SparkSession, path: str | list[str], columns: T.StructType | None = None, sep: str = "\t") -> DataFrame:
@@ -96,21 +114,33 @@ def fam(spark: SparkSession, path: str) -> DataFrame:
     return lines.select(*[_typed(F.get("c", F.lit(i)), f.dataType).alias(f.name) for i, f in enumerate(S.FAM)])
 
 
-def bed(spark: SparkSession, path: str | list[str], samples: int) -> DataFrame:
-    """Genotypes of variant-major .bed files: file, i (place in the file), g (array<double>, null where missing)."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def bed(spark: SparkSession, path: str | list[str], samples: int, *, range_bytes: int = 32 << 20) -> DataFrame:
+    """Genotypes of variant-major .bed files: file, i (place in the file), g (array<double>, null where missing).
+
+    A variant is a record of fixed length, so files of any size are read by
+    ranges of whole records, many tasks a file.
+    """
+    width = -(-samples // 4)
+    each = max(1, range_bytes // width)
+    listed = spark.read.format("binaryFile").load(path).select("path", ((F.col("length") - 3) / width).alias("_n"))  # contents are not read
+    whole = F.when(F.col("_n") == F.floor("_n"), F.col("_n").cast("long")).otherwise(F.raise_error(F.concat(F.lit("not whole records: "), "path")).cast("long"))
+    starts = F.filter(F.sequence(F.lit(0).cast("long"), whole, F.lit(each).cast("long")), lambda x: x < F.col("_n"))
+    ranges = listed.select("path", F.col("_n").cast("long").alias("n"), F.explode(starts).alias("first")).repartition("path", "first")
 
     def decode(batches):
+        from pyarrow import fs
+
         for b in batches:
-            for name, body in zip(b["path"], b["content"]):
-                if bytes(body[:3]) != b"\x6c\x1b\x01":  # fixed value: mark of variant-major files
-                    raise ValueError(f"not a variant-major .bed file: {name}")
-                rows = decode_bed(bytes(body[3:]), samples)
-                for at in range(0, len(rows), 1000):
-                    part = rows[at : at + 1000]
-                    yield pd.DataFrame({"file": name, "i": range(at, at + len(part)), "g": [[None if x is None else float(x) for x in r] for r in part]})
+            for name, n, first in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                where, at = fs.FileSystem.from_uri(name)
+                with where.open_input_file(at) as f:
+                    if f.read_at(3, 0) != b"\x6c\x1b\x01":  # fixed value: mark of variant-major files
+                        raise ValueError(f"not a variant-major .bed file: {name}")
+                    for i in range(first, min(n, first + each), 1000):
+                        m = min(1000, min(n, first + each) - i)
+                        yield genotype_batch(name, i, bed_copies(f.read_at(m * width, 3 + i * width), samples))
 
-    return files.mapInPandas(decode, "file string, i long, g array<double>")
+    return ranges.mapInArrow(decode, "file string, i long, g array<double>")
 
 
 def snp_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
@@ -122,9 +152,14 @@ def snp_list(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def annotation(spark: SparkSession, template: str, chromosomes: list[int] | None = None, keep: tuple[str, ...] = ("CHR", "BP", "SNP", "CM")) -> DataFrame:
     """Long form of annotation files: SNP, category, value; zeros are left out."""
     wide = tsv(spark, expand_chromosomes(template, chromosomes))
+    typed = wide.select(*[F.col(f"`{c}`") if c in keep else F.col(f"`{c}`").try_cast("double").alias(c) for c in wide.columns])
+    return unpivot_annotation(typed, "SNP", keep).where(F.col("value") != 0)
+
+
+def unpivot_annotation(wide: DataFrame, snp: str = "SNP", keep: tuple[str, ...] = ("CHR", "BP", "SNP", "CM"), value: str = "value") -> DataFrame:
+    """One row a variant and category from one column a category."""
     names = [c for c in wide.columns if c not in keep]
-    long = wide.select("SNP", *[F.col(f"`{c}`").try_cast("double").alias(c) for c in names]).unpivot(["SNP"], names, "category", "value")
-    return long.where(F.col("value") != 0)
+    return wide.select(snp, *[F.col(f"`{c}`") for c in names]).unpivot([snp], names, "category", value)
 
 
 def gene_sets(spark: SparkSession, path: str | list[str], sep: str = "\t") -> DataFrame:
