@@ -36,9 +36,10 @@ IBAN_LENGTHS = {
 IBAN = "|".join(rf"(?:{'|'.join(c.split())})\d\d(?: ?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items())
 FORMATS = {
     # To the closing quote or, without one, to white space or a quote.  What follows the last letter or digit would not change.
-    "secret": rf"(?<={NAMED}\")[^\"\r\n]*[A-Za-z0-9](?=[^\"\r\nA-Za-z0-9]*\")|(?<={NAMED}')[^'\r\n]*[A-Za-z0-9](?=[^'\r\nA-Za-z0-9]*')|(?<={NAMED}[\"']?)[^\s\"']*[A-Za-z0-9]",
+    # What goes before is looked at only behind a sign that can end it.
+    "secret": rf"(?<=[=:\s\"'])(?:(?<={NAMED}\")[^\"\r\n]*[A-Za-z0-9](?=[^\"\r\nA-Za-z0-9]*\")|(?<={NAMED}')[^'\r\n]*[A-Za-z0-9](?=[^'\r\nA-Za-z0-9]*')|(?<={NAMED}[\"']?)[^\s\"']*[A-Za-z0-9])",
     "email": rf"(?<![A-Za-z0-9._%+-]){MAIL}",
-    "iban": rf"(?<![\w.])(?:{IBAN})(?!\w)",
+    "iban": rf"(?<![\w.])(?=[A-Z]{{2}}\d\d)(?:{IBAN})(?!\w)",
     "key": r"\bAKIA[0-9A-Z]{16}\b",
     "date": r"(?<![\w-])(?:19|20)\d\d-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12]\d|3[01])(?![\w-])|(?<![\w/])(?:0[1-9]|[12]\d|3[01])/(?:0[1-9]|1[0-2])/(?:19|20)\d\d(?![\w/])",
     "ipv4": r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\w|\.\d)",
