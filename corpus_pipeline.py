@@ -31,7 +31,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     near = minhash.near_duplicates(docs).groupBy(F.col("doc_id").alias("_varloom_id"), F.col("text_hash").alias("_varloom_hash")).agg(F.min("kept").alias("_varloom_kept"), F.count(F.lit(1)).alias("_varloom_rows"))
     told = materialize(near.where(~F.col("_varloom_kept") | (F.col("_varloom_rows") > 1)), "told")
     marked = docs.withColumn("_varloom_h", F.xxhash64(F.col("text").cast("string")))
-    marked = marked.join(told, F.col("doc_id").cast("long").eqNullSafe(F.col("_varloom_id")) & (F.col("_varloom_h") == F.col("_varloom_hash")), "left")
+    # The same plan at every size: the list of decided rows grows with the table, so it is not broadcast.
+    marked = marked.join(told.hint("merge"), F.col("doc_id").cast("long").eqNullSafe(F.col("_varloom_id")) & (F.col("_varloom_h") == F.col("_varloom_hash")), "left")
     once = marked.where(F.col("_varloom_kept").isNull()).select(*docs.columns)
     return once.unionByName(marked.where("_varloom_kept").select(*docs.columns).dropDuplicates(["doc_id", "text"]))
 
