@@ -17,8 +17,8 @@ from varloom.llm.queries import pseudonym_key, vocabulary
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Learn from `labels` and the texts of `documents`; rejected rows go."""
-    examples, totals = toxicity.training_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, toxicity.fit(examples, totals)).where(F.col("score") < 0.5).select(*docs.columns)
+    model = toxicity.fit(*toxicity.training_rows(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")))  # its texts are freed here
+    return toxicity.score(docs, model).where(F.col("score") < 0.5).select(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
