@@ -11,12 +11,11 @@ more: the other words of a text share the weight of one term.  Where a text
 has a telling term, half of that weight stands for how many other words there
 are, so that a long text with a chance hit lies far from a short abusive one.
 
-`nearest` searches an inverted index with the largest weight of each block of
-64 examples: the blocks of the highest bounds first, then only those whose
-bound reaches the k-th best cosine so far.  Words that most examples share
-make such bounds loose, so `scores` adds the lists of rare words and takes
-words of many examples as one dense product for a batch of texts.  Both find
-the k nearest exactly.  Their votes, weighted by closeness, and the training
+`nearest_all` searches an inverted index with the largest weight of each block
+of 64 similar examples: the blocks of the highest bounds first, then only those
+whose bound reaches the k-th best cosine so far.  Words that most examples
+share are held by block, and a block is one product for the texts of a batch
+that visit it.  The k nearest are exact.  Their votes, weighted by closeness, and the training
 rate of documents without telling terms as a prior give the score, corrected
 for the sampling of classes.
 
@@ -47,6 +46,7 @@ from varloom.llm.bpe import small_batches
 
 _WORD = re.compile(r"[^\W\d_]+")
 BLOCK = 64
+BATCH = 128  # texts searched at a time
 FIRST_BLOCKS = 8  # visited first, to learn how good the k-th best is at least
 REST = "*"  # stands for the number of words that are no kept term
 COMMON = 16  # a term of more than one example in so many is taken as a dense row
@@ -65,7 +65,10 @@ def terms(text: str | None) -> Counter:
 
 
 class Model:
-    """The kept terms and all other words with their idf, the index of examples, and the prior."""
+    """The kept terms and all other words with their idf, the lists of examples by term, and the prior.
+
+    What a search needs beside the lists is made from them where it runs, so that little is sent.
+    """
 
     def __init__(self, idf: dict[str, float], vectors: Iterable[dict[int, float]], toxic: list[int], rates: tuple[float, float], prior: float, k: int = 9, words: dict[str, float] | None = None, new_idf: float = 1.0):
         self.k, self.rates, self.prior, self.new_idf = k, rates, prior, new_idf
@@ -74,34 +77,55 @@ class Model:
         self.whole = {t for t in idf if t[-1] not in "-*"}
         self.starts = {t[:-1] for t in idf if t[-1] == "-"}
         self.heads = {t[:4] for t in self.starts}  # a beginning has at least four letters
-        self.words = {w: (len(idf) + i, x) for i, (w, x) in enumerate((words or {}).items())}
-        ids, weights, sizes = array("i"), array("d"), []
+        self.words = dict(zip(words or (), range(len(words or ()))))  # numbered after the kept terms
+        self.word_idf = array("d", (words or {}).values())
+        self.index(vectors, toxic)
+
+    def index(self, vectors: Iterable[dict[int, float]], toxic: list[int]) -> None:
+        """The list of term t is docs[begin[t] : begin[t + 1]]."""
+        ids, weights, sizes = array("i"), array("d"), array("i")
         for v in vectors:
             ids.extend(v.keys())
             weights.extend(v.values())
             sizes.append(len(v))
         self.toxic = np.array(toxic, dtype=np.int8)
-        self.n_blocks = -(-max(1, len(sizes)) // BLOCK)
-        n_terms, by = len(idf) + len(self.words), np.frombuffer(ids, np.int32) if ids else np.empty(0, np.int32)
-        order = np.argsort(by, kind="stable")
-        # The list of term t is docs[begin[t] : begin[t + 1]].
+        by = np.array(ids, np.int32)
+        del ids
+        self.begin = np.append(0, np.cumsum(np.bincount(by, minlength=len(self.idf) + len(self.words))))
+        order = np.argsort(by, kind="stable").astype(np.int32)
+        del by
         self.docs = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
         self.weights = np.array(weights)[order]
-        self.begin = np.append(0, np.cumsum(np.bincount(by, minlength=n_terms)))
-        # By term and block: the largest weight.
-        cell = by[order].astype(np.int64) * self.n_blocks + self.docs // BLOCK
-        first = np.flatnonzero(np.diff(cell, prepend=-1))
-        self.max_block = (cell[first] % self.n_blocks).astype(np.int32)
-        self.max_weight = np.maximum.reduceat(self.weights, first) if len(first) else np.empty(0)
-        self.max_begin = np.searchsorted(first, self.begin)
-        often = np.flatnonzero(np.diff(self.begin) * COMMON > max(BLOCK, len(sizes)))
-        self.row = dict(zip(often.tolist(), range(len(often)), strict=True))
-        self.dense = np.zeros((len(often), self.n_blocks * BLOCK))
-        for r, t in enumerate(often):
-            here = slice(self.begin[t], self.begin[t + 1])
-            self.dense[r, self.docs[here]] = self.weights[here]
+        self.blocks = None
         self.memo: dict[bytes, tuple[float, list]] = {}
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"words": " ".join(self.words), "blocks": None, "memo": {}}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        self.words = {w: i for i, w in enumerate(state["words"].split(" "))} if state["words"] else {}
+
+    def _prepare(self) -> None:
+        """Blocks of 64 similar examples: their weights under common terms, and the largest of these."""
+        n = len(self.toxic)
+        common = np.flatnonzero(np.diff(self.begin) * COMMON > max(BLOCK, n))
+        self.row = np.full(len(self.begin) - 1, -1)  # of a common term among them
+        self.row[common] = np.arange(len(common))
+        dense = np.zeros((len(common), n))
+        for r, t in enumerate(common):
+            here = slice(self.begin[t], self.begin[t + 1])
+            dense[r, self.docs[here]] = self.weights[here]
+        self.number = similar_order(dense.T, BLOCK)  # the example at each place
+        place = np.empty(n, np.int32)
+        place[self.number] = np.arange(n)
+        self.places = place[self.docs]
+        self.n_blocks = -(-max(1, n) // BLOCK)
+        placed = np.zeros((len(common), self.n_blocks * BLOCK))
+        placed[:, :n] = dense[:, self.number]
+        self.blocks = np.ascontiguousarray(placed.reshape(len(common), self.n_blocks, BLOCK).transpose(1, 0, 2))
+        self.block_max = self.blocks.max(2).T
+
     def vector(self, text: str | None) -> dict[int, float]:
         """Unit TF-IDF vector by term number; words of no example count in its length only."""
         count = Counter(_WORD.findall((text or "").lower()))
@@ -126,72 +150,67 @@ class Model:
         for w, c in count.items():
             if w in hit:
                 continue
-            i, x = self.words.get(w, (-1, self.new_idf))
+            i = self.words.get(w, -1)
+            x = self.word_idf[i] if i >= 0 else self.new_idf
             if c > 1:
                 x *= 1 + math.log(c)
             square += x * x
             if i >= 0:
-                others.append((i, x))
+                others.append((len(self.idf) + i, x))
         if others and share:
             share /= math.sqrt(square)
             out.update((i, x * share) for i, x in others)
         return out
 
-    def _ranges(self, v: dict[int, float], begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Where the lists of these terms lie, and for each entry the weight of its term in `v`."""
-        t = np.fromiter(v.keys(), np.int64, len(v))
-        start, size = begin[t], begin[t + 1] - begin[t]
-        at = np.repeat(start - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()) if len(v) else np.empty(0, np.int64)
-        return at, np.repeat(np.fromiter(v.values(), float, len(v)), size)
-
     def nearest(self, v: dict[int, float]) -> list[tuple[float, int]]:
-        """The k examples of highest cosine, ties to the lower number; exact, by block maxima."""
-        at, q = self._ranges(v, self.max_begin)
-        bound = np.bincount(self.max_block[at], q * self.max_weight[at], self.n_blocks)
-        order = np.argsort(-bound, kind="stable")
-        at, q = self._ranges(v, self.begin)
-        docs, products = self.docs[at], q * self.weights[at]
-        sums = np.zeros(self.n_blocks * BLOCK)
-
-        def add(blocks: np.ndarray) -> None:
-            open_ = np.zeros(self.n_blocks, bool)
-            open_[blocks] = True
-            here = open_[docs // BLOCK]
-            np.add.at(sums, docs[here], products[here])
-
-        add(order[:FIRST_BLOCKS])
-        seen, least = sums[sums > 0], -1.0
-        if len(seen) >= self.k:
-            least = np.partition(seen, len(seen) - self.k)[len(seen) - self.k]
-        more = order[FIRST_BLOCKS:]
-        add(more[(bound[more] > 0) & (bound[more] >= least - 1e-9)])
-        return self._best(sums)
-
-    def _best(self, sums: np.ndarray) -> list[tuple[float, int]]:
-        peaks = sums.reshape(self.n_blocks, BLOCK).max(1)
-        # k blocks reach the k-th highest peak, so k examples do.
-        least = np.partition(peaks, len(peaks) - self.k)[len(peaks) - self.k] - 1e-9 if len(peaks) >= self.k else 0.0
-        top = np.flatnonzero((sums >= least) & (sums > 0))
-        best = sorted((-round(float(sums[e]), 12), int(e)) for e in top)[: self.k]
-        return [(-s, e) for s, e in best]
-
-    def _near_all(self, vectors: list[dict[int, float]]) -> list[list[tuple[float, int]]]:
-        """`nearest` of each vector of a batch."""
-        common = np.zeros((len(vectors), len(self.row)))
-        rare = []
+        """The k examples of highest cosine, ties to the lower number."""
+        return self.nearest_all([v])[0]
+
+    def nearest_all(self, vectors: list[dict[int, float]]) -> list[list[tuple[float, int]]]:
+        """The k nearest examples of each vector; exact, by block maxima.
+
+        The lists of rare words are added up.  With what the common terms of a
+        block can add at most, that bounds every cosine in it: the blocks of
+        the highest bounds are visited first, then those whose bound reaches
+        the k-th best cosine so far.  A block is one product for all the
+        vectors that visit it.
+        """
+        if self.blocks is None:
+            self._prepare()
+        n = len(vectors)
+        common = np.zeros((n, len(self.block_max)))
+        sums = np.zeros((n, self.n_blocks, BLOCK))
         for i, v in enumerate(vectors):
-            rare.append({})
-            for t, q in v.items():
-                r = self.row.get(t, -1)
-                if r < 0:
-                    rare[i][t] = q
-                else:
-                    common[i, r] = q
-        sums = common @ self.dense
+            t, q = np.fromiter(v.keys(), np.int64, len(v)), np.fromiter(v.values(), float, len(v))
+            r = self.row[t]
+            common[i, r[r >= 0]] = q[r >= 0]
+            t, q = t[r < 0], q[r < 0]
+            size = self.begin[t + 1] - self.begin[t]
+            at = np.repeat(self.begin[t] - np.cumsum(size) + size, size) + np.arange(size.sum())  # where the rare terms' lists lie
+            sums[i] = np.bincount(self.places[at], np.repeat(q, size) * self.weights[at], self.n_blocks * BLOCK).reshape(-1, BLOCK)
+        bound = common @ self.block_max + sums.max(2)
+        visited = np.zeros((n, self.n_blocks), bool)
+
+        def visit(now: np.ndarray) -> None:
+            for b in np.flatnonzero(now.any(0)):
+                who = np.flatnonzero(now[:, b])
+                sums[who, b] += common[who] @ self.blocks[b]
+            visited[now] = True
+
+        first = np.argsort(-bound, axis=1, kind="stable")[:, :FIRST_BLOCKS]
+        now = np.zeros_like(visited)
+        np.put_along_axis(now, first, True, 1)
+        visit(now & (bound > 0))
+        seen = sums[np.arange(n)[:, None], first].reshape(n, -1)
+        least = np.partition(seen, seen.shape[1] - self.k, 1)[:, seen.shape[1] - self.k] if seen.shape[1] >= self.k else np.zeros(n)
+        visit((bound > 0) & (bound >= least[:, None] - 1e-9) & ~visited)
         out = []
-        for i, v in enumerate(rare):
-            at, q = self._ranges(v, self.begin)
-            out.append(self._best(sums[i] + np.bincount(self.docs[at], q * self.weights[at], self.n_blocks * BLOCK)))
+        for s, here, low in zip(sums, visited, least, strict=True):
+            b = np.flatnonzero(here)
+            found = s[b]
+            x, y = np.nonzero((found >= low - 1e-9) & (found > 0))
+            best = sorted(zip((-found[x, y].round(12)).tolist(), self.number[b[x] * BLOCK + y].tolist(), strict=True))[: self.k]
+            out.append([(-c, e) for c, e in best])
         return out
 
     def _vote(self, near: list[tuple[float, int]]) -> tuple[float, list]:
@@ -212,9 +231,9 @@ class Model:
         vectors = {key: self.vector(t) for key, t in new.items()}
         some = [key for key, v in vectors.items() if v]
         self.memo |= dict.fromkeys(new.keys() - set(some), (self.prior, []))
-        for at in range(0, len(some), 64):
-            part = some[at : at + 64]
-            self.memo |= {key: self._vote(near) for key, near in zip(part, self._near_all([vectors[key] for key in part]), strict=True)}
+        for at in range(0, len(some), BATCH):
+            part = some[at : at + BATCH]
+            self.memo |= {key: self._vote(near) for key, near in zip(part, self.nearest_all([vectors[key] for key in part]), strict=True)}
         return [self.memo[key] for key in keys]
 
     def score(self, text: str | None) -> tuple[float, list[tuple[float, int]]]:
@@ -230,6 +249,26 @@ def weigh(raw: dict[int, float], idf: np.ndarray) -> dict[int, float]:
     return {t: x / norm for t, x in sorted(out.items())} if norm else {}
 
 
+def similar_order(x: np.ndarray, size: int) -> np.ndarray:
+    """An order of the rows of `x` in which runs of `size` hold similar ones: halved along the direction of largest spread."""
+    out: list[np.ndarray] = []
+    todo = [np.arange(len(x))]
+    while todo:
+        g = todo.pop()
+        if len(g) <= size:
+            out.append(g)
+            continue
+        part = x[g] - x[g].mean(0)
+        d = np.ones(x.shape[1])
+        for _ in range(8):
+            d = part.T @ (part @ d)
+            d /= np.linalg.norm(d) or 1.0
+        g = g[np.argsort(part @ d, kind="stable")]
+        half = -(-len(g) // (2 * size)) * size  # a multiple of `size`, below the length
+        todo += [g[half:], g[:half]]
+    return np.concatenate(out) if out else np.empty(0, np.int64)
+
+
 def copies(texts: Iterable[str | None]) -> list[bool]:
     """Which examples are near copies of an earlier one: equal in one of four bands of three minimum hashes of their words."""
     seen: set[tuple] = set()
@@ -281,9 +320,10 @@ def fit(examples: list[tuple[str | None, int]], totals: tuple[int, int] | None =
     idf = {t: math.log((1 + total) / (1 + df[0][t] + df[1][t])) + 1 for t in kept} | {REST: rest}
     seen = Counter(w for t, _ in examples for w in set(_WORD.findall((t or "").lower())))
     new_idf = math.log(1 + len(examples)) + 1
-    words = {w: new_idf - math.log(1 + n) for w, n in seen.items()}
+    for w, c in seen.items():
+        seen[w] = new_idf - math.log(1 + c)
+    model = Model(idf, [], [], rates, 0.0, k, seen, new_idf)  # type: ignore[arg-type]
     del seen
-    model = Model(idf, [], [], rates, 0.0, k, words, new_idf)  # type: ignore[arg-type]
     plain = [0.0, 0.0]
 
     def vectors():
@@ -293,9 +333,9 @@ def fit(examples: list[tuple[str | None, int]], totals: tuple[int, int] | None =
                 plain[y] += 1 / rates[y]
             yield v
 
-    out = Model(idf, vectors(), [y for _, y in examples], rates, 0.0, k, words, new_idf)  # type: ignore[arg-type]
-    out.prior = plain[1] / (plain[0] + plain[1] + 1)
-    return out
+    model.index(vectors(), labels)
+    model.prior = plain[1] / (plain[0] + plain[1] + 1)
+    return model
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", most_examples: int = 4096) -> tuple[list[tuple[str | None, int]], tuple[int, int]]:
@@ -334,6 +374,5 @@ def score(docs: DataFrame, model: Model, text: str = "text", *, evidence: bool =
 
 def toxicity(docs: DataFrame, labels: DataFrame, *, most_examples: int = 4096, evidence: bool = False) -> DataFrame:
     """Fit on labelled rows and score every row of `docs`; adds score and predicted."""
-    examples, totals = training_rows(docs, labels, most_examples=most_examples)
-    out = score(docs, fit(examples, totals), evidence=evidence)
+    out = score(docs, fit(*training_rows(docs, labels, most_examples=most_examples)), evidence=evidence)
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
