@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import ann, bpe, html, licences, media, minhash, packing, pii, sharding, toxicity
+from varloom.llm import ann, bpe, html, licences, media, minhash, packing, pii, sharding, toxicity, vector_codes
 from varloom.llm._shared import read, workspace
 from varloom.llm.sql import ORACLE_SQL  # noqa: F401  SQL where it can express the query
 
@@ -78,11 +78,15 @@ def op10_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(read(spark, sf_dir, "embeddings"), every=20, k=20)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(read(spark, sf_dir, "embeddings"), parts=8, entries=16, rounds=6, scale=4096).drop("label")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_media, op4_minhash, op5_licences, op6_packing, op7_pii, op8_html, op9_toxicity, op10_ann, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_media, op4_minhash, op5_licences, op6_packing, op7_pii, op8_html, op9_toxicity, op10_ann, op11_vector_codes, pipeline)}
 

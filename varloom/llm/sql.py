@@ -55,4 +55,27 @@ select doc_id, path, own_licence, cosine, coalesce(own_licence, given) licence,
 """
 
 
-ORACLE_SQL = {"op4_minhash": OP4, "op5_licences": op5()}
+FINITE = "embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0"
+
+
+def op11(rounds: int = 6, parts: int = 8, entries: int = 16, scale: int = 4096, width: int = 8) -> str:
+    apart = "+".join(f"(p.x[{i}]-c.x[{i}])*(p.x[{i}]-c.x[{i}])" for i in range(1, width + 1))
+    mean = ",".join(f"cast(floor(sum(p.x[{i}])::double/count(*)) as bigint)" for i in range(1, width + 1))
+    steps = ["c0 as materialized (select part, e, x from p join k using (vec_id))"]
+    for r in range(rounds + 1):
+        steps.append(f"a{r} as materialized (select p.vec_id, p.part, min(({apart})*{entries}+c.e) best from p join c{r} c using (part) group by all)")
+        if r < rounds:
+            steps.append(f"m{r} as (select p.part, cast(best%{entries} as bigint) e, [{mean}] x from p join a{r} using (vec_id, part) group by all)")
+            steps.append(f"c{r + 1} as materialized (select c.part, c.e, coalesce(m.x, c.x) x from c{r} c left join m{r} m on m.part=c.part and m.e=c.e)")
+    return f"""
+with v as materialized (select vec_id, label, list_transform(embedding, lambda x: cast(floor(x*{scale}) as bigint)) x from embeddings where {FINITE}),
+ p as materialized (select vec_id, t.part, x[t.part*{width}+1:t.part*{width}+{width}] x from v, range({parts}) t(part)),
+ k as (select vec_id, row_number() over (order by vec_id)-1 e from v qualify e < {entries}),
+ {", ".join(steps)},
+ s as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, e)) s from c{rounds}),
+ o as (select vec_id, string_agg(printf('%02x', cast(best%{entries} as int)), '' order by part) code, cast(sum(best//{entries}) as bigint) error from a{rounds} group by vec_id)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) label_error, s codebooks_sha256 from o join v using (vec_id) cross join s
+"""
+
+
+ORACLE_SQL = {"op4_minhash": OP4, "op5_licences": op5(), "op11_vector_codes": op11()}
