@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from varloom.llm import vector_codes
+from varloom.llm import negatives, vector_codes
 
 ROWS = "vec_id long, embedding array<double>, label int, code string, score double"
 
@@ -88,3 +88,47 @@ def test_bounds_save_distances():
         vector_codes.shift(code, upper, lower, np.sqrt(((new - book) ** 2).sum(1)))
         book = new
     assert max(spent[1:]) < 3000 * 16 / 8
+
+
+# -- hard negatives ------------------------------------------------------------
+
+
+def mined(rows, every, positives, negatives, least=30, most=90, scale=256):
+    kept = sorted({(i, c, tuple(int(np.floor(scale * x)) for x in v)) for i, v, c in clean(rows) if i is not None and c is not None})
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b))
+    anchors = {}
+    for i, c, v in kept:
+        if i % every == 0:
+            anchors.setdefault(i, (c, v))
+    out = []
+    for i, (c, v) in anchors.items():
+        scored = sorted((-dot(v, w), j, d) for j, d, w in kept)
+        for s, p, _ in [t for t in scored if t[2] == c and t[1] != i][:positives]:
+            fits = [(t, j) for t, j, d in scored if d != c and least * -s <= 100 * -t <= most * -s][:negatives]
+            out += [(i, p, n, j, -s, -t) for n, (t, j) in enumerate(fits, 1)]
+    return sorted(out)
+
+
+def test_hard_negatives(spark):
+    rng = np.random.default_rng(3)
+    middle = rng.normal(size=(12, 16))
+    vectors = (middle[rng.integers(0, 12, 700)] + rng.normal(scale=0.6, size=(700, 16))) / 4
+    rows = [(int(i), v.tolist(), [None, 0, 1, 2, 3][i % 5]) for i, v in enumerate(vectors)]
+    # Many rows of one score, in and beyond the positives and the window: ids decide.
+    rows += [(10_000 + 7 * i, vectors[6].tolist(), 1) for i in range(900)] + [(50_000 + i, (vectors[6] * 0.6).tolist(), 2) for i in range(900)]
+    rows += [rows[6], rows[6], (6, vectors[9].tolist(), 2), (None, vectors[6].tolist(), 1)] + HARD
+    for every, positives, negatives, block in ((6, 5, 10, 4096), (35, 3, 50, 8)):
+        got = negatives_of(table(spark, rows), every=every, positives=positives, negatives=negatives, block=block)
+        want = mined(rows, every, positives, negatives)
+        assert got == want and len(want) > 500
+
+
+def negatives_of(df, **options):
+    return sorted((r["anchor_id"], r["positive_id"], r["rank"], r["negative_id"], r["positive_score"], r["negative_score"]) for r in negatives.hard_negatives(df, **options).collect())
+
+
+def test_hard_negatives_of_few_rows(spark):
+    assert negatives_of(table(spark, HARD)) == []
+    assert negatives_of(table(spark, [])) == []
+    rows = [(0, [1.0] * 4, 1), (1, [1.0] * 4, 1), (2, [0.5] * 4, 2), (3, [0.0] * 4, 2), (100, [-1.0] * 4, 5)]
+    assert negatives_of(table(spark, rows)) == mined(rows, 100, 5, 10) == [(0, 1, 1, 2, 262144, 131072)]

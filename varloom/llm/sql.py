@@ -78,4 +78,13 @@ select vec_id, code, error, cast(sum(error) over (partition by label) as bigint)
 """
 
 
-ORACLE_SQL = {"op4_minhash": OP4, "op5_licences": op5(), "op11_vector_codes": op11()}
+OP12 = f"""
+with r as materialized (select vec_id, case when vec_id%7=0 then (label+1)%10 else label end label, list_transform(embedding, lambda x: floor(x::double*256)) x from embeddings where label is not null and {FINITE}),
+ s as materialized (select a.vec_id anchor_id, b.vec_id, a.label=b.label same, cast(list_dot_product(a.x, b.x) as bigint) score from r a join r b on a.vec_id%100=0 and a.vec_id<>b.vec_id),
+ p as (select anchor_id, vec_id positive_id, score positive_score from s where same qualify row_number() over (partition by anchor_id order by score desc, vec_id)<=5),
+ n as (select anchor_id, positive_id, row_number() over (partition by anchor_id, positive_id order by score desc, vec_id) n, vec_id negative_id, positive_score, score negative_score from p join s using (anchor_id) where not same and 30*positive_score<=100*score and 100*score<=90*positive_score)
+select anchor_id, positive_id, cast(n as int) as rank, negative_id, positive_score, negative_score from n where n<=10
+"""
+
+
+ORACLE_SQL = {"op4_minhash": OP4, "op5_licences": op5(), "op11_vector_codes": op11(), "op12_hard_negatives": OP12}
