@@ -5,7 +5,7 @@ import hashlib
 import numpy as np
 import pytest
 
-from varloom.llm import negatives, vector_codes
+from varloom.llm import negatives, vector_codes, vector_near
 
 ROWS = "vec_id long, embedding array<double>, label int, code string, score double"
 
@@ -132,3 +132,81 @@ def test_hard_negatives_of_few_rows(spark):
     assert negatives_of(table(spark, [])) == []
     rows = [(0, [1.0] * 4, 1), (1, [1.0] * 4, 1), (2, [0.5] * 4, 2), (3, [0.0] * 4, 2), (100, [-1.0] * 4, 5)]
     assert negatives_of(table(spark, rows)) == mined(rows, 100, 5, 10) == [(0, 1, 1, 2, 262144, 131072)]
+
+
+# -- near duplicates -----------------------------------------------------------
+
+
+def linked(rows, t):
+    """vec_id, n_links, component_id, kept of distinct rows, by all pairs."""
+    rows = sorted({(i, c, None if v is None else tuple(None if x is None else float(x) for x in v)) for i, v, c in rows}, key=str)
+    good = [k for k, (i, c, v) in enumerate(rows) if i is not None and c is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
+    x = np.array([rows[k][2] for k in good], float).reshape(len(good), -1)
+    x /= np.abs(x).max(1, initial=0, keepdims=True)  # lengths far from 1
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    label = np.array([rows[k][1] for k in good])
+    link = (x @ x.T >= t) & (label[:, None] == label[None, :])
+    np.fill_diagonal(link, False)
+    low = np.array([rows[k][0] for k in good])
+    while True:
+        new = np.where(link, low[None, :], low[:, None]).min(1)
+        new = np.minimum(new, low)
+        if (new == low).all():
+            break
+        low = new
+    out = {k: (int(n), int(c)) for k, n, c in zip(good, link.sum(1), low)}
+    return sorted(((i is None, i or 0, *(out.get(k, (0, i))), out.get(k, (0, i))[1] == i) for k, (i, _, _) in enumerate(rows)), key=str)
+
+
+def found(df, **options):
+    return sorted(((r["vec_id"] is None, r["vec_id"] or 0, r["n_links"], r["component_id"], r["kept"]) for r in vector_near.near_vectors(df, **options).collect()), key=str)
+
+
+def test_near_vectors(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 16))
+    rows = [(int(i), (middle[rng.integers(0, 40)] * (1 + i % 3) + rng.normal(scale=0.12, size=16)).tolist(), [None, 0, 1, 2, 11][i % 5]) for i in range(1500)]
+    rows += [(20_000 - i, (middle[3] + rng.normal(scale=0.02, size=16)).tolist(), 2) for i in range(700)]  # a tight group: linked as wholes
+    rows += [(30_000 + i, middle[5].tolist(), 1) for i in range(300)]  # copies
+    steps = rng.normal(size=16)
+    rows += [(40_000 + i, (np.array([10.0] + [0] * 15) * np.cos(i * 0.1) + np.array([0, 10.0] + [0] * 14) * np.sin(i * 0.1)).tolist(), 11) for i in range(40)]  # a chain
+    rows += [(50_000, (steps * 1e300 / 10).tolist(), 0), (50_001, (steps * 1e-300).tolist(), 0)]  # equal directions of very unequal lengths
+    rows += [rows[1], rows[1], (None, rows[1][1], 0), (60_000, [1.0, 2.0], 1), (60_001, [], 1)] + HARD
+    want = linked([r for r in rows if r[1] is None or len(r[1]) == 16], 0.98)
+    want = sorted(want + [(False, 60_000, 0, 60_000, True), (False, 60_001, 0, 60_001, True)], key=str)
+    for options in ({}, {"block": 60}):
+        assert found(table(spark, rows), **options) == want
+    assert sum(r[2] > 0 for r in want) > 1500
+
+
+def test_near_vectors_of_few_rows(spark):
+    assert found(table(spark, [])) == []
+    assert found(table(spark, HARD)) == linked(HARD, 0.98)
+    rows = [(3, [1.0, 0.0], 1), (1, [1.0, 0.1], 1), (2, [1.0, 0.1], 2), (9, [1.0, 0.0], 1)]
+    assert found(table(spark, rows)) == linked(rows, 0.98)
+
+
+def test_whole_intervals_hold_both_ways():
+    """Blocks of one tight group are linked as wholes, seen from each of them, and no pair is looked at."""
+    rng = np.random.default_rng(5)
+    x = np.array([1.0] + [0] * 7) + rng.normal(scale=0.01, size=(4096, 8))
+    x /= np.sqrt((x * x).sum(1))[:, None]
+    block = vector_near.Block(np.arange(4096), ["a"] * 4096, np.ones(4096, np.int64), x, np.eye(8)[:, :4], {})
+    kinds = [k for k, *_ in vector_near.meet(block.tree, block.tree, 0.2, mirrored=True)]
+    assert kinds == ["all"]
+    n, root = np.zeros(4096, np.int64), np.arange(4096)
+    vector_near.compare(block, block, 0.98, 0.2, root, n, n)
+    assert (n == 4095).all() and not vector_near._find(root, np.arange(4096)).any()
+
+
+def test_sql_of_vector_queries(spark, sf_dir):
+    duckdb = pytest.importorskip("duckdb")
+    from varloom.llm import queries
+    from varloom.llm.sql import ORACLE_SQL
+
+    con = duckdb.connect()
+    con.execute(f"create view embeddings as select * from '{sf_dir}/embeddings.parquet'")
+    for name in ("op11_vector_codes", "op12_hard_negatives", "op13_vector_near"):
+        df = queries.QUERIES[name](spark, sf_dir)
+        cols = ", ".join(f'"{c}"' for c in df.columns)
+        assert sorted(map(tuple, df.collect())) == sorted(con.execute(f"select {cols} from ({ORACLE_SQL[name]})").fetchall()), name

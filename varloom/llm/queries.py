@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from varloom.llm import ann, bpe, html, licences, media, minhash, negatives, packing, pii, sharding, toxicity, vector_codes
+from varloom.llm import ann, bpe, html, licences, media, minhash, negatives, packing, pii, sharding, toxicity, vector_codes, vector_near
 from varloom.llm._shared import read, workspace
 from varloom.llm.sql import ORACLE_SQL  # noqa: F401  SQL where it can express the query
 
@@ -87,11 +87,15 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))), every=100, positives=5, negatives=10, least=30, most=90, scale=256)
 
 
+def op13_vector_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near.near_vectors(read(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_media, op4_minhash, op5_licences, op6_packing, op7_pii, op8_html, op9_toxicity, op10_ann, op11_vector_codes, op12_hard_negatives, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_sharding, op3_media, op4_minhash, op5_licences, op6_packing, op7_pii, op8_html, op9_toxicity, op10_ann, op11_vector_codes, op12_hard_negatives, op13_vector_near, pipeline)}
 

@@ -87,4 +87,14 @@ select anchor_id, positive_id, cast(n as int) as rank, negative_id, positive_sco
 """
 
 
-ORACLE_SQL = {"op4_minhash": OP4, "op5_licences": op5(), "op11_vector_codes": op11(), "op12_hard_negatives": OP12}
+OP13 = f"""
+with recursive v as materialized (select vec_id, label, embedding::double[] v from embeddings where label is not null and {FINITE} and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+ e as materialized (select a.vec_id a, b.vec_id b from v a join v b on a.label = b.label and a.vec_id <> b.vec_id and list_cosine_similarity(a.v, b.v) >= 0.98),
+ n as (select a, count(*) n from e group by a),
+ r as (select vec_id a, vec_id b from embeddings union select r.a, e.b from r join e on e.a = r.b),
+ m as (select a, min(b) c from r group by a)
+select vec_id, coalesce(n, 0) n_links, c component_id, vec_id = c kept from embeddings join m on m.a = vec_id left join n on n.a = vec_id
+"""
+
+
+ORACLE_SQL = {"op4_minhash": OP4, "op5_licences": op5(), "op11_vector_codes": op11(), "op12_hard_negatives": OP12, "op13_vector_near": OP13}
