@@ -141,8 +141,10 @@ def linked(rows, t):
     """vec_id, n_links, component_id, kept of distinct rows, by all pairs."""
     rows = sorted({(i, c, None if v is None else tuple(None if x is None else float(x) for x in v)) for i, v, c in rows}, key=str)
     good = [k for k, (i, c, v) in enumerate(rows) if i is not None and c is not None and v is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)]
-    x = np.array([rows[k][2] for k in good], float) if good else np.empty((0, 1))
-    x /= np.abs(x).max(1, initial=0, keepdims=True)  # lengths far from 1
+    if not good:
+        return sorted(((i is None, i or 0, 0, i, True) for i, _, _ in rows), key=str)
+    x = np.array([rows[k][2] for k in good], float)
+    x /= np.abs(x).max(1, keepdims=True)  # lengths far from 1
     x /= np.sqrt((x * x).sum(1))[:, None]
     label = np.array([rows[k][1] for k in good])
     link = (x @ x.T >= t) & (label[:, None] == label[None, :])
