@@ -99,3 +99,22 @@ def test_freshness(spark, tmp_path):
     assert not readers.stale(spark, b, a) and readers.stale(spark, a, b)
     with pytest.raises(FileNotFoundError):
         readers.stale(spark, b, str(tmp_path / "none"))
+
+
+def test_headers_do_not_depend_on_splits(spark, tmp_path):
+    """The way files are split may change between reading the headers and the action; a line equal to the header stays as often as it is data."""
+    paths = []
+    for i in range(6):
+        head = "SNP A B" if i % 2 else "B A SNP"
+        cells = [f"r{i}_{k} {k} {k}" if i % 2 else f"{k} {k} r{i}_{k}" for k in range(20)]
+        (tmp_path / f"f{i}").write_text("\n".join(["# note", head, *cells, *([head] * (2 if i == 3 else 0))]) + "\n")
+        paths.append(str(tmp_path / f"f{i}"))
+    kept = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        df = readers.whitespace(spark, paths)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "40b")
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
+    assert len(got) == 122 and sum(r["SNP"] == "SNP" for r in got) == 2
+    assert {r["SNP"] for r in got if r["A"] == "7" and r["B"] == "7"} == {f"r{i}_7" for i in range(6)}

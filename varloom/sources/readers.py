@@ -36,8 +36,7 @@ def whitespace(spark: SparkSession, path: str | list[str], columns: T.StructType
     cut = F.regexp_replace("value", re.escape(comment) + ".*$", "") if comment else F.col("value")
     lines = raw.withColumn("line", F.trim(cut)).where("line <> ''")
     # The first line of a file: in its first block that has one, the first row.  One row a file.
-    place = F.concat_ws("|", "_f", "_b", "_i")
-    found = lines.groupBy("_f").agg(F.min(F.struct("_b", "_i", "line")).alias("_h")).select("_f", F.concat_ws("|", "_f", "_h._b", "_h._i").alias("_at"), F.split("_h.line", r"\s+").alias("_names")).orderBy("_f").collect()
+    found = lines.groupBy("_f").agg(F.min(F.struct("_b", "_i", "line")).alias("_h")).select("_f", F.col("_h.line").alias("_head"), F.split("_h.line", r"\s+").alias("_names")).orderBy("_f").collect()
     if not found:
         raise ValueError(f"no header in {path}")
     names = [f.name for f in columns] if columns else found[0]["_names"]
@@ -46,13 +45,17 @@ def whitespace(spark: SparkSession, path: str | list[str], columns: T.StructType
         if missing:
             raise ValueError(f"columns {missing} are missing in {r['_f']}; there are {r['_names']}")
     layouts = sorted({tuple(r["_names"]) for r in found})
-    first = {r["_f"]: tuple(r["_names"]) for r in found}
-    # Rows of one layout are read alike; a header is known by its place, so that an equal data line stays.
-    which = F.broadcast(spark.createDataFrame([(f, layouts.index(n)) for f, n in first.items()], "_f string, _layout int"))  # one row a file
-    lines = lines.where(~place.isin([r["_at"] for r in found]))
+    which = F.broadcast(spark.createDataFrame([(r["_f"], layouts.index(tuple(r["_names"])), r["_head"]) for r in found], "_f string, _layout int, _head string"))  # one row a file
+    # A header is known by its text, which no way of splitting the file changes.  Of equal lines in its file one is the header; the others are data.
+    known = lines.join(which, "_f", "left").withColumn("_layout", F.coalesce("_layout", F.raise_error(F.concat(F.lit("the header of this file was not read: "), "_f")).cast("int")))
+    body = known.where(~F.col("line").eqNullSafe(F.col("_head"))).select("line", "_layout")
+    again = known.where(F.col("line") == F.col("_head")).groupBy("_f", "_layout", "line").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").collect()
+    if again:
+        more = spark.createDataFrame([(r["line"], r["_layout"], r["_n"] - 1) for r in again], "line string, _layout int, _n long")
+        body = body.unionByName(more.select("line", "_layout", F.explode(F.sequence(F.lit(1), "_n")).alias("_n")).drop("_n"))
     if partitions:
-        lines = lines.repartition(partitions)
-    rows = lines.join(which, "_f").select(F.split("line", r"\s+").alias("c"), "_layout")
+        body = body.repartition(partitions)
+    rows = body.select(F.split("line", r"\s+").alias("c"), "_layout")
 
     def cell(name: str):
         places = [n.index(name) for n in layouts]
