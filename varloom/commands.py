@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom import schema as S
-from varloom.operators import enrich, figures, geneset, harmonize, mixture, models, ranges
+from varloom.operators import enrich, figures, geneset, harmonize, linked, mixture, models, ranges
 from varloom.operators import ld as ldops
 from varloom.sources import readers, sinks
 
@@ -87,17 +87,41 @@ def _params(spark: SparkSession, path: str) -> dict[str, float]:
     return json.loads(spark.read.text(path).first()[0])["params"]
 
 
-def fit1(spark: SparkSession, trait1_file: str, out: str, *, extract: str | None = None, exclude_ranges: str = "MHC", chr2use: str | None = None, load_params: str | None = None) -> None:
-    """Fit one trait; a result document with parameters and costs."""
-    df = _study(readers.sumstats(spark, trait1_file), readers.snp_list(spark, extract) if extract else None, exclude_ranges, chr2use)
-    start = {k: v for k, v in _params(spark, load_params).items() if k in ("pi", "sig2_beta", "sig2_zero")} if load_params else None
-    r = mixture.fit_univariate(df, "Z", "N", start).first()
-    _put(spark, {"options": {"sum_weights": r["n"], "num_snp": r["n"], "totalhet": r["n"]}, "params": {k: r[k] for k in ("pi", "sig2_beta", "sig2_zero")}, "optimize": [["infinitesimal", {"fun": r["cost_infinitesimal"]}], ["mixture", {"fun": r["cost"]}]], "criteria": {"aic": r["aic"], "bic": r["bic"]}}, out)
+def _panel(spark: SparkSession, ld_out: str, chr2use: str | None) -> tuple[DataFrame, DataFrame]:
+    """The panel (SNP, het) and its pairs from what `ld` has written."""
+    chroms = ranges.parse_chromosomes(chr2use) if chr2use else None
+    scores = readers.library(spark, f"{ld_out}/scores", chroms)
+    return scores.select(F.col("snp").alias("SNP"), (2.0 * F.col("maf") * (1.0 - F.col("maf"))).alias("het")), readers.library(spark, f"{ld_out}/pairs", chroms)
+
 
+def fit1(spark: SparkSession, trait1_file: str, out: str, *, extract: str | None = None, exclude_ranges: str = "MHC", chr2use: str | None = None, load_params: str | None = None, ld_out: str | None = None, fit_sequence: tuple[str, ...] = ("diffevo", "neldermead"), diffevo_fast_repeats: int = 1, seed: int = 1, states: str | None = None) -> None:
+    """Fit one trait; a result document with parameters and costs.
 
-def test1(spark: SparkSession, trait1_file: str, load_params: str, out: str, *, exclude_ranges: str = "MHC", chr2use: str | None = None) -> None:
-    """Apply fitted parameters to all variants: posteriors as a table."""
+    With `ld_out` (the folder of `ld`) the likelihood takes LD into account,
+    `fit_sequence` names the optimisers, and `states` is a folder from which a
+    fit that was stopped goes on.  Without, variants count as independent.
+    """
+    df = _study(readers.sumstats(spark, trait1_file), readers.snp_list(spark, extract) if extract else None, exclude_ranges, chr2use)
+    start = {k: v for k, v in _params(spark, load_params).items() if k in ("pi", "sig2_beta", "sig2_zero")} if load_params else None
+    if ld_out:
+        panel, pairs = _panel(spark, ld_out, chr2use)
+        tags = df.select("SNP", F.col("Z").alias("z"), F.col("N").alias("n"))
+        r = linked.fit_univariate(tags, panel, pairs, key="SNP", fit_sequence=tuple(fit_sequence), repeats=diffevo_fast_repeats, start=start, seed=seed, store=states).first()
+        options = {"sum_weights": r["sum_weights"], "num_snp": r["num_snp"], "totalhet": r["totalhet"]}
+    else:
+        r = mixture.fit_univariate(df, "Z", "N", start).first()
+        options = {"sum_weights": r["n"], "num_snp": r["n"], "totalhet": r["n"]}
+    _put(spark, {"options": options, "params": {k: r[k] for k in ("pi", "sig2_beta", "sig2_zero")}, "optimize": [["infinitesimal", {"fun": r["cost_infinitesimal"]}], ["mixture", {"fun": r["cost"], "success": r["converged"]}]], "criteria": {"aic": r["aic"], "bic": r["bic"]}}, out)
+
+
+def test1(spark: SparkSession, trait1_file: str, load_params: str, out: str, *, exclude_ranges: str = "MHC", chr2use: str | None = None, ld_out: str | None = None) -> None:
+    """Apply fitted parameters to all variants: posteriors as a table (with `ld_out` also costs, under LD)."""
     df = _study(readers.sumstats(spark, trait1_file), None, exclude_ranges, chr2use)
+    if ld_out:
+        panel, pairs = _panel(spark, ld_out, chr2use)
+        rows = linked.spectra(df.select("SNP", F.col("Z").alias("z"), F.col("N").cast("double").alias("n")), panel, pairs, "SNP")
+        linked.costs(rows, _params(spark, load_params), "SNP").write.mode("overwrite").parquet(out)
+        return
     mixture.apply_univariate(df, _params(spark, load_params), "Z", "N").write.mode("overwrite").parquet(out)
 
 
@@ -112,19 +136,38 @@ def _pair(spark: SparkSession, trait1_file: str, trait2_file: str, exclude_range
     return fits.select("SNP", F.col("Z").alias("z1"), turned.alias("z2"), F.col("N").alias("n1"), "n2")
 
 
-def fit2(spark: SparkSession, trait1_file: str, trait2_file: str, trait1_params: str, trait2_params: str, out: str, *, extract: str | None = None, exclude_ranges: str = "MHC", chr2use: str | None = None) -> None:
-    """Fit a pair from its traits' documents; the document has the costs at the least and greatest overlap."""
+def fit2(spark: SparkSession, trait1_file: str, trait2_file: str, trait1_params: str, trait2_params: str, out: str, *, extract: str | None = None, exclude_ranges: str = "MHC", chr2use: str | None = None, ld_out: str | None = None, points: int = 21) -> None:
+    """Fit a pair from its traits' documents, under LD with `ld_out`.
+
+    The document's third step, brute1, is the overlap curve: the costs on a
+    grid of pi12 from the least overlap that the genetic correlation allows to
+    the greatest; brent1 is the best overlap.
+    """
     df = _pair(spark, trait1_file, trait2_file, exclude_ranges, chr2use, readers.snp_list(spark, extract) if extract else None)
     one, two = _params(spark, trait1_params), _params(spark, trait2_params)
-    r = mixture.fit_bivariate(df, one, two).first()
-    curve = {"grid": [0.0, 1.0], "Jout": [r["cost_min"], r["cost_max"]], "fun": min(r["cost_min"], r["cost_max"])}
-    _put(spark, {"options": {"sum_weights": r["n"], "num_snp": r["n"], "totalhet": r["n"]}, "params": {"pi12": r["pi12"], "rho_beta": r["rho_beta"], "rho_zero": r["rho_zero"], "pi1u": one["pi"], "pi2u": two["pi"]}, "optimize": [["start", {"fun": r["cost_max"]}], ["search", {"fun": r["cost"]}], ["brute1", curve], ["best", {"fun": r["cost"]}]]}, out)
-
-
-def test2(spark: SparkSession, trait1_file: str, trait2_file: str, trait1_params: str, trait2_params: str, load_params: str, out: str, *, exclude_ranges: str = "MHC", chr2use: str | None = None) -> None:
+    if ld_out:
+        panel, pairs = _panel(spark, ld_out, chr2use)
+        r = linked.fit_bivariate(df, panel, pairs, one, two, key="SNP", points=points)
+        size = panel.agg(F.count(F.lit(1)), F.sum("het")).first()
+        options = {"sum_weights": r["sum_weights"], "num_snp": size[0], "totalhet": size[1]}
+    else:
+        r = mixture.fit_bivariate(df, one, two, points=points).first().asDict()
+        options = {"sum_weights": r["n"], "num_snp": r["n"], "totalhet": r["n"]}
+    curve = {"grid": r["grid"], "Jout": r["jout"], "fun": min(r["jout"])}
+    best = {"fun": r["cost"], "x": r["pi12"], "success": r["converged"]}
+    _put(spark, {"options": options, "params": {"pi12": r["pi12"], "rho_beta": r["rho_beta"], "rho_zero": r["rho_zero"], "pi1u": one["pi"], "pi2u": two["pi"]}, "optimize": [["inft", {"fun": r["jout"][-1]}], ["fit", {"fun": r["cost"]}], ["brute1", curve], ["brent1", best]]}, out)
+
+
+def test2(spark: SparkSession, trait1_file: str, trait2_file: str, trait1_params: str, trait2_params: str, load_params: str, out: str, *, exclude_ranges: str = "MHC", chr2use: str | None = None, ld_out: str | None = None) -> None:
     """Apply a pair's parameters to all variants: costs as a table."""
     df = _pair(spark, trait1_file, trait2_file, exclude_ranges, chr2use)
-    mixture.apply_bivariate(df, _params(spark, trait1_params), _params(spark, trait2_params), _params(spark, load_params)).write.mode("overwrite").parquet(out)
+    one, two, both = (_params(spark, f) for f in (trait1_params, trait2_params, load_params))
+    if ld_out:
+        panel, pairs = _panel(spark, ld_out, chr2use)
+        rows = linked.spectra(df.withColumns({c: F.col(c).cast("double") for c in ("z1", "z2", "n1", "n2")}), panel, pairs, "SNP", bins=8)
+        linked.costs(rows, linked.pair_params(one, two, both["pi12"], both["rho_beta"], both["rho_zero"]), "SNP").select("SNP", "cost").write.mode("overwrite").parquet(out)
+        return
+    mixture.apply_bivariate(df, one, two, both).write.mode("overwrite").parquet(out)
 
 
 def plsa(spark: SparkSession, trait1_file: str, gene_loc: str, go_file: str, out: str, *, window_kb: int = 10, exclude_ranges: str = "MHC", chr2use: str | None = None, gsa_base: bool = False, load_params: str | None = None, pairs: str | None = None, hardprune_r2: float | None = None, seed: int = 1) -> None:

@@ -1,141 +1,153 @@
-"""Causal-mixture fits on z-scores: a stretch goal, with a documented likelihood of our own.
+"""Causal-mixture fits on z-scores of independent variants (use a pruned set).
 
-The published tool's likelihood convolves effects over LD and is not in
-public documentation here; results are not comparable with its goldens.  Ours
-treats variants as independent (use a pruned set):
+`linked` has the likelihoods that know LD; where LD is at hand they are the
+ones to use, as an independent fit takes a neighbour's effect for a variant's
+own.  No parity with the published tool's numbers is claimed.
 
 * one trait:  z ~ (1 - pi) N(0, s0) + pi N(0, s0 + n sb)
 * two traits: four parts (null, first only, second only, shared), the shared
   part with effect correlation rho_beta, all with error correlation rho_zero.
 
-Costs are negative log likelihoods.  A search round evaluates all candidates
-around the present parameters in one pass over the data (one aggregate
-column a candidate), so the driver sees a few numbers a round.
+Costs are negative log likelihoods.  A search round evaluates all its
+candidates in one pass over the data, so the driver sees a few numbers a round.
+Searches go on until their steps are small; `converged` says whether they did.
 """
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from varloom.operators.linked import overlap_curve
+from varloom.operators.search import Evaluate, Params, Space, pattern
+
 TWO_PI = 6.283185307179586
 
 
-def normal_density(z: Column, var: Column | float) -> Column:
-    return F.exp(-z * z / (2.0 * var)) / F.sqrt(TWO_PI * var) if isinstance(var, Column) else F.exp(-z * z / (2.0 * var)) / math.sqrt(TWO_PI * var)
+class Numpy:
+    """The functions of a cost for arrays, under the names that they have for columns."""
+
+    exp, sqrt, ln, greatest, lit = np.exp, np.sqrt, np.log, np.maximum, float
+
 
+def normal_density(z, var, f=F):
+    return f.exp(-z * z / (2.0 * var)) / f.sqrt(TWO_PI * var)
 
-def univariate_cost(p: dict[str, float], z: Column, n: Column) -> Column:
-    null = normal_density(z, p["sig2_zero"])
-    causal = normal_density(z, p["sig2_zero"] + n * p["sig2_beta"])
-    return -F.ln(F.greatest((1.0 - p["pi"]) * null + p["pi"] * causal, F.lit(1e-300)))
 
+def univariate_cost(p: Params, z, n, f=F):
+    null = normal_density(z, f.lit(p["sig2_zero"]), f)
+    causal = normal_density(z, p["sig2_zero"] + n * p["sig2_beta"], f)
+    return -f.ln(f.greatest((1.0 - p["pi"]) * null + p["pi"] * causal, f.lit(1e-300)))
 
-def infinitesimal_cost(p: dict[str, float], z: Column, n: Column) -> Column:
+
+def infinitesimal_cost(p: Params, z, n, f=F):
     """The two-parameter model: every variant has an effect."""
-    return -F.ln(F.greatest(normal_density(z, p["sig2_zero"] + n * p["sig2_beta"]), F.lit(1e-300)))
+    return -f.ln(f.greatest(normal_density(z, p["sig2_zero"] + n * p["sig2_beta"], f), f.lit(1e-300)))
 
 
-def _density2(z1: Column, z2: Column, v1: Column, v2: Column, c: Column) -> Column:
+def _density2(z1, z2, v1, v2, c, f):
     det = v1 * v2 - c * c
-    return F.exp(-(z1 * z1 * v2 - 2.0 * z1 * z2 * c + z2 * z2 * v1) / (2.0 * det)) / (TWO_PI * F.sqrt(det))
+    return f.exp(-(z1 * z1 * v2 - 2.0 * z1 * z2 * c + z2 * z2 * v1) / (2.0 * det)) / (TWO_PI * f.sqrt(det))
 
 
-def bivariate_cost(p: dict[str, float], one: dict[str, float], two: dict[str, float], z1: Column, z2: Column, n1: Column, n2: Column) -> Column:
-    a, b = F.lit(one["sig2_zero"]), F.lit(two["sig2_zero"])
+def bivariate_cost(p: Params, one: Params, two: Params, z1, z2, n1, n2, f=F):
+    a, b = f.lit(one["sig2_zero"]), f.lit(two["sig2_zero"])
     e1, e2 = n1 * one["sig2_beta"], n2 * two["sig2_beta"]
-    c0 = F.lit(p["rho_zero"] * math.sqrt(one["sig2_zero"] * two["sig2_zero"]))
+    c0 = f.lit(p["rho_zero"] * math.sqrt(one["sig2_zero"] * two["sig2_zero"]))
     pi1, pi2 = one["pi"] - p["pi12"], two["pi"] - p["pi12"]
     null = max(1e-9, 1.0 - pi1 - pi2 - p["pi12"])
     mix = (
-        null * _density2(z1, z2, a, b, c0)
-        + pi1 * _density2(z1, z2, a + e1, b, c0)
-        + pi2 * _density2(z1, z2, a, b + e2, c0)
-        + p["pi12"] * _density2(z1, z2, a + e1, b + e2, c0 + p["rho_beta"] * F.sqrt(e1 * e2))
+        null * _density2(z1, z2, a, b, c0, f)
+        + pi1 * _density2(z1, z2, a + e1, b, c0, f)
+        + pi2 * _density2(z1, z2, a, b + e2, c0, f)
+        + p["pi12"] * _density2(z1, z2, a + e1, b + e2, c0 + p["rho_beta"] * f.sqrt(e1 * e2), f)
     )
-    return -F.ln(F.greatest(mix, F.lit(1e-300)))
+    return -f.ln(f.greatest(mix, f.lit(1e-300)))
 
 
-def search(df: DataFrame, cost: Callable[[dict[str, float]], Column], start: dict[str, float], valid: Callable[[dict[str, float]], bool], scale: dict[str, str], rounds: int = 24, tolerance: float = 1e-4) -> tuple[dict[str, float], float, float]:
-    """Pattern search: parameters, their cost, the number of rows.
+def evaluator(df: DataFrame, cost: Callable[..., np.ndarray]) -> Evaluate:
+    """Total costs of any number of candidates in one job.
 
-    `scale`: "log" parameters move by factors, "add" ones by amounts.  Steps
-    halve when no neighbour is better; the search ends when they are small.
+    Arrays in tasks: as columns each round would be other constants, so other
+    code to compile, which takes longer than the round.
     """
-    now, step = dict(start), {k: 1.0 if scale[k] == "log" else 0.25 for k in start}
-    best, n = math.inf, 0.0
-    for _ in range(rounds):
-        moves = [dict(now)]
-        for signs in itertools.product((-1, 0, 1), repeat=len(now)):
-            m = {k: v * math.exp(s * step[k]) if scale[k] == "log" else v + s * step[k] for (k, v), s in zip(now.items(), signs, strict=True)}
-            if any(signs) and valid(m):
-                moves.append(m)
-        row = df.agg(F.count(F.lit(1)).alias("n"), *[F.sum(cost(m)).alias(f"c{i}") for i, m in enumerate(moves)]).first()
-        n = row["n"]
-        if not n:
-            return now, math.nan, 0
-        costs = [row[f"c{i}"] for i in range(len(moves))]
-        i = min(range(len(costs)), key=lambda j: (costs[j], j))
-        if i and costs[i] < costs[0] - 1e-9 * abs(costs[0]):
-            now, best = moves[i], costs[i]
-        else:
-            best = costs[0]
-            step = {k: v / 2 for k, v in step.items()}
-            if max(step.values()) < tolerance:
-                break
-    return now, best, n
-
-
-def fit_univariate(df: DataFrame, z: str = "z", n: str = "n", start: dict[str, float] | None = None, rounds: int = 24) -> DataFrame:
-    """One row: pi, sig2_beta, sig2_zero, cost, cost_infinitesimal, n, aic and bic against the two-parameter model (negative: pi is not supported)."""
+    names = df.columns
+
+    def evaluate(points: list[Params]) -> list[float]:
+        def run(batches):
+            total, rows = np.zeros(len(points)), 0
+            for b in batches:
+                cells = [b.column(c).to_numpy() for c in names]
+                total += [float(cost(p, *cells, Numpy).sum()) for p in points]
+                rows += b.num_rows
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points), dtype=np.int32)), pa.array(total)], names=["i", "cost"])
+
+        by = {r["i"]: r["cost"] for r in df.mapInArrow(run, "i int, cost double").groupBy("i").agg(F.sum("cost").alias("cost")).collect()}
+        return [by.get(i, math.nan) for i in range(len(points))]
+
+    return evaluate
+
+
+def fit_univariate(df: DataFrame, z: str = "z", n: str = "n", start: Params | None = None, rounds: int | None = None) -> DataFrame:
+    """One row: pi, sig2_beta, sig2_zero, cost, cost_infinitesimal, n, aic and bic against the two-parameter model (negative: pi is not supported), converged."""
     rows = df.where(F.col(z).isNotNull() & F.col(n).isNotNull() & ~F.isnan(z) & ~F.isnan(n)).select(F.col(z).alias("z"), F.col(n).cast("double").alias("n")).persist()
     try:
-        mean_n = rows.agg(F.avg("n")).first()[0] or 1.0
-        zc, nc = F.col("z"), F.col("n")
-        ok = lambda p: 0 < p.get("pi", 0.5) < 1 and p["sig2_zero"] > 0 and p["sig2_beta"] > 0
+        count, mean_n = rows.agg(F.count(F.lit(1)), F.avg("n")).first()
+        mean_n = mean_n or 1.0
+        bounds = {"pi": (1e-7, 1.0), "sig2_beta": (1e-5 / mean_n, 1e5 / mean_n), "sig2_zero": (0.05, 20.0)}
+        space = Space(bounds, dict.fromkeys(bounds, "log"))
+        flat_space = Space({k: bounds[k] for k in ("sig2_beta", "sig2_zero")}, {"sig2_beta": "log", "sig2_zero": "log"})
         begin = start or {"pi": 0.05, "sig2_beta": 2.0 / mean_n, "sig2_zero": 1.0}
-        log = dict.fromkeys(("pi", "sig2_beta", "sig2_zero"), "log")
-        p, cost, count = search(rows, lambda m: univariate_cost(m, zc, nc), begin, ok, log, rounds)
-        q, flat, _ = search(rows, lambda m: infinitesimal_cost(m, zc, nc), {"sig2_beta": 0.2 / mean_n, "sig2_zero": 1.0}, ok, log, rounds)
+        best = pattern(evaluator(rows, univariate_cost), space, begin, tolerance=1e-4, rounds=rounds)
+        flat = pattern(evaluator(rows, infinitesimal_cost), flat_space, {"sig2_beta": 0.2 / mean_n, "sig2_zero": 1.0}, tolerance=1e-4, rounds=rounds)
     finally:
         rows.unpersist()
     # One parameter more than the two-parameter model.
-    aic = -2.0 + 2.0 * (flat - cost)
-    bic = -math.log(count) + 2.0 * (flat - cost) if count else math.nan
-    return df.sparkSession.createDataFrame([(p["pi"], p["sig2_beta"], p["sig2_zero"], cost, flat, int(count), aic, bic)], "pi double, sig2_beta double, sig2_zero double, cost double, cost_infinitesimal double, n long, aic double, bic double")
+    p, gain = best.params, 2.0 * (flat.cost - best.cost)
+    aic, bic = -2.0 + gain, -math.log(count) + gain if count else math.nan
+    return df.sparkSession.createDataFrame([(p["pi"], p["sig2_beta"], p["sig2_zero"], best.cost, flat.cost, int(count), aic, bic, best.converged and flat.converged)], "pi double, sig2_beta double, sig2_zero double, cost double, cost_infinitesimal double, n long, aic double, bic double, converged boolean")
 
 
-def apply_univariate(df: DataFrame, params: dict[str, float], z: str = "z", n: str = "n") -> DataFrame:
+def apply_univariate(df: DataFrame, params: Params, z: str = "z", n: str = "n") -> DataFrame:
     """Each variant's probability of a causal effect under fitted parameters (no refit)."""
     zc, nc = F.col(z), F.col(n).cast("double")
-    null = (1.0 - params["pi"]) * normal_density(zc, params["sig2_zero"])
+    null = (1.0 - params["pi"]) * normal_density(zc, F.lit(params["sig2_zero"]))
     causal = params["pi"] * normal_density(zc, params["sig2_zero"] + nc * params["sig2_beta"])
     return df.withColumn("posterior", causal / (null + causal))
 
 
-def fit_bivariate(df: DataFrame, one: dict[str, float], two: dict[str, float], z1: str = "z1", z2: str = "z2", n1: str = "n1", n2: str = "n2", rounds: int = 24) -> DataFrame:
-    """One row: pi12, rho_beta, rho_zero, cost, and the costs at the least and the greatest overlap."""
+def fit_bivariate(df: DataFrame, one: Params, two: Params, z1: str = "z1", z2: str = "z2", n1: str = "n1", n2: str = "n2", rounds: int | None = None, points: int = 21) -> DataFrame:
+    """One row: pi12, rho_beta, rho_zero, cost, the overlap curve (grid of pi12 and jout), its ends cost_min and cost_max, n, converged.
+
+    A free fit gives rg and rho_zero.  These stay as they are on the curve,
+    which goes from the least overlap that rg allows to the greatest, and in
+    the line search for the best overlap.
+    """
     cols = [F.col(c).cast("double").alias(c) for c in (z1, z2, n1, n2)]
     rows = df.select(*cols).dropna().persist()
     most = min(one["pi"], two["pi"])
     try:
-        c = lambda m: bivariate_cost(m, one, two, F.col(z1), F.col(z2), F.col(n1), F.col(n2))
-        ok = lambda p: 0 < p["pi12"] <= most and abs(p["rho_beta"]) < 0.99 and abs(p["rho_zero"]) < 0.99
-        p, cost, count = search(rows, c, {"pi12": most / 2, "rho_beta": 0.0, "rho_zero": 0.0}, ok, {"pi12": "log", "rho_beta": "add", "rho_zero": "add"}, rounds)
-        rg = p["rho_beta"] * p["pi12"] / math.sqrt(one["pi"] * two["pi"])
-        low = max(1e-12, abs(rg) * math.sqrt(one["pi"] * two["pi"]))
-        ends = [{**p, "pi12": low, "rho_beta": math.copysign(0.989, rg)}, {**p, "pi12": most, "rho_beta": rg * math.sqrt(one["pi"] * two["pi"]) / most}]
-        at = rows.agg(*[F.sum(c(m)).alias(f"c{i}") for i, m in enumerate(ends)]).first()
+        count = rows.count()
+        evaluate = evaluator(rows, lambda p, a, b, c, d, f: bivariate_cost(p, one, two, a, b, c, d, f))
+        space = Space({"pi12": (most * 1e-4, most), "rho_beta": (-0.99, 0.99), "rho_zero": (-0.99, 0.99)}, {"pi12": "log", "rho_beta": "add", "rho_zero": "add"})
+        free = pattern(evaluate, space, {"pi12": most / 2, "rho_beta": 0.0, "rho_zero": 0.0}, tolerance=1e-4, rounds=rounds)
+        root = math.sqrt(one["pi"] * two["pi"])
+        rg = free.params["rho_beta"] * free.params["pi12"] / root
+        grid, jout, best = overlap_curve(evaluate, one, two, rg, free.params["rho_zero"], points)
     finally:
         rows.unpersist()
-    return df.sparkSession.createDataFrame([(p["pi12"], p["rho_beta"], p["rho_zero"], cost, at["c0"], at["c1"], int(count))], "pi12 double, rho_beta double, rho_zero double, cost double, cost_min double, cost_max double, n long")
+    pi12 = best.params["pi12"]
+    row = (pi12, max(-0.999, min(0.999, rg * root / pi12)), free.params["rho_zero"], best.cost, jout[0], jout[-1], int(count), grid, jout, free.converged and best.converged)
+    return df.sparkSession.createDataFrame([row], "pi12 double, rho_beta double, rho_zero double, cost double, cost_min double, cost_max double, n long, grid array<double>, jout array<double>, converged boolean")
 
 
-def apply_bivariate(df: DataFrame, one: dict[str, float], two: dict[str, float], params: dict[str, float], z1: str = "z1", z2: str = "z2", n1: str = "n1", n2: str = "n2") -> DataFrame:
+def apply_bivariate(df: DataFrame, one: Params, two: Params, params: Params, z1: str = "z1", z2: str = "z2", n1: str = "n1", n2: str = "n2") -> DataFrame:
     """Each variant's cost under fitted parameters (no refit)."""
     cols = [F.col(c).cast("double") for c in (z1, z2, n1, n2)]
     return df.withColumn("cost", bivariate_cost(params, one, two, *cols))
