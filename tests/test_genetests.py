@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.functions.normal import tail_sql
+from varloom.functions.normal import tail_sql, upper_tail
 from varloom.operators import geneset, genetests
 
 M, WIDTH, STEP = 2400, 8, 5  # variants, variants a gene, variants between the starts of genes
@@ -14,8 +14,9 @@ M, WIDTH, STEP = 2400, 8, 5  # variants, variants a gene, variants between the s
 
 def test_tail(spark):
     z = [-8.0, -1.0, 0.0, 0.5, 3.0, 6.9, 7.1, 8.0, 10.0, 20.0, 37.0]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in z], "z double").select(F.expr(tail_sql("z"))).collect()]
-    assert got == pytest.approx([0.5 * math.erfc(x / math.sqrt(2)) for x in z], rel=1e-10)
+    got = spark.createDataFrame([(x,) for x in z], "z double").select(F.expr(tail_sql("z")).alias("a"), upper_tail(F.col("z")).alias("b")).collect()
+    assert [r["a"] for r in got] == pytest.approx([r["b"] for r in got], rel=1e-12)
+    assert [r["a"] for r in got] == pytest.approx([0.5 * math.erfc(x / math.sqrt(2)) for x in z], rel=1e-8)
 
 
 @pytest.fixture(scope="module")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import alleles, normal
-from varloom.operators import enrich, figures, geneset, harmonize, ld, models, ranges
+from varloom.operators import enrich, figures, geneset, genetests, harmonize, ld, models, ranges
 from varloom.plans.adapters import adapter, ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -502,14 +502,115 @@ def fit_univariate(s):
     return fit(s.groupBy("snp").agg(F.max_by("z", F.abs("z")).alias("z"), F.sum("n").alias("n")))
 
 
-@query("replicate_run")
-def fit_bivariate(r):
-    """A pair's fit on runs taken as variants: both traits' z from the runs' own numbers."""
-    from varloom.operators.mixture import fit_bivariate as fit
+def _two_traits(s):
+    """z and n of the variants that traits A and R share."""
+    of = lambda t, k: s.where(F.col("trait") == t).select("snp", F.col("z").alias(f"z{k}"), F.col("n").cast("double").alias(f"n{k}"))
+    return of("A", 1).join(of("R", 2), "snp")
 
-    rows = r.select(((F.col("pi") - 0.05) * 400).alias("z1"), ((F.col("sig2_beta") - 0.04) * 400).alias("z2"), F.lit(1000.0).alias("n1"), F.lit(1000.0).alias("n2"))
-    one = {"pi": 0.2, "sig2_beta": 0.002, "sig2_zero": 1.0}
-    return fit(rows, one, one)
+
+@query("sumstats")
+def fit_bivariate(s):
+    """Two traits of the table, first each on its own, then what they share."""
+    from varloom.operators import mixture
+
+    both = _two_traits(s)
+    one, two = (mixture.fit_univariate(both, f"z{k}", f"n{k}").first().asDict() for k in (1, 2))
+    return mixture.fit_bivariate(both, one, two)
+
+
+CURVE = {"pi": 0.2, "sig2_beta": 0.0001, "sig2_zero": 1.0}
+CURVE_SQL = """, t as (select a.z z1, b.z z2, cast(a.n as double)*1e-4 e1, cast(b.n as double)*1e-4 e2 from sumstats a join sumstats b on a.snp=b.snp and a.trait='A' and b.trait='R'),
+ g as (select i, 0.05e0+i*0.0375e0 pi12 from range(5) r(i)),
+ p as (select *, 0.2-pi12 q, greatest(1e-9, 1-2*(0.2-pi12)-pi12) o, 0.05/pi12*sqrt(e1*e2) c from t cross join g),
+ d as (select i, pi12, o*exp(-(z1*z1+z2*z2)/2)/6.283185307179586 + q*exp(-(z1*z1/(1+e1)+z2*z2)/2)/(6.283185307179586*sqrt(1+e1)) + q*exp(-(z1*z1+z2*z2/(1+e2))/2)/(6.283185307179586*sqrt(1+e2))
+   + pi12*exp(-(z1*z1*(1+e2)-2*z1*z2*c+z2*z2*(1+e1))/(2*((1+e1)*(1+e2)-c*c)))/(6.283185307179586*sqrt((1+e1)*(1+e2)-c*c)) f from p)
+ select cast(i as int) i, round(pi12,9) pi12, round(-sum(ln(f)),4)+0.0 cost from d group by i, pi12"""
+
+
+@query("sumstats", sql=CURVE_SQL)
+def overlap_curve(s):
+    """Costs of two traits on a grid of shared polygenicity at a given genetic correlation: one job for the whole grid."""
+    from varloom.operators import mixture
+
+    evaluate = mixture.evaluator(_two_traits(s).select("z1", "z2", "n1", "n2"), lambda p, a, b, c, d, f: mixture.bivariate_cost(p, CURVE, CURVE, a, b, c, d, f))
+    grid = [0.05 + i * 0.0375 for i in range(5)]
+    costs = evaluate([{"pi12": x, "rho_beta": 0.05 / x, "rho_zero": 0.0} for x in grid])
+    return s.sparkSession.createDataFrame([(i, round(x, 9), c) for i, (x, c) in enumerate(zip(grid, costs, strict=True))], "i int, pi12 double, cost double").withColumn("cost", sig(F.col("cost"), 4))
+
+
+# -- likelihoods, scores and gradients under LD -----------------------------
+
+PANEL_SQL = LD_SQL.rstrip() + " , ends as (select i a, j b, r2 from r union all select j, i, r2 from r), x as (select vec_id, embedding[1]::double*16 z, 1000e0 n, 0.1+0.04*(vec_id%10) het from embeddings) "
+
+
+def _panel(spark, sf_dir):
+    """Rows as variants: z, n and heterozygosity of each, and the correlated pairs."""
+    e = _embeddings(spark, sf_dir)
+    tags = e.select("vec_id", (F.col("embedding")[0].cast("double") * 16).alias("z"), F.lit(1000.0).alias("n"), (0.1 + 0.04 * (F.col("vec_id") % 10)).alias("het"))
+    return tags, ld.ld_pairs(e, WINDOW, R2)
+
+
+LINKED = {"pi": 0.05, "sig2_beta": 0.01, "sig2_zero": 1.1}
+LIKELIHOOD_SQL = PANEL_SQL + """, c as (select e.a, least(floor(e.r2*4),3) bin, count(*)::double k, sum(h.het*e.r2)/count(*) m from ends e join x h on h.vec_id=e.b group by all),
+ s as (select a vec_id, k, m*10 v, 1 near from c union all select vec_id, 1, het*10, 0 from x),
+ q as (select vec_id, any_value(z) z, 1.1+0.05*sum(k*v)+max(v) var from s join x using (vec_id) group by vec_id),
+ m as (select vec_id, z, 16*greatest(1,least(32,ceil(7.5/sqrt(1.1)*(abs(z)+6.5*sqrt(var))/pi()/16))) m from q),
+ t as (select vec_id, z, m, i, i*7.5/sqrt(1.1)/m t from m, range(513) g(i) where i<=m),
+ f as (select t.vec_id, t.i, any_value(cos(t.t*t.z)*exp(-0.55*t.t*t.t)*case when t.i=0 or t.i=t.m then 0.5 else 1 end*7.5/sqrt(1.1)/t.m) w, sum(s.k*ln(1+0.05*(exp(-0.5*s.v*t.t*t.t)-1))) l from t join s using (vec_id) group by t.vec_id, t.i)
+ select vec_id, round(-ln(greatest(sum(w*exp(l))/pi(),1e-14)),7)+0.0 cost from f group by vec_id"""
+
+
+def ld_likelihood(spark, sf_dir):
+    """Cost of every variant under a causal mixture whose effects reach it through LD."""
+    from varloom.operators import linked
+
+    tags, pairs = _panel(spark, sf_dir)
+    rows = linked.spectra(tags.drop("het"), tags.select("vec_id", "het"), pairs, "vec_id", bins=4)
+    return linked.costs(rows, LINKED, "vec_id").select("vec_id", sig(F.col("cost"), 7).alias("cost"))
+
+
+MEMBERS_SQL = ", mem as (select vec_id, unnest(['base','kind_'||cast(vec_id%7 as varchar)] || case when vec_id%2=0 then ['even'] else [] end) category from embeddings), sc as (select e.a vec_id, category, sum(e.r2*h.het) l from (select * from ends union all select vec_id, vec_id, 1 from x) e join x h on h.vec_id=e.b join mem on mem.vec_id=e.b group by e.a, category) "
+
+
+def _category_scores(spark, sf_dir):
+    from varloom.operators import gradient
+
+    tags, pairs = _panel(spark, sf_dir)
+    kinds = F.concat(F.array(F.lit("base"), F.concat(F.lit("kind_"), (F.col("vec_id") % 7).cast("string"))), F.when(F.col("vec_id") % 2 == 0, F.array(F.lit("even"))).otherwise(F.array().cast("array<string>")))
+    return tags, gradient.category_scores(pairs, tags.select("vec_id", F.explode(kinds).alias("category")), tags.select("vec_id", "het"), "vec_id")
+
+
+def category_ld_scores(spark, sf_dir):
+    """LD scores by overlapping categories."""
+    return _category_scores(spark, sf_dir)[1].select("vec_id", "category", F.round("l", 8).alias("l"))
+
+
+def category_gradient(spark, sf_dir):
+    """One epoch of the per-category fit: the gradient of the cost by each log variance."""
+    import numpy as np
+
+    from varloom.operators import gradient
+
+    tags, scores = _category_scores(spark, sf_dir)
+    rows, names = gradient.inputs(tags, scores, "vec_id")
+    got = gradient.epoch(rows, np.full(names.count(), 0.0005), 1.05)
+    return got.where("c >= 0").join(names, "c").select("category", sig(F.col("g"), 6).alias("g"))
+
+
+def plsa_gradient(spark, sf_dir):
+    """Effect variance and heritability of each category by gradient descent."""
+    from varloom.operators import gradient
+
+    tags, scores = _category_scores(spark, sf_dir)
+    return gradient.fit(tags, scores, key="vec_id", adam_epoch=(12, 6), adam_step=(0.25, 0.064))[0]
+
+
+QUERIES |= {"ld_likelihood": ld_likelihood, "category_ld_scores": category_ld_scores, "category_gradient": category_gradient, "plsa_gradient": plsa_gradient}
+ORACLE_SQL |= {
+    "ld_likelihood": LIKELIHOOD_SQL,
+    "category_ld_scores": PANEL_SQL + MEMBERS_SQL + "select vec_id, category, round(l,8) l from sc",
+    "category_gradient": PANEL_SQL + MEMBERS_SQL + ", vv as (select vec_id, z, n, 1.05+n*sum(0.0005*l) v from x join sc using (vec_id) group by vec_id, z, n) select category, round(sum(0.5*(1-z*z/v)/v*n*0.0005*l),6)+0.0 g from sc join vv using (vec_id) group by category",
+}
 
 
 # -- gene and set statistics -----------------------------------------------
@@ -545,6 +646,40 @@ def gene_set_p_values(r, s, g):
     return out.select("go", "ngenes", sig(F.col("beta"), 6).alias("beta"), F.round("se", 6).alias("se"), sig(F.col("p"), 6).alias("p"))
 
 
+REACH = 2_000_000  # bp between variants that are taken as correlated
+GENE_LD_SQL = f""", zs as (select snp, max(z) z from sumstats group by snp),
+ gv as (select distinct g.gene, v.snp from ref_variant v join gene_loc g on v.chr=g.chr and v.bp between g.gstart-1000000 and g.gend+1000000 join zs on zs.snp=v.snp),
+ pr as (select a.snp i, b.snp j, 0.5*(1-cast(b.bp-a.bp as double)/{REACH}) r2 from ref_variant a join ref_variant b on a.chr=b.chr and b.bp>a.bp and b.bp<=a.bp+{REACH}),
+ e as (select i, j, r2 from pr union all select j, i, r2 from pr),
+ own as (select a.gene, sum(r2) r2 from (select * from e union all select snp, snp, 1 from ref_variant) e join gv a on a.snp=e.i join gv b on b.snp=e.j and b.gene=a.gene group by a.gene),
+ st as (select gene, count(*) nsnps, sum(z*z) stat from gv join zs using (snp) group by gene),
+ d as (select gene, nsnps, stat, nsnps*nsnps/r2 df from st join own using (gene)),
+ w as (select *, (cbrt(stat/nsnps)-(1-2/(9*df)))/sqrt(2/(9*df)) z from d) """
+
+
+def _gene_ld(r, s, g):
+    held = ranges.interval_join(r, g, flank=1_000_000).select("gene", "snp")
+    best = s.groupBy("snp").agg(F.max("z").alias("z"))
+    gap = (F.col("b.bp") - F.col("a.bp")).cast("double")
+    pairs = ranges.window_pairs(r.select("snp", "chr", "bp"), REACH, "bp", "chr").select(F.col("a.snp").alias("i"), F.col("b.snp").alias("j"), (0.5 * (1 - gap / REACH)).alias("r2"))
+    return genetests.gene_statistics(best, held, pairs), held.join(best, "snp"), pairs
+
+
+@query("ref_variant", "sumstats", "gene_loc", sql=GENE_LD_SQL + f"select gene, nsnps, round(stat,6) stat, round(df,8) df, round(z,6)+0.0 z, round({normal.tail_sql('z')},8)+0.0 p from w")
+def gene_ld_statistics(r, s, g):
+    """Gene tests by the moments of a weighted sum of chi-squares under LD."""
+    out = _gene_ld(r, s, g)[0]
+    return out.select("gene", "nsnps", F.round("stat", 6).alias("stat"), F.round("df", 8).alias("df"), sig(F.col("z"), 6).alias("z"), sig(F.col("p"), 8).alias("p"))
+
+
+@query("ref_variant", "sumstats", "gene_loc")
+def gene_set_gls(r, s, g):
+    """Gene-set tests by generalised least squares over correlated genes, with size as covariate."""
+    stats, held, pairs = _gene_ld(r, s, g)
+    sets = g.select(F.concat(F.lit("GOBP_"), F.substring("gene", -1, 1)).alias("go"), "gene")
+    return genetests.set_gls(stats.join(g.select("gene", "chr", "gstart"), "gene"), sets, genetests.shared_r2(held, pairs))
+
+
 @query("replicate_run", sql="select trait, rep, round(avg(fun_inft-fun_best)*2-2,5)+0.0 aic, round(avg(fun_inft-fun_best)*2-ln(avg(n)),5)+0.0 bic from (select trait, rep, num_snp*1.0 n, round(round(pi,9)*1000,6) fun_best, round(round(pi,9)*1000,6)+rep fun_inft from replicate_run) group by trait, rep")
 def univariate_criteria(r):
     """AIC and BIC of a single trait's model against the model with one parameter less."""

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom import schema as S
-from varloom.operators import enrich, figures, geneset, harmonize, linked, mixture, models, ranges
+from varloom.operators import enrich, figures, geneset, genetests, gradient, harmonize, linked, mixture, models, ranges
 from varloom.operators import ld as ldops
 from varloom.sources import readers, sinks
 
@@ -192,6 +192,51 @@ def plsa(spark: SparkSession, trait1_file: str, gene_loc: str, go_file: str, out
     sinks.write_tsv(table.withColumnsRenamed({"go": "GO", "ngenes": "NGENES"}), out, compression=None)
 
 
+def plsa_ld(spark: SparkSession, trait1_file: str, ld_out: str, out: str, *, gene_loc: str | None = None, go_file_test: str | None = None, annot_file: str | None = None, window_kb: int = 10, exclude_ranges: str = "MHC", chr2use: str | None = None, gsa_base: bool = False, load_params: str | None = None, adam_epoch: tuple[int, ...] = (60, 60, 60), adam_step: tuple[float, ...] = (0.25, 0.064, 0.016)) -> None:
+    """Gene-set analysis under LD, by gradient descent on per-category effect variances.
+
+    `gsa_base`: the categories are a base for all variants, all genes together
+    (coding_genes) and the annotations of `annot_file`; a document with their
+    parameters and the cost after each epoch.  Else each gene is one more
+    category, beginning with the parameters of `load_params`; below `out`,
+    theta (category, theta) and heritability (genes, the sets of `go_file_test`
+    and coding_genes: category, snps, h2, enrich) as tables, and the document.
+    """
+    df = _study(readers.sumstats(spark, trait1_file), None, exclude_ranges, chr2use)
+    panel, pairs = _panel(spark, ld_out, chr2use)
+    panel = panel.withColumnRenamed("SNP", "snp")
+    tags = df.select(F.col("SNP").alias("snp"), F.col("Z").alias("z"), F.col("N").alias("n"))
+    members = panel.select("snp", F.lit("base").alias("category"))
+    held = None
+    if gene_loc:
+        at = df.select(F.col("SNP").alias("snp"), F.col("CHR").cast("string").alias("chr"), F.col("BP").alias("bp"))
+        held = ranges.interval_join(at, readers.gene_locations(spark, gene_loc), flank=window_kb * 1000).select("snp", "gene").distinct()
+        members = members.unionByName(held.select("snp", F.lit(geneset.TOTAL).alias("category")).distinct())
+    if annot_file:
+        members = members.unionByName(readers.annotation(spark, annot_file).where(F.col("value") != 0).select(F.col("SNP").alias("snp"), "category"))
+    start = None
+    if load_params:
+        start = spark.createDataFrame(sorted(_params(spark, load_params).items()), "category string, theta double")
+    fitted = members
+    if held is not None and not gsa_base:
+        fitted = members.unionByName(held.select("snp", F.col("gene").alias("category")))
+    theta, info = gradient.fit(tags, gradient.category_scores(pairs, fitted, panel), adam_epoch=tuple(adam_epoch), adam_step=tuple(adam_step), start=start)
+    document = {"options": {"sum_weights": info["n"]}, "optimize": [["adam", {"Jout": info["trace"], "fun": info["cost"]}]]}
+    if gsa_base:
+        _put(spark, {**document, "params": {r["category"]: r["theta"] for r in theta.collect()}}, out)  # a few categories
+        return
+    _put(spark, document, f"{out}/document")
+    theta.write.mode("overwrite").parquet(f"{out}/theta")
+    # Heritability sums each variant's fitted variances; a set's variants are those of its genes.
+    theta = spark.read.parquet(f"{out}/theta")
+    h = fitted.distinct().join(theta, "category").groupBy("snp").agg(F.sum("theta").alias("theta")).select("snp", F.col("theta"))
+    asked = fitted
+    if go_file_test and held is not None:
+        sets = readers.gene_sets(spark, go_file_test).select(F.col("GO").alias("category"), F.col("GENE").alias("gene")).distinct()
+        asked = fitted.unionByName(held.join(sets, "gene").select("snp", "category"))
+    gradient.heritability_of(h, asked, panel).write.mode("overwrite").parquet(f"{out}/heritability")
+
+
 def perf(steps: dict[str, Callable[[], object]], repeat: int = 3) -> dict[str, float]:
     """Least seconds of each named step over some runs."""
     out = {}
@@ -248,20 +293,39 @@ def magma_annotate(spark: SparkSession, snp_loc: str, gene_loc: str, out: str, w
     hit.select("gene", "snp").write.mode("overwrite").parquet(out)
 
 
-def magma_gene(spark: SparkSession, pval: str, annotation: str, out: str) -> None:
-    """Statistic of each gene: GENE, NSNPS, MEAN_CHI2, ZSTAT, P (independent variants)."""
+def magma_gene(spark: SparkSession, pval: str, annotation: str, out: str, pairs: str | None = None) -> None:
+    """Statistic of each gene: GENE, NSNPS, MEAN_CHI2, ZSTAT, P.
+
+    With `pairs` (a library of correlated pairs by variant name) LD is taken
+    into account, and what `magma_sets` needs of it is written to <out>.raw;
+    without, variants count as independent.
+    """
     p = readers.p_values(spark, pval).where((F.col("p") > 0) & (F.col("p") <= 1))
     from varloom.functions.normal import quantile_sql
 
     z = p.select("snp", F.expr(quantile_sql("(p / 2e0)")).alias("z"))
-    per = geneset.gene_z(z, spark.read.parquet(annotation))
+    held = spark.read.parquet(annotation)
+    if pairs:
+        linked_pairs = readers.library(spark, pairs)
+        per = genetests.gene_statistics(z, held, linked_pairs).select("gene", "nsnps", (F.col("stat") / F.col("nsnps")).alias("mean_chi2"), "z", "p")
+        genetests.shared_r2(held.join(z.select("snp"), "snp", "left_semi"), linked_pairs).write.mode("overwrite").parquet(f"{out}.raw")
+    else:
+        per = geneset.gene_z(z, held)
     sinks.write_tsv(per.toDF("GENE", "NSNPS", "MEAN_CHI2", "ZSTAT", "P"), out, compression=None)
 
 
-def magma_sets(spark: SparkSession, gene_results: str, set_annot: str, out: str) -> None:
-    """Competitive test of each set: FULL_NAME, NGENES, BETA, SE, P."""
-    genes = readers.tsv(spark, gene_results).select(F.col("GENE").alias("gene"), F.col("ZSTAT").try_cast("double").alias("z"))
-    got = geneset.set_regression(genes, readers.set_annotation(spark, set_annot))
+def magma_sets(spark: SparkSession, gene_results: str, set_annot: str, out: str, gene_loc: str | None = None) -> None:
+    """Competitive test of each set: FULL_NAME, NGENES, BETA, SE, P.
+
+    With `gene_loc` and the <gene_results>.raw that `magma_gene` writes under
+    LD: least squares over correlated genes, their size as covariate.
+    """
+    rows = readers.tsv(spark, gene_results).select(F.col("GENE").alias("gene"), F.col("NSNPS").try_cast("long").alias("nsnps"), F.col("ZSTAT").try_cast("double").alias("z"))
+    sets = readers.set_annotation(spark, set_annot)
+    if gene_loc:
+        got = genetests.set_gls(rows.join(readers.gene_locations(spark, gene_loc), "gene"), sets, spark.read.parquet(f"{gene_results}.raw")).drop("z")
+    else:
+        got = geneset.set_regression(rows.select("gene", "z"), sets)
     sinks.write_tsv(got.toDF("FULL_NAME", "NGENES", "BETA", "SE", "P"), out, compression=None)
 
 

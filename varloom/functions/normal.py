@@ -76,7 +76,7 @@ _TAIL_UP = (3.52624965998911e-02, 0.700383064443688, 6.37396220353165, 33.912866
 _TAIL_DOWN = (8.83883476483184e-02, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752)
 
 
-def _horner(coefficients: tuple[float, ...], x: str) -> str:
+def _falling(coefficients: tuple[float, ...], x: str) -> str:
     out = repr(coefficients[0])
     for c in coefficients[1:]:
         out = f"(({out})*{x}+{c!r})"
@@ -86,10 +86,32 @@ def _horner(coefficients: tuple[float, ...], x: str) -> str:
 def tail_sql(z: str) -> str:
     """P(Z > z) as SQL, small in relative error far out in the tail too (a rational form, beyond 7 a continued fraction)."""
     a = f"abs({z})"
-    near = f"exp(-{a}*{a}/2e0)*{_horner(_TAIL_UP, a)}/{_horner(_TAIL_DOWN, a)}"
+    near = f"exp(-{a}*{a}/2e0)*{_falling(_TAIL_UP, a)}/{_falling(_TAIL_DOWN, a)}"
     fraction = f"({a}+0.65e0)"
     for k in range(12, 0, -1):
         fraction = f"({a}+{k}e0/{fraction})"
     far = f"exp(-{a}*{a}/2e0)/{fraction}/2.5066282746310002e0"
     upper = f"(case when {a}<7e0 then {near} else {far} end)"
     return f"(case when {z}>=0 then {upper} else 1e0-{upper} end)"
+
+
+def upper_tail(z: Column) -> Column:
+    """The same as a column; z is evaluated once, however long its own expression is."""
+
+    def of(x: Column) -> Column:
+        a = F.abs(x)
+
+        def horner(coefficients: tuple[float, ...]) -> Column:
+            out = F.lit(coefficients[0])
+            for c in coefficients[1:]:
+                out = out * a + c
+            return out
+
+        fraction = a + 0.65
+        for k in range(12, 0, -1):
+            fraction = a + float(k) / fraction
+        density = F.exp(-a * a / 2.0)
+        upper = F.when(a < 7.0, density * horner(_TAIL_UP) / horner(_TAIL_DOWN)).otherwise(density / fraction / 2.5066282746310002)
+        return F.when(x >= 0, upper).otherwise(1.0 - upper)
+
+    return F.element_at(F.transform(F.array(z), of), 1)

@@ -26,7 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from varloom.functions.normal import tail_sql
+from varloom.functions.normal import upper_tail
+from varloom.sources.shared import written
 
 
 def shared_r2(gene_variants: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def gene_statistics(variants: DataFrame, gene_variants: DataFrame, pairs: DataFr
     n = F.col("nsnps")
     out = sums.join(own, "gene").withColumn("df", n * n / F.col("r2"))
     spread = 2.0 / (9.0 * F.col("df"))
-    return out.withColumn("z", (F.cbrt(F.col("stat") / n) - (1.0 - spread)) / F.sqrt(spread)).withColumn("p", F.expr(tail_sql("z"))).select("gene", "nsnps", "stat", "df", "z", "p")
+    return out.withColumn("z", (F.cbrt(F.col("stat") / n) - (1.0 - spread)) / F.sqrt(spread)).withColumn("p", upper_tail(F.col("z"))).select("gene", "nsnps", "stat", "df", "z", "p")
 
 
 def _tail(z: float) -> float:
@@ -130,7 +131,8 @@ def set_gls(genes: DataFrame, sets: DataFrame, shared: DataFrame, least_genes: i
     `shared_r2`.  The correlation matrix of a block is pulled towards the unit
     matrix by `shrink`, as pairs below the stored r2 are missing in it.
     """
-    known = genes.where(F.col("z").isNotNull() & ~F.isnan("z"))
+    # Both are read several times, so they are written once.
+    known, shared = written(genes.where(F.col("z").isNotNull() & ~F.isnan("z")), "gls-genes"), written(shared, "gls-shared")
     own = shared.where("gene_a = gene_b").select("gene_a", F.col("r2").alias("own"))
     scale = own.select(F.col("gene_a").alias("gene_b"), F.col("own").alias("own_b"))
     names = known.select("gene")
@@ -167,8 +169,6 @@ def set_gls(genes: DataFrame, sets: DataFrame, shared: DataFrame, least_genes: i
             out.append((go, len(genes_in), s @ one, s @ x, s @ y, s @ s, *([0.0] * 6)))
         return pa.Table.from_arrays([pa.array(k, kinds) for k, kinds in zip(zip(*out, strict=True), [pa.string(), pa.int64()] + [pa.float64()] * 10, strict=True)], names=[p.split(" ")[0] for p in parts.split(", ")])
 
-    from varloom.sources.shared import written
-
     sums = written(rows.groupBy("block").applyInArrow(run, parts), "gls-sums")
     base = sums.where("go is null").agg(F.sum("n").alias("t_n"), *[F.sum(k).alias(k) for k in ("g11", "g1x", "g1y", "gxx", "gxy", "gyy")])
     per = sums.where("go is not null").groupBy("go").agg(F.sum("n").alias("ngenes"), *[F.sum(k).alias(k) for k in ("s1", "sx", "sy", "ss")])
@@ -182,4 +182,4 @@ def set_gls(genes: DataFrame, sets: DataFrame, shared: DataFrame, least_genes: i
     q = q.where((F.col("ngenes") >= least_genes) & (F.col("ngenes") < F.col("t_n")) & (F.col("q") > 1e-9 * F.col("ss")) & (F.col("t_n") > 3))
     beta = q.withColumn("beta", F.col("u") / F.col("q")).withColumn("se", F.sqrt(F.greatest(F.col("r") - F.col("u") * F.col("u") / F.col("q"), F.lit(0.0)) / (F.col("t_n") - 3) / F.col("q")))
     out = beta.withColumn("z", F.try_divide("beta", "se"))
-    return out.select("go", "ngenes", "beta", "se", "z", F.expr(tail_sql("z")).alias("p"))
+    return out.select("go", "ngenes", "beta", "se", "z", upper_tail(F.col("z")).alias("p"))

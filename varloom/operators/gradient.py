@@ -151,10 +151,18 @@ def fit(tags: DataFrame, scores: DataFrame, *, key: str = "snp", weights: str |
 
 
 def heritability(theta: DataFrame, members: DataFrame, panel: DataFrame, key: str = "snp") -> DataFrame:
-    """category, snps, h2, enrich: the sum of its variants' theta het over all they are in, and its h2 a het over that of the whole panel."""
-    het = panel.select(key, F.col("het").cast("double").alias("het"))
+    """`heritability_of` of the categories that were fitted."""
     each = members.select(key, "category").distinct()
-    by = each.join(theta, "category").groupBy(key).agg(F.sum("theta").alias("t")).join(het, key).select(key, "het", (F.col("t") * F.col("het")).alias("h"))
-    total = het.join(by.select(key, "h"), key, "left").agg(F.sum("h").alias("t_h"), F.sum("het").alias("t_het"))
-    per = each.join(by, key).groupBy("category").agg(F.count(F.lit(1)).alias("snps"), F.sum("h").alias("h2"), F.sum("het").alias("mass"))
+    return heritability_of(each.join(theta, "category").groupBy(key).agg(F.sum("theta").alias("theta")), each, panel, key)
+
+
+def heritability_of(variances: DataFrame, members: DataFrame, panel: DataFrame, key: str = "snp") -> DataFrame:
+    """category, snps, h2, enrich of any categories: sums of their variants' theta het, and that a het over the whole panel's.
+
+    `variances`: key, theta (the sum over all fitted categories of the variant).
+    """
+    het = panel.select(key, F.col("het").cast("double").alias("het"))
+    by = het.join(variances.select(key, "theta"), key, "left").select(key, "het", (F.coalesce("theta", F.lit(0.0)) * F.col("het")).alias("h"))
+    total = by.agg(F.sum("h").alias("t_h"), F.sum("het").alias("t_het"))
+    per = members.select(key, "category").distinct().join(by, key).groupBy("category").agg(F.count(F.lit(1)).alias("snps"), F.sum("h").alias("h2"), F.sum("het").alias("mass"))
     return per.crossJoin(F.broadcast(total)).select("category", "snps", "h2", F.try_divide(F.col("h2") * F.col("t_het"), F.col("mass") * F.col("t_h")).alias("enrich"))

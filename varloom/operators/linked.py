@@ -219,7 +219,7 @@ def fit_univariate(tags: DataFrame, panel: DataFrame, pairs: DataFrame, *, key:
     flat_space = Space({"sig2_beta": beta, "sig2_zero": (0.3, 3.0)}, {"sig2_beta": "log", "sig2_zero": "log"})
     at = Store(spark, store) if store else None
     keep = (lambda name: Store(spark, f"{at.path}/{name}")) if at else None
-    flat, _ = sequence(lambda ps: evaluate([{**p, "pi": 1.0} for p in ps]), flat_space, ("neldermead",), {"sig2_beta": unit * max(size["q"] - 1, 0.01), "sig2_zero": 1.0}, store=(lambda name: keep(f"flat-{name}")) if keep else None)
+    flat, _ = sequence(lambda ps: evaluate([{**p, "pi": 1.0} for p in ps]), flat_space, ("neldermead-fast" if all(x.endswith("-fast") for x in fit_sequence) else "neldermead",), {"sig2_beta": unit * max(size["q"] - 1, 0.01), "sig2_zero": 1.0}, store=(lambda name: keep(f"flat-{name}")) if keep else None)
     space = Space({"pi": (1e-6, 1.0), "sig2_beta": beta, "sig2_zero": (0.3, 3.0)}, dict.fromkeys(("pi", "sig2_beta", "sig2_zero"), "log"))
     begin = start or {"pi": 0.01, "sig2_beta": min(beta[1], flat.params["sig2_beta"] * 100), "sig2_zero": flat.params["sig2_zero"]}
     best, done = sequence(evaluate, space, fit_sequence, begin, seed, repeats, keep)

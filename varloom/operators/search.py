@@ -101,8 +101,8 @@ def _costs(evaluate: Evaluate, space: Space, points: list[Params]) -> list[float
 
 
 def pattern(evaluate: Evaluate, space: Space, start: Params, step: float = 0.1, tolerance: float = 1e-5, rounds: int | None = None) -> Found:
-    """All neighbours of the present point at once; steps (shares of each parameter's range) halve when none is better."""
-    now, best, n, trace = space.place(start), math.inf, 0, []
+    """All neighbours of the present point at once; steps (shares of each parameter's range) halve when none is better, and double on a long way."""
+    now, best, n, trace, won = space.place(start), math.inf, 0, [], 0
     signs = [s for s in itertools.product((-1, 0, 1), repeat=len(now)) if any(s)]
     while rounds is None or n < rounds:
         n += 1
@@ -114,9 +114,11 @@ def pattern(evaluate: Evaluate, space: Space, start: Params, step: float = 0.1,
             return Found(space.point(now), math.nan, n, False, trace)
         best = costs[i]
         if i and costs[i] < costs[0] - 1e-10 * abs(costs[0]):
-            now = around[i]
+            now, won = around[i], won + 1
+            if won > 2:
+                step = min(2 * step, 0.25)
         else:
-            step /= 2
+            step, won = step / 2, 0
             if step < tolerance:
                 return Found(space.point(now), costs[0], n, True, trace)
     return Found(space.point(now), best, n, False, trace)
