@@ -100,25 +100,47 @@ def _costs(evaluate: Evaluate, space: Space, points: list[Params]) -> list[float
     return out
 
 
-def pattern(evaluate: Evaluate, space: Space, start: Params, step: float = 0.1, tolerance: float = 1e-5, rounds: int | None = None) -> Found:
-    """All neighbours of the present point at once; steps (shares of each parameter's range) halve when none is better, and double on a long way."""
-    now, best, n, trace, won = space.place(start), math.inf, 0, [], 0
+def _bottom(points: np.ndarray, costs: np.ndarray) -> np.ndarray | None:
+    """Where a quadratic through these points and costs is least, if it is least anywhere."""
+    known = np.isfinite(costs)
+    d = points.shape[1]
+    i, j = np.triu_indices(d)
+    x = points[known] - points[0]
+    if len(x) < 1 + d + len(i):
+        return None
+    terms, *_ = np.linalg.lstsq(np.hstack([np.ones((len(x), 1)), x, x[:, i] * x[:, j]]), costs[known] - costs[0], rcond=None)
+    bend = np.zeros((d, d))
+    bend[i, j] = terms[1 + d :]
+    bend = bend + bend.T
+    if np.linalg.eigvalsh(bend)[0] <= 0:
+        return None
+    return points[0] - np.linalg.solve(bend, terms[1 : 1 + d])
+
+
+def pattern(evaluate: Evaluate, space: Space, start: Params, step: float = 0.1, tolerance: float = 1e-5, gain: float = 1e-8, rounds: int | None = None) -> Found:
+    """All neighbours of the present point at once, the place where the last round's neighbours point to, and on along the way just gone.
+
+    Steps (shares of each parameter's range) halve when none is better by a share of `gain`.
+    """
+    now, best, n, trace, ahead = space.place(start), math.inf, 0, [], []
     signs = [s for s in itertools.product((-1, 0, 1), repeat=len(now)) if any(s)]
     while rounds is None or n < rounds:
         n += 1
-        around = [now] + [np.clip(now + step * np.array(s), 0, 1) for s in signs]
+        near = np.array([now] + [np.clip(now + step * np.array(s), 0, 1) for s in signs])
+        around = [*near, *ahead]
         costs = _costs(evaluate, space, [space.point(u) for u in around])
         i = min(range(len(costs)), key=lambda j: (costs[j], j))
         trace.append(costs[i])
         if not math.isfinite(costs[i]):
             return Found(space.point(now), math.nan, n, False, trace)
-        best = costs[i]
-        if i and costs[i] < costs[0] - 1e-10 * abs(costs[0]):
-            now, won = around[i], won + 1
-            if won > 2:
-                step = min(2 * step, 0.25)
+        best, there = costs[i], _bottom(near, np.array(costs[: len(near)])) if math.isfinite(costs[0]) else None
+        ahead = [] if there is None else [np.clip(now + f * (there - now), 0, 1) for f in (0.5, 1.0, 2.0)]
+        if i and costs[i] < costs[0] - gain * abs(costs[0]):
+            # Along a valley: several lengths of the way just gone.
+            ahead += [np.clip(around[i] + f * (around[i] - now), 0, 1) for f in (1.0, 4.0, 16.0, 64.0)]
+            now = around[i]
         else:
-            step, won = step / 2, 0
+            step /= 2
             if step < tolerance:
                 return Found(space.point(now), costs[0], n, True, trace)
     return Found(space.point(now), best, n, False, trace)

@@ -48,7 +48,8 @@ def whitespace(spark: SparkSession, path: str | list[str], columns: T.StructType
     which = F.broadcast(spark.createDataFrame([(r["_f"], layouts.index(tuple(r["_names"])), r["_head"]) for r in found], "_f string, _layout int, _head string"))  # one row a file
     # A header is known by its text, which no way of splitting the file changes.  Of equal lines in its file one is the header; the others are data.
     known = lines.join(which, "_f", "left").withColumn("_layout", F.coalesce("_layout", F.raise_error(F.concat(F.lit("the header of this file was not read: "), "_f")).cast("int")))
-    body = known.where(~F.col("line").eqNullSafe(F.col("_head"))).select("line", "_layout")
+    # Its cells become null as well as its row leaving, so that a caller's condition that is moved below the join never meets a header's text.
+    body = known.where(~F.col("line").eqNullSafe(F.col("_head"))).select(F.when(F.col("line") != F.col("_head"), F.col("line")).alias("line"), "_layout")
     again = known.where(F.col("line") == F.col("_head")).groupBy("_f", "_layout", "line").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").collect()
     if again:
         more = spark.createDataFrame([(r["line"], r["_layout"], r["_n"] - 1) for r in again], "line string, _layout int, _n long")
