@@ -97,7 +97,7 @@ def test_overlap_curve_of_linked_traits(spark):
     tags, panel, pairs = panel_of(spark, blocks, width, 0.8, [e1, e2], 10, traits=2)
     pruned = tags.where(F.col("at") % 1000 % 5 == 0)
     one = {"pi": 0.05, "sig2_beta": sb, "sig2_zero": 1.0}
-    got = linked.fit_bivariate(pruned, panel, pairs, one, one, points=9)
+    got = linked.fit_bivariate(pruned, panel, pairs, one, one, points=9, rho_zero=0.0)
     assert len(got["grid"]) == len(got["jout"]) == 9 and got["grid"] == sorted(got["grid"]) and got["grid"][-1] == pytest.approx(0.05)
     assert 0.02 < got["pi12"] < 0.042 and abs(got["rg"] - true_rg) < 0.2 and got["cost"] <= min(got["jout"])
     assert got["jout"][0] > got["cost"] + 2 and got["jout"][-1] > got["cost"] + 2  # neither end explains the traits

@@ -234,16 +234,21 @@ def pair_params(one: Params, two: Params, pi12: float, rho_beta: float, rho_zero
     return {"pi1": max(one["pi"] - pi12, 0.0), "pi2": max(two["pi"] - pi12, 0.0), "pi12": pi12, "sig2_beta1": one["sig2_beta"], "sig2_beta2": two["sig2_beta"], "sig2_zero1": one["sig2_zero"], "sig2_zero2": two["sig2_zero"], "rho_beta": rho_beta, "rho_zero": rho_zero}
 
 
-def correlations(rows: DataFrame, one: Params, two: Params) -> tuple[float, float]:
+def correlations(rows: DataFrame, one: Params, two: Params, rho_zero: float | None = None) -> tuple[float, float]:
     """rg and rho_zero of the model in which all variants have effects: weighted least squares of z1 z2 on sqrt(n1 n2) ld.
 
     Slope over the traits' slopes is rg, the intercept is the covariance of noise.
+    Where LD scores hardly vary the two are hard to tell apart: give `rho_zero`
+    if it is known (0 for studies without common samples).
     """
     x, y = F.sqrt(F.col("n1") * F.col("n2")) * F.col("ld"), F.col("z1") * F.col("z2")
     w = F.col("w") / ((F.lit(one["sig2_zero"]) + F.col("n1") * one["sig2_beta"] * one["pi"] * F.col("ld")) * (F.lit(two["sig2_zero"]) + F.col("n2") * two["sig2_beta"] * two["pi"] * F.col("ld")))
     s = rows.agg(*[F.sum(c).alias(k) for k, c in {"w": w, "x": w * x, "y": w * y, "xx": w * x * x, "xy": w * x * y}.items()]).first()
     det = s["w"] * s["xx"] - s["x"] ** 2
-    if not det or det < 1e-9 * s["w"] * s["xx"]:  # all variants have the same neighbourhood: noise and effects cannot be told apart
+    if rho_zero is not None:
+        noise = rho_zero * math.sqrt(one["sig2_zero"] * two["sig2_zero"])
+        slope = (s["xy"] - noise * s["x"]) / s["xx"]
+    elif not det or det < 1e-9 * s["w"] * s["xx"]:  # all variants have the same neighbourhood: noise and effects cannot be told apart
         slope, noise = s["xy"] / s["xx"], 0.0
     else:
         slope, noise = (s["w"] * s["xy"] - s["x"] * s["y"]) / det, (s["xx"] * s["y"] - s["x"] * s["xy"]) / det
@@ -273,11 +278,11 @@ def overlap_curve(evaluate: Evaluate, one: Params, two: Params, rg: float, rho_z
     return grid, cost, best
 
 
-def fit_bivariate(tags: DataFrame, panel: DataFrame, pairs: DataFrame, one: Params, two: Params, *, key: str = "snp", weights: str | None = None, points: int = 21, bins: int = 8) -> dict:
+def fit_bivariate(tags: DataFrame, panel: DataFrame, pairs: DataFrame, one: Params, two: Params, *, key: str = "snp", weights: str | None = None, points: int = 21, bins: int = 8, rho_zero: float | None = None) -> dict:
     """pi12, rho_beta, rho_zero, rg, cost, grid and jout (the overlap curve), n and sum_weights of two traits fitted before."""
     rows = _dealt(spectra(_usable(tags, "z1", "z2", "n1", "n2"), panel, pairs, key, bins, weights), 25)
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("w")).first()
-    rg, rho_zero = correlations(rows, one, two)
+    rg, rho_zero = correlations(rows, one, two, rho_zero)
     grid, jout, best = overlap_curve(evaluator(rows, 64), one, two, rg, rho_zero, points)
     pi12 = best.params["pi12"]
     return {"pi12": pi12, "rho_beta": max(-0.999, min(0.999, rg * math.sqrt(one["pi"] * two["pi"]) / pi12)), "rho_zero": rho_zero, "rg": rg, "cost": best.cost, "grid": grid, "jout": jout, "n": size["n"], "sum_weights": size["w"], "converged": best.converged}
