@@ -79,3 +79,24 @@ def test_round_trip(spark, hard, tok):
         ids = tok.encode(t or "", add_special_tokens=False).ids
         want.append((str(i), len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
     assert got == sorted(want)
+
+
+def test_runs_of_blanks_of_any_length(tok):
+    """Longer than the pattern can hold, at either end, before a word, a blank of another kind or a special token."""
+    b = bpe.load(queries.vocabulary())
+    for t in (" " * 1_200_000 + "a", "x" + "\n" * 200_000 + " <|endoftext|>" + " " * 100_000, "a" + "\t" * 70_001 + "b" + " " * 131_073 + "!", "　" * 90_000 + "\n9"):
+        want = tok.encode(t, add_special_tokens=False).ids
+        assert b.encode_numpy(t).tolist() == want
+        assert b.tree([(x, b.encode_numpy(x)) for x in b.halves(t)]).tolist() == want
+
+
+def test_short_runs_by_hand(tok, monkeypatch):
+    rng = random.Random(6)
+    b = bpe.Bpe(queries.vocabulary())
+    monkeypatch.setattr(b, "BLANKS", 3, raising=False)
+    import regex
+
+    b._blanks = regex.compile(r"\s{4,}")
+    for _ in range(400):
+        t = "".join(rng.choice([" ", "  ", "\n", "    ", "a", "!", "'s", "\x1c", "\x85", "　", "<|endoftext|>"]) for _ in range(rng.randrange(1, 60)))
+        assert b.encode_numpy(t).tolist() == tok.encode(t, add_special_tokens=False).ids

@@ -10,8 +10,11 @@ ends where the encoding beside it has a cut that no neighbour can move: after
 a letter or a digit that ends its run, or before white space.  From there on
 both encodings agree, so the join is exact.
 
+A very long run of white space is cut off by hand, as the pattern would cut
+it: all but its last blank where something follows, else all of it.
+
 A window that grows without meeting such a place lies in one match of the
-pattern (a very long word or number).  Its tokens are joined by merges alone:
+pattern (a very long word or number, or such a run).  Its tokens are joined by merges alone:
 a window of tokens grows until its first and last tokens agree with what
 stands on both sides; merges are valid exactly if every neighbouring pair is.
 
@@ -55,6 +58,9 @@ def _byte_letters() -> list[str]:
 class Bpe:
     """One tokenizer file, loaded once a Python worker."""
 
+    #: Characters of white space up to which the pattern is left to find its matches; it keeps a state for each of them.
+    BLANKS = 65_536
+
     def __init__(self, path: str, leaf_chars: int = 8192):
         import regex
         import tiktoken
@@ -75,6 +81,7 @@ class Bpe:
         self._specials = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self._pattern = regex.compile(PATTERN)
         # No match of the pattern, and no special token, goes across such a place.
+        self._blanks = regex.compile(r"\s{%d,}" % (self.BLANKS + 1))
         self._safe = regex.compile(r"(?<=\p{L})(?=[^\p{L}])|(?<=\p{N})(?=[^\p{N}])|(?<=\S)(?=\s)")
 
     @functools.cached_property
@@ -90,7 +97,24 @@ class Bpe:
 
     def encode_numpy(self, text: str) -> np.ndarray:
         """The ids of a whole text, as the tokenizers library gives them."""
-        return self.ranks.encode_to_numpy(text, allowed_special="all")
+        runs = list(self._blanks.finditer(text)) if len(text) > self.BLANKS else []
+        out, at = [], 0
+        for run in runs:
+            a, z = run.span()
+            if z < len(text) and not (self._specials and self._specials.match(text, z)):
+                z -= 1  # the last blank goes with what follows
+            out += [self.ranks.encode_to_numpy(text[at:a], allowed_special="all"), self._blank_match(text[a:z])]
+            at = z
+        out.append(self.ranks.encode_to_numpy(text[at:], allowed_special="all"))
+        return np.concatenate(out) if runs else out[0]
+
+    def _blank_match(self, run: str) -> np.ndarray:
+        """Ids of white space that is one match: of its parts, joined in a tree by merges alone."""
+        parts = [self.ranks.encode_to_numpy(run[i : i + self.BLANKS]) for i in range(0, len(run), self.BLANKS)]
+        while len(parts) > 1:
+            joined = [self._join_match(x.tolist(), y.tolist()) for x, y in zip(parts[::2], parts[1::2])]
+            parts = [np.asarray(x, parts[0].dtype) for x in joined] + parts[len(parts) & ~1 :]
+        return parts[0]
 
     def encode_batch(self, texts: list[str]) -> list[list[int]]:
         return [self.encode_numpy(t).tolist() for t in texts]
