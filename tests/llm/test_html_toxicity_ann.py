@@ -63,6 +63,41 @@ def test_boilerplate_words_decide():
     assert html.extract('<article><p>The council met on Monday.</p></article><article class="comment"><p>No, they never meet at all on any day</p></article>', w) == "The council met on Monday."
 
 
+STORY = "<p>The council met on Monday and agreed on a plan.</p><p>Work begins in spring, when the ground is soft.</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        '<div class="tabs-content"><div class="story-text">{}</div></div>',
+        '<div class="widget-main"><div class="entry-content">{}</div></div>',
+        '<div class="search-page"><div class="post">{}</div></div>',
+        '<div class="social-entry content">{}</div>',
+        '<div class="ad-free story">{}</div>',
+        '<form action="/"><div class="content">{}</div></form>',
+        '<form><div class="tabs-content"><div class="widget-main"><div class="post">{}</div></div></div></form>',
+    ],
+)
+def test_wrapper_around_most_of_the_page_is_no_boilerplate(page):
+    w = html.train(html.LABELLED)
+    whole = "The council met on Monday and agreed on a plan.\n\nWork begins in spring, when the ground is soft."
+    around = '<nav><a>Home</a> of the site</nav><div class="sidebar"><a>Other stories to read today, and those of the days before</a></div>{}<div class="comments"><p>' + "I do not agree at all. " * 20 + '</p></div><footer>Imprint</footer>'
+    assert html.extract(page.format(STORY), w) == whole
+    assert html.extract(page.split("{}")[0] + STORY, w) == whole  # unclosed
+    assert html.extract(around.format(page.format(STORY)), w) == whole
+    # Beside marked main text the names hold.
+    other = "<article><p>The mill by the river ground grain for three villages.</p></article>"
+    assert html.extract(other + around.format(page.format(STORY)).replace('class="content"', 'class="inner"'), w) .startswith("The mill by the river")
+    # So they do where no name of main text is inside, or less than half of the words.
+    assert html.extract(f'<div class="cookie-notice">{STORY}</div><div>Few words</div>', w) in ("", "Few words")
+
+
+def test_article_header_keeps_its_first_lines():
+    w = html.train(html.LABELLED)
+    page = '<header>Site</header><article><header><h1>The plan</h1><p class="standfirst">What the council wants.</p><p class="byline">by Ann</p><span>May</span></header><p>It met on Monday.</p><div class="user-opinions"><p>No!</p></div></article>'
+    assert html.extract(page, w) == "The plan\n\nWhat the council wants.\n\nIt met on Monday."
+
+
 def test_weights_are_learned():
     """No zone or tag is decided beforehand: labels the other way round turn the weights round."""
     w = html.train(html.LABELLED)

@@ -10,8 +10,13 @@ what stands in a boilerplate zone inside the region is left out.
 
 Of the words in a class, id or role one that names boilerplate decides
 ("comment-body", "footer-content"), but for words that only tell the layout of
-a page ("content-with-sidebar").  A heading in the header of an article is
-part of the article.
+a page ("content-with-sidebar").  A heading or a paragraph in the header of an
+article is part of the article, but for a byline.
+
+Where a page has no main text by these names, boilerplate words in the class
+of an element (and the element `form`) that holds or itself names main text
+and stands around more than half of the page's words outside links are void:
+they tell the look of the page ("tabs-content", "ad-free story").
 
 Null or empty html, or a page without positive words, gives "".  Broken
 markup never fails: unclosed elements run to their parent's end, an
@@ -52,7 +57,7 @@ ZONE_WORDS = {
     "aside": "sidebar aside related recommended widget rail promo trending",
     "ad": "ad ads advert adverts advertisement sponsor sponsored",
     "notice": "cookie cookies consent notice alert popup modal newsletter subscribe paywall gdpr",
-    "comments": "comment comments disqus respond replies discussion",
+    "comments": "comment comments opinions disqus respond replies discussion",
     "share": "share sharing social",
     "form": "form search login signup",
     "article": "article post entry story",
@@ -68,6 +73,8 @@ _REST = re.compile(r"(?:^|[-_])(?:has|no|with|without|and)[-_].*")
 _GIVEN = re.compile(r"(?:category|tag|type|status|format|term|author)[-_]")
 _COLUMNS = re.compile(r"(?:left|right|both|one|two)[-_]?sidebars?|sidebars?[-_]?(?:left|right|both|none)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Class words of what an article's header holds beside its heading and its first lines.
+_BYLINE = re.compile(r"(?:^|[^a-z])(?:by|byline|author|date|dateline|meta|time|published|info|tags|kicker)(?:[^a-z]|$)")
 
 #: Hand-labelled pages: "+" lines are main text, "-" lines are not.
 LABELLED = [
@@ -86,8 +93,8 @@ def boilerplate(zone: str) -> bool:
     return zone.removeprefix("in:") in BOILERPLATE
 
 
-def _class_zone(tag: str, zone: str) -> str:
-    """The zone that class, id and role of a tag name, or else `zone`: boilerplate before article before main text."""
+def _class_zone(tag: str, zone: str, void: bool = False) -> str:
+    """The zone that class, id and role of a tag name, or else `zone`: boilerplate (if not `void`) before article before main text."""
     words: list[str] = []
     columns: list[str] = []
     for marked in _MARK.finditer(tag):
@@ -97,14 +104,53 @@ def _class_zone(tag: str, zone: str) -> str:
         for part in value.split():
             if not _GIVEN.match(part):
                 (columns if _COLUMNS.fullmatch(part) else words).extend(re.split(r"[^a-z]+", _REST.sub("", part)))
-    zones = [_WORD_ZONE[w] for w in words if w in _WORD_ZONE]
-    if not zones and columns:
+    zones = [_WORD_ZONE[w] for w in words if w in _WORD_ZONE and not (void and _WORD_ZONE[w] in BOILERPLATE)]
+    if not zones and columns and not void:
         return "aside"
     return next((z for z in zones if z in BOILERPLATE), "article" if "article" in zones else zones[0] if zones else zone)
 
 
-def tokens(page: str) -> list[tuple[str, str, str]]:
-    """(kind, name or text, zone): kind "open", "close" or "text".  Content of hidden elements is skipped."""
+class _Held:
+    """Words outside links of a page, and of each element that its class (or `form`) makes boilerplate."""
+
+    def __init__(self):
+        self.words = 0
+        self.open: list[list] = []  # place in the stack, offset of the tag, words before it, whether it holds a name of main text
+        self.of: dict[int, int] = {}
+        self.named = 0  # the open elements up to here hold such a name
+
+    def begin(self, place: int, offset: int) -> None:
+        self.open.append([place, offset, self.words, False])
+
+    def name(self) -> None:
+        while self.named < len(self.open):
+            self.open[self.named][3] = True
+            self.named += 1
+
+    def cut(self, place: int) -> None:
+        while self.open and self.open[-1][0] >= place:
+            _, offset, before, named = self.open.pop()
+            if named:
+                self.of[offset] = self.words - before
+        self.named = min(self.named, len(self.open))
+
+
+def page_tokens(page: str) -> list[tuple[str, str, str]]:
+    """The tokens of a whole page; boilerplate names around most of it are void where it has no other main text."""
+    held = _Held()
+    toks = tokens(page, held=held)
+    if any(kind == "text" and zone in ("article", "main") and s.strip() for kind, s, zone in toks):
+        return toks
+    held.cut(0)  # elements that the page does not close
+    void = frozenset(at for at, words in held.of.items() if 2 * words > held.words)
+    return tokens(page, void) if void else toks
+
+
+def tokens(page: str, void: frozenset[int] = frozenset(), held: _Held | None = None) -> list[tuple[str, str, str]]:
+    """(kind, name or text, zone): kind "open", "close" or "text".  Content of hidden elements is skipped.
+
+    Tags that begin at the offsets `void` name no boilerplate; `held` counts words by element.
+    """
     out: list[tuple[str, str, str]] = []
     # Name, zone, the place of the paragraph that the next <p> would end (0: none), and
     # the place of the element whose class made this boilerplate (0: none did, or a tag did).
@@ -115,6 +161,8 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
         for name, *_ in stack[i:]:
             places[name].pop()
         del stack[i:]
+        if held:
+            held.cut(i)
 
     at, n = 0, len(page)
     lower = None
@@ -122,10 +170,12 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
     around_all = 0  # the element around the articles that did not
     while at < n:
         m = _TOKEN.match(page, at)
-        s = m[0]
+        s, offset = m[0], at
         at = m.end()
         if s[0] != "<" or s == "<":
             out.append(("text", s, stack[-1][1]))
+            if held and not places.get("a") and (not boilerplate(stack[-1][1]) or (stack[-1][3] and stack[-1][1] != "comments")):
+                held.words += len(s.split())
             continue
         if s[1] in "!?" or s[-1] != ">":
             continue
@@ -148,9 +198,16 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
         _, zone, _, by = stack[-1]
         around = zone
         named = ZONE_TAGS.get(name)
+        told = "" if named or "=" not in s or name in ("html", "body") else _class_zone(s, "")
+        if held and name not in VOID and s[-2] != "/" and (name == "form" or told in BOILERPLATE) and told != "comments":
+            held.begin(len(stack), offset)
+        if held and zone != "comments" and (name in ("article", "main") or told in ("article", "main") or (told in BOILERPLATE - {"comments"} and _class_zone(s, "", True) in ("article", "main"))):
+            held.name()
         if not boilerplate(zone):
             by = 0
-            if named:
+            if name == "form" and offset in void:
+                zone = _class_zone(s, zone, True)
+            elif named:
                 zone = named
                 if name == "form":
                     by = len(stack)
@@ -159,7 +216,7 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
                     if told in ("comments", "ad") or (told == "aside" and "sidebar" not in s.lower()):
                         zone = told
             elif "=" in s and name not in ("html", "body"):
-                zone = _class_zone(s, zone)
+                zone = _class_zone(s, zone, offset in void)
                 by = len(stack) if zone in BOILERPLATE else 0
             if zone in BOILERPLATE and around in ("article", "main"):
                 zone, by = "in:" + zone, 0
@@ -167,7 +224,7 @@ def tokens(page: str) -> list[tuple[str, str, str]]:
         elif by and name in ("article", "main") and (name == "main" or zone != "comments") and (name == "main" or not content or by == around_all) and _class_zone(s, "") not in BOILERPLATE:
             # A class such as "right-sidebar" was the layout of the page, not a sidebar.
             zone, around_all, by, content = name, by, 0, True
-        elif zone == "in:header" and name in HEADINGS:
+        elif zone == "in:header" and (name in HEADINGS or (name == "p" and not any(_BYLINE.search((x[1] or x[2] or x[3] or "").lower()) for x in _MARK.finditer(s)))):
             zone = "article"
         if name == "p" and stack[-1][2]:  # a paragraph ends where the next begins
             cut(stack[-1][2])
@@ -248,7 +305,7 @@ def best_stretch(scores: list[float]) -> tuple[int, int]:
 def extract(page: str | None, weights: dict[str, float]) -> str:
     if not page:
         return ""
-    toks = tokens(page)
+    toks = page_tokens(page)
     begin, end = best_stretch(worth(toks, weights))
     blocks: list[str] = []
     block: list[str] = []
