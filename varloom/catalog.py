@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import alleles, normal
-from varloom.operators import enrich, figures, geneset, genetests, harmonize, ld, models, ranges
+from varloom.operators import enrich, figures, geneset, genetests, harmonize, ld, models, ranges, ranks
 from varloom.plans.adapters import adapter, ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -104,6 +104,17 @@ def half_median_n_filter(s):
     return harmonize.half_median_n(s, "n", "trait").select("trait", "snp", "n")
 
 
+@query("sumstats", sql="select trait, snp, n from sumstats where n >= (select median(n) from sumstats)/2")
+def half_median_n_all(s):
+    return harmonize.half_median_n(s, "n").select("trait", "snp", "n")
+
+
+@query("sumstats", sql="select trait, count(n) n_values, median(z) median_z, median(n) median_n from sumstats group by trait")
+def exact_medians(s):
+    z, n = ranks.exact_median(s, "z", "trait", "median_z"), ranks.exact_median(s, "n", "trait", "median_n")
+    return s.groupBy("trait").agg(F.count("n").alias("n_values")).join(z, "trait", "left").join(n, "trait", "left")
+
+
 @query("sumstats", sql="select trait, snp, n, z from sumstats where n is not null and not isnan(n) and z is not null and not isnan(z)")
 def defined_z_n(s):
     return s.where(harmonize.defined(F.col("n"), F.col("z"))).select("trait", "snp", "n", "z")
@@ -441,8 +452,21 @@ def ld_prune(spark, sf_dir):
     return ld.random_prune(e, ld.ld_pairs(e, WINDOW, 0.05), 0.05, seed=1)
 
 
-QUERIES |= {"ld_pairs_window": ld_pairs_window, "ld_score": ld_score, "ld_prune": ld_prune}
+def ld_prune_replicates(spark, sf_dir):
+    """Of each of 20 prunings: strong pairs inside the kept set, and variants that are kept or beside a kept one (none, and all)."""
+    e = _embeddings(spark, sf_dir)
+    pairs = ld.ld_pairs(e, WINDOW, 0.05)
+    kept = ld.prune_replicates(e, pairs, 0.05, replicates=20, seed=0)
+    both = pairs.select("i", "j").unionByName(pairs.select(F.col("j").alias("i"), F.col("i").alias("j")))
+    beside = kept.join(both, kept.vec_id == both.i).select("rep", F.col("j").alias("vec_id")).distinct()
+    inside = F.col("kept") & F.col("beside")
+    marks = kept.withColumn("kept", F.lit(True)).join(beside.withColumn("beside", F.lit(True)), ["rep", "vec_id"], "full")
+    return marks.groupBy("rep").agg(F.count(F.lit(1)).alias("n_covered"), F.count_if(inside).alias("n_conflicts")).select(F.col("rep").cast("long").alias("rep"), "n_covered", "n_conflicts")
+
+
+QUERIES |= {"ld_pairs_window": ld_pairs_window, "ld_score": ld_score, "ld_prune": ld_prune, "ld_prune_replicates": ld_prune_replicates}
 ORACLE_SQL |= {
+    "ld_prune_replicates": "select rep, (select count(*) from embeddings) n_covered, 0::bigint n_conflicts from range(1, 21) t(rep)",
     "ld_pairs_window": LD_SQL + "select i, j, round(r2,9) r2 from r",
     "ld_score": LD_SQL + "select i, round(sum(r2),8) ld_score, count(*) n_pairs from (select i, r2 from r union all select j, r2 from r) group by i",
 }

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from varloom.functions import alleles
 from varloom.functions.normal import effective_n_value, z_from_p_and_or
+from varloom.operators.ranks import exact_median
 from varloom.schema import require
 
 
@@ -71,12 +72,14 @@ def defined(*columns: Column) -> Column:
 def half_median_n(df: DataFrame, n: str = "n", by: str | None = None) -> DataFrame:
     """Rows with N of at least half the median N (of their group).
 
-    The median is one number a group; it is joined back with a broadcast of
-    the groups only where there are none (one row), else by key.
+    The median is exact and found by rounds of counts, so a group may be of
+    any size.  It is one number a group; Spark broadcasts the groups only if
+    it measures them to be small.  Null and NaN have no say and do not stay.
     """
-    if by is None:
-        return df.join(F.broadcast(df.agg(F.median(n).alias("_m"))), F.col(n) >= F.col("_m") / 2).drop("_m")
-    return df.join(df.groupBy(by).agg(F.median(n).alias("_m")), by).where(F.col(n) >= F.col("_m") / 2).drop("_m")
+    group = by or "_all"
+    rows = df if by else df.withColumn(group, F.lit(1))
+    out = rows.join(exact_median(rows, n, group, "_m"), group).where((F.col(n) >= F.col("_m") / 2) & ~F.isnan(n))
+    return out.select(*df.columns)
 
 
 def match_reference(sumstats: DataFrame, reference: DataFrame, keep: tuple[str, ...] = ("trait",)) -> DataFrame:

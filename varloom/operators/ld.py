@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from varloom.operators.ranges import window_pairs
+from varloom.operators.ranks import lowest
 
 
 def standardize(df: DataFrame, vector: str) -> DataFrame:
@@ -55,13 +56,15 @@ def _written(df: DataFrame, work: str | None) -> DataFrame:
     return df.checkpoint()
 
 
-def random_prune(variants: DataFrame, pairs: DataFrame, r2: float, seed: int = 0, maf: float | None = None, n: int | None = None, key: str = "vec_id", work: str | None = None) -> DataFrame:
-    """A maximal set of variants without a pair of r2 or more, in a seeded random order.
+def prune_replicates(variants: DataFrame, pairs: DataFrame, r2: float, replicates: int = 20, seed: int = 0, maf: float | None = None, n: int | None = None, key: str = "vec_id", work: str | None = None) -> DataFrame:
+    """rep and key of `replicates` (20 in production) independent prunings, each to a maximal set without a pair of r2 or more.
 
-    Optional first steps: minor allele frequency of at least `maf`, a random
-    subset of n.  Rounds: every open variant with the lowest hash among its
-    open neighbours is taken, its neighbours are dropped.  The expected
-    number of rounds grows with the logarithm of the table.
+    Each replicate has a seeded random order.  Optional first steps: minor
+    allele frequency of at least `maf`, a random subset of n.  Rounds, of all
+    replicates at once: every open variant with the lowest hash among its open
+    neighbours is taken, its neighbours are dropped.  The expected number of
+    rounds grows with the logarithm of the table, not with the replicates.
+    Pairs of variants that are not in the table do not count.
     """
     if not work:
         from varloom.sources.shared import checkpoint_folder
@@ -69,34 +72,32 @@ def random_prune(variants: DataFrame, pairs: DataFrame, r2: float, seed: int = 0
         checkpoint_folder(variants.sparkSession)
     if maf is not None:
         variants = variants.where(F.col("maf") >= maf)
-    order = F.xxhash64(F.col(key), F.lit(seed))
+    rep = F.explode(F.sequence(F.lit(1), F.lit(replicates))).alias("rep")
+    nodes = variants.select(F.col(key).alias("v"), rep).withColumn("h", F.xxhash64("v", F.col("rep") + F.lit(seed)))
     if n is not None:
-        variants = variants.orderBy(order, key).limit(n)
-    nodes = variants.select(F.col(key).alias("v"), F.struct(order.alias("h"), F.col(key).alias("k")).alias("o"))
+        nodes = lowest(nodes, "h", "rep", n, "v")
+    nodes = _written(nodes.select("rep", "v", F.struct("h", F.col("v").alias("k")).alias("o")), work)
     strong = pairs.where((F.col("r2") >= r2) & (F.col("i") != F.col("j"))).select(F.explode(F.array(F.struct(F.col("i").alias("v"), F.col("j").alias("w")), F.struct(F.col("j").alias("v"), F.col("i").alias("w")))).alias("e")).select("e.*").distinct()
-    ranked = nodes.select(F.col("v").alias("w"), F.col("o").alias("ow"))
-    edges = _written(strong.join(nodes, "v").join(ranked, "w"), work)
-    taken = _written(nodes.join(edges.select("v").distinct(), "v", "left_anti").select("v"), work)  # without neighbours
-    while edges.take(1):  # a round takes at least the open variant of the lowest hash
-        won = edges.groupBy("v").agg(F.min("ow").alias("least"), F.first("o").alias("o")).where(F.col("o") < F.col("least")).select("v")
+    at = ["rep", "v"]
+    other = lambda df: df.withColumnRenamed("v", "w")
+    edges = _written(strong.join(nodes, "v").join(other(nodes).withColumnRenamed("o", "ow"), ["rep", "w"]), work)
+    taken = _written(nodes.join(edges.select(at).distinct(), at, "left_anti").select(at), work)  # without neighbours
+    while edges.take(1):  # a round takes at least the open variant of the lowest hash, in every open replicate
+        won = edges.groupBy(at).agg(F.min("ow").alias("least"), F.first("o").alias("o")).where(F.col("o") < F.col("least")).select(at)
         won = _written(won, work)
-        gone = won.unionByName(edges.join(won, "v", "left_semi").select(F.col("w").alias("v"))).distinct()
-        left = edges.join(gone, "v", "left_anti").join(gone.withColumnRenamed("v", "w"), "w", "left_anti")
+        gone = won.unionByName(edges.join(won, at, "left_semi").select("rep", F.col("w").alias("v"))).distinct()
+        left = edges.join(gone, at, "left_anti").join(other(gone), ["rep", "w"], "left_anti")
         left = _written(left, work)
         # Open variants that lost all their neighbours are free.
-        freed = edges.select("v").distinct().join(gone, "v", "left_anti").join(left.select("v").distinct(), "v", "left_anti")
+        freed = edges.select(at).distinct().join(gone, at, "left_anti").join(left.select(at).distinct(), at, "left_anti")
         taken = _written(taken.unionByName(won).unionByName(freed), work)
         edges = left
-    return taken.select(F.col("v").alias(key))
+    return taken.select("rep", F.col("v").alias(key))
 
 
-def prune_replicates(variants: DataFrame, pairs: DataFrame, r2: float, replicates: int = 20, seed: int = 0, **options) -> DataFrame:
-    """rep and key of `replicates` independent prunings (20 in production), one seed each."""
-    out = None
-    for rep in range(1, replicates + 1):
-        one = random_prune(variants, pairs, r2, seed=seed + rep, **options).withColumn("rep", F.lit(rep))
-        out = one if out is None else out.unionByName(one)
-    return out
+def random_prune(variants: DataFrame, pairs: DataFrame, r2: float, seed: int = 0, **options) -> DataFrame:
+    """One pruning: the key of a maximal set of variants without a pair of r2 or more, in a seeded random order."""
+    return prune_replicates(variants, pairs, r2, 1, seed - 1, **options).drop("rep")
 
 
 def bed_copies(bits: bytes, samples: int) -> np.ndarray:
