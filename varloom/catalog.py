@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom.functions import alleles, normal
-from varloom.operators import enrich, figures, geneset, genetests, harmonize, ld, models, ranges, ranks
+from varloom.operators import band, enrich, figures, geneset, genetests, harmonize, ld, models, ranges, ranks
 from varloom.plans.adapters import adapter, ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -447,6 +447,25 @@ def ld_score(spark, sf_dir):
     return ld.ld_score(ld.ld_pairs(_embeddings(spark, sf_dir), WINDOW, R2)).select("i", F.round("ld_score", 8).alias("ld_score"), "n_pairs")
 
 
+def _genotypes(spark, sf_dir):
+    """Copies 0, 1, 2 by the size of a component, some of them missing."""
+    copies = lambda x: F.when(F.floor(F.abs(x) * 1000) % 10 != 0, F.when(x < -0.05, 0.0).when(x < 0.05, 1.0).otherwise(2.0))
+    e = _embeddings(spark, sf_dir)
+    return e.select(F.lit(1).alias("chr"), F.col("vec_id").alias("snp"), F.col("vec_id").alias("bp"), F.transform(F.col("embedding").cast("array<double>"), copies).alias("g"))
+
+
+GENOTYPE_SQL = f"""with e as (select vec_id, list_transform(embedding::double[], lambda x: case when floor(abs(x)*1000)::bigint%10=0 then null when x < -0.05 then 0 when x < 0.05 then 1 else 2 end) g from embeddings), c as (select a.vec_id i, b.vec_id j, unnest(a.g) x, unnest(b.g) y from e a join e b on b.vec_id>a.vec_id and b.vec_id<=a.vec_id+{WINDOW}), m as (select i, j, count(*) n, sum(x)::double sx, sum(y)::double sy, sum(x*y)::double xy, sum(x*x)::double xx, sum(y*y)::double yy from c where x is not null and y is not null group by i, j), q as (select i, j, n, (n*xy-sx*sy)*(n*xy-sx*sy) d, (n*xx-sx*sx)*(n*yy-sy*sy) v from m), r as (select i, j, n, d/v r2 from q where v>0 and d/v>={R2}) """
+
+
+def genotype_ld_pairs(spark, sf_dir):
+    return band.genotype_pairs(_genotypes(spark, sf_dir), WINDOW, R2).select("i", "j", F.round("r2", 9).alias("r2"), "n")
+
+
+def genotype_ld_score(spark, sf_dir):
+    pairs = band.genotype_pairs(_genotypes(spark, sf_dir), WINDOW, R2, tile=64)
+    return ld.ld_score(pairs).select("i", F.round("ld_score", 8).alias("ld_score"), "n_pairs")
+
+
 def ld_prune(spark, sf_dir):
     e = _embeddings(spark, sf_dir)
     return ld.random_prune(e, ld.ld_pairs(e, WINDOW, 0.05), 0.05, seed=1)
@@ -464,8 +483,10 @@ def ld_prune_replicates(spark, sf_dir):
     return marks.groupBy("rep").agg(F.count(F.lit(1)).alias("n_covered"), F.count_if(inside).alias("n_conflicts")).select(F.col("rep").cast("long").alias("rep"), "n_covered", "n_conflicts")
 
 
-QUERIES |= {"ld_pairs_window": ld_pairs_window, "ld_score": ld_score, "ld_prune": ld_prune, "ld_prune_replicates": ld_prune_replicates}
+QUERIES |= {"ld_pairs_window": ld_pairs_window, "ld_score": ld_score, "ld_prune": ld_prune, "ld_prune_replicates": ld_prune_replicates, "genotype_ld_pairs": genotype_ld_pairs, "genotype_ld_score": genotype_ld_score}
 ORACLE_SQL |= {
+    "genotype_ld_pairs": GENOTYPE_SQL + "select i, j, round(r2,9) r2, n from r",
+    "genotype_ld_score": GENOTYPE_SQL + "select i, round(sum(r2),8) ld_score, count(*) n_pairs from (select i, r2 from r union all select j, r2 from r) group by i",
     "ld_prune_replicates": "select rep, (select count(*) from embeddings) n_covered, 0::bigint n_conflicts from range(1, 21) t(rep)",
     "ld_pairs_window": LD_SQL + "select i, j, round(r2,9) r2 from r",
     "ld_score": LD_SQL + "select i, round(sum(r2),8) ld_score, count(*) n_pairs from (select i, r2 from r union all select j, r2 from r) group by i",

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from varloom import schema as S
-from varloom.operators import enrich, figures, geneset, genetests, gradient, harmonize, linked, mixture, models, ranges
+from varloom.operators import band, enrich, figures, geneset, genetests, gradient, harmonize, linked, mixture, models, ranges
 from varloom.operators import ld as ldops
 from varloom.sources import readers, sinks
 
@@ -38,11 +38,15 @@ def split_sumstats(spark: SparkSession, trait1_file: str, out: str, chr2use: str
 
 
 def ld(spark: SparkSession, bfile: str, out: str, *, chr2use: str | None = None, r2min: float = 0.05, ldscore_r2min: float = 0.001, ld_window_kb: int = 1000) -> None:
-    """Pairs of r2 of at least r2min by chromosome below out/pairs, and LD scores with allele frequencies below out/scores."""
+    """Pairs of r2 of at least r2min by chromosome below out/pairs, and LD scores with allele frequencies below out/scores.
+
+    r2 is that of the samples called at both variants.
+    """
     chroms = ranges.parse_chromosomes(chr2use) if chr2use else None
-    parts = []
+    parts, most = [], 0
     for prefix in readers.expand_chromosomes(bfile, chroms):
         samples = readers.fam(spark, f"{prefix}.fam").count()
+        most = max(most, samples)
         genotypes = readers.bed(spark, f"{prefix}.bed", samples)
         # A .bim file's lines are in the order of the .bed file; one small file a chromosome.
         lines = spark.read.text(f"{prefix}.bim", wholetext=True).select(F.posexplode(F.split("value", r"\r?\n")).alias("i", "line")).where(F.trim("line") != "")
@@ -55,8 +59,7 @@ def ld(spark: SparkSession, bfile: str, out: str, *, chr2use: str | None = None,
     filled = ldops.genotype_vectors(rows)
     mean = F.aggregate("g", F.lit(0.0), lambda a, x: a + x) / F.size("g") / 2
     maf = filled.select("chr", "snp", F.least(mean, 1 - mean).alias("maf"))
-    vectors = ldops.standardize(filled, "g").where(F.col("g").isNotNull())
-    window = ldops.ld_pairs(vectors, ld_window_kb * 1000, min(r2min, ldscore_r2min), key="snp", vector="g", position="bp", chrom="chr")
+    window = band.genotype_pairs(rows, ld_window_kb * 1000, min(r2min, ldscore_r2min), tile=band.tile_rows(most)).drop("n")
     sinks.write_library(window.where(F.col("r2") >= r2min), f"{out}/pairs")
     score = ldops.ld_score(window, ldscore_r2min, own=True)
     maf.join(score.withColumnRenamed("i", "snp"), "snp", "left").select("chr", "snp", "maf", F.coalesce("ld_score", F.lit(1.0)).alias("ld_score")).write.mode("overwrite").partitionBy("chr").parquet(f"{out}/scores")
