@@ -1,7 +1,8 @@
 """Format-preserving pseudonyms for personal data, with built-in functions only.
 
 Found values (mail addresses, phone, card, bank account and social security numbers,
-IPv4 addresses, dates, access keys, named secrets) are replaced in place by a keyed
+IPv4 addresses, dates, access keys, secrets under a name that ends in "token",
+"password", "secret", "key" of an api or the like) are replaced in place by a keyed
 permutation of their own format, a Feistel network over the two halves of the
 value: each character moves inside its class (digit, small letter, capital),
 other characters stay, octets stay below 256, dates stay valid dates, a card number that passes the
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 
 ROUNDS = 6
 #: The formats, in the order in which they are tried.
-NAMED = r"\b(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Pp]asswd|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY)[\"']?\s{0,3}[=:]\s{0,3}"
+NAMED = r"(?:\b|_|(?<=[a-z])(?=[A-Z]))(?:[Tt]oken|TOKEN|[Pp]assword|PASSWORD|[Pp]asswd|PASSWD|[Pp]wd|PWD|[Ss]ecret|SECRET|[Aa]pi[_-]?[Kk]ey|API[_-]?KEY|[Aa]ccess[_-]?[Kk]ey|ACCESS[_-]?KEY)[\"']?\s{0,3}[=:]\s{0,3}"
 MAIL = r"[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 #: Lengths of bank account numbers by country, as registered.
 IBAN_LENGTHS = {
