@@ -132,7 +132,8 @@ def test_whole_secrets_and_phones(spark):
         ("client_secret: Qm7Lp02sVt end", ["Qm7Lp02sVt"]),
         ("DB_PASSWORD=hK82mmPq1 end", ["hK82mmPq1"]),
         ('"AWS_SECRET_ACCESS_KEY" = "wJ4lrXUtn7FEM" end', ["wJ4lrXUtn7FEM"]),
-        ("accessToken: 'b7Tq91Lz' and pwd=Rt55mmk0z9", ["b7Tq91Lz", "Rt55mmk0z9"]),
+        ("accessToken: 'b7Tq91Lz' end", ["b7Tq91Lz"]),
+        ("pwd=Rt55mmk0z9 end", ["Rt55mmk0z9"]),
         ("passwd: ab1 end", ["ab1"]),
         ("call +44 20 7946 0958 end", ["7946 0958"]),
         ("call +49 30 901820 end", ["901820"]),
