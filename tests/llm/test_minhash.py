@@ -122,3 +122,26 @@ def test_law_of_retained_values():
 def test_without_a_bound_on_sketches(spark, sf_dir, documents):
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
     assert counted(minhash.near_duplicates(rows, k=None)) == brute([(d["doc_id"], d["text"]) for d in documents])
+
+
+def test_a_large_cluster_meets_by_sizes(spark, monkeypatch):
+    """Texts of many sizes chained by passages: the sets sent to tasks stay a small multiple of their number, and no link is lost."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(20000)]
+    passages = [[rng.choice(vocabulary) for _ in range(60)] for _ in range(130)]
+    rows = []
+    for g in range(400):
+        at = g % 100
+        own = [rng.choice(vocabulary) for _ in range(4)]
+        rows.append((len(rows), " ".join([w for p in passages[at : at + 1 + g // 40] for w in p] + own * (g % 3))))
+    sent, by_task = [], minhash._by_task
+
+    def counted_by_task(df, out, work):
+        sent.append((work.__name__, df.count()))
+        return by_task(df, out, work)
+
+    monkeypatch.setattr(minhash, "_by_task", counted_by_task)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert counted(minhash.near_duplicates(df, block=16, pivots=4)) == brute(rows)
+    last = dict(sent)["loose_against_all"]
+    assert last < 10 * len(rows), last

@@ -27,7 +27,8 @@ words: the whole sequence as one; none: empty, linked with nothing).  Links:
    out, the others are verified by exact Jaccard on the full sets, best first,
    leaving out pairs that verified links already join.  A cluster above `block`
    first meets a block of pivots, the classes with the fewest values of their
-   own; only classes that stay unlinked then meet the rest.
+   own; only classes that stay unlinked then meet those of the rest whose sizes
+   allow a link.
 5. Components over the verified links; each takes its smallest doc_id.
 
 A key that holds many rows (a frequent value, the
@@ -257,8 +258,8 @@ def _bit(bits: bytes, p: int) -> bool:
     return bool(bits[(bucket - 1) * 4096 + position // 8] >> (position % 8) & 1)
 
 
-def union_sketch(sets: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-    """For all pairs: the Jaccard estimate, and how many values are in one of the two sets for certain.
+def union_sketch(sets: list[np.ndarray], k: int, cross: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For all pairs (`cross`: of the first so many with the others): the Jaccard estimate, and how many values are in one of the two sets for certain.
 
     Below the smaller of the two sketches' ends both sets are known wholly,
     so what one of them lacks there it lacks at all.
@@ -273,18 +274,19 @@ def union_sketch(sets: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray
     column, many = (np.cumsum(many) - 1)[place], many[place]
     order = np.argsort(column[many], kind="stable")
     column, who = column[many][order], who[many][order]
-    both = np.zeros((n, n), np.float32)
+    rows, columns = (slice(0, n), slice(0, n)) if cross is None else (slice(0, cross), slice(cross, n))
+    both = np.zeros((len(range(n)[rows]), len(range(n)[columns])), np.float32)
     for c in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         a, b = np.searchsorted(column, [c, c + 4096])
         held = np.zeros((n, 4096), np.float32)
         held[who[a:b], column[a:b] - c] = 1
-        both += held @ held.T
-    union = within + within.T - both
+        both += held[rows] @ held[columns].T
+    union = within[rows, columns] + within[columns, rows].T - both
     return both / np.maximum(union, 1), union - both
 
 
-def verified_links(sets: list[np.ndarray], k: int = VERIFY) -> list[tuple[int, int]]:
-    """A spanning forest of the linked pairs among these sets (exact)."""
+def verified_links(sets: list[np.ndarray], k: int = VERIFY, cross: int | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the linked pairs among these sets, or between the first `cross` and the others (exact)."""
     n = len(sets)
     if n < 2:
         return []
@@ -297,14 +299,19 @@ def verified_links(sets: list[np.ndarray], k: int = VERIFY) -> list[tuple[int, i
         return i
 
     size = np.array([len(s) for s in sets])
-    guess, apart = union_sketch(sets, k)
-    left, right = np.triu_indices(n, 1)
+    guess, apart = union_sketch(sets, k, cross)
+    if cross is None:
+        left, right = np.triu_indices(n, 1)
+        guess, apart = guess[left, right], apart[left, right]
+    else:
+        left, right = np.repeat(np.arange(cross), n - cross), np.tile(np.arange(cross, n), cross)
+        guess, apart = guess.ravel(), apart.ravel()
     low, high = np.minimum(size[left], size[right]), np.maximum(size[left], size[right])
     # A pair is linked if at most a seventh of both sizes together is in one set only.
-    ok = (100 * low >= 75 * high) & (7 * apart[left, right] <= low + high)
+    ok = (100 * low >= 75 * high) & (7 * apart <= low + high)
     left, right = left[ok], right[ok]
     links = []
-    for i in np.argsort(-guess[left, right], kind="stable"):
+    for i in np.argsort(-guess[ok], kind="stable"):
         a, b = int(left[i]), int(right[i])
         ra, rb = find(a), find(b)
         if ra == rb:
@@ -391,18 +398,37 @@ def links(docs: DataFrame, classes: DataFrame, key: str = "doc_id", text: str =
 
     met = materialize(_by_task(spread.unionByName(dealt), marked, against_pivots), "met")
     out = out.unionByName(met.where("open = 0").select("a", "b"))
-    # What no pivot's group took in meets the whole cluster, in groups of half a block.
-    loose = materialize(big.join(met.where("open = 1").select(F.col("a").alias("node")).distinct(), "node").select("root", "blocks", "n_shingles", "node", "set"), "loose")
-    groups = loose.groupBy("root").agg(F.greatest(F.ceil(2 * F.count(F.lit(1)) / block), F.ceil(2 * F.sum("n_shingles") / values)).cast("int").alias("g"), F.count(F.lit(1)).alias("n"))
-    row = with_totals(loose, groups, "root", loose.count()).withColumn("i", F.expr("cast(pmod(xxhash64(node, 1), g) as int)"))
-    left = row.select("root", "i", "node", "set", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(0).alias("role"), "node", "set")
-    met_by = with_totals(big.drop("n"), groups.join(counts.select("root", F.col("n").alias("held")), "root").select("root", "g", F.col("held").alias("n")), "root", clusters.count())
-    right = met_by.select("root", F.expr("pmod(xxhash64(node), blocks)").alias("j"), "node", "set", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("i")).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(1).alias("role"), "node", "set")
+    # What no pivot's group took in meets the cluster.  Both sides are cut, in the order of their sizes, into sides of
+    # bounded rows and values; only sides whose sizes can be linked meet, so a set is sent to few tasks.
+    opened = met.where("open = 1").select(F.col("a").alias("node")).distinct()
+    every = _sides(big, 4 * block, values // 2)
+    few = _sides(big.join(opened, "node", "left_semi"), 4 * block, values // 2)
+    ranges = lambda d, c: d.groupBy("root", F.col("side").alias(c)).agg(F.min("n_shingles").alias(f"lo_{c}"), F.max("n_shingles").alias(f"hi_{c}"))
+    tiles = materialize(ranges(few, "i").join(ranges(every, "j"), "root").where("100 * hi_i >= 75 * lo_j and 100 * hi_j >= 75 * lo_i").select("root", "i", "j"), "tiles")  # (rows / side)^2 at most
+    to = lambda d, c, role: d.withColumnRenamed("side", c).join(F.broadcast(tiles), ["root", c]).select(name(F.col("i"), F.col("j")).alias("task"), F.lit(role).alias("role"), "node")
+    sent = to(few, "i", 0).unionByName(to(every, "j", 1)).join(big.select("node", "set"), "node").select("task", "role", "node", "set")
 
     def loose_against_all(held):
-        return [(held[i][2], held[j][2]) for i, j in verified_links([h[3] for h in held]) if held[i][2] != held[j][2]]
+        low, high = ([h for h in sorted(held, key=lambda h: (len(h[3]), h[2])) if h[1] == role] for role in (0, 1))
+        return [pair for x in range(0, len(low), block // 2) for y in range(0, len(high), block) for pair in _between(low[x : x + block // 2], high[y : y + block])]
 
-    return out.unionByName(_by_task(left.unionByName(right), LINKS, loose_against_all))
+    return out.unionByName(_by_task(sent, LINKS, loose_against_all))
+
+
+def _sides(rows: DataFrame, most: int, values: int) -> DataFrame:
+    """root, node, n_shingles, side: each cluster's rows in the order of their sizes, cut after `most` rows or so many values."""
+    by = W.partitionBy("root").orderBy("n_shingles", "node")  # numbers of one cluster, no sets
+    # Sizes ascend, so a side never holds more rows than one step of either count.
+    side = F.greatest(F.floor((F.row_number().over(by) - 1) / most), F.floor((F.sum("n_shingles").over(by.rowsBetween(W.unboundedPreceding, 0)) - F.col("n_shingles")) / values))
+    return materialize(rows.select("root", "node", "n_shingles").withColumn("side", side.cast("int")), "sides")
+
+
+def _between(low: list[tuple], high: list[tuple]) -> list[tuple[int, int]]:
+    """Verified links between rows of two lists sorted by size; none if no sizes of theirs can be linked."""
+    if not low or not high or 100 * len(low[-1][3]) < 75 * len(high[0][3]) or 100 * len(high[-1][3]) < 75 * len(low[0][3]):
+        return []
+    rows = low + high
+    return [(rows[i][2], rows[j][2]) for i, j in verified_links([h[3] for h in rows], cross=len(low)) if rows[i][2] != rows[j][2]]
 
 
 def _label(n: int, found: list[tuple[int, int]]) -> list[int]:
