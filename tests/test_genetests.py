@@ -105,3 +105,36 @@ def test_level_of_set_test(spark, linked):
     blind = np.array([r["beta"] / r["se"] for r in geneset.set_regression(stats, sets).collect()])
     assert 0.7 < aware.std() < 1.25 and blind.std() > 1.25
     assert (aware > 1.645).mean() < 0.1
+
+
+def joined_rows(spark, df):
+    """The most rows that a join or an explode of this query puts out."""
+    df.collect()
+    store = spark._jsparkSession.sharedState().statusStore()
+    spark._jsc.sc().listenerBus().waitUntilEmpty()
+    runs = store.executionsList()
+    number = max(runs.apply(i).executionId() for i in range(runs.size()))
+    told, nodes, most = store.executionMetrics(number), store.planGraph(number).allNodes(), 0
+    for i in range(nodes.size()):
+        node = nodes.apply(i)
+        for k in range(node.metrics().size()) if "Join" in node.name() or "Generate" in node.name() else ():
+            m = node.metrics().apply(k)
+            if m.name() == "number of output rows" and (v := told.get(m.accumulatorId())).isDefined():
+                most = max(most, int(v.get().replace(",", "")))
+    return most
+
+
+def test_overlapping_genes_do_not_multiply(spark):
+    """Fifty genes over the same variants: no row for each gene, gene and pair, nor for each gene and pair in a gene's own sum."""
+    n, genes = 40, 50
+    held = spark.createDataFrame([(f"g{k}", f"s{i}") for k in range(genes) for i in range(n) if i != k], "gene string, snp string")
+    pairs = spark.createDataFrame([(f"s{i}", f"s{j}", 1 / (j - i + 1)) for i in range(n) for j in range(i + 1, n)], "i string, j string, r2 double")
+    r2 = 1 / (1 + np.abs(np.subtract.outer(np.arange(n), np.arange(n))))
+    inside = {f"g{k}": np.array([i != k for i in range(n)], float) for k in range(genes)}
+    shared = genetests.shared_r2(held, pairs)
+    got = {(r["gene_a"], r["gene_b"]): r["r2"] for r in shared.collect()}
+    assert len(got) == genes * genes
+    assert all(v == pytest.approx(inside[a] @ r2 @ inside[b]) for (a, b), v in got.items())
+    assert 0 < joined_rows(spark, genetests.shared_r2(held, pairs)) <= 2 * genes * n * (n + genes)
+    own = {r["gene"]: r["df"] for r in genetests.gene_statistics(spark.createDataFrame([(f"s{i}", 1.0) for i in range(n)], "snp string, z double"), held, pairs).collect()}
+    assert all(v == pytest.approx(inside[g].sum() ** 2 / (inside[g] @ r2 @ inside[g])) for g, v in own.items())

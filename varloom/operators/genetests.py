@@ -35,13 +35,33 @@ def shared_r2(gene_variants: DataFrame, pairs: DataFrame) -> DataFrame:
 
     `pairs`: i, j, r2, each unordered pair once.
     """
-    gv = gene_variants.select("gene", "snp").distinct()
-    a, b = gv.select(F.col("gene").alias("gene_a"), F.col("snp").alias("i")), gv.select(F.col("gene").alias("gene_b"), F.col("snp").alias("j"))
+    numbers, lists = _gene_lists(gene_variants)
     both = pairs.where(F.col("i") != F.col("j")).select("i", "j", "r2")
     turned = both.select(F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("e"), "r2").select("e.i", "e.j", "r2")
-    apart = turned.join(a, "i").join(b, "j").select("gene_a", "gene_b", "r2")
-    same = a.join(b.withColumnRenamed("j", "i"), "i").select("gene_a", "gene_b", F.lit(1.0).alias("r2"))
-    return apart.unionByName(same).groupBy("gene_a", "gene_b").agg(F.sum("r2").alias("r2"))
+    # A gene's r2 with each variant first, so that no row stands for two genes and a pair.
+    near = turned.join(lists.withColumnRenamed("snp", "i"), "i").select(F.explode("genes").alias("a"), "j", "r2")
+    near = near.unionByName(lists.select(F.explode("genes").alias("a"), F.col("snp").alias("j"), F.lit(1.0).alias("r2")))
+    near = near.groupBy("a", "j").agg(F.sum("r2").alias("r2")).repartition("a")
+    sums = near.join(lists.withColumnRenamed("snp", "j"), "j").select("a", F.explode("genes").alias("b"), "r2").groupBy("a", "b").agg(F.sum("r2").alias("r2"))
+    named = lambda c: numbers.select(F.col("gene").alias(f"gene_{c}"), F.col("number").alias(c))
+    return sums.join(named("a"), "a").join(named("b"), "b").select("gene_a", "gene_b", "r2")
+
+
+def _gene_lists(gene_variants: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(gene, number; snp, genes: the numbers of the genes that hold it), both written."""
+    gv = gene_variants.select("gene", "snp").distinct()
+    numbers = written(gv.select("gene").distinct().withColumn("number", F.monotonically_increasing_id()), "genes")
+    return numbers, written(gv.join(numbers, "gene").groupBy("snp").agg(F.array_sort(F.collect_list("number")).alias("genes")), "gene-lists")
+
+
+def own_r2(gene_variants: DataFrame, pairs: DataFrame) -> DataFrame:
+    """gene, r2: as `shared_r2` of each gene with itself.  A pair finds the genes that hold both by their lists."""
+    numbers, lists = _gene_lists(gene_variants)
+    of = lambda c: lists.select(F.col("snp").alias(c), F.col("genes").alias(f"genes_{c}"))
+    both = pairs.where(F.col("i") != F.col("j")).select("i", "j", "r2").join(of("i"), "i").join(of("j"), "j")
+    inside = both.select(F.explode(F.array_intersect("genes_i", "genes_j")).alias("number"), (2.0 * F.col("r2")).alias("r2"))
+    alone = lists.select(F.explode("genes").alias("number"), F.lit(1.0).alias("r2"))
+    return inside.unionByName(alone).groupBy("number").agg(F.sum("r2").alias("r2")).join(numbers, "number").select("gene", "r2")
 
 
 def gene_statistics(variants: DataFrame, gene_variants: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -49,7 +69,7 @@ def gene_statistics(variants: DataFrame, gene_variants: DataFrame, pairs: DataFr
     known = variants.where(F.col("z").isNotNull() & ~F.isnan("z")).select("snp", "z")
     gv = gene_variants.select("gene", "snp").distinct().join(known, "snp")
     sums = gv.groupBy("gene").agg(F.count(F.lit(1)).alias("nsnps"), F.sum(F.col("z") * F.col("z")).alias("stat"))
-    own = shared_r2(gv, pairs).where(F.col("gene_a") == F.col("gene_b")).select(F.col("gene_a").alias("gene"), "r2")
+    own = own_r2(gv, pairs)
     n = F.col("nsnps")
     out = sums.join(own, "gene").withColumn("df", n * n / F.col("r2"))
     spread = 2.0 / (9.0 * F.col("df"))
