@@ -135,6 +135,22 @@ def test_interval_and_window_joins(spark):
     assert pairs == {(a[0], b[0]) for a in pts for b in pts if a[1] == b[1] and 0 < b[2] - a[2] <= 50_000}
 
 
+def test_interval_join_spreads_its_rows_over_tasks_whatever_the_files(spark, tmp_path):
+    """One file a side, small enough to broadcast: the task that reads it must not make all pairs."""
+    spark.createDataFrame([(f"s{i}", 1 + i % 3, i * 5_000) for i in range(2_000)], "snp string, chr int, bp long").coalesce(1).write.parquet(f"{tmp_path}/p")
+    spark.createDataFrame([(f"g{i}", 1 + i % 3, i * 50_000, i * 50_000 + 500_000) for i in range(200)], "gene string, chr int, gstart long, gend long").coalesce(1).write.parquet(f"{tmp_path}/g")
+    p, g = spark.read.parquet(f"{tmp_path}/p"), spark.read.parquet(f"{tmp_path}/g")
+    want = sorted((f"s{i}", f"g{j}") for i in range(2_000) for j in range(200) if i % 3 == j % 3 and j * 50_000 - 10_000 <= i * 5_000 <= j * 50_000 + 510_000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # tables of this size would be put together again
+    try:
+        got = ranges.interval_join(p, g, flank=10_000).select("snp", "gene", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r["snp"], r["gene"]) for r in got) == want
+    tasks = [r["task"] for r in got]
+    assert max(tasks.count(t) for t in set(tasks)) < len(want) / 2
+
+
 def test_ld_and_prune(spark):
     rng = random.Random(3)
     e = [(i, [rng.gauss(0, 1) + (i // 5) * (j % 3) for j in range(8)]) for i in range(80)]

@@ -67,13 +67,19 @@ def chromosomes(df: DataFrame, text: str, chrom: str = "chr") -> DataFrame:
     return df.where(F.col(chrom).isin(parse_chromosomes(text)))
 
 
-def interval_join(points: DataFrame, intervals: DataFrame, flank: int = 0, bin_bp: int = 1_000_000, chrom: str = "chr", bp: str = "bp", start: str = "gstart", end: str = "gend") -> DataFrame:
-    """Points with every interval, widened by `flank` on both sides, that holds them."""
+def interval_join(points: DataFrame, intervals: DataFrame, flank: int = 0, bin_bp: int = 200_000, chrom: str = "chr", bp: str = "bp", start: str = "gstart", end: str = "gend") -> DataFrame:
+    """Points with every interval, widened by `flank` on both sides, that holds them.
+
+    Bins are narrower than most genes, so that few candidates fail.  Both sides
+    are shuffled by bin whatever their sizes: a small file gives many rows here,
+    and if one side were broadcast, the one task that reads the file would make
+    them all.
+    """
     lo, hi = F.greatest(F.col(start) - flank, F.lit(0)), F.col(end) + flank
     spread = intervals.withColumns({"_lo": lo, "_hi": hi}).withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_lo") / bin_bp), F.floor(F.col("_hi") / bin_bp)))).withColumnRenamed(chrom, "_chrom")
     binned = points.withColumn("_bin", F.floor(F.col(bp) / bin_bp))
     held = (binned[chrom] == spread["_chrom"]) & (binned["_bin"] == spread["_bin"]) & F.col(bp).between(F.col("_lo"), F.col("_hi"))
-    return binned.join(spread, held).drop("_bin", "_chrom", "_lo", "_hi")
+    return binned.join(spread.hint("merge"), held).drop("_bin", "_chrom", "_lo", "_hi")
 
 
 def anti_interval_join(points: DataFrame, intervals: DataFrame, bin_bp: int = 1_000_000, chrom: str = "chr", bp: str = "bp", start: str = "gstart", end: str = "gend") -> DataFrame:
