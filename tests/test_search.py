@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from varloom.operators import search
+from varloom.operators import mixture, search
 
 SPACE = search.Space({"a": (-2.0, 2.0), "b": (0.01, 100.0)}, {"a": "add", "b": "log"})
 
@@ -74,3 +74,32 @@ def test_a_generation_is_one_job_and_goes_on_after_a_stop(spark, tmp_path):
     rest = search.differential_evolution(evaluate, SPACE, seed=3, rounds=8, store=search.Store(spark, str(tmp_path / "s")))
     assert rest.params == whole.params and rest.trace == pytest.approx(whole.trace) and len(rest.trace) == 8
     assert len(list((tmp_path / "s").glob("step-*"))) == 2
+
+
+def test_candidates_of_a_batch_share_their_densities(monkeypatch):
+    """27 candidates on a grid: 3 null and 9 causal densities for one trait, 9 and 9 for two, and the costs of each alone."""
+    rng = np.random.default_rng(5)
+    z1, z2, n = rng.normal(0, 1.2, 500), rng.normal(0, 1.2, 500), rng.uniform(500, 2_000, 500)
+    made = []
+    for name in ("normal_density", "_density2"):
+        monkeypatch.setattr(mixture, name, lambda *a, name=name, g=getattr(mixture, name): made.append(name) or g(*a))
+    one = [{"pi": a, "sig2_beta": b, "sig2_zero": c} for a in (0.01, 0.1, 0.5) for b in (1e-4, 1e-3, 1e-2) for c in (0.9, 1.0, 1.1)]
+    two = [{"pi12": a, "rho_beta": b, "rho_zero": c} for a in (0.01, 0.05, 0.1) for b in (-0.5, 0.0, 0.5) for c in (-0.1, 0.0, 0.1)]
+    for points, cost, most in (
+        (one, lambda p, f: mixture.univariate_cost(p, z1, n, f), 12),
+        (two, lambda p, f: mixture.bivariate_cost(p, one[13], one[14], z1, z2, n, n, f), 18),
+    ):
+        alone = [cost(p, mixture.Numpy()) for p in points]
+        made.clear()
+        f = mixture.Numpy()
+        shared = [cost(p, f) for p in points]
+        assert len(made) == most and all((a == b).all() for a, b in zip(alone, shared, strict=True))
+
+
+def test_a_round_runs_as_many_tasks_as_its_rows_ask_for(spark, monkeypatch):
+    parts, evaluator = [], mixture.evaluator
+    monkeypatch.setattr(mixture, "evaluator", lambda df, cost: parts.append(df.rdd.getNumPartitions()) or evaluator(df, cost))
+    monkeypatch.setattr(mixture, "ROWS_A_TASK", 400, raising=False)
+    df = spark.range(1_000, numPartitions=40).select(((F.col("id") % 40) / 10 - 2).alias("z"), F.lit(1000.0).alias("n"))
+    assert mixture.fit_univariate(df, rounds=1).first()["n"] == 1_000
+    assert parts == [3, 3]

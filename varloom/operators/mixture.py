@@ -29,19 +29,37 @@ from varloom.operators.search import Evaluate, Params, Space, pattern
 TWO_PI = 6.283185307179586
 
 
+#: Rows of a task in a round of a search; a round must not cost more for its tasks than for its rows.
+ROWS_A_TASK = 100_000
+
+
 class Numpy:
-    """The functions of a cost for arrays, under the names that they have for columns."""
+    """The functions of a cost for arrays, under the names that they have for columns, and the parts made for one batch."""
 
     exp, sqrt, ln, greatest, lit = np.exp, np.sqrt, np.log, np.maximum, float
 
+    def __init__(self):
+        self.made: dict[tuple, np.ndarray] = {}
+
+    def once(self, key: tuple, make: Callable[[], np.ndarray]) -> np.ndarray:
+        if key not in self.made:
+            self.made[key] = make()
+        return self.made[key]
+
+
+def _once(f, key: tuple, make: Callable):
+    """A part of a mixture: candidates that agree in its parameters (most of a round's, as they lie on a grid) share it."""
+    return f.once(key, make) if isinstance(f, Numpy) else make()
+
 
 def normal_density(z, var, f=F):
     return f.exp(-z * z / (2.0 * var)) / f.sqrt(TWO_PI * var)
 
 
 def univariate_cost(p: Params, z, n, f=F):
-    null = normal_density(z, f.lit(p["sig2_zero"]), f)
-    causal = normal_density(z, p["sig2_zero"] + n * p["sig2_beta"], f)
+    zero, beta = p["sig2_zero"], p["sig2_beta"]
+    null = _once(f, (zero,), lambda: normal_density(z, f.lit(zero), f))
+    causal = _once(f, (zero, beta), lambda: normal_density(z, zero + n * beta, f))
     return -f.ln(f.greatest((1.0 - p["pi"]) * null + p["pi"] * causal, f.lit(1e-300)))
 
 
@@ -56,16 +74,18 @@ def _density2(z1, z2, v1, v2, c, f):
 
 
 def bivariate_cost(p: Params, one: Params, two: Params, z1, z2, n1, n2, f=F):
+    """`one` and `two` must be the same for all candidates of a batch."""
     a, b = f.lit(one["sig2_zero"]), f.lit(two["sig2_zero"])
     e1, e2 = n1 * one["sig2_beta"], n2 * two["sig2_beta"]
     c0 = f.lit(p["rho_zero"] * math.sqrt(one["sig2_zero"] * two["sig2_zero"]))
     pi1, pi2 = one["pi"] - p["pi12"], two["pi"] - p["pi12"]
     null = max(1e-9, 1.0 - pi1 - pi2 - p["pi12"])
+    part = lambda name, v1, v2: _once(f, (name, p["rho_zero"]), lambda: _density2(z1, z2, v1, v2, c0, f))
     mix = (
-        null * _density2(z1, z2, a, b, c0, f)
-        + pi1 * _density2(z1, z2, a + e1, b, c0, f)
-        + pi2 * _density2(z1, z2, a, b + e2, c0, f)
-        + p["pi12"] * _density2(z1, z2, a + e1, b + e2, c0 + p["rho_beta"] * f.sqrt(e1 * e2), f)
+        null * part("null", a, b)
+        + pi1 * part("one", a + e1, b)
+        + pi2 * part("two", a, b + e2)
+        + p["pi12"] * _once(f, ("both", p["rho_zero"], p["rho_beta"]), lambda: _density2(z1, z2, a + e1, b + e2, c0 + p["rho_beta"] * f.sqrt(e1 * e2), f))
     )
     return -f.ln(f.greatest(mix, f.lit(1e-300)))
 
@@ -83,7 +103,8 @@ def evaluator(df: DataFrame, cost: Callable[..., np.ndarray]) -> Evaluate:
             total, rows = np.zeros(len(points)), 0
             for b in batches:
                 cells = [b.column(c).to_numpy() for c in names]
-                total += [float(cost(p, *cells, Numpy).sum()) for p in points]
+                f = Numpy()
+                total += [float(cost(p, *cells, f).sum()) for p in points]
                 rows += b.num_rows
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(points), dtype=np.int32)), pa.array(total)], names=["i", "cost"])
@@ -94,10 +115,20 @@ def evaluator(df: DataFrame, cost: Callable[..., np.ndarray]) -> Evaluate:
     return evaluate
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Persisted rows in as many parts as their number asks for: each round of a search runs a task a part."""
+    count = rows.count()
+    dealt = rows.repartition(count // ROWS_A_TASK + 1).persist()
+    dealt.count()
+    rows.unpersist()
+    return dealt
+
+
 def fit_univariate(df: DataFrame, z: str = "z", n: str = "n", start: Params | None = None, rounds: int | None = None) -> DataFrame:
     """One row: pi, sig2_beta, sig2_zero, cost, cost_infinitesimal, n, aic and bic against the two-parameter model (negative: pi is not supported), converged."""
     rows = df.where(F.col(z).isNotNull() & F.col(n).isNotNull() & ~F.isnan(z) & ~F.isnan(n)).select(F.col(z).alias("z"), F.col(n).cast("double").alias("n")).persist()
     try:
+        rows = _dealt(rows)
         count, mean_n = rows.agg(F.count(F.lit(1)), F.avg("n")).first()
         mean_n = mean_n or 1.0
         bounds = {"pi": (1e-7, 1.0), "sig2_beta": (1e-5 / mean_n, 1e5 / mean_n), "sig2_zero": (0.05, 20.0)}
@@ -133,6 +164,7 @@ def fit_bivariate(df: DataFrame, one: Params, two: Params, z1: str = "z1", z2: s
     rows = df.select(*cols).dropna().persist()
     most = min(one["pi"], two["pi"])
     try:
+        rows = _dealt(rows)
         count = rows.count()
         evaluate = evaluator(rows, lambda p, a, b, c, d, f: bivariate_cost(p, one, two, a, b, c, d, f))
         space = Space({"pi12": (most * 1e-4, most), "rho_beta": (-0.99, 0.99), "rho_zero": (-0.99, 0.99)}, {"pi12": "log", "rho_beta": "add", "rho_zero": "add"})
