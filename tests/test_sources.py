@@ -118,3 +118,22 @@ def test_headers_do_not_depend_on_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", kept)
     assert len(got) == 122 and sum(r["SNP"] == "SNP" for r in got) == 2
     assert {r["SNP"] for r in got if r["A"] == "7" and r["B"] == "7"} == {f"r{i}_7" for i in range(6)}
+
+
+def test_headers_are_found_without_sorting_the_lines(spark, tmp_path, monkeypatch):
+    path, plans, frame = write(tmp_path / "t", "A B\n" + "".join(f"{i} {i}\n" for i in range(50))), [], type(spark.range(1))
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: plans.append(self._jdf.queryExecution().executedPlan().toString()) or collect(self))
+    readers.whitespace(spark, path)
+    assert len(plans) == 2 and not any("SortAggregate" in p for p in plans)
+
+
+def test_files_of_text_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from varloom import catalog
+
+    spark.range(60_000).select(F.concat(F.lit("v"), "id").alias("snp")).write.parquet(f"{tmp_path}/in")
+    df = spark.read.parquet(f"{tmp_path}/in")
+    count = lambda: len(spark.read.text(catalog._text(df, "grow", F.col("snp"), "SNP")).inputFiles())
+    assert count() == 3
+    monkeypatch.setattr(catalog, "BYTES_A_FILE", 20_000, raising=False)
+    assert count() > 6

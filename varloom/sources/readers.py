@@ -36,7 +36,9 @@ def whitespace(spark: SparkSession, path: str | list[str], columns: T.StructType
     cut = F.regexp_replace("value", re.escape(comment) + ".*$", "") if comment else F.col("value")
     lines = raw.withColumn("line", F.trim(cut)).where("line <> ''")
     # The first line of a file: in its first block that has one, the first row.  One row a file.
-    found = lines.groupBy("_f").agg(F.min(F.struct("_b", "_i", "line")).alias("_h")).select("_f", F.col("_h.line").alias("_head"), F.split("_h.line", r"\s+").alias("_names")).orderBy("_f").collect()
+    # A list that stays empty (asked for below, or it would be left out): with it Spark aggregates by objects in a hash table; the least struct alone would sort all lines of a task.
+    least = lines.groupBy("_f").agg(F.min(F.struct("_b", "_i", "line")).alias("_h"), F.collect_list(F.lit(None).cast("int")).alias("_none"))
+    found = least.where(F.size("_none") == 0).select("_f", F.col("_h.line").alias("_head"), F.split("_h.line", r"\s+").alias("_names")).orderBy("_f").collect()
     if not found:
         raise ValueError(f"no header in {path}")
     names = [f.name for f in columns] if columns else found[0]["_names"]
@@ -194,6 +196,15 @@ def modified(spark: SparkSession, path: str) -> int | None:
     return max([fs.getFileStatus(p).getModificationTime(), *(s.getModificationTime() for s in fs.listStatus(p))])
 
 
+def file_bytes(spark: SparkSession, paths: list[str]) -> int:
+    """Bytes of the files in all."""
+    total = 0
+    for name in paths:
+        p = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))  # names are encoded
+        total += p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getLen()
+    return total
+
+
 def stale(spark: SparkSession, target: str, source: str) -> bool:
     """Whether a target is missing or older than its source; a missing source is an error."""
     made, from_ = modified(spark, target), modified(spark, source)
