@@ -4,16 +4,15 @@ from __future__ import annotations
 
 import atexit
 import math
-import os
 import re
 import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from varloom.sources.shared import importable
+
 _written: list[tuple[SparkSession, str]] = []
 
 
@@ -87,26 +86,6 @@ def release() -> None:
 atexit.register(release)
 
 
-def importable(spark: SparkSession) -> None:
-    """Let Python workers import this package.
-
-    It is sent along unless it is installed, or the workers run on this
-    machine with this path: folders of the driver say nothing about a cluster.
-    """
-    root = Path(__file__).resolve().parents[2]
-    sc = spark.sparkContext
-    on_path = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    here = (sc.master or "").startswith("local[") or sc.master == "local"
-    if (here and (root in on_path or Path.cwd() == root)) or "site-packages" in root.parts or getattr(sc, "_varloom_sent", False):
-        return
-    target = Path(tempfile.mkdtemp(prefix="varloom-")) / "varloom.zip"
-    with zipfile.ZipFile(target, "w") as z:
-        for f in sorted((root / "varloom").rglob("*.py")):
-            z.write(f, f.relative_to(root))
-    sc.addPyFile(str(target))
-    sc._varloom_sent = True
-
-
 def bounded_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) -> None:
     """Hand texts to Python in batches of bounded rows and bytes.
 

@@ -69,9 +69,13 @@ def gene_statistics(variants: DataFrame, gene_variants: DataFrame, pairs: DataFr
     known = variants.where(F.col("z").isNotNull() & ~F.isnan("z")).select("snp", "z")
     gv = gene_variants.select("gene", "snp").distinct().join(known, "snp")
     sums = gv.groupBy("gene").agg(F.count(F.lit(1)).alias("nsnps"), F.sum(F.col("z") * F.col("z")).alias("stat"))
-    own = own_r2(gv, pairs)
+    return by_moments(sums.join(own_r2(gv, pairs), "gene"))
+
+
+def by_moments(sums: DataFrame) -> DataFrame:
+    """The statistics of genes from their sums: gene, nsnps, stat, r2 (over all ordered pairs)."""
     n = F.col("nsnps")
-    out = sums.join(own, "gene").withColumn("df", n * n / F.col("r2"))
+    out = sums.withColumn("df", n * n / F.col("r2"))
     spread = 2.0 / (9.0 * F.col("df"))
     return out.withColumn("z", (F.cbrt(F.col("stat") / n) - (1.0 - spread)) / F.sqrt(spread)).withColumn("p", upper_tail(F.col("z"))).select("gene", "nsnps", "stat", "df", "z", "p")
 
