@@ -168,7 +168,6 @@ def set_gls(genes: DataFrame, sets: DataFrame, shared: DataFrame, least_genes: i
     rows = known.join(block, "gene").select("block", F.lit(0).alias("kind"), "gene", none("string").alias("other"), F.col("z").cast("double").alias("v"), F.log(F.col("nsnps").cast("double")).alias("size"))
     rows = rows.unionByName(near.join(block.withColumnRenamed("gene", "gene_a"), "gene_a").select("block", F.lit(1).alias("kind"), F.col("gene_a").alias("gene"), F.col("gene_b").alias("other"), F.col("c").alias("v"), none("double").alias("size")))
     rows = rows.unionByName(member.join(block, "gene").select("block", F.lit(2).alias("kind"), "gene", F.col("go").alias("other"), none("double").alias("v"), none("double").alias("size")))
-    parts = "go string, n long, s1 double, sx double, sy double, ss double, g11 double, g1x double, g1y double, gxx double, gxy double, gyy double"
 
     def run(table: pa.Table) -> pa.Table:
         kind, gene, other, v, size = (table.column(c).to_pylist() for c in ("kind", "gene", "other", "v", "size"))
@@ -187,13 +186,29 @@ def set_gls(genes: DataFrame, sets: DataFrame, shared: DataFrame, least_genes: i
             c = (c + (shrink / 2 - low) * np.eye(n)) / (1 + shrink / 2 - low)
         half = np.linalg.inv(np.linalg.cholesky(c))
         one, x, y = half @ np.ones(n), half @ x, half @ y
-        out = [(None, n, 0.0, 0.0, 0.0, 0.0, one @ one, one @ x, one @ y, x @ x, x @ y, y @ y)]
-        for go, genes_in in held.items():
-            s = half[:, genes_in].sum(1)
-            out.append((go, len(genes_in), s @ one, s @ x, s @ y, s @ s, *([0.0] * 6)))
-        return pa.Table.from_arrays([pa.array(k, kinds) for k, kinds in zip(zip(*out, strict=True), [pa.string(), pa.int64()] + [pa.float64()] * 10, strict=True)], names=[p.split(" ")[0] for p in parts.split(", ")])
+        sets_in = [half[:, genes_in].sum(1) for genes_in in held.values()]
+        v = np.stack([one, x, y], 1)
+        cross = np.array([s @ v for s in sets_in]).reshape(-1, 3)
+        number = np.repeat(np.arange(len(held)), [len(genes_in) for genes_in in held.values()])
+        return sums_table(n, v.T @ v, cross, np.array([s @ s for s in sets_in]), list(held), number)
 
-    sums = written(rows.groupBy("block").applyInArrow(run, parts), "gls-sums")
+    return set_table(written(rows.groupBy("block").applyInArrow(run, SUMS), "gls-sums"), least_genes)
+
+
+#: Products under the inverse of a block's matrix: of a set (s) and of 1, x and y (g, one row without a set).
+SUMS = "go string, n long, s1 double, sx double, sy double, ss double, g11 double, g1x double, g1y double, gxx double, gxy double, gyy double"
+
+
+def sums_table(n: int, base: np.ndarray, cross: np.ndarray, square: np.ndarray, names: list[str], held: np.ndarray) -> pa.Table:
+    """Rows of SUMS of a block (`held`: the number of the set of each gene in a set)."""
+    counts = np.bincount(held, minlength=len(names))
+    out = [(None, n, 0.0, 0.0, 0.0, 0.0, *(float(base[i, j]) for i in range(3) for j in range(i, 3)))]
+    out += [(go, int(m), *(float(x) for x in c), float(q), *([0.0] * 6)) for go, m, c, q in zip(names, counts, cross, square, strict=True)]
+    return pa.Table.from_arrays([pa.array(k, kinds) for k, kinds in zip(zip(*out, strict=True), [pa.string(), pa.int64()] + [pa.float64()] * 10, strict=True)], names=[p.split(" ")[0] for p in SUMS.split(", ")])
+
+
+def set_table(sums: DataFrame, least_genes: int = 2) -> DataFrame:
+    """go, ngenes, beta, se, z, p of each set from the sums over blocks."""
     base = sums.where("go is null").agg(F.sum("n").alias("t_n"), *[F.sum(k).alias(k) for k in ("g11", "g1x", "g1y", "gxx", "gxy", "gyy")])
     per = sums.where("go is not null").groupBy("go").agg(F.sum("n").alias("ngenes"), *[F.sum(k).alias(k) for k in ("s1", "sx", "sy", "ss")])
     # The set's column less what intercept and size explain of it (two by two normal equations); one row of totals.
